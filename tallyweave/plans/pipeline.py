@@ -1,0 +1,219 @@
+"""End-to-end plans composed of the operators."""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Window, functions as F
+
+from tallyweave import constants as C
+from tallyweave.functions import dates, text
+from tallyweave.operators import enrich, feeds, match, metrics
+from tallyweave.session import cut_lineage
+
+
+def consolidate(
+    disputes: DataFrame, ledger: DataFrame, antifraud: DataFrame, cache: DataFrame,
+    row_id: Sequence[str] = match.ROW_ID,
+) -> DataFrame:
+    """Reconciled disputes with the attributes of their orders."""
+    rows = match.reconcile(disputes, ledger, antifraud, row_id)
+    return enrich.attach_enrichment(rows, cache, row_id, profile=match.order_profile(disputes))
+
+
+def outer_reconciliation(
+    disputes: DataFrame, ledger: DataFrame, antifraud: DataFrame,
+    row_id: Sequence[str] = match.ROW_ID, ledger_id: Sequence[str] = ("ordinal",),
+) -> DataFrame:
+    """The older view: every posting is kept, also those without a dispute."""
+    rows = match.match_ledger_outer(disputes, ledger, row_id, ledger_id)
+    return match.match_antifraud(rows, antifraud, (*row_id, *ledger_id))
+
+
+def chargeback_extract(outer: DataFrame) -> DataFrame:
+    return feeds.filter_record_types(outer, [C.CHARGEBACK])
+
+
+def notification_extract(outer: DataFrame) -> DataFrame:
+    return feeds.filter_record_types(outer, [C.NOTIFICATION])
+
+
+def conversion_extract(
+    outer: DataFrame, row_id: Sequence[str], prefix: str = "clearsale_"
+) -> DataFrame:
+    """Both dispute types with conversion flag and provenance in front."""
+    rows = feeds.filter_record_types(outer)
+    flagged = match.flag_noc_conversion_v2(rows, row_id)
+    labelled = match.label_provenance(flagged, prefix)
+    return feeds.move_to_front(labelled, ["virou_chargeback", "fonte"])
+
+
+def enrich_few(
+    few: DataFrame, disputes: DataFrame, ledger: DataFrame, antifraud: DataFrame,
+    documents: DataFrame, row_id: Sequence[str] = match.ROW_ID,
+) -> DataFrame:
+    """Join everything onto a small set of disputes, such as a top-100 report.
+
+    The joins keep the row count, so the report's rows can be picked first.
+    Each feed is then reduced to the few keys in question while it is scanned,
+    and no feed is shuffled.  ``few`` must be bounded by a limit.
+    """
+    stored = cut_lineage(few)
+    refs = F.broadcast(stored.select("psp_reference").distinct())
+    orders = feeds.valid_order_ids(stored)
+
+    def of_refs(df: DataFrame, key: str) -> DataFrame:
+        return df.join(refs, df[key] == refs["psp_reference"], "left_semi")
+
+    def of_orders(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
+        small = F.broadcast(ids.select(ids.columns[0]).distinct())
+        return df.join(small, df[key] == small[small.columns[0]], "left_semi")
+
+    postings = match.dedup_first(of_refs(ledger, "psp_reference_sap"), "psp_reference_sap", "ordinal")
+    charged = of_refs(match.chargeback_references(disputes), "_charged_ref")
+    reports = of_orders(antifraud, "vtex_order_id", orders)
+    tried = enrich.candidates(orders).select("candidate")
+    flat = enrich.flatten_detail(of_orders(documents, "order_id", tried))
+    attributes = enrich.resolve_candidates(orders, enrich.order_attributes(flat))
+
+    by_ref = stored.join(postings.drop("ordinal"), stored["psp_reference"] == postings["psp_reference_sap"], "left")
+    by_ref = by_ref.join(charged, by_ref["psp_reference"] == charged["_charged_ref"], "left")
+    flagged = by_ref.withColumn(
+        "virou_chargeback", match.conversion_flag(F.col("_charged_ref").isNotNull())
+    ).drop("_charged_ref")
+    few_reports = reports.withColumnRenamed("vtex_order_id", "_report_order")
+    reported = flagged.join(
+        few_reports, F.trim(flagged["vtex_order_id"]) == few_reports["_report_order"], "left"
+    ).drop("_report_order")
+    labelled = match.label_provenance(reported)
+    side = attributes.drop("matched_id").withColumnRenamed("order_id", "_cached_order")
+    return labelled.join(
+        side, F.trim(labelled["vtex_order_id"]) == side["_cached_order"], "left"
+    ).drop("_cached_order")
+
+
+# --- the dashboard document --------------------------------------------------
+
+# Section names of the dashboard document and their lengths
+SECTIONS = {
+    "por_ferramenta": ("fonte", None),
+    "por_motivo": ("dispute_reason", C.TOP_REASONS),
+    "por_bandeira": ("payment_method", None),
+    "cs_status_chargeback": ("cs_status_do_chargeback", None),
+    "por_uf": ("uf_combined", None),
+    "por_cidade": ("cidade_combined", C.TOP_CITIES),
+    "por_entrega": ("delivery", None),
+    "por_entrega_detalhe": ("vtex_delivery_type", C.TOP_DELIVERY_DETAIL),
+    "por_categoria_vtex": ("categories", C.TOP_CATEGORIES),
+    "por_produto_cs": ("cs_item_principal", C.TOP_ITEMS),
+    "por_loja": ("vtex_store", C.TOP_STORES),
+    "top_emails": ("shopper_email", C.TOP_EMAILS),
+    "virou_chargeback": ("virou_chargeback", None),
+    "record_types": ("record_type", None),
+}
+MONEY_SECTIONS = ("por_uf", "por_cidade")
+MAX_LABELS = 10_000  # a longer section belongs in dashboard_sections, not in one document
+
+
+def dashboard_sections(df: DataFrame) -> DataFrame:
+    """All label breakdowns from one scan, as rows (section, rank, label, n, total).
+
+    Each row contributes one entry per section, so every breakdown is part of
+    a single partial aggregation.  Sections without a length keep all labels,
+    unranked; the others are cut to their length before they meet in one task.
+    """
+    shaped = enrich.coalesce_location(df).withColumns({
+        "delivery": text.classify_delivery("vtex_delivery_type"),
+    })
+
+    def entry(section: str, label: Column) -> Column:
+        return F.struct(F.lit(section).alias("section"), label.alias("label"))
+
+    single = F.array(*[
+        entry(s, F.col(c)) for s, (c, _) in SECTIONS.items()
+        if c != "categories" and c in shaped.columns
+    ])
+    many = F.coalesce(
+        F.transform(text.split_categories("vtex_categories"),
+                    lambda x: entry("por_categoria_vtex", x)),
+        F.filter(single, lambda _: F.lit(False)),
+    )
+    counted = (
+        shaped.select(F.explode(F.concat(single, many)).alias("e"), metrics.AMOUNT)
+        .where("e.label IS NOT NULL")
+        .groupBy("e.section", "e.label")
+        .agg(
+            F.count("*").alias("n_rows"),
+            F.count(metrics.AMOUNT).alias("n_amounts"),
+            F.sum(metrics.AMOUNT).cast("double").alias("total"),
+        )
+        .withColumn("n", F.when(F.col("section").isin(*MONEY_SECTIONS), F.col("n_amounts"))
+                    .otherwise(F.col("n_rows")))
+        .withColumn("total", F.when(F.col("section").isin(*MONEY_SECTIONS), F.col("total")))
+        .drop("n_rows", "n_amounts")
+    )
+    lengths = {s: k for s, (_, k) in SECTIONS.items() if k is not None}
+    longest = max(lengths.values())
+    length = F.create_map(*[x for s, k in lengths.items() for x in (F.lit(s), F.lit(k))])
+    best = Window.partitionBy("section").orderBy(F.desc("n"), "label")
+    ranked = (
+        counted.where(F.col("section").isin(*lengths))
+        .withColumn("rank", F.row_number().over(best))
+        .where(F.col("rank") <= longest)
+        .where(F.col("rank") <= F.try_element_at(length, F.col("section")))
+    )
+    whole = counted.where(~F.col("section").isin(*lengths)).withColumn("rank", F.lit(None).cast("int"))
+    cut = F.when(F.col("section") == "por_produto_cs", text.truncate_label("label"))
+    return ranked.unionByName(whole).select(
+        "section", "rank", F.coalesce(cut, F.col("label")).alias("label"), "n", "total"
+    )
+
+
+def dashboard_document(
+    df: DataFrame, tiebreak: tuple[str, ...] = match.ROW_ID, period: str | None = None
+) -> DataFrame:
+    """All reports of the consolidated frame as one JSON document.
+
+    What is folded into the document is stored first and checked to be short.
+    """
+    stored = cut_lineage(df)
+    sections = cut_lineage(dashboard_sections(stored))
+    too_long = sections.groupBy("section").count().where(F.col("count") > MAX_LABELS).head(1)
+    if too_long:
+        raise ValueError(f"section {too_long[0]['section']} is too long; use dashboard_sections")
+
+    folded = sections.groupBy("section").agg(
+        F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("order"), "label", "n", "total")))
+        .alias("rows")
+    ).select(
+        "section",
+        F.transform("rows", lambda r: F.struct(r["label"].alias("label"), r["n"].alias("n"),
+                                               r["total"].alias("total"))).alias("rows"),
+    )
+    parts = folded.agg(F.map_from_entries(F.collect_list(F.struct("section", "rows"))).alias("m"))
+    figures = metrics.kpis(stored).select(F.struct("*").alias("v"))
+    checks = metrics.cross_validation(stored).select(F.struct("*").alias("v"))
+    monthly = metrics.monthly_evolution(stored)
+    ledger = metrics.ledger_monthly(stored)
+    records = metrics.top_records(stored, tiebreak)
+
+    def listed(report: DataFrame, order: Column) -> DataFrame:
+        rows = F.collect_list(F.struct(order.alias("order"), F.struct("*").alias("row")))
+        return report.agg(F.array_sort(rows).getField("row").alias("v"))
+
+    span = stored.agg(
+        F.concat(dates.month_label(dates.month_key(F.min("record_date"))), F.lit(" — "),
+                 dates.month_label(dates.month_key(F.max("record_date")))).alias("v")
+    )
+    return parts.select(
+        F.to_json(F.struct(
+            (F.lit(period) if period else span.scalar()).alias("periodo"),
+            F.date_format(F.current_timestamp(), "yyyy-MM-dd HH:mm:ss").alias("gerado_em"),
+            figures.scalar().alias("kpis"),
+            listed(monthly, F.col("month")).scalar().alias("evolucao_mensal"),
+            listed(ledger, F.col("month")).scalar().alias("sap_mensal"),
+            checks.scalar().alias("cross_validation"),
+            F.col("m").alias("secoes"),
+            listed(records, -F.col(metrics.AMOUNT)).scalar().alias("top_registros"),
+        )).alias("document")
+    )
