@@ -196,6 +196,8 @@ def dashboard_document(
     monthly = metrics.monthly_evolution(stored)
     ledger = metrics.ledger_monthly(stored)
     records = metrics.top_records(stored, tiebreak)
+    amount = F.col(metrics.AMOUNT)
+    largest_first = F.struct(amount.isNull().alias("missing"), (-amount).alias("size"))
 
     def listed(report: DataFrame, order: Column) -> DataFrame:
         rows = F.collect_list(F.struct(order.alias("order"), F.struct("*").alias("row")))
@@ -214,6 +216,6 @@ def dashboard_document(
             listed(ledger, F.col("month")).scalar().alias("sap_mensal"),
             checks.scalar().alias("cross_validation"),
             F.col("m").alias("secoes"),
-            listed(records, -F.col(metrics.AMOUNT)).scalar().alias("top_registros"),
+            listed(records, largest_first).scalar().alias("top_registros"),
         )).alias("document")
     )
