@@ -6,7 +6,7 @@ attributes a query asks for.  None of them needs a global order.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tallyweave.operators import enrich, feeds, match
 
@@ -67,26 +67,26 @@ def disputes(spark: SparkSession, sf_dir: str, *attributes: str) -> DataFrame:
 
 def raw_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Postings of all kinds, some without a reference, some repeated."""
-    orders = table(spark, sf_dir, "orders")
     key = F.col("o_orderkey")
+    repeated = (key % 10 == 0) & (F.col("o_orderstatus") == "F")
+    orders = table(spark, sf_dir, "orders").withColumn("copy", _copies(repeated))
     ref = F.lpad(key.cast("string"), 16, "0")
     price = F.col("o_totalprice").cast("decimal(18,2)").cast("string")
-    first = orders.select(
-        (key * 2).alias("ordinal"),
-        F.when(F.col("o_orderstatus") == "F",
-               F.concat(F.lit("Chargeback NSU: "), ref, F.lit("-"), F.col("o_custkey").cast("string")))
+    return orders.select(
+        (key * 2 + F.col("copy")).alias("ordinal"),
+        F.when(F.col("copy") == 1, F.concat(F.lit("CHARGEBACK NSU "), ref))
+        .when(F.col("o_orderstatus") == "F",
+              F.concat(F.lit("Chargeback NSU: "), ref, F.lit("-"), F.col("o_custkey").cast("string")))
         .when(F.col("o_orderstatus") == "P", "CHARGEBACK SEM REFERENCIA")
         .otherwise(F.concat(F.lit("PAGAMENTO NSU: "), ref)).alias("denominacao_sap"),
         F.col("o_orderdate").alias("data_lancamento_sap"),
-        F.when(key % 17 == 0, "n/d").otherwise(price).alias("valor_sap"),
+        F.when((F.col("copy") == 0) & (key % 17 == 0), "n/d").otherwise(price).alias("valor_sap"),
     )
-    repeated = orders.where((key % 10 == 0) & (F.col("o_orderstatus") == "F")).select(
-        (key * 2 + 1).alias("ordinal"),
-        F.concat(F.lit("CHARGEBACK NSU "), ref).alias("denominacao_sap"),
-        F.col("o_orderdate").alias("data_lancamento_sap"),
-        price.alias("valor_sap"),
-    )
-    return feeds.union_by_name([first, repeated])
+
+
+def _copies(repeated: Column) -> Column:
+    """0 for every row, and 1 for a second row where the test holds."""
+    return F.explode(F.when(repeated, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))
 
 
 def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,33 +95,27 @@ def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def raw_antifraud(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Report rows under the headers of the report; urgent orders may have two."""
-    orders = table(spark, sf_dir, "orders")
+    key, priority = F.col("o_orderkey"), F.col("o_orderpriority")
+    revised = (priority == "1-URGENT") & (key % 4 == 0)
+    orders = table(spark, sf_dir, "orders").where(priority.isin("1-URGENT", "2-HIGH"))
+    orders = orders.withColumn("copy", _copies(revised))
     customer = table(spark, sf_dir, "customer")
     nation = table(spark, sf_dir, "nation")
     wide = orders.join(customer, orders["o_custkey"] == customer["c_custkey"]).join(
         nation, customer["c_nationkey"] == nation["n_nationkey"]
     )
-    key = F.col("o_orderkey")
-    shared = [
+    first = F.col("copy") == 0
+    city = F.concat(F.lit("CITY_"), (F.col("c_custkey") % 50).cast("string"))
+    return wide.select(
+        (key * 2 + F.col("copy")).alias("ordinal"),
+        F.concat_ws("-", key.cast("string"), F.when(first, F.col("o_custkey").cast("string"))
+                    .otherwise("X")).alias("PEDIDO"),
+        F.when(first, priority).otherwise("9-REVISED").alias("STATUS DO CHARGEBACK"),
+        F.when(first & (key % 7 != 0), city).alias("CIDADE"),
         F.col("n_name").alias("UF"),
         F.col("c_mktsegment").alias("ITEM PRINCIPAL"),
         F.col("c_acctbal").alias("SCORE"),
-    ]
-    first = wide.where(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH")).select(
-        (key * 2).alias("ordinal"),
-        F.concat_ws("-", key.cast("string"), F.col("o_custkey").cast("string")).alias("PEDIDO"),
-        F.col("o_orderpriority").alias("STATUS DO CHARGEBACK"),
-        F.when(key % 7 != 0,
-               F.concat(F.lit("CITY_"), (F.col("c_custkey") % 50).cast("string"))).alias("CIDADE"),
-        *shared,
-    )
-    revised = wide.where((F.col("o_orderpriority") == "1-URGENT") & (key % 4 == 0)).select(
-        (key * 2 + 1).alias("ordinal"),
-        F.concat(key.cast("string"), F.lit("-X")).alias("PEDIDO"),
-        F.lit("9-REVISED").alias("STATUS DO CHARGEBACK"),
-        *shared,
     )
-    return feeds.union_by_name([first, revised])
 
 
 def antifraud(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -130,14 +124,21 @@ def antifraud(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prepared.drop("ordinal")
 
 
-# One row per order document.  The text runs in both engines; the JSON is built
-# from it on the Spark side, the expected attributes on the SQL side.
+# One row per order document.  The text runs in both engines but for the way an
+# array becomes rows; the JSON is built from it on the Spark side, the expected
+# attributes on the SQL side.  Some orders have a second document (copy 1) that
+# must lose against the usual one.
 _DOCUMENT_ROWS = """
-SELECT o_orderkey AS k, {order_id} AS order_id,
+SELECT o_orderkey AS k,
+  CASE WHEN copy = 1 OR o_orderkey % 4 = 1 THEN CAST(o_orderkey AS STRING)
+    WHEN o_orderkey % 4 = 0 THEN concat(CAST(o_orderkey AS STRING), '-01')
+    ELSE concat(CAST(o_orderkey AS STRING), '-02') END AS order_id,
   concat('host', CAST(o_orderkey % 5 AS STRING)) AS hostname,
   o_orderkey % 6 AS seller_case,
   concat('STORE ', n_name, ' - 88212113 - ', CAST(o_custkey % 7 AS STRING)) AS seller_name,
-  n_name AS state, {city} AS city,
+  n_name AS state,
+  CASE WHEN copy = 1 THEN 'SHADOW'
+    WHEN o_orderkey % 13 <> 0 THEN concat('CITY_', CAST(o_custkey % 50 AS STRING)) END AS city,
   lpad(CAST(o_custkey AS STRING), 8, '0') AS postal_code,
   CASE WHEN o_orderkey % 3 = 0 THEN 'pickup-point' ELSE 'residential' END AS address_type,
   CASE o_orderkey % 7 WHEN 0 THEN 'Retirada em loja' WHEN 1 THEN 'Entrega expressa'
@@ -163,25 +164,16 @@ SELECT o_orderkey AS k, {order_id} AS order_id,
   c_mktsegment AS cat_a, o_orderpriority AS cat_b,
   CASE WHEN o_orderkey % 11 <> 0 THEN r_name END AS cat_c,
   concat('ORIGIN ', n_name) AS cat_d
-FROM orders JOIN customer ON o_custkey = c_custkey
+FROM (SELECT *, {rows} AS copy FROM orders WHERE o_orderkey % 4 <> 3) o
+  JOIN customer ON o_custkey = c_custkey
   JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
-WHERE {where}
 """
 
-#: the usual document of an order, and a second one that must lose against it
-DOCUMENT_ROWS_SQL = (
-    _DOCUMENT_ROWS.format(
-        order_id="concat(CAST(o_orderkey AS STRING), CASE o_orderkey % 4 "
-                 "WHEN 0 THEN '-01' WHEN 1 THEN '' ELSE '-02' END)",
-        city="CASE WHEN o_orderkey % 13 <> 0 "
-             "THEN concat('CITY_', CAST(o_custkey % 50 AS STRING)) END",
-        where="o_orderkey % 4 <> 3",
-    )
-    + "UNION ALL"
-    + _DOCUMENT_ROWS.format(
-        order_id="CAST(o_orderkey AS STRING)", city="'SHADOW'", where="o_orderkey % 8 = 0"
-    )
-)
+_SECOND = "CASE WHEN o_orderkey % 8 = 0 THEN {two} ELSE {one} END"
+DOCUMENT_ROWS_SQL = _DOCUMENT_ROWS.format(
+    rows="unnest(" + _SECOND.format(two="[0, 1]", one="[0]") + ")")
+_DOCUMENT_ROWS_SPARK = _DOCUMENT_ROWS.format(
+    rows="explode(" + _SECOND.format(two="array(0, 1)", one="array(0)") + ")")
 
 _DOCUMENT_JSON = """
 to_json(named_struct(
@@ -214,7 +206,7 @@ to_json(named_struct(
 def order_details(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order documents as JSON text, built row by row."""
     tables(spark, sf_dir, "orders", "customer", "nation", "region")
-    return spark.sql(DOCUMENT_ROWS_SQL).selectExpr("order_id", _DOCUMENT_JSON)
+    return spark.sql(_DOCUMENT_ROWS_SPARK).selectExpr("order_id", _DOCUMENT_JSON)
 
 
 _ORDER_LIST_JSON = """

@@ -535,9 +535,11 @@ def notification_extract(spark, sf):
 @query
 def conversion_extract(spark, sf):
     reports = fx.antifraud(spark, sf).select("vtex_order_id", F.col("cs_pedido").alias("clearsale_pedido"))
-    ids = ("dispute_id", "ordinal")
-    outer = match.match_antifraud(_outer(spark, sf), reports, ids)
-    return pipeline.conversion_extract(outer, ids).drop("nsu", "valor_sap")
+    outer = pipeline.outer_reconciliation(
+        fx.disputes(spark, sf).select("dispute_id", "psp_reference", "record_type",
+                                      "dispute_amount", "vtex_order_id"),
+        fx.ledger(spark, sf).select("ordinal", "psp_reference_sap"), reports)
+    return pipeline.conversion_extract(outer, ("dispute_id", "ordinal")).drop(match.FOUND)
 
 
 @query

@@ -71,14 +71,30 @@ def match_ledger_outer(
     return matched.unionByName(ledger_only, allowMissingColumns=True)
 
 
+#: boolean that a matched report leaves on the dispute
+FOUND = "antifraud_found"
+
+
+def _reported(columns: Sequence[str], prefix: str) -> Column:
+    """True when any prefixed column of a row has a value."""
+    named = [F.col(c).cast("string") for c in columns if c.startswith(prefix)]
+    return F.coalesce(*named).isNotNull() if named else F.lit(False)
+
+
 def match_antifraud(
     disputes: DataFrame,
     antifraud: DataFrame,
     row_id: Sequence[str] = ROW_ID,
     profile: KeyProfile | None = None,
+    prefix: str = "cs_",
 ) -> DataFrame:
-    """Left join on the trimmed order id; the report holds one row per order."""
-    reports = antifraud.withColumnRenamed("vtex_order_id", "_report_order")
+    """Left join on the trimmed order id; the report holds one row per order.
+
+    Whether a report says anything is decided before the join, so that queries
+    which only need to know that do not shuffle its columns.
+    """
+    reports = antifraud.withColumn(FOUND, _reported(antifraud.columns, prefix))
+    reports = reports.withColumnRenamed("vtex_order_id", "_report_order")
     keyed = disputes.withColumn("_order", F.trim("vtex_order_id"))
     return lookup_join(keyed, "_order", [(reports, "_report_order")], row_id,
                        profile).drop("_order", "_report_order")
@@ -139,10 +155,9 @@ def has_ledger() -> Column:
 
 def has_antifraud(df: DataFrame, prefix: str = "cs_") -> Column:
     """True when any prefixed column of the row has a value."""
-    reported = [c for c in df.columns if c.startswith(prefix)]
-    if not reported:
-        return F.lit(False)
-    return F.coalesce(*[F.col(c).cast("string") for c in reported]).isNotNull()
+    if FOUND in df.columns:
+        return F.coalesce(F.col(FOUND), F.lit(False))
+    return _reported(df.columns, prefix)
 
 
 def label_provenance(df: DataFrame, prefix: str = "cs_") -> DataFrame:

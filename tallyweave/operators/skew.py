@@ -101,28 +101,30 @@ def lookup_join(
     profile = profile_key(left, key) if profile is None else profile
     cells = shuffle_partitions(left.sparkSession)
     value = F.col(key)
-    spread = bool(profile.hot) or profile.hot_null
-    out = left
+    spread_nulls = profile.hot_null and not match_nulls
+    # a made-up key per row instead of null; the join condition keeps it from matching
+    apart = F.concat(F.lit("null "), F.xxhash64(*row_id).cast("string"))
+    out = left.withColumn("_key", F.coalesce(value, apart) if spread_nulls else value)
+
+    def needs_spread(k: Column) -> Column:
+        test = profile.is_hot(k)
+        return test | k.isNull() if match_nulls and profile.hot_null else test
+
+    spread = bool(profile.hot) or (match_nulls and profile.hot_null)
     if spread:
-        null_cell = _cell(row_id, cells) if match_nulls else F.hash(*row_id)
-        out = left.withColumn(
-            "_cell",
-            F.when(value.isNull(), null_cell)
-            .when(profile.is_hot(value), _cell(row_id, cells))
-            .otherwise(F.lit(0)),
-        )
+        cell = F.when(needs_spread(F.col("_key")), _cell(row_id, cells)).otherwise(F.lit(0))
+        out = out.withColumn("_cell", cell)
     for i, (lookup, lookup_key) in enumerate(lookups):
         k, c = f"_key{i}", f"_cell{i}"
         side = lookup.withColumn(k, F.col(lookup_key))
-        condition = value.eqNullSafe(F.col(k)) if match_nulls else value == F.col(k)
+        same = F.col("_key").eqNullSafe(F.col(k)) if match_nulls else F.col("_key") == F.col(k)
         if spread:
-            repeated = profile.is_hot(F.col(k))
-            if match_nulls:
-                repeated = repeated | F.col(k).isNull()
-            side = side.withColumn(c, _repeat(repeated, cells))
-            condition = condition & (F.col("_cell") == F.col(c))
-        out = out.join(side, condition, "left").drop(k, c)
-    return out.drop("_cell")
+            side = side.withColumn(c, _repeat(needs_spread(F.col(k)), cells))
+            same = same & (F.col("_cell") == F.col(c))
+        if spread_nulls:
+            same = same & value.isNotNull()
+        out = out.join(side, same, "left").drop(k, c)
+    return out.drop("_key", "_cell")
 
 
 def fanout_join(

@@ -24,10 +24,11 @@ def consolidate(
 def outer_reconciliation(
     disputes: DataFrame, ledger: DataFrame, antifraud: DataFrame,
     row_id: Sequence[str] = match.ROW_ID, ledger_id: Sequence[str] = ("ordinal",),
+    prefix: str = "clearsale_",
 ) -> DataFrame:
     """The older view: every posting is kept, also those without a dispute."""
     rows = match.match_ledger_outer(disputes, ledger, row_id, ledger_id)
-    return match.match_antifraud(rows, antifraud, (*row_id, *ledger_id))
+    return match.match_antifraud(rows, antifraud, (*row_id, *ledger_id), prefix=prefix)
 
 
 def chargeback_extract(outer: DataFrame) -> DataFrame:
@@ -85,7 +86,7 @@ def enrich_few(
     reported = flagged.join(
         few_reports, F.trim(flagged["vtex_order_id"]) == few_reports["_report_order"], "left"
     ).drop("_report_order")
-    labelled = match.label_provenance(reported)
+    labelled = match.label_provenance(reported)  # no flag here: looks at the report's columns
     side = attributes.drop("matched_id").withColumnRenamed("order_id", "_cached_order")
     return labelled.join(
         side, F.trim(labelled["vtex_order_id"]) == side["_cached_order"], "left"
