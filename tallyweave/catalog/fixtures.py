@@ -8,14 +8,31 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from tallyweave import constants as C
 from tallyweave.operators import enrich, feeds, match
 
 #: attribute of a dispute -> table it is looked up in
 DISPUTE_ATTRIBUTES = ("dispute_reason", "payment_method", "shopper_email")
 
 
+#: tables that grow with the scale and carry the per-row work, with a row key
+FACTS = {
+    "lineitem": ("l_orderkey", "l_linenumber"), "orders": ("o_orderkey",),
+    "events": ("event_id",), "documents": ("doc_id",),
+}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A test table, spread over the cores when it is stored in fewer files than that.
+
+    A table written as one row group is read by one task, which would then do
+    all the parsing alone.  Tables of many files are left as they are stored.
+    """
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if name in FACTS and len(df.inputFiles()) < cores:
+        return df.repartition(cores, *FACTS[name])
+    return df
 
 
 def tables(spark: SparkSession, sf_dir: str, *names: str) -> None:
@@ -240,50 +257,54 @@ def order_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.selectExpr(_ORDER_LIST_JSON)
 
 
-def order_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Attributes of every disputed order, resolved through its candidate ids."""
-    ids = feeds.valid_order_ids(disputes(spark, sf_dir))
+def order_attributes(spark: SparkSession, sf_dir: str, *attributes: str) -> DataFrame:
+    """The wanted attributes (all by default) of every order document."""
     flat = enrich.order_attributes(enrich.flatten_detail(order_details(spark, sf_dir)))
-    return enrich.resolve_candidates(ids, flat).drop("matched_id")
+    return flat.select("order_id", *(attributes or C.ENRICHMENT_COLUMNS))
 
 
-def reconciled(spark: SparkSession, sf_dir: str, *attributes: str) -> DataFrame:
-    return match.reconcile(
-        disputes(spark, sf_dir, *attributes),
-        ledger(spark, sf_dir),
-        antifraud(spark, sf_dir),
-    )
+def reconciled(spark: SparkSession, sf_dir: str, *attributes: str,
+               profile: match.DisputeProfile | None = None) -> DataFrame:
+    keys = disputes(spark, sf_dir)  # without the joins the attributes need
+    rows = disputes(spark, sf_dir, *attributes) if attributes else keys
+    return match.reconcile(rows, ledger(spark, sf_dir), antifraud(spark, sf_dir), keys=keys,
+                           profile=profile)
 
 
 def with_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return match.match_ledger(disputes(spark, sf_dir), ledger(spark, sf_dir))
 
 
-def with_antifraud(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return match.match_antifraud(disputes(spark, sf_dir), antifraud(spark, sf_dir))
+def with_antifraud(spark: SparkSession, sf_dir: str,
+                   profile: match.DisputeProfile | None = None) -> DataFrame:
+    return match.match_antifraud(disputes(spark, sf_dir), antifraud(spark, sf_dir),
+                                 profile=profile.order if profile else None)
 
 
 def with_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
     return match.flag_noc_conversion(disputes(spark, sf_dir))
 
 
-def with_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return enrich.attach_enrichment(
-        disputes(spark, sf_dir), order_attributes(spark, sf_dir), ("dispute_id",)
-    )
+def with_orders(spark: SparkSession, sf_dir: str, *attributes: str,
+                rows: DataFrame | None = None,
+                profile: match.DisputeProfile | None = None) -> DataFrame:
+    """Disputes with the wanted attributes (all by default) of their orders."""
+    return enrich.attach_documents(
+        disputes(spark, sf_dir) if rows is None else rows,
+        order_attributes(spark, sf_dir, *attributes), ("dispute_id",),
+        profile=profile.base_order if profile else None,
+    ).drop("matched_id")
 
 
 def located(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Disputes with both sources of a location."""
-    return enrich.attach_enrichment(
-        with_antifraud(spark, sf_dir), order_attributes(spark, sf_dir), ("dispute_id",),
-        profile=match.order_profile(disputes(spark, sf_dir)),
-    )
+    profile = match.profile_disputes(disputes(spark, sf_dir))
+    rows = with_antifraud(spark, sf_dir, profile)
+    return with_orders(spark, sf_dir, "vtex_uf", "vtex_cidade", rows=rows, profile=profile)
 
 
 def consolidated(spark: SparkSession, sf_dir: str, *attributes: str) -> DataFrame:
     """Everything joined: the frame all reports can be served from."""
-    return enrich.attach_enrichment(
-        reconciled(spark, sf_dir, *attributes), order_attributes(spark, sf_dir), ("dispute_id",),
-        profile=match.order_profile(disputes(spark, sf_dir)),
-    )
+    profile = match.profile_disputes(disputes(spark, sf_dir))
+    rows = reconciled(spark, sf_dir, *attributes, profile=profile)
+    return with_orders(spark, sf_dir, rows=rows, profile=profile)

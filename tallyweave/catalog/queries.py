@@ -445,13 +445,13 @@ _on("by_interaction", metrics.by_interaction, fx.disputes)
 _on("by_antifraud_status", metrics.by_antifraud_status, fx.with_antifraud)
 _on("by_state", metrics.by_state, fx.located)
 _on("by_city", metrics.by_city, fx.located)
-_on("by_delivery", metrics.by_delivery, fx.with_orders)
-_on("by_delivery_detail", metrics.by_delivery_detail, fx.with_orders)
-_on("by_category", metrics.by_category, fx.with_orders)
+_on("by_delivery", metrics.by_delivery, fx.with_orders, "vtex_delivery_type")
+_on("by_delivery_detail", metrics.by_delivery_detail, fx.with_orders, "vtex_delivery_type")
+_on("by_category", metrics.by_category, fx.with_orders, "vtex_categories")
 _on("by_category_documents", lambda df: metrics.by_category(df, "text"),
     lambda spark, sf: fx.table(spark, sf, "documents"))
 _on("by_item", metrics.by_item, fx.with_antifraud)
-_on("by_store", metrics.by_store, fx.with_orders)
+_on("by_store", metrics.by_store, fx.with_orders, "vtex_store")
 _on("cross_validation", metrics.cross_validation, fx.reconciled)
 _on("top_emails", metrics.top_emails, fx.disputes, "shopper_email")
 _on("by_conversion", metrics.by_conversion, fx.with_flag)
@@ -488,12 +488,12 @@ _dash("dash_monthly", dash.dash_monthly, fx.disputes)
 _dash("dash_reason", dash.dash_reason, fx.disputes, "dispute_reason")
 _dash("dash_method", dash.dash_method, fx.disputes, "payment_method")
 _dash("dash_status", dash.dash_status, fx.with_antifraud)
-_dash("dash_delivery", dash.dash_delivery, fx.with_orders)
-_dash("dash_state", dash.dash_state, fx.with_orders)
-_dash("dash_city", dash.dash_city, fx.with_orders)
-_dash("dash_store", dash.dash_store, fx.with_orders)
+_dash("dash_delivery", dash.dash_delivery, fx.with_orders, "vtex_delivery_type")
+_dash("dash_state", dash.dash_state, fx.with_orders, "vtex_uf")
+_dash("dash_city", dash.dash_city, fx.with_orders, "vtex_cidade")
+_dash("dash_store", dash.dash_store, fx.with_orders, "vtex_store")
 _dash("dash_item", dash.dash_item, fx.with_antifraud)
-_dash("dash_category", dash.dash_category, fx.with_orders)
+_dash("dash_category", dash.dash_category, fx.with_orders, "vtex_categories")
 _dash("dash_source", dash.dash_source, fx.reconciled)
 _dash("dash_conversion", dash.dash_conversion, fx.with_flag)
 _dash("dash_cross_validation", dash.dash_cross_validation, fx.consolidated)

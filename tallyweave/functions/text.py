@@ -46,6 +46,18 @@ def order_key_prefix(c: Column | str) -> Column:
     return F.trim(F.substring_index(_col(c), "-", 1))
 
 
+_SUFFIXED = "^([^-]+)(" + "|".join(s for s in C.CANDIDATE_SUFFIXES if s) + ")$"
+
+
+def base_order_id(c: Column | str) -> Column:
+    """The id without a candidate suffix; ids of other forms are their own base."""
+    return F.regexp_replace(_col(c), _SUFFIXED, "$1")
+
+
+def order_id_suffix(c: Column | str) -> Column:
+    return F.regexp_extract(_col(c), _SUFFIXED, 2)
+
+
 def truncate_label(c: Column | str, width: int = C.LABEL_WIDTH) -> Column:
     return F.substring(_col(c), 1, width)
 

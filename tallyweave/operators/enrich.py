@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tallyweave import constants as C, schemas
 from tallyweave.functions import nested, numbers
+from tallyweave.functions.text import base_order_id, order_id_suffix
 from tallyweave.operators.skew import KeyProfile, first_per_key, lookup_join
 
 ATTRIBUTES = C.ENRICHMENT_COLUMNS
@@ -68,24 +69,54 @@ def candidates(ids: DataFrame, key: str = "order_id") -> DataFrame:
     return ids.select(key, F.posexplode(tried).alias("rank", "candidate"))
 
 
-def resolve_candidates(
-    ids: DataFrame, details: DataFrame, key: str = "order_id", detail_key: str = "order_id"
-) -> DataFrame:
-    """Best-ranked document of each id; ids without one are kept with nulls.
+_SLOTS = {s: f"_slot{i}" for i, s in enumerate(C.CANDIDATE_SUFFIXES)}
+def documents_by_base(details: DataFrame, key: str = "order_id") -> DataFrame:
+    """One row per base id with its documents side by side, one slot per suffix.
 
-    Only the id columns take part in finding the best candidate; the payload
-    is joined once, to the single winner of each id.
+    All candidates of an order share its base id, so they meet in one shuffle
+    of the documents, and a lookup by base id finds every candidate at once.
     """
-    known = details.select(F.col(detail_key).alias("candidate"))
-    best = (
-        candidates(ids, key)
-        .join(known, "candidate", "left_semi")
-        .groupBy(key)
-        .agg(F.min_by("candidate", "rank").alias("matched_id"))
+    document = F.struct(
+        F.col(key).alias("matched_id"), *[F.col(c) for c in details.columns if c != key]
     )
-    payload = details.withColumnRenamed(detail_key, "matched_id")
-    hits = best.join(payload, "matched_id")
-    return ids.select(key).join(hits, key, "left")
+    slots = [
+        F.max(F.when(order_id_suffix(F.col(key)) == suffix, document)).alias(name)
+        for suffix, name in _SLOTS.items()
+    ]
+    return details.groupBy(base_order_id(F.col(key)).alias("_base")).agg(*slots)
+
+
+def _best(order_id: Column) -> Column:
+    """Slots in candidate order for a plain id; the slot of its suffix for a dashed one."""
+    exact = F.coalesce(*[F.when(order_id_suffix(order_id) == s, F.col(n)) for s, n in _SLOTS.items()])
+    in_order = F.coalesce(*[F.col(n) for n in _SLOTS.values()])
+    return F.when(F.contains(order_id, F.lit("-")), exact).otherwise(in_order)
+
+
+def attach_documents(
+    df: DataFrame,
+    details: DataFrame,
+    row_id: Sequence[str],
+    order_col: str = "vtex_order_id",
+    profile: KeyProfile | None = None,
+) -> DataFrame:
+    """Left-join the best-ranked document of each row's order; keeps the row count.
+
+    A given ``profile`` must be that of ``base_order_id`` of the order column.
+    """
+    keyed = df.withColumn("_wanted", F.trim(order_col)).withColumn("_order", base_order_id(F.col("_wanted")))
+    joined = lookup_join(keyed, "_order", [(documents_by_base(details), "_base")], row_id, profile)
+    best = joined.withColumn("_best", _best(F.col("_wanted")))
+    payload = [F.col("_best")[c].alias(c) for c in details.columns if c != "order_id"]
+    kept = [c for c in df.columns if c not in details.columns or c == "order_id"]
+    return best.select(*kept, F.col("_best")["matched_id"].alias("matched_id"), *payload)
+
+
+def resolve_candidates(ids: DataFrame, details: DataFrame) -> DataFrame:
+    """Best-ranked document of each distinct id; ids without one are kept with nulls."""
+    renamed = ids.select(F.col("order_id").alias("_id"))
+    found = attach_documents(renamed, details, ["_id"], "_id", KeyProfile())
+    return found.withColumnRenamed("_id", "order_id")
 
 
 def as_cache(resolved: DataFrame, fetched_at: Column) -> DataFrame:

@@ -3,17 +3,19 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tallyweave import constants as C
 from tallyweave.functions import numbers, text
+from tallyweave.functions.text import base_order_id
 from tallyweave.operators.skew import (
     KeyProfile,
     fanout_join,
     first_per_key,
     lookup_join,
-    profile_key,
+    profile_keys,
 )
 
 ROW_ID = ("dispute_id",)
@@ -183,35 +185,51 @@ def record_type_set(df: DataFrame) -> DataFrame:
     return df.select("record_type").distinct()
 
 
+@dataclass(frozen=True)
+class DisputeProfile:
+    """Frequent references, order ids and base order ids of the dispute feed."""
+
+    reference: KeyProfile
+    order: KeyProfile
+    base_order: KeyProfile
+
+
+def profile_disputes(disputes: DataFrame) -> DisputeProfile:
+    """Profile all join keys of the feed in one pass, to be used for every join of it."""
+    order = F.trim("vtex_order_id")
+    found = profile_keys(disputes, {
+        "reference": F.col("psp_reference"), "order": order, "base": base_order_id(order),
+    })
+    return DisputeProfile(found["reference"], found["order"], found["base"])
+
+
 def reconcile(
     disputes: DataFrame,
     ledger: DataFrame,
     antifraud: DataFrame,
     row_id: Sequence[str] = ROW_ID,
     null_keys: str = "never",
+    keys: DataFrame | None = None,
+    profile: DisputeProfile | None = None,
 ) -> DataFrame:
     """Disputes with ledger posting, antifraud report, conversion flag and provenance.
 
     ``disputes``, ``ledger`` and ``antifraud`` come from the ``prepare_*``
     functions.  Both lookups by reference share one shuffle of the disputes.
+    ``keys`` may name a narrower frame of the same disputes, from which record
+    types and keys are read more cheaply.
     """
+    keys = disputes if keys is None else keys
+    profile = profile_disputes(keys) if profile is None else profile
     first = dedup_first(ledger, "psp_reference_sap", "ordinal").drop("ordinal")
-    refs = chargeback_references(disputes)
+    postings, refs = (first, "psp_reference_sap"), (chargeback_references(keys), "_charged_ref")
     if null_keys == "match":
-        by_ref = match_ledger(disputes, ledger, row_id=row_id, null_keys=null_keys)
-        by_ref = lookup_join(by_ref, "psp_reference", [(refs, "_charged_ref")], row_id)
+        by_ref = lookup_join(disputes, "psp_reference", [postings], row_id, profile.reference,
+                             match_nulls=True)
+        by_ref = lookup_join(by_ref, "psp_reference", [refs], row_id, profile.reference)
     else:
-        by_ref = lookup_join(
-            disputes, "psp_reference",
-            [(first, "psp_reference_sap"), (refs, "_charged_ref")], row_id,
-        )
+        by_ref = lookup_join(disputes, "psp_reference", [postings, refs], row_id, profile.reference)
     flagged = by_ref.withColumn(
         "virou_chargeback", conversion_flag(F.col("_charged_ref").isNotNull())
     ).drop("_charged_ref")
-    profile = order_profile(disputes)
-    return label_provenance(match_antifraud(flagged, antifraud, row_id, profile))
-
-
-def order_profile(disputes: DataFrame) -> KeyProfile:
-    """Frequent order ids, read from the feed itself rather than from a join result."""
-    return profile_key(disputes.select(F.trim("vtex_order_id").alias("k")), "k")
+    return label_provenance(match_antifraud(flagged, antifraud, row_id, profile.order))

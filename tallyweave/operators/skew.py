@@ -10,7 +10,7 @@ exact: which keys are treated as frequent only decides where rows are placed.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -35,15 +35,22 @@ class KeyProfile:
 
 
 def profile_key(df: DataFrame, key: str) -> KeyProfile:
-    """Find the frequent values of a text column in one pass over that column.
+    """Find the frequent values of one text column."""
+    return profile_keys(df, {"key": F.col(key)})["key"]
 
-    Each group of input partitions keeps a sketch of fixed size; what reaches
-    the driver is one row per frequent key, ``FREQUENT_KEYS + 1`` at most.
+
+def profile_keys(df: DataFrame, keys: Mapping[str, Column]) -> dict[str, KeyProfile]:
+    """Find the frequent values of several text columns in one pass over them.
+
+    Each group of input partitions keeps a sketch of fixed size per column;
+    what reaches the driver is one row per frequent value, ``FREQUENT_KEYS`` per
+    column at most, and one row with the counts of each column.
     """
     cells = shuffle_partitions(df.sparkSession)
+    entries = [F.struct(F.lit(n).alias("name"), c.cast("string").alias("k")) for n, c in keys.items()]
     parts = (
-        df.select(F.col(key).cast("string").alias("k"))
-        .groupBy(F.pmod(F.spark_partition_id(), F.lit(SKETCHES)).alias("part"))
+        df.select(F.inline(F.array(*entries)))
+        .groupBy("name", F.pmod(F.spark_partition_id(), F.lit(SKETCHES)).alias("part"))
         .agg(
             F.expr(
                 f"approx_top_k(k, {FREQUENT_KEYS}, {TRACKED_KEYS})"
@@ -52,25 +59,37 @@ def profile_key(df: DataFrame, key: str) -> KeyProfile:
             F.count("*").alias("n_rows"),
             F.count_if(F.col("k").isNull()).alias("n_null"),
         )
+        .select(
+            "name",
+            F.explode(F.concat(
+                F.transform(
+                    F.coalesce("top", F.expr("array()")),
+                    lambda t: F.struct(t["item"].alias("k"), t["count"].alias("n"),
+                                       F.lit(0).cast("bigint").alias("rows")),
+                ),
+                # the null entry also carries the row count
+                F.array(F.struct(F.lit(None).cast("string").alias("k"), F.col("n_null").alias("n"),
+                                 F.col("n_rows").alias("rows"))),
+            )).alias("e"),
+        )
+        .groupBy("name", F.col("e.k").alias("k"))
+        .agg(F.sum("e.n").alias("n"), F.sum("e.rows").alias("rows"))
     )
-    entry = F.struct(F.col("t.item").alias("k"), F.col("t.count").alias("n"), F.lit(0).alias("r"))
-    nulls = F.struct(F.lit(None).cast("string").alias("k"), F.col("n_null").alias("n"),
-                     F.col("n_rows").alias("r"))
+    first = Window.partitionBy("name").orderBy(F.desc("rows"), F.desc("n"), "k")
     counts = (
-        parts.select("n_rows", "n_null", F.explode_outer("top").alias("t"))
-        .select(entry.alias("e"))
-        .where("e.k IS NOT NULL")
-        .unionAll(parts.select(nulls.alias("e")))
-        .groupBy(F.col("e.k").alias("k"))
-        .agg(F.sum("e.n").alias("n"), F.sum("e.r").alias("r"))
-        # the null row also carries the row count, so it always comes first
-        .orderBy(F.desc("r"), F.desc("n"), "k")
-        .limit(FREQUENT_KEYS + 1)
+        parts.withColumn("place", F.row_number().over(first))
+        .where(F.col("place") <= FREQUENT_KEYS + 1)
         .collect()
     )
-    total = max((row["r"] for row in counts), default=0)
-    frequent = [row["k"] for row in counts if row["n"] * cells > total]
-    return KeyProfile(tuple(k for k in frequent if k is not None), None in frequent)
+    total = {row["name"]: row["rows"] for row in counts if row["rows"]}
+    frequent = [row for row in counts if row["n"] * cells > total[row["name"]]]
+    return {
+        name: KeyProfile(
+            tuple(sorted(r["k"] for r in frequent if r["name"] == name and r["k"] is not None)),
+            any(r["name"] == name and r["k"] is None for r in frequent),
+        )
+        for name in keys
+    }
 
 
 def _cell(row_id: Sequence[str], cells: int) -> Column:

@@ -17,8 +17,9 @@ def consolidate(
     row_id: Sequence[str] = match.ROW_ID,
 ) -> DataFrame:
     """Reconciled disputes with the attributes of their orders."""
-    rows = match.reconcile(disputes, ledger, antifraud, row_id)
-    return enrich.attach_enrichment(rows, cache, row_id, profile=match.order_profile(disputes))
+    profile = match.profile_disputes(disputes)
+    rows = match.reconcile(disputes, ledger, antifraud, row_id, profile=profile)
+    return enrich.attach_enrichment(rows, cache, row_id, profile=profile.order)
 
 
 def outer_reconciliation(

@@ -14,6 +14,8 @@ RECOMMENDED = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
+    # row_number() <= n filters are also applied before the shuffle up to this n
+    "spark.sql.optimizer.windowGroupLimitThreshold": "3000",
 }
 
 
