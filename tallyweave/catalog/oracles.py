@@ -382,7 +382,7 @@ def _orders() -> dict[str, str]:
   CAST(NULL AS VARCHAR) AS shipping_estimated_date, CAST(NULL AS VARCHAR) AS shipping_estimated_date_min,
   CAST(NULL AS VARCHAR) AS shipping_estimated_date_max
 FROM orders JOIN customer ON o_custkey = c_custkey"""
-    out["scan_orders_json_files"] = """SELECT concat(CAST(o_orderkey AS VARCHAR), '-01') AS order_id,
+    out["scan_orders_json"] = """SELECT concat(CAST(o_orderkey AS VARCHAR), '-01') AS order_id,
   o_orderkey + 500000 AS sequence, c_name AS client_name,
   CASE WHEN o_orderkey % 29 = 0 THEN 0.0::DOUBLE ELSE
     CAST(CAST(CAST(o_totalprice AS DECIMAL(18,2)) * 100 AS BIGINT) AS DOUBLE) / 100.0::DOUBLE END AS total_value,
@@ -523,8 +523,38 @@ WHERE record_type IN ('Chargeback', 'NotificationOfChargeback')""",
     }
 
 
+def _files() -> dict[str, str]:
+    first = ("first({c} ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) "
+             "FILTER (WHERE {c} IS NOT NULL)")
+    report = "pedido, status_do_chargeback, {city} AS cidade, uf, item_principal"
+    return {
+        "scan_delimited": _with("disputes_all", """SELECT dispute_id, record_type,
+  CAST(dispute_amount AS VARCHAR) AS dispute_amount, metadata, TRUE AS from_csv FROM disputes_all"""),
+        "load_disputes": _with("disputes", """SELECT dispute_id, record_type, psp_reference, dispute_amount,
+  date_trunc('day', record_date) AS record_date, vtex_order_id FROM disputes"""),
+        "scan_semicolon": _with("antifraud_all", f"SELECT {report.format(city=chr(39) + 'São ' + chr(39) + ' || cidade')} FROM antifraud_all"),
+        "scan_html_tables": _with("antifraud_all", f"SELECT {report.format(city='cidade')} FROM antifraud_all"),
+        "scan_order_export": f"""SELECT CAST(l_orderkey AS VARCHAR) AS order_id,
+  {first.format(c='sequence')} AS sequence, {first.format(c='status_description')} AS status_description,
+  {first.format(c='creation_date')} AS creation_date, {first.format(c='total_value')} AS total_value
+FROM (SELECT *, CAST(l_linenumber AS BIGINT) AS sequence,
+        CASE WHEN l_linenumber % 2 = 0 THEN l_returnflag END AS status_description,
+        l_shipdate AS creation_date, CAST(CAST(l_extendedprice AS DECIMAL(18,2)) AS DOUBLE) AS total_value
+      FROM lineitem) GROUP BY l_orderkey""",
+        "scan_cache": _with("enrichment", f"""SELECT wanted AS order_id, {_ATTRIBUTES},
+  CASE WHEN order_id IS NULL THEN 'not_found' ELSE 'found' END AS status,
+  TIMESTAMP '2025-01-02' AS fetched_at FROM enrichment"""),
+        "consolidated_extracts": _with("flagged", f"""
+SELECT 'Consolidado' AS extract, count(*) AS n_rows FROM flagged
+UNION ALL SELECT 'Chargebacks', {_N_CB} FROM flagged
+UNION ALL SELECT 'Notifications', {_N_NOC} FROM flagged
+UNION ALL SELECT 'Virou_Chargeback', {_N_CONV} FROM flagged
+UNION ALL SELECT 'Resumo_Mensal', count(DISTINCT (strftime(record_date, '%Y-%m'), record_type)) FROM flagged"""),
+    }
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         **_scans_and_normalisation(), **_matching(), **_orders(),
-        **_breakdowns(), **_dashboard(), **_outputs(),
+        **_breakdowns(), **_dashboard(), **_outputs(), **_files(),
     }

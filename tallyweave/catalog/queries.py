@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tallyweave import constants as C
 from tallyweave.catalog import fixtures as fx
@@ -16,8 +16,7 @@ from tallyweave.operators.ids import dense_ids
 from tallyweave.plans import pipeline
 from tallyweave.session import shared_dir
 from tallyweave.sinks import exports
-from tallyweave.sources.listing import sample_scan
-from tallyweave.sources.orders import scan_orders_json
+from tallyweave.sources import delimited, documents, feeds as file_feeds, listing, orders
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -39,17 +38,17 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 
 @query
 def union_by_name(spark, sf):
-    orders = fx.table(spark, sf, "orders").select(
+    placed = fx.table(spark, sf, "orders").select(
         F.col("o_orderkey").alias("key"), F.col("o_orderdate").alias("placed"),
         F.col("o_custkey").alias("customer"))
     customers = fx.table(spark, sf, "customer").select(
         F.col("c_custkey").alias("key"), F.col("c_mktsegment").alias("segment"))
-    return feeds.union_by_name([orders, customers])
+    return feeds.union_by_name([placed, customers])
 
 
 @query
-def sample_scan_rows(spark, sf):
-    return sample_scan(fx.raw_disputes(spark, sf), C.SAMPLE_ROWS)
+def sample_scan(spark, sf):
+    return listing.sample_scan(fx.raw_disputes(spark, sf), C.SAMPLE_ROWS)
 
 
 @query
@@ -314,7 +313,7 @@ def resolve_candidates(spark, sf):
 def upsert_cache(spark, sf):
     """Old answers for even orders, new ones for every third; some new ones are older."""
     key = F.col("o_orderkey")
-    orders = fx.table(spark, sf, "orders")
+    listed = fx.table(spark, sf, "orders")
     placed = F.col("o_orderdate")
 
     def answers(prefix, status, at):
@@ -322,9 +321,9 @@ def upsert_cache(spark, sf):
                 F.concat(F.lit(prefix), F.col("o_orderstatus")).alias("vtex_store"),
                 F.lit(status).alias("status"), at.alias("fetched_at")]
 
-    cache = orders.where(key % 2 == 0).select(*answers("old ", "found", placed))
+    cache = listed.where(key % 2 == 0).select(*answers("old ", "found", placed))
     late = F.when(key % 5 == 0, placed - F.expr("INTERVAL 1 DAY")).otherwise(placed)
-    fresh = orders.where(key % 3 == 0).select(*answers("new ", "not_found", late))
+    fresh = listed.where(key % 3 == 0).select(*answers("new ", "not_found", late))
     return enrich.upsert_cache(cache, fresh).drop("fetched_at")
 
 
@@ -354,11 +353,11 @@ def flatten_order(spark, sf):
 
 
 @query
-def scan_orders_json_files(spark, sf):
+def scan_orders_json(spark, sf):
     """Listed orders written as JSON lines and scanned back with a declared schema."""
     path = fresh_path(spark, "orders-json")
     fx.order_list(spark, sf).write.text(path)
-    return scan_orders_json(spark, path).select(
+    return orders.scan_orders_json(spark, path).select(
         "order_id", "sequence", "client_name", "total_value", "creation_date", "last_change",
         "authorized_date")
 
@@ -552,5 +551,147 @@ def profile_columns(spark, sf):
     return exports.profile_columns(fx.disputes(spark, sf, *REPORT_ATTRIBUTES))
 
 
+# --- file layouts, written from the tables and scanned back ------------------
+# Every file is written by Spark tasks under the shared folder, whole tables at
+# a time, in the layouts the feeds arrive in.
+
+def _csv(df: DataFrame, path: str, **options: str) -> None:
+    writer = df.write.mode("append").option("header", "true").option("escape", '"')
+    writer.options(**options).csv(path)
+
+
+def _mixed_feed(spark, sf) -> str:
+    """Dispute files: comma and ISO dates for even lines, semicolon and D/M/Y for odd ones."""
+    path = fresh_path(spark, "disputes-csv")
+    rows = fx.raw_disputes(spark, sf)
+    even = F.pmod(F.xxhash64("dispute_id"), F.lit(2)) == 0
+    shared = [
+        F.col("record_type").alias("Record Type"), F.col("psp_reference").alias("Psp Reference"),
+        F.col("dispute_amount").alias("Dispute Amount"), F.col("metadata").alias("Metadata"),
+        F.col("dispute_id").alias("Merchant Reference"),
+    ]
+    iso = F.date_format("record_date", "yyyy-MM-dd").alias("Record Date")
+    day_first = F.date_format("record_date", "dd/MM/yyyy").alias("Record Date")
+    _csv(rows.where(even).select(*shared, iso), path, sep=",")
+    _csv(rows.where(~even).select(day_first, F.col("shopper_interaction").alias("Shopper Interaction"),
+                                  *shared), path, sep=";")
+    return path
+
+
+@query
+def scan_delimited(spark, sf):
+    """Both layouts stacked by column name, each file with its own delimiter."""
+    rows = delimited.scan_delimited(spark, _mixed_feed(spark, sf), source_file="source_file")
+    return rows.select(
+        F.col("Merchant Reference").alias("dispute_id"), F.col("Record Type").alias("record_type"),
+        F.col("Dispute Amount").alias("dispute_amount"), F.col("Metadata").alias("metadata"),
+        F.endswith("source_file", F.lit(".csv")).alias("from_csv"))
+
+
+@query
+def load_disputes(spark, sf):
+    """The dispute feed from its files: delimiter, date convention, amount, order id."""
+    return file_feeds.load_disputes(spark, _mixed_feed(spark, sf)).select(
+        F.col("merchant_reference").alias("dispute_id"), "record_type", "psp_reference",
+        "dispute_amount", "record_date", "vtex_order_id")
+
+
+def _report_columns():
+    return ["PEDIDO", "STATUS DO CHARGEBACK", "CIDADE", "UF", "ITEM PRINCIPAL"]
+
+
+@query
+def scan_semicolon(spark, sf):
+    """Report files in UTF-8 and Latin-1; the cities get an accent to tell them apart."""
+    path = fresh_path(spark, "reports-csv")
+    rows = fx.raw_antifraud(spark, sf).withColumn("CIDADE", F.concat(F.lit("São "), "CIDADE"))
+    latin = F.col("ordinal") % 3 == 0
+    columns = _report_columns()
+    _csv(rows.where(latin).select(*columns), path, sep=";", encoding="ISO-8859-1")
+    _csv(rows.where(~latin).select(*columns), path, sep=";", encoding="UTF-8")
+    scanned = delimited.scan_semicolon(spark, path, must_have="PEDIDO")
+    return scanned.select(*[F.col(c).alias(c.lower().replace(" ", "_")) for c in columns])
+
+
+HTML_ROWS = 500  # rows of one report page
+
+
+@query
+def scan_html_tables(spark, sf):
+    """Report pages, each a table of a bounded number of rows, as one file per page."""
+    path = fresh_path(spark, "reports-html")
+    columns = _report_columns()
+
+    def table_row(tag: str, cells) -> Column:
+        return F.concat(F.lit("<tr>"), *[
+            x for c in cells for x in (F.lit(f"<{tag}>"), c, F.lit(f"</{tag}>"))], F.lit("</tr>"))
+
+    def escaped(c: str) -> Column:
+        value = F.coalesce(F.col(c), F.lit(""))
+        return F.replace(F.replace(value, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+
+    page = F.floor(F.col("ordinal") / (2 * HTML_ROWS)).alias("page")  # ordinals come in pairs
+    head = table_row("th", [F.lit(c) for c in columns])
+    pages = (
+        fx.raw_antifraud(spark, sf)
+        .select(page, F.struct("ordinal", table_row("td", [escaped(c) for c in columns]).alias("row"))
+                .alias("line"))
+        .groupBy("page")
+        .agg(F.array_sort(F.collect_list("line")).alias("lines"))
+        .select(
+            F.concat(F.lit("page"), F.col("page").cast("string")).alias("page"),
+            F.concat(F.lit("<html><p>report</p><table>"), head,
+                     F.array_join(F.col("lines")["row"], ""), F.lit("</table></html>")).alias("value"))
+    )
+    pages.write.partitionBy("page").text(path)
+    files = [r["path"] for r in spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+             .option("pathGlobFilter", "*.txt").load(path).select("path").collect()]
+    scanned = documents.scan_html_tables(spark, files)
+    return scanned.select(*[F.col(c).alias(c.lower().replace(" ", "_")) for c in columns])
+
+
+@query
+def scan_order_export(spark, sf):
+    """Order export with a byte order mark, several rows per order, then one row per order."""
+    path = fresh_path(spark, "orders-csv")
+    rows = fx.table(spark, sf, "lineitem").select(
+        F.col("l_orderkey").cast("string").alias("\ufeffOrder"),
+        F.lpad(F.col("l_linenumber").cast("string"), 3, "0").alias("Sequence"),
+        F.when(F.col("l_linenumber") % 2 == 0, F.col("l_returnflag")).alias("Status"),
+        F.date_format("l_shipdate", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("Creation Date"),
+        F.col("l_extendedprice").cast("decimal(18,2)").alias("Total Value"),
+        F.col("l_partkey").alias("Part"), F.col("l_suppkey").alias("Supplier"),
+    )
+    _csv(rows, path, sep=";")
+    scanned = orders.scan_order_export(spark, path)
+    place = [F.col(c).cast("bigint").alias(c) for c in ("Part", "Supplier")]
+    typed = scanned.select("order_id", "sequence", "status_description", "creation_date",
+                           "total_value", *place)
+    return enrich.collapse_orders(typed, ["sequence", "Part", "Supplier", "total_value"])
+
+
+@query
+def scan_cache(spark, sf):
+    """The order cache written with its declared schema and read back."""
+    path = fresh_path(spark, "cache")
+    ids = feeds.valid_order_ids(fx.disputes(spark, sf))
+    at = F.lit("2025-01-02").cast("timestamp_ntz")
+    resolved = enrich.resolve_candidates(ids, fx.order_attributes(spark, sf))
+    enrich.as_cache(resolved, at).write.parquet(path)
+    return orders.scan_cache(spark, path)
+
+
+@query
+def consolidated_extracts(spark, sf):
+    """Rows of each written extract."""
+    path = fresh_path(spark, "extracts")
+    written = exports.consolidated_extracts(fx.consolidated(spark, sf, *REPORT_ATTRIBUTES), path)
+    counts = [
+        spark.read.parquet(target).agg(F.count("*").alias("n_rows"))
+        .select(F.lit(name).alias("extract"), "n_rows") for name, target in written.items()
+    ]
+    return feeds.union_by_name(counts)
+
+
 def queries() -> dict[str, Query]:
     return dict(REGISTRY)
