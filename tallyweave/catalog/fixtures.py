@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tallyweave import constants as C
 from tallyweave.operators import enrich, feeds, match
+from tallyweave.plans import pipeline
 
 #: attribute of a dispute -> table it is looked up in
 DISPUTE_ATTRIBUTES = ("dispute_reason", "payment_method", "shopper_email")
@@ -263,12 +264,10 @@ def order_attributes(spark: SparkSession, sf_dir: str, *attributes: str) -> Data
     return flat.select("order_id", *(attributes or C.ENRICHMENT_COLUMNS))
 
 
-def reconciled(spark: SparkSession, sf_dir: str, *attributes: str,
-               profile: match.DisputeProfile | None = None) -> DataFrame:
+def reconciled(spark: SparkSession, sf_dir: str, *attributes: str) -> DataFrame:
     keys = disputes(spark, sf_dir)  # without the joins the attributes need
     rows = disputes(spark, sf_dir, *attributes) if attributes else keys
-    return match.reconcile(rows, ledger(spark, sf_dir), antifraud(spark, sf_dir), keys=keys,
-                           profile=profile)
+    return match.reconcile(rows, ledger(spark, sf_dir), antifraud(spark, sf_dir), keys=keys)
 
 
 def with_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -305,6 +304,7 @@ def located(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def consolidated(spark: SparkSession, sf_dir: str, *attributes: str) -> DataFrame:
     """Everything joined: the frame all reports can be served from."""
-    profile = match.profile_disputes(disputes(spark, sf_dir))
-    rows = reconciled(spark, sf_dir, *attributes, profile=profile)
-    return with_orders(spark, sf_dir, rows=rows, profile=profile)
+    keys = disputes(spark, sf_dir)
+    rows = disputes(spark, sf_dir, *attributes) if attributes else keys
+    return pipeline.consolidate(rows, ledger(spark, sf_dir), antifraud(spark, sf_dir),
+                                order_attributes(spark, sf_dir), keys=keys)

@@ -104,12 +104,24 @@ def attach_documents(
 
     A given ``profile`` must be that of ``base_order_id`` of the order column.
     """
-    keyed = df.withColumn("_wanted", F.trim(order_col)).withColumn("_order", base_order_id(F.col("_wanted")))
+    keyed = key_by_base(df, order_col)
     joined = lookup_join(keyed, "_order", [(documents_by_base(details), "_base")], row_id, profile)
+    return pick_document(joined, df.columns, details.columns)
+
+
+def key_by_base(df: DataFrame, order_col: str = "vtex_order_id") -> DataFrame:
+    """Add the wanted id and the base id that documents are looked up by."""
+    return df.withColumn("_wanted", F.trim(order_col)).withColumn(
+        "_order", base_order_id(F.col("_wanted")))
+
+
+def pick_document(joined: DataFrame, columns: Sequence[str], fields: Sequence[str]) -> DataFrame:
+    """Keep ``columns`` and add the fields of the best document of the joined base id."""
     best = joined.withColumn("_best", _best(F.col("_wanted")))
-    payload = [F.col("_best")[c].alias(c) for c in details.columns if c != "order_id"]
-    kept = [c for c in df.columns if c not in details.columns or c == "order_id"]
-    return best.select(*kept, F.col("_best")["matched_id"].alias("matched_id"), *payload)
+    payload = [c for c in fields if c != "order_id"]
+    kept = [c for c in columns if c not in payload]
+    return best.select(*kept, F.col("_best")["matched_id"].alias("matched_id"),
+                       *[F.col("_best")[c].alias(c) for c in payload])
 
 
 def resolve_candidates(ids: DataFrame, details: DataFrame) -> DataFrame:

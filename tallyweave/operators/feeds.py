@@ -59,7 +59,10 @@ def filter_record_types(
 
 
 def extract_order_id(df: DataFrame, metadata: str = "metadata") -> DataFrame:
-    return df.withColumn("vtex_order_id", text.order_id_from_metadata(metadata))
+    """Add the order id; a feed without metadata has none."""
+    known = metadata in df.columns
+    order_id = text.order_id_from_metadata(metadata) if known else F.lit(None).cast("string")
+    return df.withColumn("vtex_order_id", order_id)
 
 
 def filter_narrative(df: DataFrame, column: str, wanted: str = C.NARRATIVE_TEXT) -> DataFrame:

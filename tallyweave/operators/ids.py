@@ -14,9 +14,9 @@ _ROW_BITS = 33  # monotonically_increasing_id keeps the row position in the low
 def dense_ids(df: DataFrame, order_cols: Sequence[str], name: str) -> DataFrame:
     """Number the rows 1..n in the given order, which must be a total order.
 
-    Rows are range-partitioned and sorted, then stored once by a reliable
-    checkpoint, so both the partition counts and the numbering read the very
-    same partitions even after an executor is lost.  The offsets table has one
+    Rows are range-partitioned and sorted, then stored once with the number of
+    their partition and their place in it, so the partition counts and the
+    numbering agree even after an executor is lost.  The offsets table has one
     row per partition, which is what bounds its window and its broadcast.
     """
     ordered = df.orderBy(*order_cols).withColumn("_mid", F.monotonically_increasing_id())

@@ -83,6 +83,16 @@ def _reported(columns: Sequence[str], prefix: str) -> Column:
     return F.coalesce(*named).isNotNull() if named else F.lit(False)
 
 
+def report_lookup(antifraud: DataFrame, prefix: str = "cs_") -> DataFrame:
+    """Reports keyed by ``_report_order``, with a flag whether they say anything.
+
+    The flag is made before the join, so that queries which only need to know
+    that much do not shuffle the report's columns.
+    """
+    flagged = antifraud.withColumn(FOUND, _reported(antifraud.columns, prefix))
+    return flagged.withColumnRenamed("vtex_order_id", "_report_order")
+
+
 def match_antifraud(
     disputes: DataFrame,
     antifraud: DataFrame,
@@ -90,16 +100,10 @@ def match_antifraud(
     profile: KeyProfile | None = None,
     prefix: str = "cs_",
 ) -> DataFrame:
-    """Left join on the trimmed order id; the report holds one row per order.
-
-    Whether a report says anything is decided before the join, so that queries
-    which only need to know that do not shuffle its columns.
-    """
-    reports = antifraud.withColumn(FOUND, _reported(antifraud.columns, prefix))
-    reports = reports.withColumnRenamed("vtex_order_id", "_report_order")
+    """Left join on the trimmed order id; the report holds one row per order."""
     keyed = disputes.withColumn("_order", F.trim("vtex_order_id"))
-    return lookup_join(keyed, "_order", [(reports, "_report_order")], row_id,
-                       profile).drop("_order", "_report_order")
+    return lookup_join(keyed, "_order", [(report_lookup(antifraud, prefix), "_report_order")],
+                       row_id, profile).drop("_order", "_report_order")
 
 
 def chargeback_references(disputes: DataFrame) -> DataFrame:
@@ -203,33 +207,46 @@ def profile_disputes(disputes: DataFrame) -> DisputeProfile:
     return DisputeProfile(found["reference"], found["order"], found["base"])
 
 
-def reconcile(
+def match_by_reference(
     disputes: DataFrame,
     ledger: DataFrame,
-    antifraud: DataFrame,
     row_id: Sequence[str] = ROW_ID,
     null_keys: str = "never",
     keys: DataFrame | None = None,
     profile: DisputeProfile | None = None,
 ) -> DataFrame:
-    """Disputes with ledger posting, antifraud report, conversion flag and provenance.
+    """Ledger posting and conversion flag, from one shuffle of the disputes.
 
-    ``disputes``, ``ledger`` and ``antifraud`` come from the ``prepare_*``
-    functions.  Both lookups by reference share one shuffle of the disputes.
     ``keys`` may name a narrower frame of the same disputes, from which record
     types and keys are read more cheaply.
     """
     keys = disputes if keys is None else keys
-    profile = profile_disputes(keys) if profile is None else profile
+    hot = (profile_disputes(keys) if profile is None else profile).reference
     first = dedup_first(ledger, "psp_reference_sap", "ordinal").drop("ordinal")
     postings, refs = (first, "psp_reference_sap"), (chargeback_references(keys), "_charged_ref")
     if null_keys == "match":
-        by_ref = lookup_join(disputes, "psp_reference", [postings], row_id, profile.reference,
-                             match_nulls=True)
-        by_ref = lookup_join(by_ref, "psp_reference", [refs], row_id, profile.reference)
+        rows = lookup_join(disputes, "psp_reference", [postings], row_id, hot, match_nulls=True)
+        rows = lookup_join(rows, "psp_reference", [refs], row_id, hot)
     else:
-        by_ref = lookup_join(disputes, "psp_reference", [postings, refs], row_id, profile.reference)
-    flagged = by_ref.withColumn(
-        "virou_chargeback", conversion_flag(F.col("_charged_ref").isNotNull())
-    ).drop("_charged_ref")
-    return label_provenance(match_antifraud(flagged, antifraud, row_id, profile.order))
+        rows = lookup_join(disputes, "psp_reference", [postings, refs], row_id, hot)
+    flag = conversion_flag(F.col("_charged_ref").isNotNull())
+    return rows.withColumn("virou_chargeback", flag).drop("_charged_ref")
+
+
+def reconcile(
+    disputes: DataFrame,
+    ledger: DataFrame,
+    antifraud: DataFrame,
+    row_id: Sequence[str] = ROW_ID,
+    null_keys: str = "never",
+    keys: DataFrame | None = None,
+    profile: DisputeProfile | None = None,
+) -> DataFrame:
+    """Disputes with ledger posting, antifraud report, conversion flag and provenance.
+
+    ``disputes``, ``ledger`` and ``antifraud`` come from the ``prepare_*``
+    functions; for ``keys`` see :func:`match_by_reference`.
+    """
+    profile = profile_disputes(disputes if keys is None else keys) if profile is None else profile
+    rows = match_by_reference(disputes, ledger, row_id, null_keys, keys, profile)
+    return label_provenance(match_antifraud(rows, antifraud, row_id, profile.order))

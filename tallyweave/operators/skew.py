@@ -105,15 +105,16 @@ def _repeat(test: Column, cells: int) -> Column:
 def lookup_join(
     left: DataFrame,
     key: str,
-    lookups: Sequence[tuple[DataFrame, str]],
+    lookups: Sequence[tuple[DataFrame, str] | tuple[DataFrame, str, Column]],
     row_id: Sequence[str],
     profile: KeyProfile | None = None,
     match_nulls: bool = False,
 ) -> DataFrame:
     """Left-join lookups that hold at most one row per key; keeps the row count.
 
-    ``row_id`` names columns that tell left rows apart.  All lookups share one
-    key, so the left side is shuffled once however many there are.  Without
+    ``row_id`` names columns that tell left rows apart.  A lookup is a frame and
+    its key column, with a further join condition if need be.  All lookups share
+    one key, so the left side is shuffled once however many there are.  Without
     frequent keys these are plain joins, which reuse the partitioning that
     deduplication left on the lookup side.
     """
@@ -133,7 +134,7 @@ def lookup_join(
     if spread:
         cell = F.when(needs_spread(F.col("_key")), _cell(row_id, cells)).otherwise(F.lit(0))
         out = out.withColumn("_cell", cell)
-    for i, (lookup, lookup_key) in enumerate(lookups):
+    for i, (lookup, lookup_key, *further) in enumerate(lookups):
         k, c = f"_key{i}", f"_cell{i}"
         side = lookup.withColumn(k, F.col(lookup_key))
         same = F.col("_key").eqNullSafe(F.col(k)) if match_nulls else F.col("_key") == F.col(k)
@@ -142,6 +143,8 @@ def lookup_join(
             same = same & (F.col("_cell") == F.col(c))
         if spread_nulls:
             same = same & value.isNotNull()
+        for condition in further:
+            same = same & condition
         out = out.join(side, same, "left").drop(k, c)
     return out.drop("_key", "_cell")
 

@@ -9,14 +9,41 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from tallyweave import constants as C
 from tallyweave.functions import dates, text
 from tallyweave.operators import enrich, feeds, match, metrics
+from tallyweave.operators.skew import lookup_join
 from tallyweave.session import cut_lineage
 
 
 def consolidate(
+    disputes: DataFrame, ledger: DataFrame, antifraud: DataFrame, attributes: DataFrame,
+    row_id: Sequence[str] = match.ROW_ID, keys: DataFrame | None = None,
+    profile: match.DisputeProfile | None = None,
+) -> DataFrame:
+    """Reconciled disputes with the attributes of their order documents.
+
+    Two shuffles of the disputes: by reference (ledger, conversion) and by base
+    order id (antifraud, documents).  A report is keyed by an undashed id, which
+    is its own base, so it meets its disputes there too; the extra condition
+    keeps dashed ids from matching it.
+    """
+    profile = match.profile_disputes(disputes if keys is None else keys) if profile is None else profile
+    rows = match.match_by_reference(disputes, ledger, row_id, keys=keys, profile=profile)
+    reports = match.report_lookup(antifraud)
+    own_report = F.col("_wanted") == F.col("_report_order")
+    joined = lookup_join(
+        enrich.key_by_base(rows), "_order",
+        [(reports, "_report_order", own_report), (enrich.documents_by_base(attributes), "_base")],
+        row_id, profile.base_order,
+    )
+    columns = [*rows.columns, *[c for c in reports.columns if c != "_report_order"]]
+    picked = enrich.pick_document(joined, columns, attributes.columns)
+    return match.label_provenance(picked).drop("matched_id")
+
+
+def consolidate_cached(
     disputes: DataFrame, ledger: DataFrame, antifraud: DataFrame, cache: DataFrame,
     row_id: Sequence[str] = match.ROW_ID,
 ) -> DataFrame:
-    """Reconciled disputes with the attributes of their orders."""
+    """As :func:`consolidate`, from a cache of attributes already found per order id."""
     profile = match.profile_disputes(disputes)
     rows = match.reconcile(disputes, ledger, antifraud, row_id, profile=profile)
     return enrich.attach_enrichment(rows, cache, row_id, profile=profile.order)
@@ -50,6 +77,9 @@ def conversion_extract(
     return feeds.move_to_front(labelled, ["virou_chargeback", "fonte"])
 
 
+FEW_ROWS = 10_000
+
+
 def enrich_few(
     few: DataFrame, disputes: DataFrame, ledger: DataFrame, antifraud: DataFrame,
     documents: DataFrame, row_id: Sequence[str] = match.ROW_ID,
@@ -58,17 +88,19 @@ def enrich_few(
 
     The joins keep the row count, so the report's rows can be picked first.
     Each feed is then reduced to the few keys in question while it is scanned,
-    and no feed is shuffled.  ``few`` must be bounded by a limit.
+    and no feed is shuffled.  Beyond ``FEW_ROWS`` rows the keys are not broadcast
+    and Spark picks the joins.
     """
     stored = cut_lineage(few)
-    refs = F.broadcast(stored.select("psp_reference").distinct())
+    sent = F.broadcast if stored.count() <= FEW_ROWS else (lambda df: df)
+    refs = sent(stored.select("psp_reference").distinct())
     orders = feeds.valid_order_ids(stored)
 
     def of_refs(df: DataFrame, key: str) -> DataFrame:
         return df.join(refs, df[key] == refs["psp_reference"], "left_semi")
 
     def of_orders(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
-        small = F.broadcast(ids.select(ids.columns[0]).distinct())
+        small = sent(ids.select(ids.columns[0]).distinct())
         return df.join(small, df[key] == small[small.columns[0]], "left_semi")
 
     postings = match.dedup_first(of_refs(ledger, "psp_reference_sap"), "psp_reference_sap", "ordinal")

@@ -14,6 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from tallyweave.operators.feeds import union_by_name
+from tallyweave.session import cut_lineage
 from tallyweave.sources.listing import list_inputs
 
 DELIMITERS = (",", ";", "\t", "|")
@@ -72,14 +73,19 @@ def read_layouts(
     )
     if not detect_encoding:
         lines = lines.where("position.block = 0")
-    files = lines.groupBy("path").agg(
+    files = cut_lineage(lines.groupBy("path").agg(
         F.min_by("raw", "position").alias("header"),
         F.bool_and(F.is_valid_utf8(F.col("raw").cast("string"))).alias("utf8"),
-    )
+    ))
+    files = files.select("path", F.struct("header", "utf8").alias("kind"),
+                         F.concat(F.sha2("header", 256), F.col("utf8").cast("string")).alias("kind_id"))
+    # one row per kind of header and one short row per file, as in a file listing
+    kinds = {r["kind_id"]: r["kind"] for r in files.select("kind_id", "kind").distinct().collect()}
     layouts: dict[Layout, list[str]] = defaultdict(list)
-    for row in files.orderBy("path").collect():  # one row per file
-        encoding = "UTF-8" if row["utf8"] or not detect_encoding else LATIN1
-        header = bytes(row["header"]).decode(encoding, errors="replace").lstrip(BOM)
+    for row in files.select("path", "kind_id").orderBy("path").collect():
+        kind = kinds[row["kind_id"]]
+        encoding = "UTF-8" if kind["utf8"] or not detect_encoding else LATIN1
+        header = bytes(kind["header"]).decode(encoding, errors="replace").lstrip(BOM)
         layouts[Layout(header, delimiter or sniff_delimiter(header), encoding)].append(row["path"])
     return dict(layouts)
 
@@ -113,6 +119,13 @@ def scan_delimited(
     file name and the load order (see :func:`_tagged`).
     """
     paths = list_inputs(spark, folder, pattern, required=required)
+    return read_delimited(spark, paths, source_file, position, multi_line)
+
+
+def read_delimited(
+    spark: SparkSession, paths: Sequence[str], source_file: str | None = None,
+    position: str | None = None, multi_line: bool = False,
+) -> DataFrame:
     if not paths:
         return spark.createDataFrame([], T.StructType([]))
     frames = [

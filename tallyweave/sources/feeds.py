@@ -2,22 +2,26 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tallyweave import constants as C
 from tallyweave.functions import numbers
 from tallyweave.operators import feeds
-from tallyweave.sources.delimited import read_semicolon, scan_delimited
+from tallyweave.sources.delimited import read_delimited, read_semicolon
 from tallyweave.sources.documents import scan_html_tables, scan_workbooks
 from tallyweave.sources.listing import list_inputs
 
 
 def load_disputes(spark: SparkSession, folder: str) -> DataFrame:
-    """Dispute records of both types with parsed dates, amount and order id.
+    """Dispute records of both types with parsed dates, amount and order id."""
+    return disputes_of_files(spark, list_inputs(spark, folder, "*.csv"))
 
-    ``dispute_id`` is the place a row was read from.
-    """
-    raw = scan_delimited(spark, folder, source_file="source_file", position="dispute_id")
+
+def disputes_of_files(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+    """As :func:`load_disputes`; ``dispute_id`` is the place a row was read from."""
+    raw = read_delimited(spark, paths, source_file="source_file", position="dispute_id")
     named = raw.withColumnsRenamed({k: v for k, v in C.DISPUTE_HEADERS.items() if k in raw.columns})
     dated = feeds.normalize_mixed_dates(
         named, [c for c in C.DISPUTE_DATES if c in named.columns], "source_file", ["dispute_id"]

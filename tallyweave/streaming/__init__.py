@@ -1,0 +1 @@
+"""Periodic reruns that read new files only."""

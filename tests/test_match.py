@@ -220,3 +220,16 @@ def test_attach_enrichment_is_null_for_unknown_orders(spark):
     assert out.where("vtex_store = 'shop'").count() == sum(1 for _, o in rows if o == " 1 ")
 
 
+
+
+def test_documents_attach_to_hot_missing_and_dashed_orders(spark):
+    rng = random.Random(5)
+    rows = [(i, rng.choice(["1", None, " 2 ", "3-02", "4", "a-b-c", "5-01", "9"] + ["1"] * 6)) for i in range(400)]
+    docs = [("1", "plain"), ("1-01", "first"), ("2-02", "second"), ("3-01", "no"), ("3-02", "exact"),
+            ("4-03", "other suffix"), ("a-b-c", "free form"), ("5", "not the dashed one")]
+    best = {"1": "first", "2": "second", "3-02": "exact", "a-b-c": "free form"}
+    expected = Counter((i, best.get(o.strip()) if o else None) for i, o in rows)
+    df = spark.createDataFrame(rows, "dispute_id int, vtex_order_id string").repartition(4)
+    details = spark.createDataFrame(docs, "order_id string, vtex_store string")
+    got = enrich.attach_documents(df, details, ["dispute_id"]).select("dispute_id", "vtex_store")
+    assert rows_of(got) == expected
