@@ -49,13 +49,21 @@ def order_key_prefix(c: Column | str) -> Column:
 _SUFFIXED = "^([^-]+)(" + "|".join(s for s in C.CANDIDATE_SUFFIXES if s) + ")$"
 
 
+def dashed(c: Column | str) -> Column:
+    return F.contains(_col(c), F.lit("-"))
+
+
 def base_order_id(c: Column | str) -> Column:
     """The id without a candidate suffix; ids of other forms are their own base."""
-    return F.regexp_replace(_col(c), _SUFFIXED, "$1")
+    value = _col(c)
+    return F.when(dashed(value), F.regexp_replace(value, _SUFFIXED, "$1")).otherwise(value)
 
 
 def order_id_suffix(c: Column | str) -> Column:
-    return F.regexp_extract(_col(c), _SUFFIXED, 2)
+    """The candidate suffix, empty for ids of other forms."""
+    value = _col(c)
+    found = F.when(dashed(value), F.regexp_extract(value, _SUFFIXED, 2))
+    return found.otherwise(F.when(value.isNotNull(), ""))
 
 
 def truncate_label(c: Column | str, width: int = C.LABEL_WIDTH) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tallyweave import constants as C, schemas
 from tallyweave.functions import nested, numbers
-from tallyweave.functions.text import base_order_id, order_id_suffix
+from tallyweave.functions.text import base_order_id, dashed, order_id_suffix
 from tallyweave.operators.skew import KeyProfile, first_per_key, lookup_join
 
 ATTRIBUTES = C.ENRICHMENT_COLUMNS
@@ -65,7 +65,7 @@ def candidates(ids: DataFrame, key: str = "order_id") -> DataFrame:
     """Ids to try, in order: a dashed id as it is, otherwise with each suffix."""
     value = F.col(key)
     variants = F.array(*[F.concat(value, F.lit(s)) for s in C.CANDIDATE_SUFFIXES])
-    tried = F.when(F.contains(value, F.lit("-")), F.array(value)).otherwise(variants)
+    tried = F.when(dashed(value), F.array(value)).otherwise(variants)
     return ids.select(key, F.posexplode(tried).alias("rank", "candidate"))
 
 
@@ -86,13 +86,6 @@ def documents_by_base(details: DataFrame, key: str = "order_id") -> DataFrame:
     return details.groupBy(base_order_id(F.col(key)).alias("_base")).agg(*slots)
 
 
-def _best(order_id: Column) -> Column:
-    """Slots in candidate order for a plain id; the slot of its suffix for a dashed one."""
-    exact = F.coalesce(*[F.when(order_id_suffix(order_id) == s, F.col(n)) for s, n in _SLOTS.items()])
-    in_order = F.coalesce(*[F.col(n) for n in _SLOTS.values()])
-    return F.when(F.contains(order_id, F.lit("-")), exact).otherwise(in_order)
-
-
 def attach_documents(
     df: DataFrame,
     details: DataFrame,
@@ -110,18 +103,37 @@ def attach_documents(
 
 
 def key_by_base(df: DataFrame, order_col: str = "vtex_order_id") -> DataFrame:
-    """Add the wanted id and the base id that documents are looked up by."""
-    return df.withColumn("_wanted", F.trim(order_col)).withColumn(
-        "_order", base_order_id(F.col("_wanted")))
+    """Add the wanted id, the base id documents are looked up by, and for a
+    dashed id the suffix its document must have."""
+    wanted = F.col("_wanted")
+    return df.withColumn("_wanted", F.trim(order_col)).withColumns({
+        "_order": base_order_id(wanted),
+        "_suffix": F.when(dashed(wanted), order_id_suffix(wanted)),
+    })
 
 
 def pick_document(joined: DataFrame, columns: Sequence[str], fields: Sequence[str]) -> DataFrame:
-    """Keep ``columns`` and add the fields of the best document of the joined base id."""
-    best = joined.withColumn("_best", _best(F.col("_wanted")))
+    """Keep ``columns`` and add the fields of the best document of the joined base id.
+
+    A plain id takes the first slot that is filled, a dashed one the slot of
+    its own suffix.
+    """
     payload = [c for c in fields if c != "order_id"]
     kept = [c for c in columns if c not in payload]
-    return best.select(*kept, F.col("_best")["matched_id"].alias("matched_id"),
-                       *[F.col("_best")[c].alias(c) for c in payload])
+    suffix = F.col("_suffix")
+    place = F.coalesce(*[
+        F.when((suffix.isNull() | (suffix == s)) & F.col(n).isNotNull(), F.lit(i))
+        for i, (s, n) in enumerate(_SLOTS.items())
+    ])
+    placed = joined.withColumn("_place", place)
+
+    def field(name: str) -> Column:
+        value = F.lit(None)
+        for i, slot in enumerate(_SLOTS.values()):
+            value = F.when(F.col("_place") == i, F.col(slot)[name]).otherwise(value)
+        return value.alias(name)
+
+    return placed.select(*kept, field("matched_id"), *[field(c) for c in payload])
 
 
 def resolve_candidates(ids: DataFrame, details: DataFrame) -> DataFrame:

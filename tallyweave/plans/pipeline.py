@@ -150,11 +150,12 @@ MAX_LABELS = 10_000  # a longer section belongs in dashboard_sections, not in on
 
 
 def dashboard_sections(df: DataFrame) -> DataFrame:
-    """All label breakdowns from one scan, as rows (section, rank, label, n, total).
+    """All label breakdowns as rows (section, rank, label, n, total).
 
-    Each row contributes one entry per section, so every breakdown is part of
-    a single partial aggregation.  Sections without a length keep all labels,
-    unranked; the others are cut to their length before they meet in one task.
+    A row contributes one entry per section, so the sections with a length are
+    one partial aggregation and the others another, each reading its own
+    columns.  Sections without a length keep all labels, unranked; the others
+    are cut to their length before they meet in one task.
     """
     shaped = enrich.coalesce_location(df).withColumns({
         "delivery": text.classify_delivery("vtex_delivery_type"),
@@ -163,40 +164,42 @@ def dashboard_sections(df: DataFrame) -> DataFrame:
     def entry(section: str, label: Column) -> Column:
         return F.struct(F.lit(section).alias("section"), label.alias("label"))
 
-    single = F.array(*[
-        entry(s, F.col(c)) for s, (c, _) in SECTIONS.items()
-        if c != "categories" and c in shaped.columns
-    ])
-    many = F.coalesce(
-        F.transform(text.split_categories("vtex_categories"),
-                    lambda x: entry("por_categoria_vtex", x)),
-        F.filter(single, lambda _: F.lit(False)),
-    )
-    counted = (
-        shaped.select(F.explode(F.concat(single, many)).alias("e"), metrics.AMOUNT)
-        .where("e.label IS NOT NULL")
-        .groupBy("e.section", "e.label")
-        .agg(
-            F.count("*").alias("n_rows"),
-            F.count(metrics.AMOUNT).alias("n_amounts"),
-            F.sum(metrics.AMOUNT).cast("double").alias("total"),
+    def counted(sections: dict[str, tuple[str, int | None]]) -> DataFrame:
+        entries = F.array(*[
+            entry(s, F.col(c)) for s, (c, _) in sections.items() if c in shaped.columns
+        ])
+        if any(c == "categories" for c, _ in sections.values()):
+            names = F.transform(text.split_categories("vtex_categories"),
+                                lambda x: entry("por_categoria_vtex", x))
+            entries = F.concat(entries, F.coalesce(names, F.filter(entries, lambda _: F.lit(False))))
+        money = F.col("section").isin(*MONEY_SECTIONS)
+        return (
+            shaped.select(F.explode(entries).alias("e"), metrics.AMOUNT)
+            .where("e.label IS NOT NULL")
+            .groupBy("e.section", "e.label")
+            .agg(
+                F.count("*").alias("n_rows"),
+                F.count(metrics.AMOUNT).alias("n_amounts"),
+                F.sum(metrics.AMOUNT).cast("double").alias("sum"),
+            )
+            .select("section", "label",
+                    F.when(money, F.col("n_amounts")).otherwise(F.col("n_rows")).alias("n"),
+                    F.when(money, F.col("sum")).alias("total"))
         )
-        .withColumn("n", F.when(F.col("section").isin(*MONEY_SECTIONS), F.col("n_amounts"))
-                    .otherwise(F.col("n_rows")))
-        .withColumn("total", F.when(F.col("section").isin(*MONEY_SECTIONS), F.col("total")))
-        .drop("n_rows", "n_amounts")
-    )
-    lengths = {s: k for s, (_, k) in SECTIONS.items() if k is not None}
+
+    limited = {s: v for s, v in SECTIONS.items() if v[1] is not None}
+    unlimited = {s: v for s, v in SECTIONS.items() if v[1] is None}
+    lengths = {s: k for s, (_, k) in limited.items()}
     longest = max(lengths.values())
     length = F.create_map(*[x for s, k in lengths.items() for x in (F.lit(s), F.lit(k))])
     best = Window.partitionBy("section").orderBy(F.desc("n"), "label")
     ranked = (
-        counted.where(F.col("section").isin(*lengths))
+        counted(limited)
         .withColumn("rank", F.row_number().over(best))
         .where(F.col("rank") <= longest)
         .where(F.col("rank") <= F.try_element_at(length, F.col("section")))
     )
-    whole = counted.where(~F.col("section").isin(*lengths)).withColumn("rank", F.lit(None).cast("int"))
+    whole = counted(unlimited).withColumn("rank", F.lit(None).cast("int"))
     cut = F.when(F.col("section") == "por_produto_cs", text.truncate_label("label"))
     return ranked.unionByName(whole).select(
         "section", "rank", F.coalesce(cut, F.col("label")).alias("label"), "n", "total"
