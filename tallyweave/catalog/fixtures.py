@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tallyweave import constants as C
 from tallyweave.operators import enrich, feeds, match
-from tallyweave.plans import pipeline
+from tallyweave.plans import consolidation
 
 #: attribute of a dispute -> table it is looked up in
 DISPUTE_ATTRIBUTES = ("dispute_reason", "payment_method", "shopper_email")
@@ -171,7 +171,7 @@ SELECT o_orderkey AS k,
     ELSE concat(CAST(o_orderkey AS STRING), '-02') END AS order_id,
   concat('host', CAST(o_orderkey % 5 AS STRING)) AS hostname,
   o_orderkey % 6 AS seller_case,
-  concat('STORE ', n_name, ' - 88212113 - ', CAST(o_custkey % 7 AS STRING)) AS seller_name,
+  concat('STORE ', n_name, ' - 12345678 - ', CAST(o_custkey % 7 AS STRING)) AS seller_name,
   n_name AS state,
   CASE WHEN copy = 1 THEN 'SHADOW'
     WHEN o_orderkey % 13 <> 0 THEN concat('CITY_', CAST(o_custkey % 50 AS STRING)) END AS city,
@@ -324,5 +324,5 @@ def consolidated(spark: SparkSession, sf_dir: str, *attributes: str) -> DataFram
     """Everything joined: the frame all reports can be served from."""
     keys = disputes(spark, sf_dir)
     rows = disputes(spark, sf_dir, *attributes) if attributes else keys
-    return pipeline.consolidate(rows, ledger(spark, sf_dir), antifraud(spark, sf_dir),
+    return consolidation.consolidate(rows, ledger(spark, sf_dir), antifraud(spark, sf_dir),
                                 order_attributes(spark, sf_dir), keys=keys)

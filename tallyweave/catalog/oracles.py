@@ -263,7 +263,7 @@ WHERE contains(upper(denominacao_sap), 'CHARGEBACK')"""),
         "prefix_columns": _with("antifraud_all", """SELECT ordinal, pedido AS cs_pedido,
   status_do_chargeback AS cs_status_do_chargeback, uf AS cs_uf, cidade AS cs_cidade,
   item_principal AS cs_item_principal, score AS cs_score FROM antifraud_all"""),
-        "dense_ids_ledger": _with("ledger", """SELECT ordinal, psp_reference_sap,
+        "dense_ids": _with("ledger", """SELECT ordinal, psp_reference_sap,
   row_number() OVER (ORDER BY ordinal) AS sap_id FROM ledger"""),
         "dense_ids_disputes": _with("disputes", """SELECT dispute_id,
   row_number() OVER (ORDER BY dispute_id) AS adyen_id FROM disputes"""),
@@ -344,6 +344,7 @@ LEFT JOIN document_rows d ON d.order_id = matched_id"""),
   CASE WHEN o_orderkey % 3 = 0 AND (o_orderkey % 2 = 1 OR o_orderkey % 5 <> 0) THEN 'not_found' ELSE 'found' END AS status
 FROM orders WHERE o_orderkey % 2 = 0 OR o_orderkey % 3 = 0""",
         "attach_enrichment": _with("consolidated", f"SELECT dispute_id, vtex_order_id, {_ATTRIBUTES} FROM consolidated"),
+        "attach_documents": _with("consolidated", f"SELECT dispute_id, vtex_order_id, {_ATTRIBUTES} FROM consolidated"),
         "record_type_set": _with("disputes_all", "SELECT DISTINCT record_type FROM disputes_all"),
         "reconcile": _with("reconciled", """SELECT dispute_id, psp_reference, record_type, dispute_amount,
   record_date, vtex_order_id, psp_reference_sap, data_lancamento_sap, valor_sap, cs_pedido,
@@ -500,10 +501,45 @@ ORDER BY coalesce(dispute_amount, 0) DESC, dispute_id LIMIT 100"""),
     }
 
 
+def _section(name: str, label: str, k: int | None, money: bool = False, source: str = "consolidated") -> str:
+    """One section of the document: ranked and cut with a length, unranked without."""
+    n = "count(dispute_amount)" if money else "count(*)"
+    total = _sum("dispute_amount") if money else "CAST(NULL AS DOUBLE)"
+    counts = (f"SELECT {label} AS label, {n} AS n, {total} AS total FROM {source} "
+              f"WHERE ({label}) IS NOT NULL GROUP BY 1")
+    if k is None:
+        return f"SELECT '{name}' AS section, CAST(NULL AS INTEGER) AS rank, label, n, total FROM ({counts})"
+    shown = "substr(label, 1, 60)" if name == "por_produto_cs" else "label"
+    return (f"SELECT '{name}', rank, {shown}, n, total FROM (SELECT *, CAST(row_number() OVER "
+            f"(ORDER BY n DESC, label) AS INTEGER) AS rank FROM ({counts})) WHERE rank <= {k}")
+
+
+def _sections() -> str:
+    categories = ("(SELECT dispute_amount, nullif(trim(unnest(string_split(vtex_categories, '|'))), '') "
+                  "AS category FROM consolidated)")
+    return _with("consolidated", "\nUNION ALL ".join([
+        _section("por_ferramenta", "fonte", None),
+        _section("por_motivo", "dispute_reason", 10),
+        _section("por_bandeira", "payment_method", None),
+        _section("cs_status_chargeback", "cs_status_do_chargeback", None),
+        _section("por_uf", "coalesce(vtex_uf, cs_uf)", None, money=True),
+        _section("por_cidade", "coalesce(vtex_cidade, cs_cidade)", 20, money=True),
+        _section("por_entrega", _DELIVERY, None),
+        _section("por_entrega_detalhe", "vtex_delivery_type", 15),
+        _section("por_categoria_vtex", "category", 20, source=categories),
+        _section("por_produto_cs", "cs_item_principal", 20),
+        _section("por_loja", "vtex_store", 30),
+        _section("top_emails", "shopper_email", 15),
+        _section("virou_chargeback", "virou_chargeback", None),
+        _section("record_types", "record_type", None),
+    ]))
+
+
 def _outputs() -> dict[str, str]:
     outer = f"outer_rows AS ({_OUTER})"
     prefix = _with("disputes ledger antifraud", "")
     return {
+        "dashboard_sections": _sections(),
         "raw_export": _with("consolidated", """SELECT dispute_id, psp_reference AS "Psp Reference",
   record_type AS "type", CAST(dispute_amount AS DOUBLE) AS amount, dispute_reason AS reason,
   payment_method AS pm, strftime(record_date, '%Y-%m-%d') AS "date", virou_chargeback AS virou, fonte,

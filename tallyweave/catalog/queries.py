@@ -11,10 +11,9 @@ from tallyweave import constants as C
 from tallyweave.catalog import fixtures as fx
 from tallyweave.catalog.oracles import DASH_END, DASH_START
 from tallyweave.functions import dates, nested, numbers, text
-from tallyweave.operators import dash, enrich, feeds, match, metrics, windows
-from tallyweave.operators.ids import dense_ids
-from tallyweave.plans import pipeline
-from tallyweave.session import shared_dir
+from tallyweave.operators import dash, enrich, feeds, ids, match, metrics, windows
+from tallyweave.plans import consolidation
+from tallyweave.session import cut_lineage, shared_dir
 from tallyweave.sinks import exports
 from tallyweave.sources import delimited, documents, feeds as file_feeds, listing, orders
 
@@ -110,14 +109,14 @@ def prefix_columns(spark, sf):
 
 
 @query
-def dense_ids_ledger(spark, sf):
+def dense_ids(spark, sf):
     rows = fx.ledger(spark, sf).select("ordinal", "psp_reference_sap")
-    return dense_ids(rows, ["ordinal"], "sap_id")
+    return ids.dense_ids(rows, ["ordinal"], "sap_id")
 
 
 @query
 def dense_ids_disputes(spark, sf):
-    return dense_ids(fx.disputes(spark, sf).select("dispute_id"), ["dispute_id"], "adyen_id")
+    return ids.dense_ids(fx.disputes(spark, sf).select("dispute_id"), ["dispute_id"], "adyen_id")
 
 
 @query
@@ -286,27 +285,27 @@ def match_rates(spark, sf):
 
 def _stored_answers(spark, sf):
     """A cache holding every third disputed order, some of them as failed lookups."""
-    ids = feeds.valid_order_ids(fx.disputes(spark, sf))
+    wanted = feeds.valid_order_ids(fx.disputes(spark, sf))
     number = F.col("order_id").cast("bigint")
     status = F.when(number % 9 == 0, "error").when(number % 2 == 0, "not_found").otherwise("found")
-    return ids.where(number % 3 == 0).withColumn("status", status)
+    return wanted.where(number % 3 == 0).withColumn("status", status)
 
 
 @query
 def missing_orders(spark, sf):
-    ids = feeds.valid_order_ids(fx.disputes(spark, sf))
-    return enrich.missing_orders(ids, _stored_answers(spark, sf))
+    wanted = feeds.valid_order_ids(fx.disputes(spark, sf))
+    return enrich.missing_orders(wanted, _stored_answers(spark, sf))
 
 
 @query
 def resolve_candidates(spark, sf):
     key = F.col("o_orderkey")
-    ids = fx.table(spark, sf, "orders").select(
+    wanted = fx.table(spark, sf, "orders").select(
         F.concat(key.cast("string"), F.when(key % 10 == 2, "-02").otherwise("")).alias("order_id"))
     doc = F.col("doc")
     flat = enrich.flatten_part(fx.order_details(spark, sf), doc["hostname"].alias("hostname"),
                                doc["shippingData"]["address"]["city"].alias("city"))
-    return enrich.resolve_candidates(ids, flat)
+    return enrich.resolve_candidates(wanted, flat)
 
 
 @query
@@ -329,6 +328,17 @@ def upsert_cache(spark, sf):
 
 @query
 def attach_enrichment(spark, sf):
+    """Attributes resolved per distinct order, kept as a cache, then joined to the disputes."""
+    rows = fx.disputes(spark, sf)
+    attributes = fx.order_attributes(spark, sf)
+    cache = enrich.resolve_candidates(feeds.valid_order_ids(rows), attributes)
+    return enrich.attach_enrichment(rows, cache, ROW_ID).select(
+        "dispute_id", "vtex_order_id", *C.ENRICHMENT_COLUMNS)
+
+
+@query
+def attach_documents(spark, sf):
+    """The same attributes, joined straight from the order documents."""
     return fx.with_orders(spark, sf).select("dispute_id", "vtex_order_id", *C.ENRICHMENT_COLUMNS)
 
 
@@ -465,7 +475,7 @@ _on("share_of_total", lambda df: metrics.share_of_total(metrics.by_payment_metho
 
 
 def _few(spark, sf, few):
-    return pipeline.enrich_few(few, fx.disputes(spark, sf), fx.ledger(spark, sf),
+    return consolidation.enrich_few(few, fx.disputes(spark, sf), fx.ledger(spark, sf),
                                fx.antifraud(spark, sf), fx.order_details(spark, sf))
 
 
@@ -510,9 +520,16 @@ def dash_top_records(spark, sf):
 REPORT_ATTRIBUTES = ("dispute_reason", "payment_method", "shopper_email")
 
 
+@query
+def dashboard_sections(spark, sf):
+    """All label breakdowns of the document as rows, from the stored frame."""
+    stored = cut_lineage(fx.consolidated(spark, sf, *REPORT_ATTRIBUTES))
+    return consolidation.dashboard_sections(stored)
+
+
 @query
 def dashboard_document(spark, sf):
-    return pipeline.dashboard_document(fx.consolidated(spark, sf, *REPORT_ATTRIBUTES))
+    return consolidation.dashboard_document(fx.consolidated(spark, sf, *REPORT_ATTRIBUTES))
 
 
 @query
@@ -523,22 +540,22 @@ def raw_export(spark, sf):
 
 @query
 def chargeback_extract(spark, sf):
-    return pipeline.chargeback_extract(_outer(spark, sf))
+    return consolidation.chargeback_extract(_outer(spark, sf))
 
 
 @query
 def notification_extract(spark, sf):
-    return pipeline.notification_extract(_outer(spark, sf))
+    return consolidation.notification_extract(_outer(spark, sf))
 
 
 @query
 def conversion_extract(spark, sf):
     reports = fx.antifraud(spark, sf).select("vtex_order_id", F.col("cs_pedido").alias("clearsale_pedido"))
-    outer = pipeline.outer_reconciliation(
+    outer = consolidation.outer_reconciliation(
         fx.disputes(spark, sf).select("dispute_id", "psp_reference", "record_type",
                                       "dispute_amount", "vtex_order_id"),
         fx.ledger(spark, sf).select("ordinal", "psp_reference_sap"), reports)
-    return pipeline.conversion_extract(outer, ("dispute_id", "ordinal")).drop(match.FOUND)
+    return consolidation.conversion_extract(outer, ("dispute_id", "ordinal")).drop(match.FOUND)
 
 
 @query
@@ -674,9 +691,9 @@ def scan_order_export(spark, sf):
 def scan_cache(spark, sf):
     """The order cache written with its declared schema and read back."""
     path = fresh_path(spark, "cache")
-    ids = feeds.valid_order_ids(fx.disputes(spark, sf))
+    wanted = feeds.valid_order_ids(fx.disputes(spark, sf))
     at = F.lit("2025-01-02").cast("timestamp_ntz")
-    resolved = enrich.resolve_candidates(ids, fx.order_attributes(spark, sf))
+    resolved = enrich.resolve_candidates(wanted, fx.order_attributes(spark, sf))
     enrich.as_cache(resolved, at).write.parquet(path)
     return orders.scan_cache(spark, path)
 

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 from tallyweave.operators.feeds import union_by_name
 from tallyweave.session import cut_lineage
-from tallyweave.sources.listing import list_inputs
+from tallyweave.sources.listing import list_inputs, with_source_file
 
 DELIMITERS = (",", ";", "\t", "|")
 BOM = "﻿"
@@ -175,4 +175,4 @@ def _tagged(df: DataFrame, source_file: str | None, position: str | None) -> Dat
                          F.col("_metadata.file_block_start").alias("block"),
                          F.monotonically_increasing_id().alias("line"))
         df = df.withColumn(position, place)
-    return df.withColumn(source_file, F.col("_metadata.file_name")) if source_file else df
+    return with_source_file(df, source_file) if source_file else df

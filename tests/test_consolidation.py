@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyweave.operators import enrich
-from tallyweave.plans import pipeline
+from tallyweave.plans import consolidation
 
 CB, NOC = "Chargeback", "NotificationOfChargeback"
 
@@ -44,7 +44,7 @@ OUT = ["dispute_id", "valor_sap", "cs_pedido", "virou_chargeback", "fonte", "vte
 
 def test_consolidate(feeds_):
     frames, expected = feeds_
-    got = pipeline.consolidate(*frames)
+    got = consolidation.consolidate(*frames)
     assert Counter(tuple(r) for r in got.select(OUT).collect()) == expected
 
 
@@ -52,7 +52,7 @@ def test_consolidate_cached(feeds_):
     (disputes, ledger, reports, documents), expected = feeds_
     ids = disputes.select(F.trim("vtex_order_id").alias("order_id")).where("order_id IS NOT NULL").distinct()
     cache = enrich.as_cache(enrich.resolve_candidates(ids, documents), F.current_timestamp())
-    got = pipeline.consolidate_cached(disputes, ledger, reports, cache)
+    got = consolidation.consolidate_cached(disputes, ledger, reports, cache)
     assert Counter(tuple(r) for r in got.select(OUT).collect()) == expected
 
 
@@ -61,23 +61,23 @@ def test_few_rows_get_the_same_columns(feeds_, spark):
     documents = spark.createDataFrame(
         [("7-01", '{"hostname":"s7-01"}'), ("7", '{"hostname":"s7"}'), ("9-02", '{"hostname":"s9-02"}'),
          ("10-02", '{"hostname":"s10-02"}')], "order_id string, detail string")
-    for bound in (pipeline.FEW_ROWS, 0):
-        pipeline.FEW_ROWS, kept = bound, pipeline.FEW_ROWS
-        got = pipeline.enrich_few(disputes.orderBy("dispute_id").limit(120), disputes, ledger, reports, documents)
+    for bound in (consolidation.FEW_ROWS, 0):
+        consolidation.FEW_ROWS, kept = bound, consolidation.FEW_ROWS
+        got = consolidation.enrich_few(disputes.orderBy("dispute_id").limit(120), disputes, ledger, reports, documents)
         rows = {tuple(r) for r in got.select(OUT).collect()}
-        pipeline.FEW_ROWS = kept
+        consolidation.FEW_ROWS = kept
         assert len(rows) == 120 and rows <= set(expected)
 
 
 def test_outer_extracts(feeds_):
     (disputes, ledger, reports, _), _ = feeds_
     named = reports.withColumnsRenamed({"cs_pedido": "clearsale_pedido", "cs_status_do_chargeback": "clearsale_status"})
-    outer = pipeline.outer_reconciliation(disputes, ledger, named)
+    outer = consolidation.outer_reconciliation(disputes, ledger, named)
     assert outer.where("record_type = 'SAP Only'").count() == 1  # the posting without a reference
     n_a = disputes.where("psp_reference = 'A'").count()
     assert outer.where("psp_reference = 'A'").count() == 2 * n_a
-    conversion = pipeline.conversion_extract(outer, ("dispute_id", "ordinal"))
+    conversion = consolidation.conversion_extract(outer, ("dispute_id", "ordinal"))
     assert conversion.columns[:2] == ["virou_chargeback", "fonte"]
-    both = pipeline.chargeback_extract(outer).count() + pipeline.notification_extract(outer).count()
+    both = consolidation.chargeback_extract(outer).count() + consolidation.notification_extract(outer).count()
     assert conversion.count() == both
     assert {r[0] for r in conversion.select("virou_chargeback").distinct().collect()} <= {"Sim", "Não"}

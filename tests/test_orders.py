@@ -19,8 +19,8 @@ def flat(spark):
 
 
 FULL = {
-    "hostname": "h", "sellers": [{"name": "BLUMENAU 1 - 88 - 1"}, {"name": "B"}],
-    "shippingData": {"address": {"state": "SC", "city": "Blumenau", "postalCode": "89", "addressType": "residential"},
+    "hostname": "h", "sellers": [{"name": "CENTRO 1 - 88 - 1"}, {"name": "B"}],
+    "shippingData": {"address": {"state": "SC", "city": "Itajaí", "postalCode": "89", "addressType": "residential"},
                      "logisticsInfo": [{"selectedSla": "Normal", "shippingEstimate": "3bd"}, {"selectedSla": "x"}]},
     "packageAttachment": {"packages": [{"invoiceKey": "K", "invoiceNumber": "7"}]},
     "paymentData": {"transactions": [{"payments": [{"installments": 3, "value": 1000}]}]},
@@ -33,9 +33,9 @@ FULL = {
 
 def test_full_document(flat):
     assert flat(FULL) == {
-        "order_id": "o", "uf": "SC", "cidade": "Blumenau", "cep": "89", "address_type": "residential",
+        "order_id": "o", "uf": "SC", "cidade": "Itajaí", "cep": "89", "address_type": "residential",
         "sla_type": "Normal", "delivery_deadline": "3bd", "invoice_key": "K", "invoice_number": "7",
-        "vtex_store": "BLUMENAU 1", "vtex_installments": 3, "vtex_installment_value": 3.33,
+        "vtex_store": "CENTRO 1", "vtex_installments": 3, "vtex_installment_value": 3.33,
         "vtex_coupon": "C1", "vtex_discount_value": 5.0, "vtex_products": "n1 | n2",
         "vtex_categories": "A | Z",
     }

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyweave.operators import dash, metrics
-from tallyweave.plans import pipeline
+from tallyweave.plans import consolidation
 from tallyweave.sinks import exports
 
 CB, NOC = "Chargeback", "NotificationOfChargeback"
@@ -149,7 +149,7 @@ def test_consolidated_extracts(spark, frame, tmp_path, fmt):
 
 
 def test_dashboard_document_agrees_with_reports(frame):
-    doc = json.loads(pipeline.dashboard_document(frame).first()["document"])
+    doc = json.loads(consolidation.dashboard_document(frame).first()["document"])
     assert doc["periodo"] == "Dez/24 — Jan/25"
     assert doc["kpis"]["total_notifications"] == 3
     assert [m["month"] for m in doc["evolucao_mensal"]] == ["2024-12", "2025-01"]
@@ -168,9 +168,9 @@ def test_dashboard_document_agrees_with_reports(frame):
 
 
 def test_dashboard_document_refuses_long_sections(frame, monkeypatch):
-    monkeypatch.setattr(pipeline, "MAX_LABELS", 1)
+    monkeypatch.setattr(consolidation, "MAX_LABELS", 1)
     with pytest.raises(ValueError, match="dashboard_sections"):
-        pipeline.dashboard_document(frame)
+        consolidation.dashboard_document(frame)
 
 
 def test_preview_and_profile(frame):
