@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -37,19 +36,11 @@ def build_session(
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``.
-
-    Only a local session, where driver and tasks share one disk, may fall back
-    to a fresh temporary folder; on a cluster the setting is required.
-    """
+    """The folder that ``spark.checkpoint.dir`` names, which all executors must share."""
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not named:
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    fresh = tempfile.mkdtemp(prefix="tallyweave-")
-    spark.conf.set("spark.checkpoint.dir", fresh)
-    return fresh
+    return named.rstrip("/")
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
