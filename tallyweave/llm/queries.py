@@ -32,15 +32,14 @@ WITH base AS (
          list_filter(string_split(coalesce(text, ''), chr(10)),
                      s -> regexp_matches(s, '[^\x20\x09-\x0D]')) AS l
   FROM documents),
-numbered AS (SELECT row_number() OVER () AS row, * FROM base),
+numbered AS (SELECT row_number() OVER () AS rn, * FROM base),
 repeated AS (
-  SELECT n.doc_id, n.row, at FROM numbered n JOIN (
-    SELECT r.row, at, count(*) OVER (PARTITION BY r.row, g) AS c FROM (
-      SELECT row, at, w[at] || ' ' || w[at + 1] || ' ' || w[at + 2] AS g
-      FROM (SELECT row, w, unnest(range(1, len(w) - 1)) AS at FROM numbered)) r) x
-  ON x.row = n.row AND c > 1),
+  SELECT rn, p, count(*) OVER (PARTITION BY rn, g) AS c FROM (
+    SELECT rn, p, w[p] || ' ' || w[p + 1] || ' ' || w[p + 2] AS g
+    FROM (SELECT rn, w, unnest(range(1, len(w) - 1)) AS p FROM numbered))),
 covered AS (
-  SELECT row, count(DISTINCT at + k) AS n FROM repeated, (VALUES (0), (1), (2)) o(k) GROUP BY row),
+  SELECT rn, count(DISTINCT p + k) AS n FROM repeated, (VALUES (0), (1), (2)) o(k)
+  WHERE c > 1 GROUP BY rn),
 m AS (
   SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words,
          CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
@@ -51,7 +50,7 @@ m AS (
          CAST(len(regexp_extract_all(text, '\p{Lu}')) AS BIGINT) AS n_upper,
          CAST(len(regexp_extract_all(text, '!')) AS BIGINT) AS n_exclaim,
          CAST(len(regexp_extract_all(text, '[|]')) AS BIGINT) AS n_bars
-  FROM numbered LEFT JOIN covered c USING (row)),
+  FROM numbered LEFT JOIN covered c USING (rn)),
 f AS (
   SELECT *, CAST(
       CASE WHEN n_words < 50 THEN 1 ELSE 0 END
