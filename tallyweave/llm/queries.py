@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyweave.llm import quality
+from tallyweave.llm import pieces, quality
 from tallyweave.llm.common import read_table
 
 
@@ -18,9 +19,24 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(_documents(spark, sf_dir))
 
 
+def sentencepiece_model(path: str | None = None) -> bytes:
+    """Content of a model file; by default that of the public 32k vocabulary."""
+    if path is None:
+        import public_tokenizers
+
+        path = public_tokenizers.path("piece_bpe_32k.model")
+    return Path(path).read_bytes()
+
+
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode_documents(
+        _documents(spark, sf_dir), sentencepiece_model(), digests=True)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_quality_rules,
+        op6_sentencepiece,
     )}
 
 
@@ -29,8 +45,8 @@ _OP1 = r"""
 WITH base AS (
   SELECT doc_id, coalesce(text, '') AS text,
          regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
-         list_filter(string_split(coalesce(text, ''), chr(10)),
-                     s -> regexp_matches(s, '[^\x20\x09-\x0D]')) AS l
+         [s FOR s IN string_split(coalesce(text, ''), chr(10))
+          IF regexp_matches(s, '[^\x20\x09-\x0D]')] AS l
   FROM documents),
 numbered AS (SELECT row_number() OVER () AS rn, * FROM base),
 repeated AS (
