@@ -7,7 +7,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyweave.llm import pieces, quality
+from tallyweave.llm import language, pieces, quality
 from tallyweave.llm.common import read_table
 
 
@@ -19,6 +19,10 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(_documents(spark, sf_dir))
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(_documents(spark, sf_dir))
+
+
 def sentencepiece_model(path: str | None = None) -> bytes:
     """Content of a model file; by default that of the public 32k vocabulary."""
     if path is None:
@@ -36,6 +40,7 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_quality_rules,
+        op3_language_id,
         op6_sentencepiece,
     )}
 
