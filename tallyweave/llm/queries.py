@@ -7,7 +7,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyweave.llm import language, pieces, quality
+from tallyweave.llm import language, pieces, quality, toxicity
 from tallyweave.llm.common import read_table
 
 
@@ -37,11 +37,16 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
         _documents(spark, sf_dir), sentencepiece_model(), digests=True)
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(_documents(spark, sf_dir), read_table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_quality_rules,
         op3_language_id,
         op6_sentencepiece,
+        op10_toxicity,
     )}
 
 
