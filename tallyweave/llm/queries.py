@@ -5,9 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tallyweave.llm import language, pieces, quality, toxicity
+from tallyweave.llm import decontaminate, language, pieces, quality, toxicity
 from tallyweave.llm.common import read_table
 
 
@@ -37,6 +37,13 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
         _documents(spark, sf_dir), sentencepiece_model(), digests=True)
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contamination(_documents(spark, sf_dir), read_table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        decontaminate.items_digest("items").alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(_documents(spark, sf_dir), read_table(spark, sf_dir, "labels"))
 
@@ -46,6 +53,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op1_quality_rules,
         op3_language_id,
         op6_sentencepiece,
+        op8_decontamination,
         op10_toxicity,
     )}
 
