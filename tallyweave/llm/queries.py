@@ -7,7 +7,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tallyweave.llm import decontaminate, language, pieces, quality, toxicity
+from tallyweave.llm import decontaminate, language, pieces, quality, suffixes, toxicity
 from tallyweave.llm.common import read_table
 
 
@@ -44,6 +44,10 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         decontaminate.items_digest("items").alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.digests(suffixes.repeated_substrings(_documents(spark, sf_dir)))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(_documents(spark, sf_dir), read_table(spark, sf_dir, "labels"))
 
@@ -54,6 +58,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op3_language_id,
         op6_sentencepiece,
         op8_decontamination,
+        op9_suffix_dedup,
         op10_toxicity,
     )}
 
