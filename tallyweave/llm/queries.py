@@ -7,7 +7,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tallyweave.llm import decontaminate, language, pieces, quality, suffixes, toxicity
+from tallyweave.llm import decontaminate, language, neardup, pieces, quality, suffixes, toxicity
 from tallyweave.llm.common import read_table
 
 
@@ -23,6 +23,10 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(_documents(spark, sf_dir))
 
 
+def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(_documents(spark, sf_dir), threshold=85)
+
+
 def sentencepiece_model(path: str | None = None) -> bytes:
     """Content of a model file; by default that of the public 32k vocabulary."""
     if path is None:
@@ -56,6 +60,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_quality_rules,
         op3_language_id,
+        op4_minhash_near_dedup,
         op6_sentencepiece,
         op8_decontamination,
         op9_suffix_dedup,
