@@ -101,3 +101,11 @@ def map_rows(
             )
 
     return df.mapInArrow(run, fields)
+
+
+def fresh_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores added until no column of the table has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

@@ -21,7 +21,7 @@ from dataclasses import dataclass, field
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from tallyweave.llm.common import id_and_text, map_rows
+from tallyweave.llm.common import fresh_name, id_and_text, map_rows
 from tallyweave.session import cut_lineage
 
 WINDOW = 10
@@ -267,5 +267,6 @@ def items_digest(items):
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """The documents, all columns, without those that hold a benchmark window."""
     hit = contamination(docs, benchmark, window).filter("n_hit > 0").select("doc_id").distinct()
-    left = docs.withColumn("_key", docs["doc_id"].cast("long"))
-    return left.join(hit.select(F.col("doc_id").alias("_key")), "_key", "left_anti").drop("_key")
+    key = fresh_name(docs, "hit_key")
+    keyed = docs.withColumn(key, docs["doc_id"].cast("long"))
+    return keyed.join(hit.select(F.col("doc_id").alias(key)), key, "left_anti").drop(key)

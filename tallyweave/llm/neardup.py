@@ -20,7 +20,7 @@ import math
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tallyweave.llm.common import id_and_text, lowered_words, map_rows, mix64, shingle_hashes
+from tallyweave.llm.common import fresh_name, id_and_text, lowered_words, map_rows, mix64, shingle_hashes
 from tallyweave.session import cut_lineage
 
 SHINGLE = 5
@@ -240,9 +240,11 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, shingle: int =
 
 def deduplicate(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """The documents, all columns, with one of each group; repeated rows leave one."""
-    kept = near_duplicates(docs, threshold).filter("kept").select(F.col("doc_id").alias("_key")).distinct()
-    keyed = docs.withColumn("_key", docs["doc_id"].cast("long"))
-    named = keyed.join(kept, "_key", "left_semi")
-    one = Window.partitionBy("_key").orderBy("_key", "text")
-    first = named.withColumn("_n", F.row_number().over(one)).filter("_n = 1").drop("_n")
-    return first.union(keyed.filter("_key is null")).drop("_key")
+    key, place = fresh_name(docs, "near_key"), fresh_name(docs, "near_place")
+    kept = near_duplicates(docs, threshold).filter("kept").select(F.col("doc_id").alias(key)).distinct()
+    keyed = docs.withColumn(key, docs["doc_id"].cast("long"))
+    # the join has brought the rows of an id together and in order
+    one = Window.partitionBy(key).orderBy(key, "text")
+    first = (keyed.join(kept, key, "left_semi").withColumn(place, F.row_number().over(one))
+             .filter(F.col(place) == 1).drop(place))
+    return first.unionByName(keyed.filter(F.col(key).isNull())).drop(key)

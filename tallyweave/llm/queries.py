@@ -7,7 +7,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tallyweave.llm import decontaminate, language, neardup, pieces, quality, suffixes, toxicity
+from tallyweave.llm import decontaminate, language, lines, neardup, pieces, quality, suffixes, toxicity
 from tallyweave.llm.common import read_table
 
 
@@ -41,6 +41,10 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
         _documents(spark, sf_dir), sentencepiece_model(), digests=True)
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.line_report(_documents(spark, sf_dir))
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(_documents(spark, sf_dir), read_table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -62,6 +66,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op3_language_id,
         op4_minhash_near_dedup,
         op6_sentencepiece,
+        op7_line_dedup,
         op8_decontamination,
         op9_suffix_dedup,
         op10_toxicity,
@@ -110,5 +115,27 @@ SELECT *, failed & 3 <> 0 AS base_failed, failed = 0 AS kept FROM f
 """
 
 
+#: Runs of three lines with a word, compared by their text; the least id and then the
+#: least line comes first.
+_OP7 = r"""
+WITH d AS (SELECT row_number() OVER () AS rn, doc_id, coalesce(text, '') AS text, text IS NULL AS none FROM documents),
+l AS (SELECT rn, doc_id, unnest(string_split(text, chr(10))) AS s,
+             unnest(range(len(string_split(text, chr(10))))) AS k FROM d),
+w AS (SELECT rn, doc_id, k, regexp_replace(s, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g') AS s FROM l
+      WHERE regexp_matches(s, '[^\x20\x09-\x0D]')),
+r AS (SELECT rn, doc_id, k, lead(k, 2) OVER o AS e,
+             [s, lead(s, 1) OVER o, lead(s, 2) OVER o] AS g
+      FROM w WINDOW o AS (PARTITION BY rn ORDER BY k)),
+f AS (SELECT *, min(struct_pack(a := doc_id, b := k)) OVER (PARTITION BY g) AS early FROM r WHERE e IS NOT NULL),
+gone AS (SELECT DISTINCT l.rn, l.k FROM f JOIN l ON l.rn = f.rn AND l.k BETWEEN f.k AND f.e
+         WHERE f.doc_id <> early.a OR f.k > early.b),
+kept AS (SELECT l.rn, string_agg(s, chr(10) ORDER BY k) AS t FROM l ANTI JOIN gone USING (rn, k) GROUP BY l.rn),
+n AS (SELECT rn, count(*) AS n FROM gone GROUP BY rn)
+SELECT doc_id, CASE WHEN none THEN 0 ELSE len(string_split(text, chr(10))) END AS n_lines,
+       coalesce(n.n, 0) AS n_removed, sha256(coalesce(kept.t, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (rn) LEFT JOIN n USING (rn)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": _OP1}
+    return {"op1_quality_rules": _OP1, "op7_line_dedup": _OP7}
