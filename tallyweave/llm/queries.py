@@ -7,7 +7,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tallyweave.llm import decontaminate, language, lines, neardup, pieces, quality, suffixes, toxicity
+from tallyweave.llm import decontaminate, language, lines, neardup, pieces, quality, secrets, suffixes, toxicity
 from tallyweave.llm.common import read_table
 
 
@@ -19,6 +19,10 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(_documents(spark, sf_dir))
 
 
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digests(secrets.scan(_documents(spark, sf_dir)))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(_documents(spark, sf_dir))
 
@@ -63,6 +67,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_quality_rules,
+        op2_secret_scan,
         op3_language_id,
         op4_minhash_near_dedup,
         op6_sentencepiece,
