@@ -7,7 +7,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tallyweave.llm import decontaminate, language, lines, neardup, pieces, quality, secrets, suffixes, toxicity
+from tallyweave.llm import decontaminate, language, licenses, lines, neardup, pieces, quality, secrets, suffixes, toxicity
 from tallyweave.llm.common import read_table
 
 
@@ -31,6 +31,15 @@ def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_documents(spark, sf_dir), threshold=85)
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = F.array_sort(F.array_distinct(F.transform("findings", lambda f: f["license"])))
+    listed = F.transform("findings", lambda f: F.concat_ws(
+        ":", f["license"], f["start"].cast("string"), f["end"].cast("string")))
+    return licenses.scan(_documents(spark, sf_dir)).select(
+        "doc_id", F.size("findings").cast("long").alias("n_findings"),
+        F.array_join(names, ",").alias("licenses"), F.array_join(listed, ",").alias("spans"))
+
+
 def sentencepiece_model(path: str | None = None) -> bytes:
     """Content of a model file; by default that of the public 32k vocabulary."""
     if path is None:
@@ -70,6 +79,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op2_secret_scan,
         op3_language_id,
         op4_minhash_near_dedup,
+        op5_license_scan,
         op6_sentencepiece,
         op7_line_dedup,
         op8_decontamination,
