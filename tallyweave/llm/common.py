@@ -109,3 +109,18 @@ def fresh_name(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name += "_"
     return name
+
+
+def keep_rows(docs: DataFrame, verdicts: Callable[[list[str]], list[bool]], text_col: str = "text",
+              at_once: int = 500) -> DataFrame:
+    """The rows, all columns, whose text gets a true verdict; a null text is judged as empty."""
+    place = docs.columns.index(text_col)
+
+    def run(batches):
+        for batch in batches:
+            for start in range(0, batch.num_rows, at_once):
+                part = batch.slice(start, at_once)
+                texts = [t or "" for t in part.column(place).to_pylist()]
+                yield part.filter(pa.array(verdicts(texts), pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -21,7 +21,7 @@ from dataclasses import dataclass, field
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from tallyweave.llm.common import fresh_name, id_and_text, map_rows
+from tallyweave.llm.common import id_and_text, keep_rows, map_rows
 from tallyweave.session import cut_lineage
 
 WINDOW = 10
@@ -240,10 +240,7 @@ def _mark(docs: DataFrame, tests: TestSet, more: bool) -> DataFrame:
             n_words, spans, items = [], [], []
             first = 0
             while first < len(texts):
-                size, last = 0, first
-                while last < len(texts) and (last == first or size + len(texts[last]) <= SHARD_BYTES):
-                    size += len(texts[last])
-                    last += 1
+                last = _shard_end(texts, first)
                 sizes, hits, found = find(texts[first:last], shared.value)
                 n_words += sizes.tolist()
                 for i in range(last - first):
@@ -264,9 +261,31 @@ def items_digest(items):
     return F.sha2(F.array_join(items, ","), 256)
 
 
-def remove_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The documents, all columns, without those that hold a benchmark window."""
-    hit = contamination(docs, benchmark, window).filter("n_hit > 0").select("doc_id").distinct()
-    key = fresh_name(docs, "hit_key")
-    keyed = docs.withColumn(key, docs["doc_id"].cast("long"))
-    return keyed.join(hit.select(F.col("doc_id").alias(key)), key, "left_anti").drop(key)
+def remove_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
+                        block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """The documents, all columns, without those that hold a benchmark window.
+
+    Rows are judged where they lie, so nothing is shuffled.
+    """
+    for rows, _ in _blocks(benchmark, block_chars):
+        shared = docs.sparkSession.sparkContext.broadcast(TestSet.of(rows, window))  # at most a block
+
+        def clean(texts, shared=shared):
+            out, first = [], 0
+            while first < len(texts):
+                last = _shard_end(texts, first)
+                out += [not len(h) for h in find(texts[first:last], shared.value)[1]]
+                first = last
+            return out
+
+        docs = keep_rows(docs, clean)
+    return docs
+
+
+def _shard_end(texts: list[str], first: int) -> int:
+    """End of the shard that begins at ``first``: ``SHARD_BYTES`` of text, or one text."""
+    size, last = 0, first
+    while last < len(texts) and (last == first or size + len(texts[last]) <= SHARD_BYTES):
+        size += len(texts[last])
+        last += 1
+    return last

@@ -16,6 +16,7 @@ from __future__ import annotations
 import functools
 import re
 from collections.abc import Iterable
+from itertools import chain
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -224,26 +225,29 @@ def words_of(text: str) -> list[str]:
 
 
 class Encoder:
-    """Remembers, per word, its ids as text, their number and their bytes."""
+    """Remembers, per word, its ids (``as_text``: in decimal), their number and their bytes."""
 
-    def __init__(self, pieces: Pieces, remembered: int = 400_000):
-        self.pieces, self.remembered, self.known = pieces, remembered, {}
+    def __init__(self, pieces: Pieces, as_text: bool = True, remembered: int = 400_000):
+        self.pieces, self.as_text, self.remembered, self.known = pieces, as_text, remembered, {}
 
     def encode(self, texts: list[str]):
-        """Per text: number of ids, the ids as text, and the decoded text's bytes."""
+        """Per text: number of ids, the ids, and the decoded text's bytes."""
         if len(self.known) > self.remembered:
             self.known.clear()
         cut = [words_of(t) for t in texts]
         new = list(set().union(*cut).difference(self.known))
         surface = self.pieces.surface
         for word, ids in zip(new, self.pieces.merge(new), strict=True):
-            self.known[word] = (len(ids), " ".join(map(str, ids)), b"".join(map(surface.__getitem__, ids)))
-        end = str(self.pieces.end)
+            self.known[word] = (
+                len(ids), " ".join(map(str, ids)) if self.as_text else ids,
+                b"".join(map(surface.__getitem__, ids)))
+        end = self.pieces.end
         for ws in cut:
             found = list(map(self.known.__getitem__, ws))
+            listed = [f[1] for f in found]
             yield (
                 sum([f[0] for f in found]) + 1,
-                " ".join([f[1] for f in found] + [end]),
+                " ".join([*listed, str(end)]) if self.as_text else [*chain.from_iterable(listed), end],
                 b"".join([f[2] for f in found]).removeprefix(b" "),
             )
 
@@ -259,7 +263,7 @@ def encode_documents(docs: DataFrame, model: bytes, digests: bool = False) -> Da
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a vocabulary, not corpus data
 
     def run(parts):
-        encoder = Encoder(_pieces(shared.value))
+        encoder = Encoder(_pieces(shared.value), as_text=digests)
         for part in parts:
             n, ids, decoded = [], [], []
             for count, listed, data in encoder.encode(part["text"]):
@@ -268,7 +272,7 @@ def encode_documents(docs: DataFrame, model: bytes, digests: bool = False) -> Da
                     ids.append(sha256_hex(listed.encode()))
                     decoded.append(sha256_hex(data.decode("utf-8", "replace").encode()))
                 else:
-                    ids.append(list(map(int, listed.split())))
+                    ids.append(listed)
                     decoded.append(data.decode("utf-8", "replace"))
             yield [part["doc_id"], n, ids, decoded]
 

@@ -27,7 +27,7 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tallyweave.llm.common import id_and_text, map_rows, mix64
+from tallyweave.llm.common import id_and_text, keep_rows, map_rows, mix64
 
 DECAY = 0.7
 SPAN = 6
@@ -327,6 +327,19 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
     return map_rows(id_and_text(docs), run, "doc_id long, score double", 500)
 
 
+def reject(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The documents, all columns, without those that score 0.5 or more.
+
+    Rows are judged where they lie, so nothing is shuffled.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels))
+
+    def clean(texts):
+        return [s < 0.5 for s in Scorer(shared.value).score(texts)]
+
+    return keep_rows(docs, clean)
+
+
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``doc_id, held_out, score, predicted`` per row; ``predicted`` is 1 from 0.5 on."""
     return score_documents(docs, train(docs, labels)).select(
