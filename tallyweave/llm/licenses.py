@@ -160,14 +160,17 @@ class Index:
                     found.update((at * step, int(t)) for t in owners[a:b])
         return found
 
-    def verify(self, h: np.ndarray, start: int, template: int) -> tuple[int, int] | None:
+    def window(self, start: int, template: int) -> tuple[int, int]:
+        """Shingles of the window that begins at ``start``."""
+        return start, start + 3 * self.steps[template] + SHINGLE
+
+    def verify(self, own: np.ndarray, template: int) -> tuple[int, int] | None:
         """Words from the first to the last matching shingle of the best passage, if contained.
 
-        Passages are as long as the template; the window is searched for the one
-        that holds most of its shingles.
+        Passages are about as long as the template; the shingles ``own`` of a
+        window are searched for the one that holds most of the template's.
         """
         want = self.shingles[template]
-        own = h[start : start + 3 * self.steps[template] + SHINGLE]
         hit = np.isin(own, want)
         if 100 * len(np.unique(own[hit])) < CONTAINED * len(want):
             return None
@@ -179,7 +182,7 @@ class Index:
             n = len(np.unique(own[inside]))
             if 100 * n >= CONTAINED * len(want) and (best is None or n > best[0]):
                 best = n, first, int(inside[-1])
-        return None if best is None else (start + best[1], start + best[2] + SHINGLE)
+        return None if best is None else (best[1], best[2] + SHINGLE)
 
 
 def find(texts: list[str], index: Index) -> list[list[tuple[str, int, int]]]:
@@ -191,11 +194,15 @@ def find(texts: list[str], index: Index) -> list[list[tuple[str, int, int]]]:
     h = _shingles(flat)
     out: list[dict] = [{} for _ in texts]
     for start, template in sorted(index.retrieve(h)):
-        span = index.verify(h, start, template)
-        if span:
-            doc = int(np.searchsorted(starts, span[0], "right") - 1)
-            if span[1] < starts[doc + 1]:
-                out[doc][index.names[template], span[0] - int(starts[doc]), span[1] - int(starts[doc])] = True
+        low, high = index.window(start, template)
+        # the window may reach over several texts; each is verified on its own
+        for doc in range(int(np.searchsorted(starts, low, "right") - 1),
+                         min(int(np.searchsorted(starts, high, "left")), len(texts))):
+            a, b = max(low, int(starts[doc])), min(high, int(starts[doc + 1]) - SHINGLE)
+            span = index.verify(h[a:b], template) if b > a else None
+            if span:
+                at = a - int(starts[doc])
+                out[doc][index.names[template], at + span[0], at + span[1]] = True
     return [_outer(list(found)) for found in out]
 
 
