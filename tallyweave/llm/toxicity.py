@@ -36,13 +36,13 @@ ENDS = (".", "!", "?")
 SENTENCE_WORDS = 16
 
 #: Bounds of the training sample: rows of either label, and characters of each.
-SAMPLE_ROWS = 1500
+SAMPLE_ROWS = 800
 SAMPLE_CHARS = 20_000
-LANDMARKS = 320
+LANDMARKS = 256
 #: Words of a toxic document that speak for it; weight and number of clean words; penalty of the weights.
 SPEAKERS = 3
 CLEAN_COST = 3.0
-CLEAN_WORDS = 24_000
+CLEAN_WORDS = 16_000
 #: Log odds times the root of the count from which a word counts fully.
 SURE = 8.0
 RIDGE = 0.05
@@ -295,7 +295,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS,
     """Fit on a bounded sample of labelled rows that are not held out.
 
     The sample is the ``sample_rows`` rows of either label whose ids hash
-    lowest, of texts up to ``sample_chars`` characters: at most 2 * 1500 * 20,000
+    lowest, of texts up to ``sample_chars`` characters: at most 2 * 800 * 20,000
     characters reach the driver.  Null labels and ids are passed over.
     """
     marked = labels.filter(
