@@ -53,12 +53,12 @@ SELECT * EXCLUDE (rn) FROM (
 ) WHERE rn = 1"""),
     "antifraud_all": ((), """
 SELECT o_orderkey * 2 AS ordinal,
-       concat(CAST(o_orderkey AS VARCHAR), '-', CAST(o_custkey AS VARCHAR)) AS pedido,
+       concat(CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN '' ELSE 'N' END,
+              CAST(o_orderkey AS VARCHAR), '-', CAST(o_custkey AS VARCHAR)) AS pedido,
        o_orderpriority AS status_do_chargeback, n_name AS uf,
        CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE concat('CITY_', CAST(c_custkey % 50 AS VARCHAR)) END AS cidade,
        c_mktsegment AS item_principal, c_acctbal AS score
 FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
-WHERE o_orderpriority IN ('1-URGENT', '2-HIGH')
 UNION ALL
 SELECT o_orderkey * 2 + 1, concat(CAST(o_orderkey AS VARCHAR), '-X'), '9-REVISED', n_name, NULL,
        c_mktsegment, c_acctbal
@@ -338,11 +338,15 @@ SELECT wanted AS order_id, matched_id, d.hostname, d.city FROM (
   FROM (SELECT concat(CAST(o_orderkey AS VARCHAR), CASE WHEN o_orderkey % 10 = 2 THEN '-02' ELSE '' END)
           AS wanted FROM orders))
 LEFT JOIN document_rows d ON d.order_id = matched_id"""),
-        "upsert_cache": """SELECT CAST(o_orderkey AS VARCHAR) AS order_id,
-  CASE WHEN o_orderkey % 3 = 0 AND (o_orderkey % 2 = 1 OR o_orderkey % 5 <> 0) THEN concat('new ', o_orderstatus)
-       ELSE concat('old ', o_orderstatus) END AS vtex_store,
-  CASE WHEN o_orderkey % 3 = 0 AND (o_orderkey % 2 = 1 OR o_orderkey % 5 <> 0) THEN 'not_found' ELSE 'found' END AS status
-FROM orders WHERE o_orderkey % 2 = 0 OR o_orderkey % 3 = 0""",
+        "upsert_cache": """SELECT order_id, arg_max(vtex_store, row(placed, side)) AS vtex_store,
+  arg_max(status, row(placed, side)) AS status FROM (
+  SELECT concat(CASE WHEN o_orderkey % 2 = 0 THEN '' ELSE 'A' END, CAST(o_orderkey AS VARCHAR)) AS order_id,
+         concat('old ', o_orderstatus) AS vtex_store, 'found' AS status, o_orderdate AS placed, 0 AS side FROM orders
+  UNION ALL
+  SELECT concat(CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE 'B' END, CAST(o_orderkey AS VARCHAR)),
+         concat('new ', o_orderstatus), 'not_found',
+         o_orderdate - CASE WHEN o_orderkey % 5 = 0 THEN INTERVAL 1 DAY ELSE INTERVAL 0 DAY END, 1 FROM orders)
+GROUP BY order_id""",
         "attach_enrichment": _with("consolidated", f"SELECT dispute_id, vtex_order_id, {_ATTRIBUTES} FROM consolidated"),
         "attach_documents": _with("consolidated", f"SELECT dispute_id, vtex_order_id, {_ATTRIBUTES} FROM consolidated"),
         "record_type_set": _with("disputes_all", "SELECT DISTINCT record_type FROM disputes_all"),

@@ -284,11 +284,15 @@ def match_rates(spark, sf):
 
 
 def _stored_answers(spark, sf):
-    """A cache holding every third disputed order, some of them as failed lookups."""
+    """A cache that answers every third disputed order, and others that no dispute names.
+
+    Some of the answers are failed lookups.
+    """
     wanted = feeds.valid_order_ids(fx.disputes(spark, sf))
     number = F.col("order_id").cast("bigint")
     status = F.when(number % 9 == 0, "error").when(number % 2 == 0, "not_found").otherwise("found")
-    return wanted.where(number % 3 == 0).withColumn("status", status)
+    asked = F.when(number % 3 == 0, F.col("order_id")).otherwise(F.concat(F.lit("N"), "order_id"))
+    return wanted.withColumn("status", status).withColumn("order_id", asked)
 
 
 @query
@@ -310,19 +314,19 @@ def resolve_candidates(spark, sf):
 
 @query
 def upsert_cache(spark, sf):
-    """Old answers for even orders, new ones for every third; some new ones are older."""
+    """Old and new answers; a sixth of the orders has both, some of these with an older new one."""
     key = F.col("o_orderkey")
     listed = fx.table(spark, sf, "orders")
     placed = F.col("o_orderdate")
 
-    def answers(prefix, status, at):
-        return [key.cast("string").alias("order_id"),
+    def answers(prefix, status, at, other):
+        return [F.concat(other, key.cast("string")).alias("order_id"),
                 F.concat(F.lit(prefix), F.col("o_orderstatus")).alias("vtex_store"),
                 F.lit(status).alias("status"), at.alias("fetched_at")]
 
-    cache = listed.where(key % 2 == 0).select(*answers("old ", "found", placed))
+    cache = listed.select(*answers("old ", "found", placed, F.when(key % 2 == 0, "").otherwise("A")))
     late = F.when(key % 5 == 0, placed - F.expr("INTERVAL 1 DAY")).otherwise(placed)
-    fresh = listed.where(key % 3 == 0).select(*answers("new ", "not_found", late))
+    fresh = listed.select(*answers("new ", "not_found", late, F.when(key % 3 == 0, "").otherwise("B")))
     return enrich.upsert_cache(cache, fresh).drop("fetched_at")
 
 
