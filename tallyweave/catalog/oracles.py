@@ -240,8 +240,30 @@ _OUTER = """SELECT d.dispute_id, coalesce(d.psp_reference, l.psp_reference_sap)
 FROM disputes d FULL OUTER JOIN ledger l ON d.psp_reference = l.psp_reference_sap"""
 
 
+#: Columns of the disputes with their types, in the order the column profile lists them.
+_DISPUTE_TYPES = {
+    "dispute_id": "string", "psp_reference": "string", "record_type": "string",
+    "dispute_amount": "decimal(18,2)", "record_date": "timestamp_ntz", "shopper_interaction": "string",
+    "metadata": "string", "dispute_reason": "string", "payment_method": "string",
+    "shopper_email": "string", "vtex_order_id": "string",
+}
+
+
+def _profile() -> str:
+    return _with("disputes", "SELECT * FROM (" + " UNION ALL ".join(
+        f"""SELECT {i} AS position, '{c}' AS "column", '{t}' AS type,
+  coalesce(list(CAST({c} AS VARCHAR) ORDER BY dispute_id) FILTER (WHERE {c} IS NOT NULL), []) AS sample
+FROM (SELECT * FROM disputes ORDER BY dispute_id LIMIT 5)"""
+        for i, (c, t) in enumerate(_DISPUTE_TYPES.items())) + ")")
+
+
 def _scans_and_normalisation() -> dict[str, str]:
     return {
+        "sample_scan": _with("disputes_all", """SELECT dispute_id, psp_reference, record_type, dispute_amount,
+  record_date, shopper_interaction, metadata FROM disputes_all ORDER BY dispute_id LIMIT 5"""),
+        "preview": _with("disputes enrichment", f"""SELECT psp_reference, record_type, vtex_order_id, {_ATTRIBUTES}
+FROM disputes d LEFT JOIN enrichment e ON trim(d.vtex_order_id) = e.wanted ORDER BY dispute_id LIMIT 15"""),
+        "profile_columns": _profile(),
         "union_by_name": """SELECT o_orderkey AS key, o_orderdate AS placed, o_custkey AS customer,
   CAST(NULL AS VARCHAR) AS segment FROM orders
 UNION ALL SELECT c_custkey, NULL, NULL, c_mktsegment FROM customer""",

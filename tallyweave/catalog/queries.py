@@ -47,7 +47,7 @@ def union_by_name(spark, sf):
 
 @query
 def sample_scan(spark, sf):
-    return listing.sample_scan(fx.raw_disputes(spark, sf), C.SAMPLE_ROWS)
+    return listing.sample_scan(fx.raw_disputes(spark, sf), C.SAMPLE_ROWS, ROW_ID)
 
 
 @query
@@ -564,12 +564,12 @@ def conversion_extract(spark, sf):
 
 @query
 def preview(spark, sf):
-    return exports.preview(fx.with_orders(spark, sf))
+    return exports.preview(fx.with_orders(spark, sf), order=ROW_ID)
 
 
 @query
 def profile_columns(spark, sf):
-    return exports.profile_columns(fx.disputes(spark, sf, *REPORT_ATTRIBUTES))
+    return exports.profile_columns(fx.disputes(spark, sf, *REPORT_ATTRIBUTES), order=ROW_ID)
 
 
 # --- file layouts, written from the tables and scanned back ------------------

@@ -14,11 +14,13 @@ ISO_LAYOUTS = (
     "yyyy-M-d", "yyyy-M-d H:m", "yyyy-M-d H:m:s", "yyyy-M-d H:m:s[.SSSSSS][.SSS]",
     "yyyy-M-d'T'H:m", "yyyy-M-d'T'H:m:s",
 )
-TIME_TAILS = ("", " H:m", " H:m:s")
-DAY_FIRST_LAYOUTS = tuple("d/M/yyyy" + t for t in TIME_TAILS)
-MONTH_FIRST_LAYOUTS = tuple("M/d/yyyy" + t for t in TIME_TAILS)
-DASHED_MONTH_FIRST_LAYOUTS = tuple("M-d-yyyy" + t for t in TIME_TAILS)
-DASHED_DAY_FIRST_LAYOUTS = tuple("d-M-yyyy" + t for t in TIME_TAILS)
+NAMED_LAYOUTS = ("d MMM yyyy", "d MMM yyyy H:m:s", "d MMMM yyyy", "MMM d yyyy", "MMMM d yyyy")
+
+# day and month in either order, year, and an optional time with an optional half of the day
+_NUMBERS = (r"^(\d{1,2})[/-](\d{1,2})[/-](\d{4}|\d{2})"
+            r"(?:[ T]+(\d{1,2}):(\d{1,2})(?::(\d{1,2})(\.\d+)?)?\s*([AaPp][Mm])?)?$")
+#: Two-digit years from this one on belong to the last century.
+CENTURY_TURN = 69
 
 
 def _first_parse(value: Column, layouts: tuple[str, ...]) -> Column:
@@ -26,22 +28,55 @@ def _first_parse(value: Column, layouts: tuple[str, ...]) -> Column:
     return F.coalesce(*tries).cast("timestamp_ntz")
 
 
+def _from_numbers(value: Column, day_first: Column) -> Column:
+    """``31/1/2025 10:05 PM`` and the like, put together as ISO text and parsed once per order."""
+    def part(i: int) -> Column:
+        return F.regexp_extract(value, _NUMBERS, i)
+
+    def or_zero(i: int) -> Column:
+        return F.coalesce(F.nullif(part(i), F.lit("")), F.lit("0"))
+
+    short = part(3).try_cast("int") + F.when(part(3).try_cast("int") < CENTURY_TURN, 2000).otherwise(1900)
+    year = F.when(F.length(part(3)) == 2, short.cast("string")).otherwise(part(3))
+    half, hour = F.lower(part(8)), or_zero(4).try_cast("int")
+    hours = F.when((half == "pm") & (hour < 12), hour + 12).when((half == "am") & (hour == 12), 0).otherwise(hour)
+    clock = F.concat(F.lit(" "), hours.cast("string"), F.lit(":"), or_zero(5), F.lit(":"), or_zero(6), part(7))
+
+    def ordered(month: int, day: int) -> Column:
+        return F.concat(year, F.lit("-"), part(month), F.lit("-"), part(day), clock).try_cast("timestamp_ntz")
+
+    return F.when(day_first, F.coalesce(ordered(2, 1), ordered(1, 2))).otherwise(
+        F.coalesce(ordered(1, 2), ordered(2, 1)))
+
+
 def parse_mixed_date(c: Column | str, day_first: Column) -> Column:
     """Parse one text date; ``day_first`` says which convention its file uses.
 
-    ISO text reads the same under both conventions.  The preferred order is
-    tried first and the other order only where the preferred one is impossible
-    (as ``13`` for a month).  Anything else is null.
+    ISO text (with ``-`` or ``/``), eight digits and named months read the same
+    under both conventions.  For numbers the preferred order is tried first and
+    the other only where that is impossible (as ``13`` for a month).  Anything
+    else is null.  Each kind is told by its shape, so a cell is parsed by its
+    own layouts only.
     """
     value = F.trim(_col(c))
-    iso = F.coalesce(value.try_cast("timestamp_ntz"), _first_parse(value, ISO_LAYOUTS))
-    day = _first_parse(value, DAY_FIRST_LAYOUTS + DASHED_DAY_FIRST_LAYOUTS)
-    month = _first_parse(value, MONTH_FIRST_LAYOUTS + DASHED_MONTH_FIRST_LAYOUTS)
-    return F.when(value.rlike(r"^\d{4}-"), iso).otherwise(
-        F.when(day_first, F.coalesce(day, month)).otherwise(F.coalesce(month, day))
+    dashed = F.replace(value, F.lit("/"), F.lit("-"))
+    iso = F.coalesce(dashed.try_cast("timestamp_ntz"), _first_parse(dashed, ISO_LAYOUTS))
+    named = F.initcap(F.regexp_replace(value, "[-,. ]+", " "))
+    return (
+        F.when(value.rlike(r"^\d{4}[-/]"), iso)
+        .when(value.rlike(_NUMBERS), _from_numbers(value, day_first))
+        .when(value.rlike(r"^\d{8}$"), _first_parse(value, ("yyyyMMdd",)))
+        .when(value.rlike(r"^(\d{1,2}[- ]+)?[A-Za-z]{3,9}[-,. ]"), _first_parse(named, NAMED_LAYOUTS))
     )
 
 
+def parse_day_number(c: Column | str) -> Column:
+    """A spreadsheet's day number (days from 1899-12-30, with a part of a day) as a timestamp."""
+    number = F.regexp_extract(F.trim(_col(c)), r"^\d{5}(\.\d+)?$", 0).try_cast("double")
+    seconds = F.round(number * 86400).cast("decimal(18,6)")
+    return F.expr("TIMESTAMP_NTZ '1899-12-30 00:00:00'") + F.make_dt_interval(secs=seconds)
+
+
 def parse_utc(c: Column | str) -> Column:
     """ISO text with or without an offset, as UTC wall-clock time; bad text is null."""
     instant = _col(c).try_cast("timestamp")

@@ -107,9 +107,8 @@ def prepare_ledger(df: DataFrame) -> DataFrame:
     )
 
 
-def canonical_ledger(df: DataFrame) -> DataFrame:
-    """Rename the ledger headers, which vary between exports, to canonical names."""
-    cols = df.columns
+def ledger_columns(cols: Sequence[str]) -> dict[str, str]:
+    """Canonical names of a ledger layout, which vary between exports; none without a narrative."""
     found = {
         # Parts of the ledger headers
         "denominacao_sap": resolve_column(cols, ["Denomina"], ["objeto"]),
@@ -118,11 +117,34 @@ def canonical_ledger(df: DataFrame) -> DataFrame:
         "valor_sap": resolve_column(cols, ["Valor", "Montante"]),
     }
     if found["denominacao_sap"] is None:
-        raise ValueError("no narrative column among: " + ", ".join(cols))
+        return {}
+    return {new: old for new, old in found.items() if old is not None}
+
+
+def canonical_ledger(df: DataFrame) -> DataFrame:
+    """Rename the ledger headers of one layout to canonical names."""
+    found = ledger_columns(df.columns)
+    if not found:
+        raise ValueError("no narrative column among: " + ", ".join(df.columns))
     taken = set(found.values())
-    rest = [F.col(f"`{c}`") for c in cols if c not in taken]
-    named = [F.col(f"`{old}`").alias(new) for new, old in found.items() if old is not None]
-    return df.select(*named, *rest)
+    rest = [F.col(f"`{c}`") for c in df.columns if c not in taken]
+    return df.select(*[F.col(f"`{old}`").alias(new) for new, old in found.items()], *rest)
+
+
+def type_ledger(df: DataFrame) -> DataFrame:
+    """Dates as timestamps (``None`` where the text is none); columns the feed lacks are null.
+
+    The amount stays as text beside ``valor_sap_numero``, since reports show what
+    the export held.
+    """
+    for c in ("data_entrada_sap", "data_lancamento_sap"):
+        day_first = F.contains(F.col(c), F.lit("/")) if c in df.columns else None
+        # cells that the sheet does not show as dates arrive as day numbers
+        df = df.withColumn(c, F.coalesce(dates.parse_day_number(c), dates.parse_mixed_date(c, day_first))
+                           if c in df.columns else F.lit(None).cast("timestamp_ntz"))
+    value = F.col("valor_sap") if "valor_sap" in df.columns else F.lit(None).cast("string")
+    return df.withColumn("valor_sap", value).withColumn(
+        "valor_sap_numero", numbers.try_numeric("valor_sap", numbers.MONEY))
 
 
 def prepare_antifraud(df: DataFrame, key: str, order: Sequence[Column], prefix: str = "cs_",

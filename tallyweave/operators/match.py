@@ -89,6 +89,8 @@ def report_lookup(antifraud: DataFrame, prefix: str = "cs_") -> DataFrame:
     The flag is made before the join, so that queries which only need to know
     that much do not shuffle the report's columns.
     """
+    if not any(c.startswith(prefix) for c in antifraud.columns):
+        raise ValueError(f"no report column begins with {prefix!r}")
     flagged = antifraud.withColumn(FOUND, _reported(antifraud.columns, prefix))
     return flagged.withColumnRenamed("vtex_order_id", "_report_order")
 

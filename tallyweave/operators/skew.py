@@ -17,14 +17,16 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tallyweave.session import shuffle_partitions
 
-FREQUENT_KEYS = 64
-TRACKED_KEYS = 1024
+#: Values a sketch follows per value it reports, and groups of input partitions with a sketch.
+TRACKED_PER_KEY = 4
 SKETCHES = 256
+#: Most values one sketch may follow (a limit of the sketch function).
+MOST_TRACKED = 1_000_000
 
 
 @dataclass(frozen=True)
 class KeyProfile:
-    """Frequent values of a key column: at most ``FREQUENT_KEYS``, often none."""
+    """Frequent values of a key column: at most one per shuffle partition, often none."""
 
     hot: tuple[str, ...] = ()
     hot_null: bool = False
@@ -42,18 +44,21 @@ def profile_key(df: DataFrame, key: str) -> KeyProfile:
 def profile_keys(df: DataFrame, keys: Mapping[str, Column]) -> dict[str, KeyProfile]:
     """Find the frequent values of several text columns in one pass over them.
 
-    Each group of input partitions keeps a sketch of fixed size per column;
-    what reaches the driver is one row per frequent value, ``FREQUENT_KEYS`` per
-    column at most, and one row with the counts of each column.
+    At most as many values as there are shuffle partitions can hold more than an
+    average partition, so that is how many each group of input partitions
+    reports from its sketch.  What reaches the driver is one row per frequent
+    value, and one row with the counts of each column.
     """
     cells = shuffle_partitions(df.sparkSession)
+    tracked = min(MOST_TRACKED, TRACKED_PER_KEY * cells)
+    reported = min(cells, tracked)
     entries = [F.struct(F.lit(n).alias("name"), c.cast("string").alias("k")) for n, c in keys.items()]
     parts = (
         df.select(F.inline(F.array(*entries)))
         .groupBy("name", F.pmod(F.spark_partition_id(), F.lit(SKETCHES)).alias("part"))
         .agg(
             F.expr(
-                f"approx_top_k(k, {FREQUENT_KEYS}, {TRACKED_KEYS})"
+                f"approx_top_k(k, {reported}, {tracked})"
                 " FILTER (WHERE k IS NOT NULL)"
             ).alias("top"),
             F.count("*").alias("n_rows"),
@@ -75,14 +80,11 @@ def profile_keys(df: DataFrame, keys: Mapping[str, Column]) -> dict[str, KeyProf
         .groupBy("name", F.col("e.k").alias("k"))
         .agg(F.sum("e.n").alias("n"), F.sum("e.rows").alias("rows"))
     )
-    first = Window.partitionBy("name").orderBy(F.desc("rows"), F.desc("n"), "k")
-    counts = (
-        parts.withColumn("place", F.row_number().over(first))
-        .where(F.col("place") <= FREQUENT_KEYS + 1)
-        .collect()
+    whole = Window.partitionBy("name")
+    frequent = (
+        parts.withColumn("total", F.sum("rows").over(whole))
+        .where(F.col("n") * cells > F.col("total")).collect()
     )
-    total = {row["name"]: row["rows"] for row in counts if row["rows"]}
-    frequent = [row for row in counts if row["n"] * cells > total[row["name"]]]
     return {
         name: KeyProfile(
             tuple(sorted(r["k"] for r in frequent if r["name"] == name and r["k"] is not None)),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -77,9 +78,6 @@ def conversion_extract(
     return feeds.move_to_front(labelled, ["virou_chargeback", "fonte"])
 
 
-FEW_ROWS = 10_000
-
-
 def enrich_few(
     few: DataFrame, disputes: DataFrame, ledger: DataFrame, antifraud: DataFrame,
     documents: DataFrame, row_id: Sequence[str] = match.ROW_ID,
@@ -87,20 +85,18 @@ def enrich_few(
     """Join everything onto a small set of disputes, such as a top-100 report.
 
     The joins keep the row count, so the report's rows can be picked first.
-    Each feed is then reduced to the few keys in question while it is scanned,
-    and no feed is shuffled.  Beyond ``FEW_ROWS`` rows the keys are not broadcast
-    and Spark picks the joins.
+    Each feed is then reduced to the few keys in question before it is joined;
+    the keys are a stored table, whose size Spark knows when it picks the joins.
     """
     stored = cut_lineage(few)
-    sent = F.broadcast if stored.count() <= FEW_ROWS else (lambda df: df)
-    refs = sent(stored.select("psp_reference").distinct())
+    refs = stored.select("psp_reference").distinct()
     orders = feeds.valid_order_ids(stored)
 
     def of_refs(df: DataFrame, key: str) -> DataFrame:
         return df.join(refs, df[key] == refs["psp_reference"], "left_semi")
 
     def of_orders(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
-        small = sent(ids.select(ids.columns[0]).distinct())
+        small = ids.select(ids.columns[0]).distinct()
         return df.join(small, df[key] == small[small.columns[0]], "left_semi")
 
     postings = match.dedup_first(of_refs(ledger, "psp_reference_sap"), "psp_reference_sap", "ordinal")
@@ -146,7 +142,6 @@ SECTIONS = {
     "record_types": ("record_type", None),
 }
 MONEY_SECTIONS = ("por_uf", "por_cidade")
-MAX_LABELS = 10_000  # a longer section belongs in dashboard_sections, not in one document
 
 
 def dashboard_sections(df: DataFrame) -> DataFrame:
@@ -206,53 +201,65 @@ def dashboard_sections(df: DataFrame) -> DataFrame:
     )
 
 
+#: Names of the lists in a section
+VALUE, COUNT, TOTAL = "values", "count", "total"
+
+
 def dashboard_document(
-    df: DataFrame, tiebreak: tuple[str, ...] = match.ROW_ID, period: str | None = None
+    df: DataFrame, tiebreak: tuple[str, ...] = match.ROW_ID, period: str | None = None,
+    generated: str | None = None,
 ) -> DataFrame:
-    """All reports of the consolidated frame as one JSON document.
+    """The dashboard document, a row (section, json) for each of its top-level entries.
 
-    What is folded into the document is stored first and checked to be short.
+    A breakdown is ``{labels, values}``, or ``{labels, count, total}`` where it
+    has amounts; the monthly series are ``{labels, ..}`` with a list per figure.
+    A section is as long as it has labels.  ``generated`` is the time of the
+    report as text, by default now.
     """
     stored = cut_lineage(df)
-    sections = cut_lineage(dashboard_sections(stored))
-    too_long = sections.groupBy("section").count().where(F.col("count") > MAX_LABELS).head(1)
-    if too_long:
-        raise ValueError(f"section {too_long[0]['section']} is too long; use dashboard_sections")
-
-    folded = sections.groupBy("section").agg(
-        F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("order"), "label", "n", "total")))
-        .alias("rows")
-    ).select(
-        "section",
-        F.transform("rows", lambda r: F.struct(r["label"].alias("label"), r["n"].alias("n"),
-                                               r["total"].alias("total"))).alias("rows"),
-    )
-    parts = folded.agg(F.map_from_entries(F.collect_list(F.struct("section", "rows"))).alias("m"))
-    figures = metrics.kpis(stored).select(F.struct("*").alias("v"))
-    checks = metrics.cross_validation(stored).select(F.struct("*").alias("v"))
+    sections = dashboard_sections(stored)
+    rows = F.transform(
+        F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("order"), "label", "n", "total"))),
+        lambda r: F.struct(r["label"].alias("label"), r["n"].alias("n"), r["total"].alias("total")))
+    lists = sections.groupBy("section").agg(rows.alias("r"))
+    labels = F.col("r")["label"].alias("labels")
+    money = F.to_json(F.struct(labels, F.col("r")["n"].alias(COUNT), F.col("r")["total"].alias(TOTAL)))
+    plain = F.to_json(F.struct(labels, F.col("r")["n"].alias(VALUE)))
+    breakdowns = lists.select(
+        "section", F.when(F.col("section").isin(*MONEY_SECTIONS), money).otherwise(plain).alias("json"))
+
+    def one(section: str, report: DataFrame) -> DataFrame:
+        """A report of one row as an object."""
+        return report.select(F.lit(section).alias("section"), F.to_json(F.struct("*")).alias("json"))
+
+    def column_lists(report: DataFrame, groups: dict[str, tuple[str, ...]]) -> Column:
+        """Lists by month; a group of several figures becomes an object of lists."""
+        every = F.array_sort(F.collect_list(F.struct("month", *[c for own in groups.values() for c in own])))
+        fields = [every["month"].alias("labels")]
+        for name, own in groups.items():
+            lists = [every[c].alias(c.rsplit("_", 1)[-1]) for c in own]
+            fields.append(F.struct(*lists).alias(name))
+        return F.to_json(F.struct(*fields)).alias("json")
+
     monthly = metrics.monthly_evolution(stored)
-    ledger = metrics.ledger_monthly(stored)
-    records = metrics.top_records(stored, tiebreak)
+    months = monthly.agg(column_lists(monthly, {
+        "chargeback": ("cb_count", "cb_total"), "notification": ("noc_count", "noc_total")}))
+    postings = metrics.ledger_monthly(stored).agg(
+        F.array_sort(F.collect_list(F.struct("month", "n", "total"))).alias("r")
+    ).select(F.to_json(F.struct(F.col("r")["month"].alias("labels"), F.col("r")["n"].alias(COUNT),
+                                F.col("r")["total"].alias(TOTAL))).alias("json"))
     amount = F.col(metrics.AMOUNT)
-    largest_first = F.struct(amount.isNull().alias("missing"), (-amount).alias("size"))
-
-    def listed(report: DataFrame, order: Column) -> DataFrame:
-        rows = F.collect_list(F.struct(order.alias("order"), F.struct("*").alias("row")))
-        return report.agg(F.array_sort(rows).getField("row").alias("v"))
-
-    span = stored.agg(
-        F.concat(dates.month_label(dates.month_key(F.min("record_date"))), F.lit(" — "),
-                 dates.month_label(dates.month_key(F.max("record_date")))).alias("v")
-    )
-    return parts.select(
-        F.to_json(F.struct(
-            (F.lit(period) if period else span.scalar()).alias("periodo"),
-            F.date_format(F.current_timestamp(), "yyyy-MM-dd HH:mm:ss").alias("gerado_em"),
-            figures.scalar().alias("kpis"),
-            listed(monthly, F.col("month")).scalar().alias("evolucao_mensal"),
-            listed(ledger, F.col("month")).scalar().alias("sap_mensal"),
-            checks.scalar().alias("cross_validation"),
-            F.col("m").alias("secoes"),
-            listed(records, largest_first).scalar().alias("top_registros"),
-        )).alias("document")
-    )
+    largest = F.struct(amount.isNull().alias("missing"), (-amount).alias("size"), *tiebreak)
+    top = metrics.top_records(stored, tiebreak)
+    records = top.agg(F.to_json(F.array_sort(F.collect_list(F.struct(
+        largest.alias("order"), F.struct("*").alias("row"))))["row"]).alias("json"))
+    span = stored.agg(F.to_json(F.struct(
+        F.coalesce(F.lit(period), F.concat(
+            dates.month_label(dates.month_key(F.min("record_date"))), F.lit(" — "),
+            dates.month_label(dates.month_key(F.max("record_date"))))).alias("periodo"),
+        F.coalesce(F.lit(generated), F.date_format(F.current_timestamp(), "yyyy-MM-dd HH:mm:ss"))
+        .alias("gerado_em"))).alias("json"))
+    named = {"evolucao_mensal": months, "sap_mensal": postings, "top_registros": records, "meta": span}
+    return reduce(DataFrame.unionByName, (
+        breakdowns, one("kpis", metrics.kpis(stored)), one("cross_validation", metrics.cross_validation(stored)),
+        *(frame.select(F.lit(section).alias("section"), "json") for section, frame in named.items())))

@@ -10,16 +10,23 @@ import io
 import re
 import zipfile
 from collections.abc import Callable, Iterable, Iterator, Sequence
+from datetime import datetime, timedelta
+from functools import reduce
 from html.parser import HTMLParser
 from xml.etree import ElementTree
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-CELLS = "path string, row_no bigint, header array<string>, cells array<string>"
-_COLUMNS = ["path", "row_no", "header", "cells"]
+from tallyweave.session import cut_lineage
+
+CELLS = "path string, row_no bigint, header array<string>, cells array<string>, problem string"
+_COLUMNS = ["path", "row_no", "header", "cells", "problem"]
 BATCH_ROWS = 10_000
-UNREADABLE = (zipfile.BadZipFile, ElementTree.ParseError, LookupError, ValueError)
+
+
+class Unreadable(ValueError):
+    """A file that does not hold what its name says, and why."""
 
 
 class _FirstTable(HTMLParser):
@@ -67,6 +74,7 @@ class _FirstTable(HTMLParser):
 
 
 def html_rows(content: bytes) -> list[list[str]]:
+    """Rows of the first table of a page; a page without one has none."""
     try:
         page = content.decode("utf-8-sig")
     except UnicodeDecodeError:
@@ -92,10 +100,44 @@ def _column_index(ref: str) -> int:
     return n - 1
 
 
-def workbook_rows(content: bytes) -> Iterator[list[str | None]]:
-    """Rows of the first sheet as text; dates stay serial day numbers."""
+# Numbers of the built-in date formats of a spreadsheet, and its first day
+_DATE_FORMATS = frozenset({14, 15, 16, 17, 18, 19, 20, 21, 22, 45, 46, 47})
+_STYLES = "xl/styles.xml"
+_FIRST_DAY = datetime(1899, 12, 30)
+_QUOTED = re.compile(r'"[^"]*"|\\.|\[[^\]]*\]')
+
+
+def _date_styles(book: zipfile.ZipFile) -> set[int]:
+    """Numbers of the cell styles that show a date."""
+    if _STYLES not in book.namelist():
+        return set()
+    root = ElementTree.fromstring(book.read(_STYLES))
+    own = {
+        int(f.get("numFmtId")) for f in root.iter(_NS + "numFmt")
+        if re.search("[dmyhs]", _QUOTED.sub("", f.get("formatCode", "")).lower())
+    }
+    formats = root.find(_NS + "cellXfs")
+    return set() if formats is None else {
+        i for i, f in enumerate(formats.iter(_NS + "xf")) if int(f.get("numFmtId", 0)) in _DATE_FORMATS | own}
+
+
+def _day(serial: str) -> str:
+    """A day number with its part of a day, as ISO text."""
+    return str(_FIRST_DAY + timedelta(seconds=round(float(serial) * 86_400)))
+
+
+def workbook_rows(content: bytes) -> list[list[str | None]]:
+    """Rows of the first sheet as text; cells shown as dates are ISO dates."""
+    try:
+        return list(_workbook_rows(content))
+    except (zipfile.BadZipFile, ElementTree.ParseError, LookupError, ValueError, OverflowError) as error:
+        raise Unreadable(f"{type(error).__name__}: {error}") from error
+
+
+def _workbook_rows(content: bytes) -> Iterator[list[str | None]]:
     with zipfile.ZipFile(io.BytesIO(content)) as book:
         names = book.namelist()
+        dated = _date_styles(book)
         shared: list[str] = []
         if _SHARED in names:
             root = ElementTree.fromstring(book.read(_SHARED))
@@ -115,6 +157,8 @@ def workbook_rows(content: bytes) -> Iterator[list[str | None]]:
                         cells[at] = shared[int(value.text)]
                     elif c.get("t") == "inlineStr":
                         cells[at] = "".join(t.text or "" for t in c.iter(_NS + "t"))
+                    elif value is not None and c.get("t", "n") == "n" and int(c.get("s", -1)) in dated:
+                        cells[at] = _day(value.text)
                     elif value is not None:
                         cells[at] = value.text
                 row.clear()
@@ -122,57 +166,118 @@ def workbook_rows(content: bytes) -> Iterator[list[str | None]]:
 
 
 def _cells_of(reader: Callable[[bytes], Iterable]):
-    """Tasks turn each file into rows that carry their file's header."""
+    """Tasks turn each file into rows that carry their file's header.
+
+    A file is read whole before its first row goes on: one that cannot be read
+    to its end adds a single row with the reason, and none of its cells.
+    """
 
     def open_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for path, content in zip(batch["path"], batch["content"], strict=True):
-                header: list | None = None
-                out: list[tuple] = []
                 try:
-                    for i, cells in enumerate(reader(content)):
-                        if header is None:
-                            header = cells
-                            continue
-                        out.append((path, i, header, cells))
-                        if len(out) >= BATCH_ROWS:
-                            yield pd.DataFrame(out, columns=_COLUMNS)
-                            out = []
-                except UNREADABLE:
-                    pass  # an unreadable file adds nothing, as in the other scans
-                if out:
-                    yield pd.DataFrame(out, columns=_COLUMNS)
+                    rows = list(reader(content))
+                except Unreadable as error:
+                    yield pd.DataFrame([(path, 0, None, None, str(error))], columns=_COLUMNS)
+                    continue
+                header = rows[0] if rows else []
+                for start in range(0, len(rows), BATCH_ROWS):
+                    part = rows[start : start + BATCH_ROWS]
+                    yield pd.DataFrame(
+                        [(path, start + i, header, cells, None) for i, cells in enumerate(part)], columns=_COLUMNS)
 
     return open_files
 
 
-def _scan(
-    spark: SparkSession, paths: Sequence[str], reader: Callable[[bytes], Iterable],
-    source_file: str | None, position: str | None,
-) -> DataFrame:
-    """Cells to named columns; one column per header name over all files."""
-    if not paths:
-        return spark.createDataFrame([], T.StructType([]))
+def read_cells(spark: SparkSession, paths: Sequence[str], reader: Callable[[bytes], Iterable]) -> DataFrame:
+    """Every file opened and parsed once, its rows stored: :data:`CELLS`.
+
+    Row 0 is the header.  A file that cannot be read has one row with the
+    ``problem`` instead; see :func:`problems`.
+    """
     files = spark.read.format("binaryFile").load(list(paths)).select("path", "content")
-    cells = files.mapInPandas(_cells_of(reader), CELLS)
-    names = [
-        r["name"] for r in cells.select("header").distinct()
-        .select(F.posexplode("header").alias("at", "name"))
-        .where("name IS NOT NULL AND name <> ''")
-        .groupBy("name").agg(F.min("at").alias("at")).orderBy("at", "name").collect()
-    ]
-
-    def named(name: str) -> Column:
-        at = F.array_position("header", F.lit(name)).cast("int")
-        return F.nullif(F.get("cells", at - 1), F.lit("")).alias(name)
+    return cut_lineage(files.mapInPandas(_cells_of(reader), CELLS))
+
+
+def problems(cells: DataFrame) -> DataFrame:
+    """The skipped files: path and reason."""
+    return cells.where("problem IS NOT NULL").select("path", "problem")
+
 
+def layouts(cells: DataFrame) -> list[list[str | None]]:
+    """The distinct header rows; there are as many as layouts, not files."""
+    headers = cells.where("row_no = 0 AND header IS NOT NULL").select("header").distinct()
+    return [r["header"] for r in headers.orderBy("header").collect()]
+
+
+def _tags(source_file: str | None, position: str | None) -> list[Column]:
     tags = []
     if source_file:
         tags.append(F.element_at(F.split("path", "/"), -1).alias(source_file))
     if position:
         tags.append(F.struct(F.col("path").alias("path"), F.lit(0).cast("bigint").alias("block"),
                              F.col("row_no").alias("line")).alias(position))
-    return cells.select(*[named(n) for n in names], *tags)
+    return tags
+
+
+def named_cells(
+    cells: DataFrame, rename: Callable[[list[str]], dict[str, str]] | None = None,
+    source_file: str | None = None, position: str | None = None,
+) -> DataFrame:
+    """Cells to named columns, one column per name over all layouts.
+
+    ``rename`` maps the names of one layout (new name to old), so that files
+    which call a thing differently still fill one column; a layout for which it
+    returns nothing is left out.  The other columns keep their names.
+    """
+    where: dict[str, list[tuple[list, int]]] = {}
+    used, order = [], {}
+    for header in layouts(cells):
+        names = [n for n in header if n]
+        found = rename(names) if rename else {}
+        if rename and not found:
+            continue
+        used.append(header)
+        old = {o: new for new, o in found.items()}
+        for at, name in enumerate(header):
+            if name and header.index(name) == at:
+                new = old.get(name, name)
+                where.setdefault(new, []).append((header, at))
+                order[new] = min(order.get(new, at), at)
+    if not used:
+        return cells.sparkSession.createDataFrame([], T.StructType([]))
+
+    def is_layout(header: list) -> Column:
+        return F.col("header") == F.array(*[F.lit(h) for h in header])
+
+    def value(name: str) -> Column:
+        spots: dict[int, list] = {}
+        for header, at in where[name]:
+            spots.setdefault(at, []).append(header)
+        if len(spots) == 1 and len(where[name]) == len(used):
+            cell = F.get("cells", F.lit(next(iter(spots))))
+        else:
+            chosen = F
+            for at, headers in spots.items():
+                test = reduce(lambda a, b: a | b, map(is_layout, headers))
+                chosen = chosen.when(test, F.get("cells", F.lit(at)))
+            cell = chosen
+        return F.nullif(cell, F.lit("")).alias(name)
+
+    rows = cells.where("row_no > 0 AND problem IS NULL")
+    if rename:
+        rows = rows.where(reduce(lambda a, b: a | b, map(is_layout, used)))
+    return rows.select(*[value(n) for n in sorted(order, key=lambda n: (order[n], n))],
+                       *_tags(source_file, position))
+
+
+def _scan(
+    spark: SparkSession, paths: Sequence[str], reader: Callable[[bytes], Iterable],
+    source_file: str | None, position: str | None,
+) -> DataFrame:
+    if not paths:
+        return spark.createDataFrame([], T.StructType([]))
+    return named_cells(read_cells(spark, paths, reader), None, source_file, position)
 
 
 def scan_html_tables(
@@ -187,5 +292,5 @@ def scan_workbooks(
     spark: SparkSession, paths: Sequence[str], source_file: str | None = None,
     position: str | None = None,
 ) -> DataFrame:
-    """First sheet of each ``.xlsx`` file."""
+    """First sheet of each ``.xlsx`` file; unreadable files are left out whole."""
     return _scan(spark, paths, workbook_rows, source_file, position)

@@ -10,7 +10,7 @@ from tallyweave import constants as C
 from tallyweave.functions import numbers
 from tallyweave.operators import feeds
 from tallyweave.sources.delimited import read_delimited, read_semicolon
-from tallyweave.sources.documents import scan_html_tables, scan_workbooks
+from tallyweave.sources.documents import named_cells, read_cells, scan_html_tables, workbook_rows
 from tallyweave.sources.listing import list_inputs
 
 
@@ -31,14 +31,21 @@ def disputes_of_files(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
 
 
 def load_ledger(spark: SparkSession, folder: str) -> DataFrame:
-    """Chargeback postings of all workbooks, in load order by ``ordinal``."""
+    """Chargeback postings of all workbooks, in load order by ``ordinal``.
+
+    The columns are found in each layout by itself, then stacked.  Workbooks
+    that cannot be read and those without a narrative column are left out whole.
+    """
     paths = list_inputs(spark, folder, "*.xlsx")
-    raw = scan_workbooks(spark, paths, source_file="source_file", position="ordinal")
-    return feeds.prepare_ledger(feeds.canonical_ledger(raw))
+    cells = read_cells(spark, paths, workbook_rows)
+    raw = named_cells(cells, feeds.ledger_columns, source_file="source_file", position="ordinal")
+    if not raw.columns:
+        raise ValueError(f"no workbook with a narrative column in {folder}")
+    return feeds.prepare_ledger(feeds.type_ledger(raw))
 
 
-def load_antifraud(spark: SparkSession, folder: str) -> DataFrame | None:
-    """Last report row per order; ``None`` without any report.
+def load_antifraud(spark: SparkSession, folder: str, prefix: str = "cs_") -> DataFrame | None:
+    """Last report row per order, its columns prefixed; ``None`` without any report.
 
     A report is an HTML table saved as ``.xls`` or ``;`` text.  ``.xls`` files
     come before ``.csv`` files in load order.
@@ -60,5 +67,5 @@ def load_antifraud(spark: SparkSession, folder: str) -> DataFrame | None:
     late = F.when(F.lower("source_file_cs").endswith(".csv"), 1).otherwise(0)
     placed = feeds.union_by_name(frames).withColumn("ordinal", F.struct(late, "ordinal"))
     prepared = feeds.prepare_antifraud(placed, "PEDIDO", [F.desc("ordinal")],
-                                       keep=("ordinal", "source_file_cs"))
+                                       prefix=prefix, keep=("ordinal", "source_file_cs"))
     return prepared.drop("ordinal")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -36,6 +38,6 @@ def with_source_file(df: DataFrame, name: str = "source_file") -> DataFrame:
     return df.withColumn(name, F.col("_metadata.file_name"))
 
 
-def sample_scan(df: DataFrame, n: int = 5) -> DataFrame:
-    """A few rows; the limit is pushed into the scan."""
-    return df.limit(n)
+def sample_scan(df: DataFrame, n: int = 5, order: Sequence[str] = ()) -> DataFrame:
+    """A few rows: the first in the given order, or any, with the limit in the scan."""
+    return (df.orderBy(*order) if order else df).limit(n)

@@ -34,7 +34,7 @@ def ingest_disputes(
     return (
         spark.readStream.format("binaryFile").schema(_FILES)
         .option("pathGlobFilter", "*.csv").option("maxFilesPerTrigger", files_per_batch)
-        .load(folder)
+        .load(folder).select("path")  # names only: the contents stay unread
         .writeStream.foreachBatch(load).option("checkpointLocation", checkpoint)
         .trigger(availableNow=True).start()
     )

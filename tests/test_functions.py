@@ -137,3 +137,26 @@ def test_prefix_and_move(spark):
     assert prefixed.columns == ["vtex_order_id", "cs_status_do_x", "cs_score"]
     assert feeds.move_to_front(prefixed, ["cs_score", "none"]).columns == [
         "cs_score", "vtex_order_id", "cs_status_do_x"]
+
+
+def test_other_date_texts(spark):
+    from datetime import datetime
+
+    from pyspark.sql import functions as F
+
+    from tallyweave.functions import dates
+
+    cases = {
+        "2025/01/31": datetime(2025, 1, 31), "31/01/2025 10:00:00.250": datetime(2025, 1, 31, 10, 0, 0, 250000),
+        "31/1/25": datetime(2025, 1, 31), "31/1/70": datetime(1970, 1, 31), "31 Jan 2025": datetime(2025, 1, 31),
+        "20250131": datetime(2025, 1, 31), "01/31/2025 10:00 PM": datetime(2025, 1, 31, 22),
+        "1/2/2025 12:05 am": datetime(2025, 2, 1, 0, 5), "January 31, 2025": datetime(2025, 1, 31),
+        "2025-1-3 5:07": datetime(2025, 1, 3, 5, 7), "31-01-2025": datetime(2025, 1, 31), "20251341": None,
+        "32/13/2025": None, "soon": None, "": None, "12345": None,
+    }
+    rows = spark.createDataFrame([(k,) for k in cases], "v string")
+    got = {r["v"]: r["d"] for r in rows.withColumn("d", dates.parse_mixed_date("v", F.lit(True))).collect()}
+    assert got == cases
+    number = spark.createDataFrame([("45000.25",), ("123",), ("x",), (None,)], "v string")
+    assert [r[0] for r in number.select(dates.parse_day_number("v")).collect()] == [
+        datetime(2023, 3, 15, 6), None, None, None]

@@ -233,3 +233,15 @@ def test_documents_attach_to_hot_missing_and_dashed_orders(spark):
     details = spark.createDataFrame(docs, "order_id string, vtex_store string")
     got = enrich.attach_documents(df, details, ["dispute_id"]).select("dispute_id", "vtex_store")
     assert rows_of(got) == expected
+
+
+def test_every_key_beyond_an_average_partition_is_found(spark):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1000")
+    try:
+        # 100 equal keys hold a third of the rows each ten times an average partition
+        hot = spark.range(100_000).selectExpr("concat('h', id % 100) AS k")
+        rest = spark.range(200_000).selectExpr("concat('r', id) AS k")
+        assert set(profile_key(hot.union(rest), "k").hot) == {f"h{i}" for i in range(100)}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)

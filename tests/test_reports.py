@@ -149,10 +149,19 @@ def test_consolidated_extracts(spark, frame, tmp_path, fmt):
 
 
 def test_dashboard_document_agrees_with_reports(frame):
-    doc = json.loads(consolidation.dashboard_document(frame).first()["document"])
-    assert doc["periodo"] == "Dez/24 — Jan/25"
+    rows = consolidation.dashboard_document(frame, generated="2025-06-01 00:00:00").collect()
+    doc = {r["section"]: json.loads(r["json"]) for r in rows}
+    assert len(doc) == len(rows)
+    assert doc["meta"] == {"periodo": "Dez/24 — Jan/25", "gerado_em": "2025-06-01 00:00:00"}
     assert doc["kpis"]["total_notifications"] == 3
-    assert [m["month"] for m in doc["evolucao_mensal"]] == ["2024-12", "2025-01"]
+    monthly = doc["evolucao_mensal"]
+    assert monthly["labels"] == ["2024-12", "2025-01"]
+    report = metrics.monthly_evolution(frame).collect()
+    assert monthly["chargeback"] == {"count": [r.cb_count for r in report], "total": [r.cb_total for r in report]}
+    assert monthly["notification"] == {"count": [r.noc_count for r in report], "total": [r.noc_total for r in report]}
+    postings = metrics.ledger_monthly(frame).collect()
+    assert doc["sap_mensal"] == {"labels": [r.month for r in postings], "count": [r.n for r in postings],
+                                 "total": [r.total for r in postings]}
     assert doc["top_registros"][0]["dispute_id"] == "1"
     expected = {
         "por_ferramenta": metrics.by_source, "por_motivo": metrics.by_reason,
@@ -160,17 +169,20 @@ def test_dashboard_document_agrees_with_reports(frame):
         "por_categoria_vtex": metrics.by_category, "por_produto_cs": metrics.by_item,
         "por_loja": metrics.by_store, "top_emails": metrics.top_emails,
         "virou_chargeback": metrics.by_conversion, "record_types": metrics.by_record_type,
-        "por_uf": metrics.by_state,
     }
     for section, report in expected.items():
-        got = [(x["label"], x["n"]) for x in doc["secoes"][section]]
-        assert got == [(r["label"], r["n"]) for r in report(frame).collect()], section
-
-
-def test_dashboard_document_refuses_long_sections(frame, monkeypatch):
-    monkeypatch.setattr(consolidation, "MAX_LABELS", 1)
-    with pytest.raises(ValueError, match="dashboard_sections"):
-        consolidation.dashboard_document(frame)
+        rows = report(frame).collect()
+        assert doc[section] == {"labels": [r["label"] for r in rows], "values": [r["n"] for r in rows]}, section
+    states = metrics.by_state(frame).collect()
+    assert doc["por_uf"]["labels"] == [r["label"] for r in states]
+    assert doc["por_uf"]["count"] == [r["n"] for r in states]
+
+
+def test_dashboard_document_takes_long_sections(spark, frame):
+    many = spark.range(20_000).select(F.concat(F.lit("m"), "id").alias("payment_method"))
+    long = frame.drop("payment_method").limit(1).crossJoin(many)
+    doc = {r["section"]: json.loads(r["json"]) for r in consolidation.dashboard_document(long).collect()}
+    assert len(doc["por_bandeira"]["labels"]) == len(set(doc["por_bandeira"]["labels"])) == 20_000
 
 
 def test_preview_and_profile(frame):

@@ -146,7 +146,7 @@ def test_load_ledger(spark, tmp_path):
     got = dicts(feeds.load_ledger(spark, str(tmp_path)), "ordinal")
     assert len(got) == 1
     assert {k: got[0][k] for k in ("psp_reference_sap", "nsu", "tipo", "data_lancamento_sap", "valor_sap")} == {
-        "psp_reference_sap": REF, "nsu": "55", "tipo": "CHARGEBACK", "data_lancamento_sap": "45000", "valor_sap": "7"}
+        "psp_reference_sap": REF, "nsu": "55", "tipo": "CHARGEBACK", "data_lancamento_sap": datetime(2023, 3, 15), "valor_sap": "7"}
 
 
 def test_load_antifraud_keeps_the_last_report(spark, tmp_path):
@@ -175,3 +175,56 @@ def test_scan_cache(spark, tmp_path):
     row = {f: None for f in schemas.CACHE.fieldNames()} | {"order_id": "1", "status": "not_found"}
     spark.createDataFrame([tuple(row.values())], schemas.CACHE).write.parquet(str(tmp_path / "c"))
     assert orders.scan_cache(spark, str(tmp_path / "c")).first().asDict() == row
+
+
+def test_half_readable_workbook_adds_nothing(spark, tmp_path):
+    rows = [["Denominação", "Valor"], *[[f"CHARGEBACK {i}", i] for i in range(100)]]
+    workbook(tmp_path / "good.xlsx", rows)
+    workbook(tmp_path / "bad.xlsx", rows)
+    with zipfile.ZipFile(tmp_path / "bad.xlsx") as book:
+        parts = {n: book.read(n) for n in book.namelist()}
+    parts["xl/worksheets/sheet1.xml"] = parts["xl/worksheets/sheet1.xml"].replace(
+        b'<c r="A50" t="s"><v>', b'<c r="A50" t="s"><v>9999')
+    with zipfile.ZipFile(tmp_path / "bad.xlsx", "w") as book:
+        for name, data in parts.items():
+            book.writestr(name, data)
+    paths = [str(tmp_path / n) for n in ("good.xlsx", "bad.xlsx")]
+    assert documents.scan_workbooks(spark, paths).count() == 100
+    skipped = documents.problems(documents.read_cells(spark, paths, documents.workbook_rows)).collect()
+    assert [(r["path"].rsplit("/", 1)[-1], r["problem"][:10]) for r in skipped] == [("bad.xlsx", "IndexError")]
+
+
+def test_ledger_headers_are_found_in_each_file(spark, tmp_path):
+    other = "WXYZ1234EFGH5678"
+    workbook(tmp_path / "a.xlsx", [["Denominação", "Data de lançamento", "Valor", "Extra"],
+                                   [f"Chargeback NSU: {REF}-1", "31/01/2025", 1.5, "e"], ["x", None, 2, None]])
+    workbook(tmp_path / "b.xlsx", [["Montante", "Denominação da conta", "Lançamento"],
+                                   [2.5, f"CHARGEBACK NSU: {other}-2", 45000.25]])
+    workbook(tmp_path / "c.xlsx", [["Something", "Else"], ["CHARGEBACK", 1]])
+    got = dicts(feeds.load_ledger(spark, str(tmp_path)), "source_file")
+    assert [(r["psp_reference_sap"], r["valor_sap"], r["valor_sap_numero"], r["data_lancamento_sap"], r["Extra"])
+            for r in got] == [
+        (REF, "1.5", Decimal("1.50"), datetime(2025, 1, 31), "e"),
+        (other, "2.5", Decimal("2.50"), datetime(2023, 3, 15, 6), None),
+    ]
+
+
+def test_cells_shown_as_dates(spark, tmp_path):
+    workbook(tmp_path / "a.xlsx", [["Denominação", "Data entrada", "Valor"], ["CHARGEBACK", 45000.5, 45000]])
+    with zipfile.ZipFile(tmp_path / "a.xlsx") as book:
+        parts = {n: book.read(n) for n in book.namelist()}
+    parts["xl/worksheets/sheet1.xml"] = parts["xl/worksheets/sheet1.xml"].replace(b'<c r="B2">', b'<c r="B2" s="1">')
+    parts["xl/styles.xml"] = (
+        b'<styleSheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main">'
+        b'<numFmts><numFmt numFmtId="164" formatCode="yyyy\\-mm\\-dd"/></numFmts>'
+        b'<cellXfs><xf numFmtId="0"/><xf numFmtId="164"/></cellXfs></styleSheet>')
+    with zipfile.ZipFile(tmp_path / "a.xlsx", "w") as book:
+        for name, data in parts.items():
+            book.writestr(name, data)
+    got = documents.scan_workbooks(spark, [str(tmp_path / "a.xlsx")]).first()
+    assert (got["Data entrada"], got["Valor"]) == ("2023-03-15 12:00:00", "45000")
+
+
+def test_antifraud_prefix_reaches_the_join(spark, tmp_path):
+    put(tmp_path, "r.csv", "PEDIDO;STATUS DO CHARGEBACK\n7-1;ok\n")
+    assert "clearsale_status_do_chargeback" in feeds.load_antifraud(spark, str(tmp_path), "clearsale_").columns
