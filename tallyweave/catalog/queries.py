@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import io
 import uuid
+import zipfile
 from collections.abc import Callable
+from xml.sax.saxutils import escape
+
+import pandas as pd
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -671,6 +676,99 @@ def scan_html_tables(spark, sf):
     return scanned.select(*[F.col(c).alias(c.lower().replace(" ", "_")) for c in columns])
 
 
+WORKBOOK_ROWS = 1000  # rows of one workbook
+
+
+def _workbook(rows: list[list]) -> bytes:
+    """A small spreadsheet package: text cells inline, numbers as they are."""
+    ns = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
+    out = []
+    for i, row in enumerate(rows, 1):
+        cells = "".join(
+            f'<c r="{chr(65 + j)}{i}"><v>{v}</v></c>' if isinstance(v, (int, float))
+            else f'<c r="{chr(65 + j)}{i}" t="inlineStr"><is><t>{escape(v)}</t></is></c>'
+            for j, v in enumerate(row) if v is not None)
+        out.append(f'<row r="{i}">{cells}</row>')
+    data = io.BytesIO()
+    with zipfile.ZipFile(data, "w", zipfile.ZIP_DEFLATED) as book:
+        book.writestr("xl/worksheets/sheet1.xml",
+                      f'<worksheet xmlns="{ns}"><sheetData>{"".join(out)}</sheetData></worksheet>')
+    return data.getvalue()
+
+
+def _ledger_workbooks(spark, sf) -> DataFrame:
+    """The raw ledger as workbooks (path, content) in two layouts.
+
+    One has day numbers and narrative first, the other day-first texts and the
+    amount first.  A workbook holds a bounded number of rows.
+    """
+    rows = fx.raw_ledger(spark, sf).select(
+        F.floor(F.col("ordinal") / (2 * WORKBOOK_ROWS)).alias("page"), "denominacao_sap", "valor_sap",
+        F.date_diff(F.col("data_lancamento_sap"), F.lit("1899-12-30").cast("date")).alias("day"),
+        F.date_format("data_lancamento_sap", "dd/MM/yyyy").alias("text"))
+
+    def pack(page: pd.DataFrame) -> pd.DataFrame:
+        number = int(page["page"].iloc[0])
+        if number % 2:
+            head, columns = ["Montante", "Lançamento", "Denominação da conta"], ["valor_sap", "text", "denominacao_sap"]
+        else:
+            head, columns = ["Denominação", "Data de lançamento", "Valor"], ["denominacao_sap", "day", "valor_sap"]
+        cells = [[int(v) if c == "day" else v for c, v in zip(columns, r, strict=True)]
+                 for r in page[columns].itertuples(index=False)]
+        return pd.DataFrame({"path": [f"ledger/{number}.xlsx"], "content": [_workbook([head, *cells])]})
+
+    return rows.groupBy("page").applyInPandas(pack, "path string, content binary")
+
+
+@query
+def scan_workbooks(spark, sf):
+    """Both layouts of the workbooks stacked by column name."""
+    cells = documents.cells_of(_ledger_workbooks(spark, sf), documents.workbook_rows)
+    return documents.named_cells(cells).select(
+        F.coalesce("Denominação", "Denominação da conta").alias("denominacao_sap"),
+        F.coalesce("Valor", "Montante").alias("valor_sap"),
+        F.coalesce("Data de lançamento", "Lançamento").alias("placed"))
+
+
+@query
+def load_ledger(spark, sf):
+    """Chargeback postings from workbooks whose headers differ: columns by layout, typed values."""
+    cells = documents.cells_of(_ledger_workbooks(spark, sf), documents.workbook_rows)
+    return file_feeds.ledger_of_cells(cells).select(
+        "denominacao_sap", "psp_reference_sap", "nsu", "data_lancamento_sap", "valor_sap",
+        F.col("valor_sap_numero").cast("decimal(18,2)").alias("valor_sap_numero"))
+
+
+def _report_files(spark, sf) -> str:
+    """Report files in which every order has one row; a second one is listed under its own id."""
+    path = fresh_path(spark, "reports-once")
+    rows = fx.raw_antifraud(spark, sf)
+    again = F.concat(F.lit("R"), F.col("PEDIDO"))
+    rows = rows.withColumn("PEDIDO", F.when(F.col("ordinal") % 2 == 1, again).otherwise(F.col("PEDIDO")))
+    _csv(rows.select(*_report_columns()), path, sep=";")
+    return path
+
+
+@query
+def load_antifraud(spark, sf):
+    """The report feed from its files under the prefix of the older flow."""
+    return file_feeds.load_antifraud(spark, _report_files(spark, sf), "clearsale_").drop("clearsale_source_file_cs", "source_file_cs")
+
+
+@query
+def outer_from_files(spark, sf):
+    """The older flow from files to the conversion extract: load, outer join, provenance."""
+    disputes = file_feeds.load_disputes(spark, _mixed_feed(spark, sf)).select(
+        "dispute_id", F.col("merchant_reference").alias("dispute"), "psp_reference", "record_type", "vtex_order_id")
+    cells = documents.cells_of(_ledger_workbooks(spark, sf), documents.workbook_rows)
+    postings = file_feeds.ledger_of_cells(cells).select("ordinal", "psp_reference_sap")
+    reports = file_feeds.load_antifraud(spark, _report_files(spark, sf), "clearsale_")
+    outer = consolidation.outer_reconciliation(disputes, postings, reports)
+    return consolidation.conversion_extract(outer, ("dispute_id", "ordinal")).select(
+        F.col("dispute").alias("dispute_id"), "psp_reference", "record_type", "vtex_order_id",
+        "psp_reference_sap", "virou_chargeback", "fonte")
+
+
 @query
 def scan_order_export(spark, sf):
     """Order export with a byte order mark, several rows per order, then one row per order."""

@@ -71,8 +71,12 @@ def notification_extract(outer: DataFrame) -> DataFrame:
 def conversion_extract(
     outer: DataFrame, row_id: Sequence[str], prefix: str = "clearsale_"
 ) -> DataFrame:
-    """Both dispute types with conversion flag and provenance in front."""
-    rows = feeds.filter_record_types(outer)
+    """Both dispute types with conversion flag and provenance in front.
+
+    The rows are stored first: the flag looks at them several times, and the
+    outer join behind them should run once.
+    """
+    rows = cut_lineage(feeds.filter_record_types(outer))
     flagged = match.flag_noc_conversion_v2(rows, row_id)
     labelled = match.label_provenance(flagged, prefix)
     return feeds.move_to_front(labelled, ["virou_chargeback", "fonte"])

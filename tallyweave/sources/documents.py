@@ -190,13 +190,17 @@ def _cells_of(reader: Callable[[bytes], Iterable]):
 
 
 def read_cells(spark: SparkSession, paths: Sequence[str], reader: Callable[[bytes], Iterable]) -> DataFrame:
-    """Every file opened and parsed once, its rows stored: :data:`CELLS`.
+    """The cells of the files, see :func:`cells_of`."""
+    return cells_of(spark.read.format("binaryFile").load(list(paths)), reader)
+
+
+def cells_of(files: DataFrame, reader: Callable[[bytes], Iterable]) -> DataFrame:
+    """Every file (path, content) opened and parsed once, its rows stored: :data:`CELLS`.
 
     Row 0 is the header.  A file that cannot be read has one row with the
     ``problem`` instead; see :func:`problems`.
     """
-    files = spark.read.format("binaryFile").load(list(paths)).select("path", "content")
-    return cut_lineage(files.mapInPandas(_cells_of(reader), CELLS))
+    return cut_lineage(files.select("path", "content").mapInPandas(_cells_of(reader), CELLS))
 
 
 def problems(cells: DataFrame) -> DataFrame:

@@ -37,10 +37,14 @@ def load_ledger(spark: SparkSession, folder: str) -> DataFrame:
     that cannot be read and those without a narrative column are left out whole.
     """
     paths = list_inputs(spark, folder, "*.xlsx")
-    cells = read_cells(spark, paths, workbook_rows)
+    return ledger_of_cells(read_cells(spark, paths, workbook_rows))
+
+
+def ledger_of_cells(cells: DataFrame) -> DataFrame:
+    """As :func:`load_ledger`, from workbooks that are already parsed."""
     raw = named_cells(cells, feeds.ledger_columns, source_file="source_file", position="ordinal")
     if not raw.columns:
-        raise ValueError(f"no workbook with a narrative column in {folder}")
+        raise ValueError("no workbook has a narrative column")
     return feeds.prepare_ledger(feeds.type_ledger(raw))
 
 
