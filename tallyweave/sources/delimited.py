@@ -27,6 +27,8 @@ class Layout:
     header: str
     delimiter: str
     encoding: str = "UTF-8"
+    #: a quoted value may hold a line break, so files are not split
+    multi_line: bool = False
 
     @property
     def columns(self) -> list[str]:
@@ -62,8 +64,9 @@ def read_layouts(
 ) -> dict[Layout, list[str]]:
     """Group files by layout.
 
-    One text scan gives a row per file: its first line and, if asked for,
-    whether every line is valid UTF-8.  Lines are not parsed.
+    One text scan gives a row per file: its first line, whether every line is
+    valid UTF-8 (if asked for), and whether a line leaves a quote open, which
+    means that values hold line breaks.  Lines are not parsed.
     """
     lines = spark.read.text(list(paths)).select(
         F.col("_metadata.file_path").alias("path"),
@@ -71,14 +74,16 @@ def read_layouts(
                  F.monotonically_increasing_id().alias("line")).alias("position"),
         F.col("value").cast("binary").alias("raw"),
     )
-    if not detect_encoding:
-        lines = lines.where("position.block = 0")
+    value = F.col("raw").cast("string")
+    quotes = F.length(value) - F.length(F.replace(value, F.lit('"'), F.lit("")))
     files = cut_lineage(lines.groupBy("path").agg(
         F.min_by("raw", "position").alias("header"),
-        F.bool_and(F.is_valid_utf8(F.col("raw").cast("string"))).alias("utf8"),
+        (F.bool_and(F.is_valid_utf8(value)) if detect_encoding else F.lit(True)).alias("utf8"),
+        F.bool_or(quotes % 2 == 1).alias("open"),
     ))
-    files = files.select("path", F.struct("header", "utf8").alias("kind"),
-                         F.concat(F.sha2("header", 256), F.col("utf8").cast("string")).alias("kind_id"))
+    files = files.select("path", F.struct("header", "utf8", "open").alias("kind"),
+                         F.concat_ws(" ", F.sha2("header", 256), F.col("utf8").cast("string"),
+                                     F.col("open").cast("string")).alias("kind_id"))
     # one row per kind of header and one short row per file, as in a file listing
     kinds = {r["kind_id"]: r["kind"] for r in files.select("kind_id", "kind").distinct().collect()}
     layouts: dict[Layout, list[str]] = defaultdict(list)
@@ -86,7 +91,8 @@ def read_layouts(
         kind = kinds[row["kind_id"]]
         encoding = "UTF-8" if kind["utf8"] or not detect_encoding else LATIN1
         header = bytes(kind["header"]).decode(encoding, errors="replace").lstrip(BOM)
-        layouts[Layout(header, delimiter or sniff_delimiter(header), encoding)].append(row["path"])
+        layout = Layout(header, delimiter or sniff_delimiter(header), encoding, kind["open"])
+        layouts[layout].append(row["path"])
     return dict(layouts)
 
 
@@ -99,7 +105,7 @@ def _read(spark: SparkSession, layout: Layout, paths: list[str], multi_line: boo
         .option("encoding", layout.encoding).option("quote", '"').option("escape", '"')
         .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_malformed")
         .option("enforceSchema", "true").option("ignoreCorruptFiles", "true")
-        .option("multiLine", str(multi_line).lower())
+        .option("multiLine", str(multi_line or layout.multi_line).lower())
         .csv(paths)
     )
 

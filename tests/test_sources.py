@@ -228,3 +228,13 @@ def test_cells_shown_as_dates(spark, tmp_path):
 def test_antifraud_prefix_reaches_the_join(spark, tmp_path):
     put(tmp_path, "r.csv", "PEDIDO;STATUS DO CHARGEBACK\n7-1;ok\n")
     assert "clearsale_status_do_chargeback" in feeds.load_antifraud(spark, str(tmp_path), "clearsale_").columns
+
+
+def test_quoted_line_breaks_keep_their_record(spark, tmp_path):
+    put(tmp_path, "a.csv", "Record Type,Psp Reference,Dispute Amount,Dispute Reason,Record Date\n"
+        'Chargeback,R1,1,"Fraud\nsecond line",2025-01-02\nChargeback,R2,1,plain,2025-01-03\n')
+    put(tmp_path, "b.csv", "Record Type,Psp Reference,Dispute Amount,Dispute Reason,Record Date\nChargeback,R3,1,x,2025-01-04\n")
+    got = {r["psp_reference"]: (r["dispute_reason"], r["record_date"]) for r in
+           feeds.load_disputes(spark, str(tmp_path)).collect()}
+    assert got == {"R1": ("Fraud\nsecond line", datetime(2025, 1, 2)), "R2": ("plain", datetime(2025, 1, 3)),
+                   "R3": ("x", datetime(2025, 1, 4))}
