@@ -36,8 +36,11 @@ def build_session(
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that ``spark.checkpoint.dir`` names, which all executors must share."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that ``spark.checkpoint.dir`` names, which all executors must share.
+
+    Without the setting, that of ``SparkContext.setCheckpointDir``, as local tests use it.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
     return named.rstrip("/")
