@@ -130,18 +130,22 @@ SELECT *, failed & 3 <> 0 AS base_failed, failed = 0 AS kept FROM f
 """
 
 
-#: Runs of three lines with a word, compared by their text; the least id and then the
-#: least line comes first.
+#: Runs of three lines with a word, or of fewer with 50 words, compared by their text;
+#: the least id and then the least line comes first.
 _OP7 = r"""
 WITH d AS (SELECT row_number() OVER () AS rn, doc_id, coalesce(text, '') AS text, text IS NULL AS none FROM documents),
 l AS (SELECT rn, doc_id, unnest(string_split(text, chr(10))) AS s,
              unnest(range(len(string_split(text, chr(10))))) AS k FROM d),
 w AS (SELECT rn, doc_id, k, regexp_replace(s, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g') AS s FROM l
       WHERE regexp_matches(s, '[^\x20\x09-\x0D]')),
-r AS (SELECT rn, doc_id, k, lead(k, 2) OVER o AS e,
-             [s, lead(s, 1) OVER o, lead(s, 2) OVER o] AS g
+c AS (SELECT *, len(regexp_extract_all(s, '[^\x20\x09-\x0D]+')) AS n, lead(s, 1) OVER o AS s1,
+             lead(s, 2) OVER o AS s2, lead(k, 1) OVER o AS k1, lead(k, 2) OVER o AS k2
       FROM w WINDOW o AS (PARTITION BY rn ORDER BY k)),
-f AS (SELECT *, min(struct_pack(a := doc_id, b := k)) OVER (PARTITION BY g) AS early FROM r WHERE e IS NOT NULL),
+r AS (SELECT rn, doc_id, k, k2 AS e, [s, s1, s2] AS g FROM c WHERE k2 IS NOT NULL
+      UNION ALL SELECT rn, doc_id, k, k1, [s, s1] FROM c
+      WHERE k1 IS NOT NULL AND n + len(regexp_extract_all(s1, '[^\x20\x09-\x0D]+')) >= 50
+      UNION ALL SELECT rn, doc_id, k, k, [s] FROM c WHERE n >= 50),
+f AS (SELECT *, min(struct_pack(a := doc_id, b := k)) OVER (PARTITION BY g) AS early FROM r),
 gone AS (SELECT DISTINCT l.rn, l.k FROM f JOIN l ON l.rn = f.rn AND l.k BETWEEN f.k AND f.e
          WHERE f.doc_id <> early.a OR f.k > early.b),
 kept AS (SELECT l.rn, string_agg(s, chr(10) ORDER BY k) AS t FROM l ANTI JOIN gone USING (rn, k) GROUP BY l.rn),
@@ -152,5 +156,44 @@ FROM d LEFT JOIN kept USING (rn) LEFT JOIN n USING (rn)
 """
 
 
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+#: Links by a join on shingles; components by what each document can reach.
+_OP4 = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(""" + _LOWER + r""", '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[p : p + least(5, len(w)) - 1], ' ') AS g
+      FROM (SELECT doc_id, w, unnest(range(1, len(w) - least(5, len(w)) + 2)) AS p FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+pairs AS (SELECT a.doc_id AS x, b.doc_id AS y FROM s a JOIN s b USING (g)
+          JOIN n AS na ON na.doc_id = a.doc_id JOIN n AS nb ON nb.doc_id = b.doc_id
+          WHERE a.doc_id < b.doc_id GROUP BY 1, 2, na.n, nb.n
+          HAVING 100 * count(*) >= 85 * (na.n + nb.n - count(*))),
+e AS (SELECT x, y FROM pairs UNION SELECT y, x FROM pairs),
+reach(doc_id, c) AS (SELECT doc_id, doc_id FROM d UNION SELECT r.doc_id, e.y FROM reach r JOIN e ON e.x = r.c)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, min(c) AS component_id, doc_id = min(c) AS kept
+FROM reach LEFT JOIN n USING (doc_id) GROUP BY doc_id, n
+"""
+
+#: Windows of documents and items joined by their words.
+_OP8 = r"""
+WITH d AS (SELECT row_number() OVER () AS rn, doc_id,
+             regexp_extract_all(""" + _LOWER + r""", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT CAST(item_id AS VARCHAR) AS item,
+             regexp_extract_all(""" + _LOWER + r""", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+bw AS (SELECT item, n, array_to_string(w[p : p + n - 1], ' ') AS g FROM (
+  SELECT item, w, least(10, len(w)) AS n, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS p
+  FROM b WHERE len(w) > 0)),
+dw AS (SELECT rn, p, n, array_to_string(w[p : p + n - 1], ' ') AS g FROM (
+  SELECT rn, w, n, unnest(range(1, len(w) - n + 2)) AS p FROM d, (SELECT DISTINCT n FROM bw) WHERE len(w) >= n)),
+m AS (SELECT DISTINCT rn, p, n, item FROM dw JOIN bw USING (n, g)),
+hit AS (SELECT rn, count(DISTINCT k) AS h FROM (SELECT rn, unnest(range(p, p + n)) AS k FROM m) GROUP BY rn),
+found AS (SELECT rn, count(DISTINCT item) AS c, string_agg(DISTINCT item, ',' ORDER BY item) AS s FROM m GROUP BY rn)
+SELECT doc_id, len(w) AS n_words, coalesce(h, 0) AS n_hit, coalesce(c, 0) AS n_items,
+       sha256(coalesce(s, '')) AS items_sha256, coalesce(h, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit USING (rn) LEFT JOIN found USING (rn)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": _OP1, "op7_line_dedup": _OP7}
+    return {"op1_quality_rules": _OP1, "op4_minhash_near_dedup": _OP4, "op7_line_dedup": _OP7,
+            "op8_decontamination": _OP8}
