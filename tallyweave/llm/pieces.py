@@ -14,6 +14,7 @@ emptied when it reaches ``remembered`` words, which changes no result.
 from __future__ import annotations
 
 import functools
+import heapq
 import re
 from collections.abc import Iterable
 from itertools import chain
@@ -24,6 +25,8 @@ from pyspark.sql import DataFrame
 from tallyweave.llm.common import id_and_text, map_rows, sha256_hex
 
 MARK = "▁"
+#: Characters from which a word is merged by itself.
+LONG = 1000
 _WORD = re.compile(f"{MARK}+[^{MARK}]*")
 
 # Kinds of a vocabulary entry and the fields read from a model file, as the
@@ -201,13 +204,62 @@ class Pieces:
             symbol, word, place = map(np.concatenate, zip(*ready, strict=True))
             order = np.argsort(place, kind="stable")
             for s, w in zip(symbol[order].tolist(), word[order].tolist(), strict=True):
-                if s >= 0:
-                    out[w].append(s)
-                else:
-                    ids = [self.bytes[b] for b in chr(-1 - s).encode()]
-                    out[w] += ids if min(ids) >= 0 else [self.unknown]
+                out[w] += (s,) if s >= 0 else self._spelled(s)
         return out
 
+    def _spelled(self, symbol: int) -> list[int]:
+        """The byte ids of a character that is no piece."""
+        ids = [self.bytes[b] for b in chr(-1 - symbol).encode()]
+        return ids if min(ids) >= 0 else [self.unknown]
+
+    def merge_long(self, word: str) -> list[int]:
+        """Ids of one very long word, a merge at a time from a queue: best rank, then leftmost.
+
+        Rounds could need one pass over the word for each of its merges.
+        """
+        get, rank = self.ids.get, self.rank
+        symbol = [get(c, -1 - ord(c)) for c in word]
+        n = len(symbol)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        lookup = self._one_pair
+
+        def offer(left: int, right: int) -> None:
+            made = lookup(symbol[left], symbol[right])
+            if made >= 0:
+                heapq.heappush(queue, (int(rank[made]), left, right, symbol[left], symbol[right], made))
+
+        queue: list = []
+        for i in range(n - 1):
+            offer(i, i + 1)
+        gone = [False] * n
+        while queue:
+            _, left, right, a, b, made = heapq.heappop(queue)
+            # an offer is stale if either symbol has changed or is no longer next to the other
+            if gone[left] or gone[right] or after[left] != right or symbol[left] != a or symbol[right] != b:
+                continue
+            symbol[left], gone[right] = made, True
+            after[left] = after[right]
+            if after[left] < n:
+                before[after[left]] = left
+                offer(left, after[left])
+            if before[left] >= 0:
+                offer(before[left], left)
+        out: list[int] = []
+        for s, dead in zip(symbol, gone, strict=True):
+            if not dead:
+                out += (s,) if s >= 0 else self._spelled(s)
+        return out
+
+    def _one_pair(self, left: int, right: int) -> int:
+        if left < 0 or right < 0:
+            return -1
+        key = left * self.size + right
+        for seed, shift, keys, made in self.tables:
+            slot = ((key * int(seed)) & 0xFFFFFFFFFFFFFFFF) >> int(shift)
+            if keys[slot] == key:
+                return int(made[slot])
+        return -1
+
     def decode(self, ids: Iterable[int]) -> str:
         """Text of the ids: pieces joined, marks as spaces, the leading mark dropped."""
         data = b"".join(map(self.surface.__getitem__, ids))
@@ -237,7 +289,10 @@ class Encoder:
         cut = [words_of(t) for t in texts]
         new = list(set().union(*cut).difference(self.known))
         surface = self.pieces.surface
-        for word, ids in zip(new, self.pieces.merge(new), strict=True):
+        long = [w for w in new if len(w) > LONG]
+        new = [w for w in new if len(w) <= LONG]
+        merged = [*self.pieces.merge(new), *map(self.pieces.merge_long, long)]
+        for word, ids in zip([*new, *long], merged, strict=True):
             self.known[word] = (
                 len(ids), " ".join(map(str, ids)) if self.as_text else ids,
                 b"".join(map(surface.__getitem__, ids)))

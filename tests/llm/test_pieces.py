@@ -37,6 +37,18 @@ def test_ids_and_text_equal_the_library(library, own):
         assert data.decode("utf-8", "replace") == library.decode(ids) == own.decode(ids), text
 
 
+@pytest.mark.parametrize("text", [" " * 3000 + "the end", "x" * 20_000, "ab" * 5000, "é▁" * 800 + " " * 1500, "=-" * 2000])
+def test_very_long_words(library, own, text):
+    n, ids, data = next(pieces.Encoder(own, as_text=False).encode([text]))
+    assert ids == library.encode(text, add_eos=True) and data.decode() == library.decode(ids)
+
+
+def test_the_queue_equals_the_rounds(own):
+    for text in _texts():
+        for word in pieces.words_of(text)[:20]:
+            assert own.merge_long(word) == own.merge([word])[0], word
+
+
 def test_forgetting_changes_nothing(own):
     texts = list(_texts())[:300]
     small = pieces.Encoder(own, remembered=0)
