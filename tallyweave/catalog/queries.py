@@ -204,7 +204,7 @@ def coalesce_location(spark, sf):
 @query
 def upper_method(spark, sf):
     return fx.disputes(spark, sf, "payment_method").select(
-        "dispute_id", F.upper("payment_method").alias("pm"))
+        "dispute_id", text.upper_method("payment_method").alias("pm"))
 
 
 @query

@@ -141,7 +141,6 @@ LABEL_WIDTH = 60
 PREVIEW_ROWS = 15
 SAMPLE_ROWS = 5
 RECURRENCE_DANGER = 50
-RECURRENCE_DANGER_OLD = 5
 
 # --- Fixed values: order extraction windows ----------------------------------
 WINDOW_HOURS = 2

@@ -66,6 +66,11 @@ def order_id_suffix(c: Column | str) -> Column:
     return found.otherwise(F.when(value.isNotNull(), ""))
 
 
+def upper_method(c: Column | str) -> Column:
+    """A payment method as the dashboard groups it: upper-cased, missing ones null."""
+    return F.upper(present(c))
+
+
 def truncate_label(c: Column | str, width: int = C.LABEL_WIDTH) -> Column:
     return F.substring(_col(c), 1, width)
 

@@ -73,8 +73,7 @@ def dash_reason(df: DataFrame, start: Month = None, end: Month = None) -> DataFr
 
 def dash_method(df: DataFrame, start: Month = None, end: Month = None) -> DataFrame:
     """Methods are upper-cased, after missing ones are dropped."""
-    method = F.upper(text.present("payment_method"))
-    return value_counts(month_range_filter(df, start, end), method)
+    return value_counts(month_range_filter(df, start, end), text.upper_method("payment_method"))
 
 
 def dash_status(df: DataFrame, start: Month = None, end: Month = None) -> DataFrame:
