@@ -18,8 +18,8 @@ subsequence: scoring a word is a sum over its own subsequences, at any length.
 from __future__ import annotations
 
 import functools
-import heapq
 import math
+import re
 import unicodedata
 from collections import Counter
 from dataclasses import dataclass
@@ -51,8 +51,13 @@ TOP = 3
 LEAST = -2.0
 
 
+_SPELLED = re.compile(r"(?<!\S)\S(?:[^\S\n]\S){2,}(?!\S)")
+
+
 def _bare(token: str) -> str:
     """A token without punctuation at its ends."""
+    if token[:1].isalnum() and token[-1].isalnum():
+        return token
     return token.strip("".join({c for c in token if unicodedata.category(c)[0] in "PSZC"}))
 
 
@@ -78,6 +83,14 @@ def sentences(text: str) -> list[list[str]]:
     return out
 
 
+def tokens(text: str) -> set[str]:
+    """The distinct tokens of all sentences; single characters stay beside the words they spell."""
+    lowered = text.lower()
+    out = set(lowered.split())
+    out.update("".join(m.split()) for m in _SPELLED.findall(lowered))
+    return out
+
+
 def subsequences(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(word, key, weight) of every subsequence of three characters, a row per word and key.
 
@@ -171,14 +184,16 @@ class Scorer:
         """Per text the values of its worst sentences' words: the ``TOP`` largest, distinct."""
         if len(self.known) > self.remembered:
             self.known.clear()
-        cut = [{t for s in sentences(text) for t in s} for text in texts]
+        cut = list(map(tokens, texts))
         new = list(set().union(*cut).difference(self.known))
         values = self.model.word_values(list(map(_bare, new))) + self.model.offset
         self.known.update(zip(new, np.maximum(values, LEAST).tolist(), strict=True))
         out = np.full((len(texts), TOP), LEAST)
-        for row, tokens in zip(out, cut, strict=True):
-            top = heapq.nlargest(TOP, map(self.known.__getitem__, tokens))
-            row[: len(top)] = top
+        for row, own in zip(out, cut, strict=True):
+            if own:
+                top = np.fromiter(map(self.known.__getitem__, own), float, len(own))
+                top = np.sort(np.partition(top, -TOP)[-TOP:] if len(top) > TOP else top)[::-1]
+                row[: len(top)] = top
         return out
 
     def score(self, texts: list[str]) -> list[float]:
