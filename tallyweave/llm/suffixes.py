@@ -40,9 +40,13 @@ from tallyweave.session import shared_dir, shuffle_partitions
 MATCH = 100
 GRAM = 24
 BLOCK_BYTES = 2_000_000
+#: Bytes whose anchors are found together.
+CHUNK = 1_000_000
 #: Leading bytes that splitters compare, and how many are sampled for them.
 LEAD = 16
-SAMPLE = 20_000
+SAMPLE = 40_000
+#: Ranges per shuffle partition.
+RANGES = 4
 #: Place of documents without an id: behind all others.
 LAST = np.iinfo(np.int64).max
 
@@ -118,13 +122,23 @@ class Block:
         ids = np.array([LAST if i is None else i for i in row["ids"]], np.int64)
         return cls(data, ids, np.r_[0, np.cumsum(row["sizes"], dtype=np.int64)].astype(np.int64))
 
-    def anchors(self, sizes: Sizes) -> tuple[np.ndarray, np.ndarray]:
+    def anchors(self, sizes: Sizes, chunk: int = CHUNK) -> tuple[np.ndarray, np.ndarray]:
         """(places, hashes): all least grams of the strings that lie within a text."""
-        n = len(self.data)
+        found = [self._anchors(c, min(c + chunk, len(self.data)), sizes) for c in range(0, len(self.data), chunk)]
+        if not found:
+            return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        return tuple(map(np.concatenate, zip(*found, strict=True)))
+
+    def _anchors(self, start: int, end: int, sizes: Sizes) -> tuple[np.ndarray, np.ndarray]:
+        """Anchors from ``start`` to ``end``, by the strings around them."""
+        low, high = max(0, start - sizes.before), min(len(self.data), end + sizes.match)
+        data, n = self.data[low:high], high - low
         if n < sizes.match:
             return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-        left = np.repeat(self.starts[1:], np.diff(self.starts)) - np.arange(n)
-        h = _gram_hashes(self.data, sizes.gram)
+        first, last = np.searchsorted(self.starts, low, "right") - 1, np.searchsorted(self.starts, high, "left")
+        edges = np.clip(self.starts[first : last + 1], low, high)
+        left = np.repeat(self.starts[first + 1 : last + 1], np.diff(edges)) - np.arange(low, high)
+        h = _gram_hashes(data, sizes.gram)
         h = np.where(left[: len(h)] >= sizes.gram, h, _NEVER)
         least = _sliding(h, sizes.before + 1, np.minimum)
         # strings beyond a text's end choose nothing
@@ -132,7 +146,8 @@ class Block:
         pad = np.zeros(sizes.before, np.uint64)
         most = _sliding(np.r_[pad, least, pad], sizes.before + 1, np.maximum)
         at = np.flatnonzero((most == h) & (h != 0) & (h != _NEVER))
-        return at, h[at]
+        at = at[(at + low >= start) & (at + low < end)]
+        return at + low, h[at]
 
     def contexts(self, at: np.ndarray, sizes: Sizes):
         """Bytes from each place on and before it (nearest first), with their true lengths."""
@@ -184,7 +199,7 @@ def _store_blocks(docs: DataFrame, block_bytes: int) -> DataFrame:
 
         def row():
             data = b"".join(texts)
-            step = max(1, len(data) // 4)
+            step = max(1, len(data) // 64)
             lead = [data[i : i + LEAD] for i in range(step // 2, len(data), step)]
             return ((part << 33) + n, list(ids), list(map(len, texts)),
                     zstandard.ZstdCompressor(level=1).compress(data), lead)
@@ -217,7 +232,10 @@ def _recurring(blocks: DataFrame, sizes: Sizes) -> DataFrame:
     def send(rows):
         for r in rows:
             h = np.unique(Block.of(r).anchors(sizes)[1])
-            cuts = np.searchsorted((h >> np.uint64(32)) * np.uint64(n) >> np.uint64(32), np.arange(n + 1, dtype=np.uint64))
+            # anchors have low hashes, so these are scrambled again to deal them out evenly
+            to = (mix64(h) >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)
+            h = h[np.argsort(to, kind="stable")]
+            cuts = np.searchsorted(np.sort(to), np.arange(n + 1, dtype=np.uint64))
             for to, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
                 if b > a:
                     yield to, r["block"], h[a:b].tobytes()
@@ -364,8 +382,10 @@ def _verdicts(blocks: DataFrame, sizes: Sizes) -> DataFrame:
     sample = (blocks.select(F.explode("lead").alias("lead")).orderBy(F.xxhash64("lead"))
               .limit(SAMPLE).collect())
     leads = np.sort(np.array([bytes(r["lead"]) for r in sample], f"S{LEAD}"))
-    cuts = np.unique(leads[np.arange(1, n) * len(leads) // n]) if len(leads) else leads
-    splitters = spark.sparkContext.broadcast(cuts)  # one per partition
+    # several ranges per partition, so that large and small ones even out
+    ranges = RANGES * n
+    cuts = np.unique(leads[np.arange(1, ranges) * len(leads) // ranges]) if len(leads) else leads
+    splitters = spark.sparkContext.broadcast(cuts)
 
     def send(rows):
         for r in rows:
@@ -404,18 +424,17 @@ def _verdicts(blocks: DataFrame, sizes: Sizes) -> DataFrame:
                         place=place[m], at=own[m])
             spans = np.concatenate(done) if done else np.zeros((0, 2), np.int64)
             if len(spans):
-                yield r["block"] % n, r["block"], _pack(done=spans)
+                yield -1 - r["block"] % n, r["block"], _pack(done=spans)
 
     def compare(rows):
         held: dict[int, list] = {}
         for r in rows:
-            got = _unpack(r["rows"])
-            if "done" in got:
-                yield r["block"], got["done"].tobytes()
+            if r["to"] < 0:
+                yield r["block"], _unpack(r["rows"])["done"].tobytes()
             else:
-                held.setdefault(r["to"], []).append((r["block"], got))
-        for to in list(held):
-            own = held.pop(to)
+                held.setdefault(r["to"], []).append((r["block"], r["rows"]))
+        for to in list(held):  # unpacked one range at a time
+            own = [(block, _unpack(packed)) for block, packed in held.pop(to)]
             column = {k: np.concatenate([g[k] for _, g in own]) for k in own[0][1]}
             of = np.repeat(np.arange(len(own)), [len(g["at"]) for _, g in own])
             least, most = judge(*(column[k] for k in ("right", "left", "after", "before", "doc", "place")), sizes)

@@ -64,3 +64,14 @@ def test_every_string_holds_an_anchor():
     for a, b in ((0, 150), (150, 400)):
         for s in range(a, b - 30 + 1):
             assert ((at >= s) & (at + 8 <= s + 30)).any()
+
+
+@pytest.mark.parametrize("chunk", [1, 7, 50, 137])
+def test_anchors_do_not_depend_on_the_chunk(chunk):
+    rng = np.random.default_rng(5)
+    sizes = suffixes.Sizes(30, 8)
+    lengths = [0, 150, 29, 30, 0, 300, 5, 1]
+    block = suffixes.Block(rng.integers(97, 100, sum(lengths)).astype(np.uint8), np.arange(len(lengths)),
+                           np.r_[0, np.cumsum(lengths)])
+    for whole, part in zip(block.anchors(sizes), block.anchors(sizes, chunk)):
+        assert (whole == part).all()
