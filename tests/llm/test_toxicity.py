@@ -37,10 +37,12 @@ def test_held_out_documents(model):
 def test_gapped_and_inserted_characters(model):
     scorer = toxicity.Scorer(model)
     plain = " ".join(CLEAN[:30])
-    for word in ("stuupid", "st.upid", "sttupid", "mor0on", "worth-less"):
-        twice = f"{plain} {word} {plain} {word}. {word}x"
-        assert scorer.score([twice])[0] > 2 * scorer.score([plain])[0], word
+    assert scorer.score([plain])[0] < 0.5
+    for word in ("stuupid", "st.upid", "s.t.u.p.i.d", "stxupid", "worth-less", "w o r t h l e s s", "m*o*r*o*n"):
+        twice = f"{plain} {word} {plain} {word}. {word}"
+        assert scorer.score([twice])[0] >= 0.5, word
     assert toxicity.sentences("you s t u p i d one.\nnext") == [["you", "stupid", "one."], ["next"]]
+    assert {"you", "stupid", "one.", "next"} <= toxicity.tokens("you s t u p i d one.\nnext")
 
 
 def test_kernel_is_the_gapped_subsequence_kernel():
