@@ -9,8 +9,9 @@ What is left is confirmed on the full shingle sets of both texts.
 A band bucket is resolved by stars, never by all its pairs: its smallest members
 are compared with the others, confirmed links are contracted to components, and
 members that the next stars would compare within one component are skipped.  The
-number of star centres doubles each round until every bucket is decided, so each
-pair of a bucket is compared or known to be in one component.
+number of star centres grows fourfold each round until every bucket is decided,
+so each pair of a bucket is compared, known to be in one component, or ruled out:
+shingles that no other candidate has bound every intersection from above.
 """
 
 from __future__ import annotations
@@ -143,31 +144,39 @@ def components(edges: DataFrame) -> DataFrame:
     """
     labels = None
     edges = cut_lineage(edges.filter("a <> b").distinct())
-    while not edges.isEmpty():
+    while labels is None or not edges.isEmpty():
         ends = edges.union(edges.select("b", "a"))
-        parent = cut_lineage(
-            ends.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("label")))
-        for _ in range(2):
-            up = parent.select(F.col("node").alias("label"), F.col("label").alias("top"))
-            parent = parent.join(up, "label", "left").select(
-                "node", F.coalesce("top", "label").alias("label"))
-        parent = cut_lineage(parent)
-        labels = parent if labels is None else cut_lineage(_relabel(labels, parent))
+        parent = ends.groupBy(F.col("a").alias("node")).agg(F.least(F.col("a"), F.min("b")).alias("label"))
+        parent = cut_lineage(_renamed(cut_lineage(_renamed(cut_lineage(parent), "label")), "label"))
+        labels = parent if labels is None else cut_lineage(merge_labels(labels, parent))
         edges = cut_lineage(_renamed(_renamed(edges, "a", parent), "b", parent).filter("a <> b").distinct())
     return labels
 
 
-def _relabel(labels: DataFrame, parent: DataFrame) -> DataFrame:
-    """Labels after their own nodes got new ones; nodes that are new to the labels are added."""
-    up = parent.select(F.col("node").alias("label"), F.col("label").alias("top"))
-    moved = labels.join(up, "label", "left").select("node", F.coalesce("top", "label").alias("label"))
-    return moved.union(parent.join(labels.select("node"), "node", "left_anti").select("node", "label"))
+def merge_labels(labels: DataFrame, further: DataFrame) -> DataFrame:
+    """Labels whose own nodes may have got further ones; nodes new to the labels are added."""
+    fresh = further.join(labels.select("node"), "node", "left_anti").select("node", "label")
+    return _renamed(labels, "label", further).select("node", "label").union(fresh)
 
 
-def _renamed(df: DataFrame, column: str, labels: DataFrame) -> DataFrame:
-    """The column's nodes replaced by their labels, where they have one."""
-    to = labels.select(F.col("node").alias(column), F.col("label").alias("_to"))
-    return df.join(to, column, "left").withColumn(column, F.coalesce("_to", column)).drop("_to")
+def _renamed(df: DataFrame, column: str, labels: DataFrame | None = None) -> DataFrame:
+    """The column's nodes replaced by their labels, where they have one (by default, those of ``df``)."""
+    to = (df if labels is None else labels).select(F.col("node").alias("_from"), F.col("label").alias("_to"))
+    return df.join(to, F.col(column) == F.col("_from"), "left").withColumn(
+        column, F.coalesce("_to", column)).drop("_from", "_to")
+
+
+def _lonely_shingles(texts: DataFrame, shingle: int) -> DataFrame:
+    """``node, lonely``: how many of a node's shingles no other node has."""
+    def run(parts):
+        for part in parts:
+            sets = [shingle_hashes(lowered_words(t), shingle) for t in part["text"]]
+            yield [np.repeat(np.array(part["node"], np.int64), list(map(len, sets))),
+                   np.concatenate(sets).astype(np.int64) if sets else []]
+
+    held = map_rows(texts, run, "node long, h long", 100)
+    alone = held.groupBy("h").agg(F.min("node").alias("node"), F.max("node").alias("most")).filter("node = most")
+    return alone.groupBy("node").agg(F.count("*").alias("lonely"))
 
 
 def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, shingle: int = SHINGLE) -> DataFrame:
@@ -179,58 +188,14 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, shingle: int =
     several texts.  A row without an id has no component and is kept.
     """
     bands = bands_for(threshold)
-    n = bands * BAND_ROWS
     signed = cut_lineage(signatures(docs, bands, shingle))
     named = signed.filter("doc_id is not null and n_shingles > 0")
     classes = cut_lineage(named.groupBy("k1", "k2").agg(F.min("doc_id").alias("node")))
-    own = named.join(classes.withColumnRenamed("node", "doc_id"), ["k1", "k2", "doc_id"], "left_semi")
-    bits = own.select(F.col("doc_id").alias("node"), "bits").dropDuplicates(["node"])
-    rows = own.select(F.explode("bands").alias("bucket"), F.col("doc_id").alias("node")).distinct()
-    shared = rows.groupBy("bucket").agg(F.min("node").alias("least"), F.max("node").alias("most")).filter("least < most")
-    live = cut_lineage(rows.join(shared.select("bucket"), "bucket", "left_semi"))
-    several = live.select("node").distinct()
-    texts = cut_lineage(
-        id_and_text(docs).withColumnRenamed("doc_id", "node").join(several, "node", "left_semi"))
-    bits = cut_lineage(bits.join(several, "node", "left_semi"))
-    bound = least_estimate(threshold, n)
-    labels, links, tested, round_ = None, None, None, 0
-    while not live.isEmpty():
-        named_live = live.withColumn("label", F.col("node")) if labels is None else (
-            live.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")))
-        if labels is not None:
-            # buckets that lie in one component are decided
-            open_ = (named_live.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y"))
-                     .filter("x < y").select("bucket"))
-            named_live = cut_lineage(named_live.join(open_, "bucket", "left_semi"))
-        if round_ == 0:
-            centres = named_live.groupBy("bucket").agg(F.min("node").alias("a")).withColumn("label_a", F.col("a"))
-        else:
-            first = Window.partitionBy("bucket").orderBy(F.xxhash64("node", F.lit(round_)), "node")
-            centres = (named_live.withColumn("_n", F.row_number().over(first)).filter(F.col("_n") <= 2 ** round_)
-                       .select("bucket", F.col("node").alias("a"), F.col("label").alias("label_a")))
-        centres = cut_lineage(centres)
-        pairs = (named_live.join(centres, "bucket").filter("label <> label_a")
-                 .select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct())
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = cut_lineage(
-            pairs.join(bits.select(F.col("node").alias("a"), F.col("bits").alias("bits_a")), "a")
-            .join(bits.select(F.col("node").alias("b"), F.col("bits").alias("bits_b")), "b")
-            .filter(estimate(F.col("bits_a"), F.col("bits_b"), n) >= bound).select("a", "b"))
-        tested = pairs if tested is None else tested.union(pairs)
-        found = _confirmed(pairs, texts, threshold, shingle)
-        links = cut_lineage(found if links is None else links.union(found))
-        labels = components(links)
-        # every pair with a centre is decided now
-        live = cut_lineage(named_live.select("bucket", "node").join(
-            centres.select("bucket", F.col("a").alias("node")), ["bucket", "node"], "left_anti"))
-        round_ += 1
-        if labels is None:
-            labels = live.select("node", F.col("node").alias("label")).limit(0)
-    reps = classes if labels is None else (
-        classes.join(labels, "node", "left").select("k1", "k2", F.coalesce("label", "node").alias("node")))
+    labels = _link(docs, named, classes, bands, threshold, shingle)
+    if labels is not None:
+        classes = _renamed(classes, "node", labels)
     found = (signed.select("doc_id", "n_shingles", "k1", "k2")
-             .join(reps, ["k1", "k2"], "left")
+             .join(classes, ["k1", "k2"], "left")
              .withColumn("component_id", F.when(
                  F.col("doc_id").isNotNull(),
                  F.when(F.col("n_shingles") > 0, F.col("node")).otherwise(F.col("doc_id")))))
@@ -238,6 +203,94 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, shingle: int =
                         F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
+def _candidates(docs: DataFrame, named: DataFrame, classes: DataFrame, threshold: int, shingle: int):
+    """Members of shared buckets (bucket, node, n, core, keys, bits), and the nodes' texts.
+
+    ``keys`` are a node's buckets by band, ``bits`` the low bits of its minima.
+
+    ``core`` counts the shingles that some other candidate has too, an upper
+    bound of every intersection.
+    """
+    own = named.join(classes.withColumnRenamed("node", "doc_id"), ["k1", "k2", "doc_id"], "left_semi")
+    rows = own.select(F.explode("bands").alias("bucket"), F.col("doc_id").alias("node")).distinct()
+    shared = (rows.groupBy("bucket").agg(F.min("node").alias("least"), F.max("node").alias("most"))
+              .filter("least < most").select("bucket"))
+    members = cut_lineage(rows.join(shared, "bucket", "left_semi"))
+    nodes = members.select("node").distinct()
+    texts = cut_lineage(id_and_text(docs).withColumnRenamed("doc_id", "node").join(nodes, "node", "left_semi"))
+    # a node with several texts is bounded by the least and the largest, and not estimated
+    several = F.col("one") != F.col("other")
+    sizes = (own.withColumnRenamed("doc_id", "node").join(nodes, "node", "left_semi").groupBy("node")
+             .agg(F.max("n_shingles").alias("most"), F.min("n_shingles").alias("n"), F.first("bits").alias("bits"), F.first("bands").alias("keys"),
+                  F.min("k1").alias("one"), F.max("k1").alias("other")))
+    sized = cut_lineage(
+        sizes.join(_lonely_shingles(texts, shingle), "node", "left")
+        .select("node", "n", *(F.when(~several, F.col(c)).alias(c) for c in ("bits", "keys")),
+                F.when(several, F.col("most")).otherwise(F.col("n") - F.coalesce("lonely", F.lit(0))).alias("core"))
+        .filter(100 * F.col("core") >= threshold * F.col("n")))
+    return members.join(sized, "node"), texts
+
+
+def _link(docs, named, classes, bands: int, threshold: int, shingle: int) -> DataFrame | None:
+    """Labels of the linked classes; None if no two are linked."""
+    n = bands * BAND_ROWS
+    bound = least_estimate(threshold, n)
+    live, texts = _candidates(docs, named, classes, threshold, shingle)
+    labels, round_ = None, 0
+    while True:
+        live = _open(live, labels, threshold)
+        if live.isEmpty():
+            return labels
+        # stars: the members with most in common with others are the centres
+        by_core = Window.partitionBy("bucket").orderBy(F.col("n") - F.col("core"), "node")
+        centres = cut_lineage(
+            live.withColumn("_n", F.row_number().over(by_core)).filter(F.col("_n") <= 4 ** round_)
+            .select("bucket", F.col("node").alias("a"), F.col("label").alias("label_a"),
+                    F.col("n").alias("n_a"), F.col("core").alias("core_a"), F.col("keys").alias("keys_a"), F.col("bits").alias("bits_a")))
+        common = F.least("core", "core_a")
+        # centres come first in their order, so a pair of them is made once; a pair that
+        # shares an earlier band is made (or ruled out) in that bucket
+        ahead = F.struct(F.col("n_a") - F.col("core_a"), "a") < F.struct(F.col("n") - F.col("core"), "node")
+        earlier = F.array_position("keys", F.col("bucket")).cast("int") - 1
+        elsewhere = F.arrays_overlap(*(F.slice(c, F.lit(1), earlier) for c in ("keys", "keys_a")))
+        hopeful = F.coalesce(estimate(F.col("bits"), F.col("bits_a"), n) >= bound, F.lit(True))
+        pairs = (live.join(centres, "bucket")
+                 .filter((F.col("label") != F.col("label_a"))
+                         & (100 * common >= threshold * (F.col("n") + F.col("n_a") - common))
+                         & ahead & hopeful & ~F.coalesce(elsewhere, F.lit(False)))
+                 .select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")))
+        pairs = cut_lineage(pairs)
+        if not pairs.isEmpty():
+            links = _confirmed(pairs, texts, threshold, shingle)
+            if labels is not None:  # only what joins different components is new
+                links = _renamed(_renamed(links, "a", labels), "b", labels)
+            further = components(links)
+            labels = further if labels is None else cut_lineage(merge_labels(labels, further))
+        # every pair with a centre is decided now
+        live = live.drop("label").join(
+            centres.select("bucket", F.col("a").alias("node")), ["bucket", "node"], "left_anti")
+        round_ += 1
+
+
+def _open(live: DataFrame, labels: DataFrame | None, threshold: int) -> DataFrame:
+    """The members that may still find a partner in their bucket, with their labels.
+
+    A bucket within one component is decided.  A member's best partner has the
+    bucket's least size or just the member's core; if even that falls short of
+    the threshold, the member leaves.
+    """
+    live = live.withColumn("label", F.col("node"))
+    if labels is not None:
+        live = _renamed(live, "label", labels)
+    stats = live.groupBy("bucket").agg(
+        F.min("label").alias("_x"), F.max("label").alias("_y"), F.min("n").alias("_n")).filter("_x < _y")
+    best = F.greatest("_n", "core")
+    return cut_lineage(
+        live.join(stats, "bucket")
+        .filter(100 * F.col("core") >= threshold * (F.col("n") + best - F.col("core")))
+        .drop("_x", "_y", "_n"))
+
+
 def deduplicate(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """The documents, all columns, with one of each group; repeated rows leave one."""
     key, place = fresh_name(docs, "near_key"), fresh_name(docs, "near_place")
