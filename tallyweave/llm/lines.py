@@ -86,20 +86,19 @@ def repeated_runs(docs: DataFrame, run: int = RUN, words: int = WORDS) -> DataFr
 
     ``row`` hashes the text, so rows that share an id keep their own results.
     """
-    # stored, since the text is split and hashed for all that follows
-    runs = cut_lineage(
-        id_and_text(docs).select(
-            "doc_id", F.xxhash64("text").alias("row"),
-            F.explode(bound(bound(F.col("text"), _line_hashes), lambda x: _runs(x, run, words))).alias("r"))
-        .select("doc_id", "row", "r.first", "r.last", "r.a", "r.b",
-                F.col("r.mark.h").alias("mark"), F.col("r.mark.at").alias("at")))
+    runs = id_and_text(docs).select(
+        "doc_id", F.xxhash64("text").alias("row"),
+        F.explode(bound(bound(F.col("text"), _line_hashes), lambda x: _runs(x, run, words))).alias("r"),
+    ).select("doc_id", "row", "r.first", "r.last", "r.a", "r.b", F.col("r.mark.h").alias("mark"),
+             F.col("r.mark.at").alias("at"))
     # fingerprints found at more than one position
-    marks = (runs.select("mark", "doc_id", "row", "at").distinct().groupBy("mark")
-             .agg(F.count("*").alias("n")).filter("n > 1").select("mark"))
+    place = F.xxhash64("doc_id", "row", "at")
+    marks = (runs.groupBy("mark").agg(F.min(place).alias("x"), F.max(place).alias("y"))
+             .filter("x < y").select("mark"))
     # positions that share a fingerprint, and the first one of each run: least id, then
     # least line; the tasks combine both aggregates before the shuffle
     key = ["mark", "a", "b"]
-    placed = runs.join(marks, "mark", "left_semi")
+    placed = cut_lineage(runs.drop("at").join(marks, "mark", "left_semi"))
     first = (placed.groupBy(*key, "doc_id").agg(F.min("first").alias("line"), F.count("*").alias("n"))
              .groupBy(*key).agg(F.min("doc_id").alias("least"), F.sum("n").alias("n"),
                                 F.min(F.when(F.col("doc_id").isNull(), F.col("line"))).alias("nameless"))
