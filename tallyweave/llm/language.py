@@ -12,7 +12,7 @@ language has at most ``one_in`` of either.
 from __future__ import annotations
 
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from dataclasses import dataclass
 
 import numpy as np
@@ -37,45 +37,50 @@ def grams(word: str, n: int) -> list[str]:
     return [marked[i : i + n] for i in range(len(marked) - n + 1)]
 
 
-def _counts(df: DataFrame, shape: str, count, held: int = 300_000) -> DataFrame:
-    """Sum what ``count(part, counter)`` adds up, combined in the task before the shuffle."""
+def _counts(df: DataFrame, shape: str, count, held: int = 400_000) -> DataFrame:
+    """Sum what ``count(part, counters)`` adds up, combined in the task before the shuffle.
+
+    ``counters`` has a counter for each combination of the columns before the last.
+    """
+    names = [c.split()[0] for c in shape.split(",")]
+
     def run(parts):
-        counter: Counter = Counter()
-        for part in parts:
-            count(part, counter)
-            if len(counter) > held:
-                yield _columns(counter)
-                counter.clear()
-        yield _columns(counter)
+        counters: defaultdict = defaultdict(Counter)
 
-    def _columns(counter):
-        keys = [list(c) for c in zip(*counter, strict=True)] if counter else [[] for _ in names]
-        return [*keys, list(counter.values())]
+        def flush():
+            for key, counter in counters.items():
+                yield [*([k] * len(counter) for k in key), list(counter), list(counter.values())]
+            counters.clear()
+
+        for part in parts:
+            count(part, counters)
+            if sum(map(len, counters.values())) > held:
+                yield from flush()
+        yield from flush()
 
-    names = [c.split()[0] for c in shape.split(",")]
     return map_rows(df, run, f"{shape}, n long").groupBy(*names).agg(F.sum("n").alias("n"))
 
 
 def word_counts(texts: DataFrame) -> DataFrame:
     """``lang, word, n`` of a table with ``lang`` and ``text``."""
-    def count(part, counter):
+    def count(part, counters):
         by: dict[str, list[str]] = {}
         for lang, text in zip(part["lang"], part["text"], strict=True):
             by.setdefault(lang, []).append(text)
         for lang, own in by.items():
-            for word, n in Counter(letters("\n".join(own))).items():
-                counter[lang, word] += n
+            counters[lang,].update(letters("\n".join(own)))
 
     return _counts(texts.select("lang", "text"), "lang string, word string", count)
 
 
 def gram_counts(words: DataFrame) -> DataFrame:
     """``lang, size, word, n``: n-grams of all lengths, weighted by the words' counts."""
-    def count(part, counter):
+    def count(part, counters):
         for lang, word, n in zip(part["lang"], part["word"], part["n"], strict=True):
             for size in range(1, LONGEST + 1):
+                counter = counters[lang, size]
                 for g in grams(word, size):
-                    counter[lang, size, g] += n
+                    counter[g] += n
 
     return _counts(words, "lang string, size int, word string", count)
 
@@ -134,29 +139,41 @@ class Scorer:
         self.rows = np.concatenate(
             [self.model.word_rows, np.zeros((1024, len(self.model.langs)), np.float32)])
 
-    def _vector(self, word: str) -> np.ndarray:
-        known = self.model.grams
-        for n in range(LONGEST, 0, -1):
-            found = [known[g] for g in grams(word, n) if g in known]
-            if found:
-                return self.model.gram_rows[found].mean(axis=0)
-        return np.zeros(len(self.model.langs), np.float32)
+    def _learn(self, words: list[str]) -> None:
+        """Rows for unseen words: the mean over their longest n-grams of which any is known."""
+        known, flat, sizes = self.model.grams, [], []
+        for word in words:
+            for n in range(LONGEST, 0, -1):
+                found = [known[g] for g in grams(word, n) if g in known]
+                if found:
+                    flat += found
+                    sizes.append(len(found))
+                    break
+            else:
+                sizes.append(0)
+        rows = np.zeros((len(words), len(self.model.langs)))
+        size = np.array(sizes)
+        some = np.flatnonzero(size)
+        if len(some):
+            starts = np.r_[0, np.cumsum(size[some])[:-1]]
+            rows[some] = np.add.reduceat(self.model.gram_rows[flat].astype(float), starts) / size[some, None]
+        first = len(self.index)
+        while first + len(words) > len(self.rows):
+            self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
+        self.rows[first : first + len(words)] = rows
+        self.index.update(zip(words, range(first, first + len(words)), strict=True))
 
     def predict(self, texts: list[str]) -> tuple[list[str], list[float]]:
         langs, scores = [], []
         if len(self.index) > self.remembered + len(self.model.words):
             self._forget()
-        for text in texts:
-            words = letters(text)
+        cut = list(map(letters, texts))
+        self._learn(list(set().union(*cut).difference(self.index)))
+        for words in cut:
             if not words or not self.model.langs:
                 langs.append(UNDETERMINED)
                 scores.append(0.0)
                 continue
-            for word in set(words).difference(self.index):
-                at = self.index[word] = len(self.index)
-                if at >= len(self.rows):
-                    self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-                self.rows[at] = self._vector(word)
             total = self.rows[list(map(self.index.__getitem__, words))].sum(axis=0, dtype=np.float64)
             share = np.exp(total - total.max())
             best = int(np.argmax(share))
