@@ -1,3 +1,4 @@
+import math
 import random
 
 import numpy as np
@@ -114,3 +115,31 @@ def test_corrected_estimate(spark):
 def test_minima_do_not_depend_on_the_block():
     h = np.random.default_rng(1).integers(0, 2**63, 999).astype(np.uint64)
     assert (neardup.minima(h, 60, at_once=7) == neardup.minima(h, 60)).all()
+
+
+@pytest.mark.parametrize("threshold, common, union", [(85, 6, 7), (85, 20, 23), (80, 4, 5)])
+def test_pairs_at_the_threshold_are_not_lost(threshold, common, union):
+    bands = neardup.bands_for(threshold)
+    n = bands * neardup.BAND_ROWS
+    chance = 2.0 ** -neardup.BITS
+    rng = np.random.default_rng(union)
+    agree, lost = [], 0
+    for _ in range(12000):
+        h = rng.integers(0, 2**64, union, dtype=np.uint64)
+        u, v = neardup.minima(h, n), neardup.minima(h[:common], n)
+        estimate = (((u ^ v) % 2**neardup.BITS == 0).mean() - chance) / (1 - chance)
+        in_band = (u == v).reshape(bands, neardup.BAND_ROWS).all(axis=1).any()
+        lost += estimate < neardup.least_estimate(threshold, n) or not in_band
+        agree.append((u == v).sum())
+    j = common / union
+    # a binomial count; minima that agree together spread further
+    assert lost == 0 and 0.92 < np.var(agree) / (n * j * (1 - j)) < 1.08
+
+
+@pytest.mark.parametrize("threshold", [80, 85])
+def test_estimate_misses_no_more_than_bands(threshold):
+    n = neardup.bands_for(threshold) * neardup.BAND_ROWS
+    chance = 2.0 ** -neardup.BITS
+    agree = chance + (1 - chance) * threshold / 100
+    dropped = [k for k in range(n + 1) if (k / n - chance) / (1 - chance) < neardup.least_estimate(threshold, n)]
+    assert sum(math.comb(n, k) * agree**k * (1 - agree) ** (n - k) for k in dropped) <= neardup.MISSED
