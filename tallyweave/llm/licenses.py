@@ -4,9 +4,11 @@ Words are runs of ASCII letters and digits in lower case; templates and texts
 are compared by their runs of ``SHINGLE`` words.  A template of m words is looked
 for in windows of three steps, a step being the power of two with
 step < m <= 2 * step (at least 4): windows start at every step, so every passage
-of m words lies whole in one.  Such a window and its template then have a
-similarity of at least about a quarter, and with ``HASHES`` bands of one minimum
-each they share a band in all but (3/4) ** HASHES < 1e-6 of the cases.
+of m words lies whole in one.  Such a window and a template of five words or more then have a
+similarity of at least 0.23, and with ``HASHES`` bands of one minimum each, every
+minimum by a hash function of its own, they share a band in all but
+0.77 ** HASHES < 1e-6 of the cases.  Templates of fewer words have one or two
+shingles, all of which must occur: their first is looked up directly.
 
 What is retrieved is verified exactly: the share of the template's shingles that
 the window holds must reach ``CONTAINED`` per cent.
@@ -24,6 +26,8 @@ from tallyweave.llm.common import hash_words, id_and_text, map_rows, mix64
 SHINGLE = 3
 HASHES = 56
 CONTAINED = 80
+#: Templates of fewer words are looked up by a shingle.
+DIRECT = 5
 STEPS = (4, 8, 16, 32, 64, 128)
 #: Characters of texts handled together.
 CHUNK = 4_000_000
@@ -100,10 +104,9 @@ def _shingles(words: list[bytes]) -> np.ndarray:
 
 
 def _values(h: np.ndarray, turn: int) -> np.ndarray:
-    """The ``turn``-th hash function of shingles, 32 bits."""
-    low, high = (h & np.uint64(0xFFFFFFFF)).astype(np.uint32), (h >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
-    x = (low + high * np.uint32(turn)) * np.uint32(0x9E3779B1)
-    return x ^ (x >> np.uint32(15))
+    """The ``turn``-th hash function of shingles, 32 bits: half of a scramble of the whole hash."""
+    seed = mix64(np.array([turn // 2 + 1], np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    return (mix64(h ^ seed) >> np.uint64(32 * (turn % 2))).astype(np.uint32)
 
 
 @dataclass
@@ -142,6 +145,12 @@ class Index:
     def retrieve(self, h: np.ndarray) -> set[tuple[int, int]]:
         """(first shingle of a window, template) that share a band; ``h`` is one run of shingles."""
         found = set()
+        for template, size in enumerate(self.sizes):
+            if size < DIRECT:
+                step = self.steps[template]
+                for at in np.flatnonzero(h == self.shingles[template][0]).tolist():
+                    # every window that holds the shingle
+                    found.update((k * step, template) for k in range(max(0, at // step - 2), at // step + 1))
         used = sorted(set(self.steps))
         for turn in range(HASHES):
             values = _values(h, turn)

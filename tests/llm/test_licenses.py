@@ -63,3 +63,16 @@ def test_texts_do_not_run_together(documents):
     out = licenses.scan(documents([(1, "Released under the"), (2, "MIT License"), (3, "x Released, under the MIT license!")]))
     assert {r.doc_id: [(f.license, f.start, f.end) for f in r.findings] for r in out.collect()} == {
         1: [], 2: [], 3: [("MIT", 1, 6)]}
+
+
+def test_short_templates_are_always_retrieved():
+    index = Index.of({"CC0-1.0": ("CC0 1.0 Universal",)})
+    assert index.sizes[0] < licenses.DIRECT
+    rng = np.random.default_rng(6)
+    own, n = index.shingles[0], 40000
+    h = rng.integers(0, 2**64, (n, 12), dtype=np.uint64)
+    at = rng.integers(0, 13 - len(own), n)
+    for k in range(len(own)):
+        h[np.arange(n), at + k] = own[k]
+    # the window that begins with each row holds the template
+    assert {(12 * i, 0) for i in range(n)} <= index.retrieve(h.reshape(-1))
