@@ -7,7 +7,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tallyweave.llm import decontaminate, language, licenses, lines, neardup, pieces, quality, secrets, suffixes, toxicity
+from tallyweave.llm import copies, decontaminate, language, licenses, lines, neardup, pieces, quality, secrets, suffixes, toxicity
 from tallyweave.llm.common import read_table
 
 
@@ -73,6 +73,11 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(_documents(spark, sf_dir), read_table(spark, sf_dir, "labels"))
 
 
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return copies.exact_copies(_documents(spark, sf_dir)).select(
+        "doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_quality_rules,
@@ -85,6 +90,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_decontamination,
         op9_suffix_dedup,
         op10_toxicity,
+        op11_exact_dedup,
     )}
 
 
@@ -194,6 +200,14 @@ FROM d LEFT JOIN hit USING (rn) LEFT JOIN found USING (rn)
 """
 
 
+#: Rows of equal text share a window.
+_OP11 = """
+SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
+       coalesce(doc_id = max(doc_id) OVER g, max(doc_id) OVER g IS NULL) AS kept, sha256(coalesce(text, '')) AS text_sha256
+FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {"op1_quality_rules": _OP1, "op4_minhash_near_dedup": _OP4, "op7_line_dedup": _OP7,
-            "op8_decontamination": _OP8}
+            "op8_decontamination": _OP8, "op11_exact_dedup": _OP11}

@@ -4,7 +4,7 @@ import pytest
 
 import corpus_pipeline
 from tallyweave.llm import (
-    decontaminate, language, licenses, lines, neardup, pieces, quality, secrets, suffixes, toxicity,
+    copies, decontaminate, language, licenses, lines, neardup, pieces, quality, secrets, suffixes, toxicity,
 )
 from tallyweave.llm.queries import sentencepiece_model
 
@@ -30,6 +30,7 @@ OPERATORS = {
     "decontaminate": lambda s, d: decontaminate.contamination(d, _benchmark(s)),
     "suffixes": lambda s, d: suffixes.digests(suffixes.repeated_substrings(d, block_bytes=50_000)),
     "toxicity": lambda s, d: toxicity.toxicity(d, _labels(s)),
+    "copies": lambda s, d: copies.exact_copies(d),
 }
 
 
