@@ -7,7 +7,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tallyweave.llm import copies, decontaminate, language, licenses, lines, neardup, pieces, quality, secrets, suffixes, toxicity
+from tallyweave.llm import copies, decontaminate, language, licenses, lines, neardup, pieces, quality, ranked, secrets, suffixes, toxicity
 from tallyweave.llm.common import read_table
 
 
@@ -78,6 +78,11 @@ def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = ranked.build_index(_documents(spark, sf_dir))
+    return ranked.search(index, read_table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_quality_rules,
@@ -91,6 +96,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op9_suffix_dedup,
         op10_toxicity,
         op11_exact_dedup,
+        op12_ranked_search,
     )}
 
 
@@ -207,7 +213,25 @@ SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
 FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))
 """
 
+#: Every document that shares a term with an item is scored; whole numbers but for the weight.
+_OP12 = r"""
+WITH d AS (SELECT row_number() OVER () AS rn, doc_id,
+             regexp_extract_all(""" + _LOWER + r""", '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t FROM documents),
+totals AS (SELECT count(*) AS n_docs, CAST(sum(len(t)) AS BIGINT) AS n_terms FROM d WHERE len(t) > 0),
+m AS (SELECT rn, doc_id, t, 100 - 90 + ((90 * len(t) * n_docs) // n_terms) AS m FROM d, totals WHERE len(t) > 0),
+p AS (SELECT rn, doc_id, m, term, count(*) AS tf FROM (SELECT rn, doc_id, m, unnest(t) AS term FROM m) GROUP BY ALL),
+w AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * any_value(n_docs) + 2 AS DOUBLE) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS w
+      FROM p, totals GROUP BY term),
+i AS (SELECT DISTINCT item_id, unnest(
+        regexp_extract_all(""" + _LOWER + r""", '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+s AS (SELECT item_id, rn, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score
+      FROM i JOIN w USING (term) JOIN p USING (term) GROUP BY ALL HAVING score > 0),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM s)
+SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 10
+"""
+
 
 def oracle_sql() -> dict[str, str]:
     return {"op1_quality_rules": _OP1, "op4_minhash_near_dedup": _OP4, "op7_line_dedup": _OP7,
-            "op8_decontamination": _OP8, "op11_exact_dedup": _OP11}
+            "op8_decontamination": _OP8, "op11_exact_dedup": _OP11,
+            "op12_ranked_search": _OP12}
