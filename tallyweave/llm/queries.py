@@ -7,7 +7,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tallyweave.llm import copies, decontaminate, language, licenses, lines, neardup, pieces, quality, ranked, secrets, suffixes, toxicity
+from tallyweave.llm import copies, decontaminate, language, licenses, lines, neardup, phrases, pieces, quality, ranked, secrets, suffixes, toxicity
 from tallyweave.llm.common import read_table
 
 
@@ -83,6 +83,10 @@ def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked.search(index, read_table(spark, sf_dir, "benchmark"))
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(_documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_quality_rules,
@@ -97,6 +101,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op10_toxicity,
         op11_exact_dedup,
         op12_ranked_search,
+        op13_collocations,
     )}
 
 
@@ -230,8 +235,37 @@ r AS (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC
 SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 10
 """
 
+#: Phrases of each length counted apart; sizes two and three are ranked.
+_OP13 = r"""
+WITH w AS (
+  SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM (
+    SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(""" + _LOWER + r""", '[.,;:!?\x0A-\x0D]')) AS piece
+    FROM documents)),
+p AS (SELECT lang, unnest(range(1, len(w) + 1)) AS i, w FROM w),
+f1 AS (SELECT lang, w[i] AS p, count(*) AS f FROM p GROUP BY ALL),
+f2 AS (SELECT lang, w[i] AS x, w[i + 1] AS y, x || ' ' || y AS p, count(*) AS f FROM p WHERE i < len(w) GROUP BY ALL),
+f3 AS (SELECT lang, w[i] AS x, w[i + 1] AS y, w[i + 2] AS z, x || ' ' || y || ' ' || z AS p, count(*) AS f
+       FROM p WHERE i + 1 < len(w) GROUP BY ALL HAVING count(*) >= 10),
+n AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f1 GROUP BY lang),
+cuts AS (
+  SELECT c.lang, c.p, c.f AS a, 1 AS k, l.f AS l, r.f AS r
+  FROM f2 c JOIN f1 l ON l.lang = c.lang AND l.p = x JOIN f1 r ON r.lang = c.lang AND r.p = y WHERE c.f >= 10
+  UNION ALL SELECT c.lang, c.p, c.f, 1, l.f, r.f
+  FROM f3 c JOIN f1 l ON l.lang = c.lang AND l.p = c.x JOIN f2 r ON r.lang = c.lang AND r.p = c.y || ' ' || c.z
+  UNION ALL SELECT c.lang, c.p, c.f, 2, l.f, r.f
+  FROM f3 c JOIN f2 l ON l.lang = c.lang AND l.p = c.x || ' ' || c.y JOIN f1 r ON r.lang = c.lang AND r.p = c.z),
+s AS (SELECT *, CAST((CAST(1000000 AS HUGEINT) * a * a) // (CAST(l AS HUGEINT) * r) AS BIGINT) AS score FROM cuts),
+best AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, k) = 1),
+held AS (SELECT lang, p, max(f) AS f FROM (
+  SELECT lang, x || ' ' || y AS p, f FROM f3 UNION ALL SELECT lang, y || ' ' || z, f FROM f3) GROUP BY ALL),
+alone AS (SELECT b.* FROM best b LEFT JOIN held h ON h.lang = b.lang AND h.p = b.p
+          WHERE h.f IS NULL OR 100 * h.f < 50 * b.a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, p) AS rank, p AS phrase, a, l, r, n, score
+FROM alone JOIN n USING (lang) QUALIFY rank <= 2000
+"""
+
 
 def oracle_sql() -> dict[str, str]:
     return {"op1_quality_rules": _OP1, "op4_minhash_near_dedup": _OP4, "op7_line_dedup": _OP7,
             "op8_decontamination": _OP8, "op11_exact_dedup": _OP11,
-            "op12_ranked_search": _OP12}
+            "op12_ranked_search": _OP12, "op13_collocations": _OP13}
