@@ -86,7 +86,16 @@ def test_every_count_follows_from_the_longest_windows(texts):
     assert got == {(lang, " ".join(w)): c for (lang, w), c in f.items()}
     totals = {r.lang: r.f for r in phrases.phrase_counts(texts(rows), 3, 10**6).collect()}
     assert totals == {lang: c for lang, c in n.items() if c}
-    assert phrases.windows(texts(rows)).count() == sum(n.values())
+    for at_once in (phrases.AT_ONCE, 1, 70):
+        counted = phrases.unpacked(phrases.packed_windows(texts(rows), 3, at_once))
+        assert counted.agg(F.sum("c")).first()[0] == sum(n.values())
+        longest = counted.filter("tail <> ''").groupBy("lang", F.concat_ws(" ", "lead", "tail")).agg(F.sum("c"))
+        assert {tuple(r)[:2]: r[2] for r in longest.collect()} == {k: c for k, c in got.items() if k[1].count(" ") == 2}
+
+
+def test_one_shuffle_counts_windows_and_pairs(texts):
+    plan = phrases._long_counts(texts(_corpus(5)), 3, 10)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1
 
 
 def test_odd_input_and_empty_tables(documents, odd):
