@@ -600,18 +600,22 @@ def _files() -> dict[str, str]:
         "load_ledger": _with("ledger", """SELECT denominacao_sap, psp_reference_sap, nsu,
   date_trunc('day', data_lancamento_sap) AS data_lancamento_sap, valor_sap,
   TRY_CAST(valor_sap AS DECIMAL(18,2)) AS valor_sap_numero FROM ledger"""),
-        "load_antifraud": _with("antifraud_all", f"""SELECT trim(split_part(p, '-', 1)) AS vtex_order_id,
-  p AS clearsale_pedido, status_do_chargeback AS clearsale_status_do_chargeback, cidade AS clearsale_cidade,
-  uf AS clearsale_uf, item_principal AS clearsale_item_principal
-FROM (SELECT *, concat(CASE WHEN ordinal % 2 = 1 THEN 'R' ELSE '' END, pedido) AS p FROM antifraud_all)"""),
-        "outer_from_files": _with("disputes ledger antifraud_all", f"""
+        "load_antifraud": _with("antifraud", """SELECT vtex_order_id, cs_pedido AS clearsale_pedido,
+  cs_status_do_chargeback AS clearsale_status_do_chargeback, cs_cidade AS clearsale_cidade,
+  cs_uf AS clearsale_uf, cs_item_principal AS clearsale_item_principal FROM antifraud"""),
+        "outer_from_files": _with("disputes ledger antifraud", f"""
 SELECT d.dispute_id, d.psp_reference, d.record_type, d.vtex_order_id, l.psp_reference_sap,
   {_OUTER_V2.replace('record_type', 'd.record_type').replace('psp_reference IN (SELECT psp_reference FROM disputes WHERE d.record_type', 'd.psp_reference IN (SELECT psp_reference FROM disputes WHERE record_type').replace('FROM disputes WHERE d.record_type', 'FROM disputes WHERE record_type')} AS virou_chargeback,
   concat('Adyen', CASE WHEN l.psp_reference_sap IS NOT NULL THEN ' + SAP' ELSE '' END,
-         CASE WHEN a.pedido IS NOT NULL THEN ' + ClearSale' ELSE '' END) AS fonte
+         CASE WHEN a.cs_pedido IS NOT NULL THEN ' + ClearSale' ELSE '' END) AS fonte
 FROM disputes d LEFT JOIN ledger l ON d.psp_reference = l.psp_reference_sap
-LEFT JOIN (SELECT * FROM antifraud_all WHERE ordinal % 2 = 0) a
-  ON trim(d.vtex_order_id) = trim(split_part(a.pedido, '-', 1))"""),
+LEFT JOIN antifraud a ON trim(d.vtex_order_id) = a.vtex_order_id"""),
+        "list_inputs": _with("antifraud_all", """SELECT DISTINCT concat('page', ordinal // 1000) AS page,
+  1 AS n_files, TRUE AS filled FROM antifraud_all"""),
+        "with_source_file": _with("antifraud_all", """SELECT DISTINCT concat('page', ordinal // 1000) AS page,
+  1 AS n_files, 1 AS n_lines, TRUE AS named FROM antifraud_all"""),
+        "resolve_column": _with("ledger_all", """SELECT ordinal, denominacao_sap, data_lancamento_sap,
+  valor_sap FROM ledger_all"""),
         "scan_semicolon": _with("antifraud_all", f"SELECT {report.format(city=chr(39) + 'São ' + chr(39) + ' || cidade')} FROM antifraud_all"),
         "scan_html_tables": _with("antifraud_all", f"SELECT {report.format(city='cidade')} FROM antifraud_all"),
         "scan_order_export": f"""SELECT CAST(l_orderkey AS VARCHAR) AS order_id,

@@ -642,8 +642,7 @@ def scan_semicolon(spark, sf):
 HTML_ROWS = 500  # rows of one report page
 
 
-@query
-def scan_html_tables(spark, sf):
+def _report_pages(spark, sf) -> str:
     """Report pages, each a table of a bounded number of rows, as one file per page."""
     path = fresh_path(spark, "reports-html")
     columns = _report_columns()
@@ -670,10 +669,48 @@ def scan_html_tables(spark, sf):
                      F.array_join(F.col("lines")["row"], ""), F.lit("</table></html>")).alias("value"))
     )
     pages.write.partitionBy("page").text(path)
-    files = [r["path"] for r in spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-             .option("pathGlobFilter", "*.txt").load(path).select("path").collect()]
-    scanned = documents.scan_html_tables(spark, files)
-    return scanned.select(*[F.col(c).alias(c.lower().replace(" ", "_")) for c in columns])
+    return path
+
+
+@query
+def scan_html_tables(spark, sf):
+    """The pages read by folder, each parsed by one task."""
+    pages = listing.Files.matching(_report_pages(spark, sf), "*.txt")
+    scanned = documents.scan_html_tables(spark, pages)
+    return scanned.select(*[F.col(c).alias(c.lower().replace(" ", "_")) for c in _report_columns()])
+
+
+_PAGE = r"page=(page\d+)"
+
+
+@query
+def list_inputs(spark, sf):
+    """The report pages as a listing: which there are, and how many files and bytes each has."""
+    found = listing.list_inputs(spark, _report_pages(spark, sf), "*.txt", "*.html")
+    return found.groupBy(F.regexp_extract("path", _PAGE, 1).alias("page")).agg(
+        F.count("*").alias("n_files"), (F.sum("length") > 0).alias("filled"))
+
+
+@query
+def with_source_file(spark, sf):
+    """Lines of the report pages tagged with their file, counted by page and file."""
+    lines = spark.read.option("pathGlobFilter", "*.txt").text(_report_pages(spark, sf))
+    tagged = listing.with_source_file(lines)
+    return tagged.groupBy("page").agg(
+        F.countDistinct("source_file").alias("n_files"), F.count("*").alias("n_lines"),
+        F.bool_and(F.endswith("source_file", F.lit(".txt"))).alias("named"))
+
+
+@query
+def resolve_column(spark, sf):
+    """Ledger columns found by parts of their headers, in an export that names them its own way."""
+    raw = fx.raw_ledger(spark, sf)
+    export = raw.select(
+        "ordinal", F.lit("object").alias("Denominação do objeto"),
+        F.col("denominacao_sap").alias("Denominação da conta"),
+        F.col("data_lancamento_sap").alias("DATA DE LANÇAMENTO"), F.col("valor_sap").alias("Montante em moeda"))
+    found = feeds.ledger_columns(export.columns)
+    return export.select("ordinal", *(F.col(f"`{old}`").alias(new) for new, old in found.items()))
 
 
 WORKBOOK_ROWS = 1000  # rows of one workbook
@@ -740,12 +777,11 @@ def load_ledger(spark, sf):
 
 
 def _report_files(spark, sf) -> str:
-    """Report files in which every order has one row; a second one is listed under its own id."""
-    path = fresh_path(spark, "reports-once")
-    rows = fx.raw_antifraud(spark, sf)
-    again = F.concat(F.lit("R"), F.col("PEDIDO"))
-    rows = rows.withColumn("PEDIDO", F.when(F.col("ordinal") % 2 == 1, again).otherwise(F.col("PEDIDO")))
-    _csv(rows.select(*_report_columns()), path, sep=";")
+    """Report files of two exports; an order may be in both, and the later one (``.csv``) counts."""
+    path = fresh_path(spark, "reports")
+    rows, later = fx.raw_antifraud(spark, sf), F.col("ordinal") % 2 == 1
+    _csv(rows.where(~later).select(*_report_columns()), path, sep=";", extension="xls")
+    _csv(rows.where(later).select(*_report_columns()), path, sep=";")
     return path
 
 

@@ -17,7 +17,7 @@ ISO_LAYOUTS = (
 NAMED_LAYOUTS = ("d MMM yyyy", "d MMM yyyy H:m:s", "d MMMM yyyy", "MMM d yyyy", "MMMM d yyyy")
 
 # day and month in either order, year, and an optional time with an optional half of the day
-_NUMBERS = (r"^(\d{1,2})[/-](\d{1,2})[/-](\d{4}|\d{2})"
+_NUMBERS = (r"^(\d{1,2})[/.-](\d{1,2})[/.-](\d{4}|\d{2})"
             r"(?:[ T]+(\d{1,2}):(\d{1,2})(?::(\d{1,2})(\.\d+)?)?\s*([AaPp][Mm])?)?$")
 #: Two-digit years from this one on belong to the last century.
 CENTURY_TURN = 69

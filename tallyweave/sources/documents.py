@@ -19,6 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from tallyweave.session import cut_lineage
+from tallyweave.sources.listing import Files
 
 CELLS = "path string, row_no bigint, header array<string>, cells array<string>, problem string"
 _COLUMNS = ["path", "row_no", "header", "cells", "problem"]
@@ -189,9 +190,9 @@ def _cells_of(reader: Callable[[bytes], Iterable]):
     return open_files
 
 
-def read_cells(spark: SparkSession, paths: Sequence[str], reader: Callable[[bytes], Iterable]) -> DataFrame:
-    """The cells of the files, see :func:`cells_of`."""
-    return cells_of(spark.read.format("binaryFile").load(list(paths)), reader)
+def read_cells(spark: SparkSession, files: Files | Sequence[str], reader: Callable[[bytes], Iterable]) -> DataFrame:
+    """The cells of the files, see :func:`cells_of`; no path passes through the driver."""
+    return cells_of(Files.of(files).contents(spark), reader)
 
 
 def cells_of(files: DataFrame, reader: Callable[[bytes], Iterable]) -> DataFrame:
@@ -276,25 +277,25 @@ def named_cells(
 
 
 def _scan(
-    spark: SparkSession, paths: Sequence[str], reader: Callable[[bytes], Iterable],
+    spark: SparkSession, files: Files | Sequence[str] | None, reader: Callable[[bytes], Iterable],
     source_file: str | None, position: str | None,
 ) -> DataFrame:
-    if not paths:
+    if not files:
         return spark.createDataFrame([], T.StructType([]))
-    return named_cells(read_cells(spark, paths, reader), None, source_file, position)
+    return named_cells(read_cells(spark, files, reader), None, source_file, position)
 
 
 def scan_html_tables(
-    spark: SparkSession, paths: Sequence[str], source_file: str | None = None,
+    spark: SparkSession, files: Files | Sequence[str] | None, source_file: str | None = None,
     position: str | None = None,
 ) -> DataFrame:
     """First table of each HTML file (reports saved as ``.xls``)."""
-    return _scan(spark, paths, html_rows, source_file, position)
+    return _scan(spark, files, html_rows, source_file, position)
 
 
 def scan_workbooks(
-    spark: SparkSession, paths: Sequence[str], source_file: str | None = None,
+    spark: SparkSession, files: Files | Sequence[str] | None, source_file: str | None = None,
     position: str | None = None,
 ) -> DataFrame:
     """First sheet of each ``.xlsx`` file; unreadable files are left out whole."""
-    return _scan(spark, paths, workbook_rows, source_file, position)
+    return _scan(spark, files, workbook_rows, source_file, position)

@@ -7,26 +7,39 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tallyweave import constants as C
-from tallyweave.functions import numbers
+from tallyweave.functions import dates, numbers
 from tallyweave.operators import feeds
-from tallyweave.sources.delimited import read_delimited, read_semicolon
+from tallyweave.sources.delimited import Layout, read_delimited, read_semicolon
 from tallyweave.sources.documents import named_cells, read_cells, scan_html_tables, workbook_rows
-from tallyweave.sources.listing import list_inputs
+from tallyweave.sources.listing import Files
 
 
 def load_disputes(spark: SparkSession, folder: str) -> DataFrame:
-    """Dispute records of both types with parsed dates, amount and order id."""
-    return disputes_of_files(spark, list_inputs(spark, folder, "*.csv"))
-
-
-def disputes_of_files(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
-    """As :func:`load_disputes`; ``dispute_id`` is the place a row was read from."""
-    raw = read_delimited(spark, paths, source_file="source_file", position="dispute_id")
-    named = raw.withColumnsRenamed({k: v for k, v in C.DISPUTE_HEADERS.items() if k in raw.columns})
-    dated = feeds.normalize_mixed_dates(
-        named, [c for c in C.DISPUTE_DATES if c in named.columns], "source_file", ["dispute_id"]
-    )
-    typed = dated.withColumn("dispute_amount", numbers.try_numeric("dispute_amount", numbers.MONEY))
+    """Dispute records of both types with parsed dates, amount and order id.
+
+    The files are read twice: for their layouts and date conventions, and for their rows.
+    """
+    return disputes_of_files(spark, Files.matching(folder, "*.csv"))
+
+
+def disputes_of_files(spark: SparkSession, files: Files | Sequence[str]) -> DataFrame:
+    """As :func:`load_disputes`; ``dispute_id`` is the place a row was read from.
+
+    Files of one date convention are read together, so it is a literal of their rows.
+    """
+    def dated(rows: DataFrame, layout: Layout) -> DataFrame:
+        names = {old: new for old, new in C.DISPUTE_HEADERS.items() if old in rows.columns}
+        day_first = {names.get(c, c) for c in layout.slashed}
+        return rows.withColumnsRenamed(names).withColumns({
+            c: dates.parse_mixed_date(c, F.lit(c in day_first))
+            for c in C.DISPUTE_DATES if c in {names.get(x, x) for x in rows.columns}})
+
+    headers = [old for old, new in C.DISPUTE_HEADERS.items() if new in C.DISPUTE_DATES]
+    raw = read_delimited(spark, files, source_file="source_file", position="dispute_id",
+                         wanted=[*headers, *C.DISPUTE_DATES], shape=dated)
+    if not raw.columns:
+        raise FileNotFoundError("no dispute file with a line")
+    typed = raw.withColumn("dispute_amount", numbers.try_numeric("dispute_amount", numbers.MONEY))
     return feeds.prepare_disputes(typed)
 
 
@@ -36,8 +49,8 @@ def load_ledger(spark: SparkSession, folder: str) -> DataFrame:
     The columns are found in each layout by itself, then stacked.  Workbooks
     that cannot be read and those without a narrative column are left out whole.
     """
-    paths = list_inputs(spark, folder, "*.xlsx")
-    return ledger_of_cells(read_cells(spark, paths, workbook_rows))
+    files = Files.under(spark, folder, "*.xlsx")
+    return ledger_of_cells(read_cells(spark, files, workbook_rows))
 
 
 def ledger_of_cells(cells: DataFrame) -> DataFrame:
@@ -54,14 +67,14 @@ def load_antifraud(spark: SparkSession, folder: str, prefix: str = "cs_") -> Dat
     A report is an HTML table saved as ``.xls`` or ``;`` text.  ``.xls`` files
     come before ``.csv`` files in load order.
     """
-    paths = list_inputs(spark, folder, "*.xls", "*.csv", required=False)
-    html = scan_html_tables(spark, paths, source_file="source_file_cs", position="ordinal")
-    frames, read = [], set()
+    pages = Files.under(spark, folder, "*.xls", required=False)
+    html = scan_html_tables(spark, pages, source_file="source_file_cs", position="ordinal")
+    frames = []
     if "PEDIDO" in html.columns:
         html = html.where("PEDIDO IS NOT NULL")
-        read = {r[0] for r in html.select("source_file_cs").distinct().collect()}  # one per file
         frames.append(html)
-    rest = [p for p in paths if p.rsplit("/", 1)[-1] not in read]
+    # markup has no header with the order column, so pages are no ``;`` files
+    rest = Files.matching(folder, "*.xls", "*.csv")
     text = read_semicolon(spark, rest, source_file="source_file_cs", position="ordinal",
                           must_have="PEDIDO")
     if text.columns:

@@ -27,12 +27,13 @@ def test_list_inputs(spark, tmp_path):
     put(tmp_path, "a.csv", "x\n1")
     put(tmp_path, "~$a.csv", "junk")
     put(tmp_path, "c.xls", "junk")
-    names = [p.rsplit("/", 1)[-1] for p in listing.list_inputs(spark, str(tmp_path), "*.xls", "*.csv")]
-    assert names == ["c.xls", "a.csv", "b.csv"]
-    assert listing.list_inputs(spark, str(tmp_path / "none"), "*.csv", required=False) == []
-    assert listing.list_inputs(spark, str(tmp_path), "*.txt", required=False) == []
+    rows = listing.list_inputs(spark, str(tmp_path), "*.xls", "*.csv").collect()
+    assert {(r.path.rsplit("/", 1)[-1], r.length) for r in rows} == {("c.xls", 4), ("a.csv", 3), ("b.csv", 3)}
+    assert listing.list_inputs(spark, str(tmp_path / "none"), "*.csv").collect() == []
+    assert listing.list_inputs(spark, str(tmp_path), "*.txt").collect() == []
+    assert listing.Files.under(spark, str(tmp_path), "*.txt", required=False) is None
     with pytest.raises(FileNotFoundError):
-        listing.list_inputs(spark, str(tmp_path), "*.txt")
+        listing.Files.under(spark, str(tmp_path), "*.txt")
 
 
 @pytest.mark.parametrize("header, delimiter", [
@@ -238,3 +239,72 @@ def test_quoted_line_breaks_keep_their_record(spark, tmp_path):
            feeds.load_disputes(spark, str(tmp_path)).collect()}
     assert got == {"R1": ("Fraud\nsecond line", datetime(2025, 1, 2)), "R2": ("plain", datetime(2025, 1, 3)),
                    "R3": ("x", datetime(2025, 1, 4))}
+
+
+def _jobs(spark, action):
+    """Jobs that an action starts."""
+    name = f"jobs {id(action)}"
+    spark.sparkContext.setJobGroup(name, name)
+    try:
+        out = action()
+        return out, len(spark.sparkContext.statusTracker().getJobIdsForGroup(name))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+HEAD = "Record Type,Psp Reference,Dispute Amount,Record Date,Payment Date,Dispute Reason"
+
+
+def test_conventions_are_literals_of_their_files(spark, tmp_path):
+    """Slashes count by file and column, whatever stands in other columns or between quotes."""
+    put(tmp_path, "a.csv", f'{HEAD}\nChargeback,R1,1,02/03/2025,2025-04-05,"a/b, c/d"\nChargeback,R2,1,2025-01-02,2025-04-05,\n')
+    put(tmp_path, "b.csv", f'{HEAD}\nChargeback,R3,1,2025-02-03,"04/05/2025",x/y\n')
+    put(tmp_path, "c.csv", HEAD.replace(",", ";") + "\nChargeback;R4;1;2025-02-03;2025-04-05;n/a\n")
+    put(tmp_path, "d.csv", f"{HEAD}\nChargeback,R5,1,03-04-2025,31.01.2025,5\" x 6\" / 2\n")
+    rows, jobs = _jobs(spark, lambda: feeds.load_disputes(spark, str(tmp_path)))
+    assert jobs <= 6  # three, and three for d.csv, whose quotes need a parser
+    got = {r.psp_reference: (str(r.record_date)[:10], str(r.payment_date)[:10]) for r in rows.collect()}
+    assert got == {"R1": ("2025-03-02", "2025-04-05"), "R2": ("2025-01-02", "2025-04-05"),
+                   "R3": ("2025-02-03", "2025-05-04"), "R4": ("2025-02-03", "2025-04-05"),
+                   "R5": ("2025-03-04", "2025-01-31")}
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Aggregate" not in plan
+
+
+def test_alike_files_are_read_by_folder(spark, tmp_path):
+    for i in range(30):
+        put(tmp_path, f"f{i:02}.csv", f"{HEAD}\nChargeback,R{i},1,2025-01-02,2025-01-03,x\n")
+    put(tmp_path, "~$f.csv", "junk")
+    layouts, jobs = _jobs(spark, lambda: delimited.read_layouts(spark, listing.Files.matching(str(tmp_path), "f*.csv")))
+    assert jobs <= 3
+    assert list(layouts.values()) == [listing.Files(str(tmp_path), "f*.csv")]
+    assert feeds.load_disputes(spark, str(tmp_path)).count() == 30
+
+
+def test_slashes_within_quoted_line_breaks(spark, tmp_path):
+    """A date behind a value with a line break is found by parsing the file."""
+    put(tmp_path, "a.csv", f'{HEAD.replace("Dispute Reason", "Extra")},Dispute Reason\nChargeback,R1,1,"x\ny",01/02/2025,e,r\n'
+        'Chargeback,R2,1,2025-01-02,2025-01-03,"two\nlines",r\n')
+    put(tmp_path, "b.csv", f"{HEAD}\nChargeback,R3,1,2025-01-02,2025-01-03,r\n")
+    got = {r.psp_reference: str(r.payment_date)[:10] for r in feeds.load_disputes(spark, str(tmp_path)).collect()}
+    assert got == {"R1": "2025-02-01", "R2": "2025-01-03", "R3": "2025-01-03"}
+
+
+def test_report_pages_stay_in_their_tasks(spark, tmp_path):
+    """A page on one line is no header, whatever separators it holds."""
+    put(tmp_path, "a.xls", "<html>&nbsp;PEDIDO;x;" + HTML.replace("\n", " "))
+    put(tmp_path, "b.csv", "PEDIDO;UF\n20-k;AC\n")
+    found = delimited.read_layouts(spark, listing.Files.matching(str(tmp_path), "*.xls", "*.csv"), ";", True, must_have="UF")
+    assert [layout.header for layout in found] == ["PEDIDO;UF"]
+    got = {r["vtex_order_id"]: r["source_file_cs"] for r in feeds.load_antifraud(spark, str(tmp_path)).collect()}
+    assert got["20"] == "b.csv" and got["10"] == "a.xls"
+
+
+def test_absent_and_empty_folders(spark, tmp_path):
+    (tmp_path / "none").mkdir()
+    for folder in ("none", "absent"):
+        with pytest.raises(FileNotFoundError):
+            feeds.load_disputes(spark, str(tmp_path / folder))
+        with pytest.raises(FileNotFoundError):
+            feeds.load_ledger(spark, str(tmp_path / folder))
+        assert feeds.load_antifraud(spark, str(tmp_path / folder)) is None
