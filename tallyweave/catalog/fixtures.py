@@ -6,11 +6,15 @@ attributes a query asks for.  None of them needs a global order.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 from tallyweave import constants as C
 from tallyweave.operators import enrich, feeds, match
-from tallyweave.plans import consolidation
+from tallyweave.plans import consolidation, store
+from tallyweave.session import shared_dir
 
 #: attribute of a dispute -> table it is looked up in
 DISPUTE_ATTRIBUTES = ("dispute_reason", "payment_method", "shopper_email")
@@ -267,8 +271,9 @@ def order_list(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def order_attributes(spark: SparkSession, sf_dir: str, *attributes: str) -> DataFrame:
-    """The wanted attributes (all by default) of every order document."""
-    flat = enrich.order_attributes(enrich.flatten_detail(order_details(spark, sf_dir)))
+    """The wanted attributes (all by default) of the documents that disputes may ask for."""
+    documents = enrich.wanted_documents(order_details(spark, sf_dir), disputes(spark, sf_dir))
+    flat = enrich.order_attributes(enrich.flatten_detail(documents))
     return flat.select("order_id", *(attributes or C.ENRICHMENT_COLUMNS))
 
 
@@ -316,3 +321,23 @@ def consolidated(spark: SparkSession, sf_dir: str, *attributes: str) -> DataFram
     rows = disputes(spark, sf_dir, *attributes) if attributes else keys
     return consolidation.consolidate(rows, ledger(spark, sf_dir), antifraud(spark, sf_dir),
                                 order_attributes(spark, sf_dir), keys=keys)
+
+
+REPORT_ATTRIBUTES = ("dispute_reason", "payment_method", "shopper_email")
+FEEDS = ("lineitem", "orders", "customer", "nation", "region", "part")
+_STORES: dict[tuple, tuple[str, StructType]] = {}
+
+
+def served(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The consolidated frame as reports are served from it: stored once a session, by month.
+
+    The first report of a session joins the feeds and stores the frame, the others read
+    it; it is stored anew when a file of a feed has changed.
+    """
+    files = (spark.read.format("binaryFile").load([f"{sf_dir}/{t}.parquet" for t in FEEDS])
+             .agg(F.count("*"), F.bit_xor(F.xxhash64("path", "length", "modificationTime"))).first())
+    key = (spark.sparkContext.applicationId, sf_dir, *files)
+    if key not in _STORES:
+        path = f"{shared_dir(spark)}/tallyweave/store-{uuid.uuid4().hex}"
+        _STORES[key] = path, store.write_store(consolidated(spark, sf_dir, *REPORT_ATTRIBUTES), path)
+    return store.open_store(spark, *_STORES[key])

@@ -561,6 +561,62 @@ def _sections() -> str:
     ]))
 
 
+REPORT_TIME = "2025-06-30 12:00:00"
+
+_QUOTED = "CAST(to_json({}) AS VARCHAR)"
+_FIGURE = "CAST(CAST({} AS DECIMAL(38,2)) AS VARCHAR)"
+_PLAIN = "CAST({} AS VARCHAR)"
+
+
+def _object(columns: dict[str, str]) -> str:
+    """A JSON object as text: keys in order, values by the given form, nulls written out."""
+    pairs = [f"""'"{c}":' || coalesce({form.format(c)}, 'null')""" for c, form in columns.items()]
+    return "'{' || " + " || ',' || ".join(pairs) + " || '}'"
+
+
+def _list(value: str, order: str) -> str:
+    return f"'[' || string_agg({value}, ',' ORDER BY {order}) || ']'"
+
+
+def _document(found: dict[str, str]) -> str:
+    """The dashboard document from the SQL of its reports."""
+    ranked = "n DESC, label"
+    kpis = {c: _PLAIN for c in ("total_chargebacks", "total_notifications")} | {
+        c: _FIGURE for c in ("valor_total_cb", "valor_total_noc", "ticket_medio_cb", "ticket_medio_noc")} | {
+        "noc_que_viraram_cb": _PLAIN, "noc_total": _PLAIN, "taxa_conversao_noc_cb": _FIGURE,
+        "com_sap": _PLAIN, "com_clearsale": _PLAIN}
+    cross = {"total_adyen_cb_noc": _PLAIN, "encontrados_no_sap": _PLAIN, "nao_encontrados_sap": _PLAIN,
+             "taxa_match_sap": _FIGURE, "encontrados_no_clearsale": _PLAIN,
+             "nao_encontrados_clearsale": _PLAIN, "taxa_match_clearsale": _FIGURE}
+    record = {c.strip(): _QUOTED for c in _EXPORT.split(",")} | {"dispute_amount": _FIGURE, "record_date": _QUOTED}
+    months = "['Jan','Fev','Mar','Abr','Mai','Jun','Jul','Ago','Set','Out','Nov','Dez']"
+
+    def label(x: str) -> str:
+        return f"concat({months}[CAST(month({x}) AS INT)], '/', strftime({x}, '%y'))"
+
+    def side(name: str) -> str:
+        return (f"""'"count":' || {_list(_PLAIN.format(name + '_count'), 'month')} || ',"total":' || """
+                f"{_list(_FIGURE.format(name + '_total'), 'month')}")
+
+    money = "section IN ('por_uf', 'por_cidade')"
+    return f"""
+WITH s AS ({_sections()}), m AS ({found['monthly_evolution']}), l AS ({found['ledger_monthly']}),
+t AS (SELECT * REPLACE (strftime(record_date, '%Y-%m-%d %H:%M:%S') AS record_date) FROM ({found['top_records']})),
+d AS ({_with('disputes', 'SELECT min(record_date) AS low, max(record_date) AS high FROM disputes')})
+SELECT section, '{{"labels":' || {_list(_QUOTED.format('label'), ranked)} || ',"values":' || {_list(_PLAIN.format('n'), ranked)} || '}}' AS json
+FROM s WHERE NOT {money} GROUP BY section
+UNION ALL SELECT section, '{{"labels":' || {_list(_QUOTED.format('label'), ranked)} || ',"count":' || {_list(_PLAIN.format('n'), ranked)}
+  || ',"total":' || {_list(_FIGURE.format('total'), ranked)} || '}}' FROM s WHERE {money} GROUP BY section
+UNION ALL SELECT 'kpis', {_object(kpis)} FROM ({found['kpis']})
+UNION ALL SELECT 'cross_validation', {_object(cross)} FROM ({found['cross_validation']})
+UNION ALL SELECT 'evolucao_mensal', '{{"labels":' || {_list(_QUOTED.format('month'), 'month')}
+  || ',"chargeback":{{' || {side('cb')} || '}},"notification":{{' || {side('noc')} || '}}}}' FROM m
+UNION ALL SELECT 'sap_mensal', '{{"labels":' || {_list(_QUOTED.format('month'), 'month')} || ',"count":' || {_list(_PLAIN.format('n'), 'month')}
+  || ',"total":' || {_list(_FIGURE.format('total'), 'month')} || '}}' FROM l
+UNION ALL SELECT 'top_registros', {_list(_object(record), 'dispute_amount IS NULL, dispute_amount DESC, dispute_id')} FROM t
+UNION ALL SELECT 'meta', '{{"periodo":"' || {label('low')} || ' — ' || {label('high')} || '","gerado_em":"{REPORT_TIME}"}}' FROM d"""
+
+
 def _outputs() -> dict[str, str]:
     outer = f"outer_rows AS ({_OUTER})"
     prefix = _with("disputes ledger antifraud", "")
@@ -638,7 +694,9 @@ UNION ALL SELECT 'Resumo_Mensal', count(DISTINCT (strftime(record_date, '%Y-%m')
 
 
 def oracle_sql() -> dict[str, str]:
-    return {
+    found = {
         **_scans_and_normalisation(), **_matching(), **_orders(),
         **_breakdowns(), **_dashboard(), **_outputs(), **_files(),
     }
+    joined = {f"{name}_joined": found[name] for name in ("kpis", "top_records")}
+    return found | joined | {"dashboard_document": _document(found)}

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tallyweave import constants as C
 from tallyweave.catalog import fixtures as fx
-from tallyweave.catalog.oracles import DASH_END, DASH_START
+from tallyweave.catalog.oracles import DASH_END, DASH_START, REPORT_TIME
 from tallyweave.functions import dates, nested, numbers, text
 from tallyweave.operators import dash, enrich, feeds, ids, match, metrics, windows
 from tallyweave.plans import consolidation
@@ -447,104 +447,70 @@ def capped_extract(spark, sf):
 
 # --- breakdowns, pipeline rules ----------------------------------------------
 
-def _on(name: str, report: Callable, frame: Callable, *attributes: str) -> None:
-    """Register a report on the narrowest frame that carries its columns."""
-    REGISTRY[name] = lambda spark, sf: report(frame(spark, sf, *attributes))
-
-
-_on("kpis", metrics.kpis, fx.reconciled)
-_on("monthly_evolution", metrics.monthly_evolution, fx.disputes)
-_on("ledger_monthly", metrics.ledger_monthly, fx.with_ledger)
-_on("by_source", metrics.by_source, fx.reconciled)
-_on("by_reason", metrics.by_reason, fx.disputes, "dispute_reason")
-_on("by_reason_profile", lambda df: metrics.by_reason(df, C.TOP_REASONS_PROFILE), fx.disputes, "dispute_reason")
-_on("by_payment_method", metrics.by_payment_method, fx.disputes, "payment_method")
-_on("by_interaction", metrics.by_interaction, fx.disputes)
-_on("by_antifraud_status", metrics.by_antifraud_status, fx.with_antifraud)
-_on("by_state", metrics.by_state, fx.located)
-_on("by_city", metrics.by_city, fx.located)
-_on("by_delivery", metrics.by_delivery, fx.with_orders, "vtex_delivery_type")
-_on("by_delivery_detail", metrics.by_delivery_detail, fx.with_orders, "vtex_delivery_type")
-_on("by_category", metrics.by_category, fx.with_orders, "vtex_categories")
+def _on(name: str, report: Callable, frame: Callable = fx.served) -> None:
+    """Register a report, served from the stored frame unless it needs another."""
+    REGISTRY[name] = lambda spark, sf: report(frame(spark, sf))
+
+
+for _name in ("kpis", "monthly_evolution", "ledger_monthly", "by_source", "by_reason", "by_payment_method",
+              "by_interaction", "by_antifraud_status", "by_state", "by_city", "by_delivery", "by_delivery_detail",
+              "by_category", "by_item", "by_store", "cross_validation", "top_emails", "by_conversion",
+              "by_record_type", "monthly_summary", "type_totals", "top_records"):
+    _on(_name, getattr(metrics, _name))
+_on("by_reason_profile", lambda df: metrics.by_reason(df, C.TOP_REASONS_PROFILE))
 _on("by_category_documents", lambda df: metrics.by_category(df, "text"),
     lambda spark, sf: fx.table(spark, sf, "documents"))
-_on("by_item", metrics.by_item, fx.with_antifraud)
-_on("by_store", metrics.by_store, fx.with_orders, "vtex_store")
-_on("cross_validation", metrics.cross_validation, fx.reconciled)
-_on("top_emails", metrics.top_emails, fx.disputes, "shopper_email")
-_on("by_conversion", metrics.by_conversion, fx.with_flag)
-_on("by_record_type", metrics.by_record_type, fx.disputes)
 _on("by_record_type_all", metrics.by_record_type, fx.raw_disputes)
-_on("monthly_summary", metrics.monthly_summary, fx.disputes)
-_on("type_totals", metrics.type_totals, fx.disputes)
-_on("recurrence_tier", lambda df: metrics.recurrence_tier(metrics.value_counts(df, "shopper_email")),
-    fx.disputes, "shopper_email")
-_on("share_of_total", lambda df: metrics.share_of_total(metrics.by_payment_method(df)),
-    fx.disputes, "payment_method")
-
-
-def _few(spark, sf, few):
-    return consolidation.enrich_few(few, fx.disputes(spark, sf), fx.ledger(spark, sf),
-                               fx.antifraud(spark, sf), fx.order_details(spark, sf))
+_on("recurrence_tier", lambda df: metrics.recurrence_tier(metrics.value_counts(df, "shopper_email")))
+_on("share_of_total", lambda df: metrics.share_of_total(metrics.by_payment_method(df)))
 
 
 @query
-def top_records(spark, sf):
+def top_records_joined(spark, sf):
+    """The same report without a stored frame: rows picked first, then joined."""
     rows = fx.disputes(spark, sf, "dispute_reason", "payment_method")
-    return metrics.top_records(_few(spark, sf, metrics.largest(rows, ROW_ID)))
+    few = consolidation.enrich_few(
+        metrics.largest(rows, ROW_ID), fx.disputes(spark, sf), fx.ledger(spark, sf),
+        fx.antifraud(spark, sf), fx.order_details(spark, sf))
+    return metrics.top_records(few)
 
 
-# --- breakdowns, dashboard rules ---------------------------------------------
+@query
+def kpis_joined(spark, sf):
+    """The same figures straight from the joined feeds."""
+    return metrics.kpis(fx.reconciled(spark, sf))
 
-def _dash(name: str, report: Callable, frame: Callable, *attributes: str) -> None:
-    _on(name, lambda df: report(df, start=DASH_START, end=DASH_END), frame, *attributes)
 
+# --- breakdowns, dashboard rules ---------------------------------------------
 
-_dash("dash_group_count", lambda df, **r: dash.dash_group_count(df, "shopper_interaction", **r), fx.disputes)
-_dash("dash_kpis", dash.dash_kpis, fx.reconciled)
-_dash("dash_monthly", dash.dash_monthly, fx.disputes)
-_dash("dash_reason", dash.dash_reason, fx.disputes, "dispute_reason")
-_dash("dash_method", dash.dash_method, fx.disputes, "payment_method")
-_dash("dash_status", dash.dash_status, fx.with_antifraud)
-_dash("dash_delivery", dash.dash_delivery, fx.with_orders, "vtex_delivery_type")
-_dash("dash_state", dash.dash_state, fx.with_orders, "vtex_uf")
-_dash("dash_city", dash.dash_city, fx.with_orders, "vtex_cidade")
-_dash("dash_store", dash.dash_store, fx.with_orders, "vtex_store")
-_dash("dash_item", dash.dash_item, fx.with_antifraud)
-_dash("dash_category", dash.dash_category, fx.with_orders, "vtex_categories")
-_dash("dash_source", dash.dash_source, fx.reconciled)
-_dash("dash_conversion", dash.dash_conversion, fx.with_flag)
-_dash("dash_cross_validation", dash.dash_cross_validation, fx.consolidated)
+def _dash(name: str, report: Callable) -> None:
+    _on(name, lambda df: report(df, start=DASH_START, end=DASH_END))
 
 
-@query
-def dash_top_records(spark, sf):
-    rows = fx.disputes(spark, sf, "dispute_reason", "payment_method")
-    few = metrics.largest(feeds.month_range_filter(rows, DASH_START, DASH_END), ROW_ID)
-    return dash.dash_top_records(_few(spark, sf, few), DASH_START, DASH_END)
+_dash("dash_group_count", lambda df, **r: dash.dash_group_count(df, "shopper_interaction", **r))
+for _name in ("dash_kpis", "dash_monthly", "dash_reason", "dash_method", "dash_status", "dash_delivery",
+              "dash_state", "dash_city", "dash_store", "dash_item", "dash_category", "dash_source",
+              "dash_conversion", "dash_cross_validation", "dash_top_records"):
+    _dash(_name, getattr(dash, _name))
 
 
 # --- outputs -----------------------------------------------------------------
 
-REPORT_ATTRIBUTES = ("dispute_reason", "payment_method", "shopper_email")
-
-
 @query
 def dashboard_sections(spark, sf):
     """All label breakdowns of the document as rows, from the stored frame."""
-    stored = cut_lineage(fx.consolidated(spark, sf, *REPORT_ATTRIBUTES))
-    return consolidation.dashboard_sections(stored)
+    return consolidation.dashboard_sections(fx.served(spark, sf))
 
 
 @query
 def dashboard_document(spark, sf):
-    return consolidation.dashboard_document(fx.consolidated(spark, sf, *REPORT_ATTRIBUTES))
+    """The whole document, a row a section, with the time of the report given."""
+    return consolidation.dashboard_document(fx.served(spark, sf), generated=REPORT_TIME, stored=True)
 
 
 @query
 def raw_export(spark, sf):
-    rows = fx.consolidated(spark, sf, "dispute_reason", "payment_method")
-    return exports.raw_export(rows, keep=ROW_ID)
+    return exports.raw_export(fx.served(spark, sf), keep=ROW_ID)
 
 
 @query
@@ -574,7 +540,7 @@ def preview(spark, sf):
 
 @query
 def profile_columns(spark, sf):
-    return exports.profile_columns(fx.disputes(spark, sf, *REPORT_ATTRIBUTES), order=ROW_ID)
+    return exports.profile_columns(fx.disputes(spark, sf, *fx.REPORT_ATTRIBUTES), order=ROW_ID)
 
 
 # --- file layouts, written from the tables and scanned back ------------------
@@ -840,7 +806,7 @@ def scan_cache(spark, sf):
 def consolidated_extracts(spark, sf):
     """Rows of each written extract."""
     path = fresh_path(spark, "extracts")
-    written = exports.consolidated_extracts(fx.consolidated(spark, sf, *REPORT_ATTRIBUTES), path)
+    written = exports.consolidated_extracts(fx.consolidated(spark, sf, *fx.REPORT_ATTRIBUTES), path)
     counts = [
         spark.read.parquet(target).agg(F.count("*").alias("n_rows"))
         .select(F.lit(name).alias("extract"), "n_rows") for name, target in written.items()

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tallyweave import constants as C, schemas
 from tallyweave.functions import nested, numbers
 from tallyweave.functions.text import base_order_id, dashed, order_id_suffix
+from tallyweave.operators.prefilter import likely_members
 from tallyweave.operators.skew import KeyProfile, first_per_key, lookup_join
 
 ATTRIBUTES = C.ENRICHMENT_COLUMNS
@@ -69,21 +70,47 @@ def candidates(ids: DataFrame, key: str = "order_id") -> DataFrame:
     return ids.select(key, F.posexplode(tried).alias("rank", "candidate"))
 
 
-_SLOTS = {s: f"_slot{i}" for i, s in enumerate(C.CANDIDATE_SUFFIXES)}
+#: Columns of a document beside a row that looks it up.
+_DOCUMENT = "_document_"
+
+
+def wanted_documents(documents: DataFrame, rows: DataFrame, order_col: str = "vtex_order_id",
+                     key: str = "order_id") -> DataFrame:
+    """The documents that an order of the rows may resolve to, and a few others.
+
+    Applied to raw documents, so that those nobody asks for are not even parsed.
+    """
+    return likely_members(documents, base_order_id(F.col(key)), rows, base_order_id(F.trim(order_col)))
+
+
 def documents_by_base(details: DataFrame, key: str = "order_id") -> DataFrame:
-    """One row per base id with its documents side by side, one slot per suffix.
+    """Documents by base id: each id once, with its suffix and whether it is the first to try.
 
-    All candidates of an order share its base id, so they meet in one shuffle
-    of the documents, and a lookup by base id finds every candidate at once.
+    All candidates of an order share its base id, so the documents are shuffled and
+    sorted once, for this and for the join; a row then takes the one that fits it.
     """
-    document = F.struct(
-        F.col(key).alias("matched_id"), *[F.col(c) for c in details.columns if c != key]
-    )
-    slots = [
-        F.max(F.when(order_id_suffix(F.col(key)) == suffix, document)).alias(name)
-        for suffix, name in _SLOTS.items()
-    ]
-    return details.groupBy(base_order_id(F.col(key)).alias("_base")).agg(*slots)
+    base = base_order_id(F.col(key))
+    suffix = order_id_suffix(F.col(key))
+    slots = F.coalesce(*[F.when(suffix == s, F.lit(i)) for i, s in enumerate(C.CANDIDATE_SUFFIXES)])
+    placed = details.select(
+        base.alias("_base"), suffix.alias("_document_suffix"), slots.alias("_slot"),
+        *[F.col(c).alias(_DOCUMENT + c) for c in details.columns])
+    # several documents of one id: any one, but always the same
+    order = Window.partitionBy("_base").orderBy("_slot", F.xxhash64(*[_DOCUMENT + c for c in details.columns]))
+    slot = F.col("_slot")
+    return placed.withColumns({
+        "_again": F.coalesce(F.lag("_slot").over(order) == slot, F.lit(False)),
+        "_first": F.first("_slot").over(order) == slot,
+    }).where(~F.col("_again")).drop("_again", "_slot")
+
+
+def fits() -> Column:
+    """Whether a document of the row's base id is the one the row takes.
+
+    A plain id takes the first candidate there is, a dashed one that of its own suffix.
+    """
+    return F.when(F.col("_suffix").isNull(), F.col("_first")).otherwise(
+        F.col("_suffix") == F.col("_document_suffix"))
 
 
 def attach_documents(
@@ -98,7 +125,7 @@ def attach_documents(
     A given ``profile`` must be that of ``base_order_id`` of the order column.
     """
     keyed = key_by_base(df, order_col)
-    joined = lookup_join(keyed, "_order", [(documents_by_base(details), "_base")], row_id, profile)
+    joined = lookup_join(keyed, "_order", [(documents_by_base(details), "_base", fits())], row_id, profile)
     return pick_document(joined, df.columns, details.columns)
 
 
@@ -112,28 +139,13 @@ def key_by_base(df: DataFrame, order_col: str = "vtex_order_id") -> DataFrame:
     })
 
 
-def pick_document(joined: DataFrame, columns: Sequence[str], fields: Sequence[str]) -> DataFrame:
-    """Keep ``columns`` and add the fields of the best document of the joined base id.
-
-    A plain id takes the first slot that is filled, a dashed one the slot of
-    its own suffix.
-    """
-    payload = [c for c in fields if c != "order_id"]
+def pick_document(joined: DataFrame, columns: Sequence[str], fields: Sequence[str],
+                  key: str = "order_id") -> DataFrame:
+    """Keep ``columns`` and add the fields of the joined document, its id as ``matched_id``."""
+    payload = [c for c in fields if c != key]
     kept = [c for c in columns if c not in payload]
-    suffix = F.col("_suffix")
-    place = F.coalesce(*[
-        F.when((suffix.isNull() | (suffix == s)) & F.col(n).isNotNull(), F.lit(i))
-        for i, (s, n) in enumerate(_SLOTS.items())
-    ])
-    placed = joined.withColumn("_place", place)
-
-    def field(name: str) -> Column:
-        value = F.lit(None)
-        for i, slot in enumerate(_SLOTS.values()):
-            value = F.when(F.col("_place") == i, F.col(slot)[name]).otherwise(value)
-        return value.alias(name)
-
-    return placed.select(*kept, field("matched_id"), *[field(c) for c in payload])
+    return joined.select(*kept, F.col(_DOCUMENT + key).alias("matched_id"),
+                         *[F.col(_DOCUMENT + c).alias(c) for c in payload])
 
 
 def resolve_candidates(ids: DataFrame, details: DataFrame) -> DataFrame:

@@ -12,11 +12,22 @@ from tallyweave.functions import dates, numbers, text
 from tallyweave.operators.skew import first_per_key, lookup_join
 
 
+#: Partition column of a frame stored by month.
+STORED_MONTH = "stored_month"
+
+
 def union_by_name(frames: Sequence[DataFrame]) -> DataFrame:
     """Stack frames by column name; columns a frame lacks are null."""
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
+def fresh_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores added until no column of the table has it."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name += "_"
+    return name
+
+
 def resolve_column(
     columns: Sequence[str],
     contains: Sequence[str],
@@ -171,6 +182,12 @@ def valid_order_ids(df: DataFrame, column: str = "vtex_order_id") -> DataFrame:
 def month_range_filter(
     df: DataFrame, start: str | None = None, end: str | None = None, column: str = "record_date"
 ) -> DataFrame:
-    return df.where(dates.in_months(column, start, end))
+    """Rows of the months from ``start`` to ``end``; of a frame stored by month, only their folders."""
+    kept = df.where(dates.in_months(column, start, end))
+    if STORED_MONTH not in df.columns:
+        return kept
+    month = F.col(STORED_MONTH)
+    bounds = [month.isNotNull(), *([month >= start] if start else []), *([month <= end] if end else [])]
+    return kept.where(reduce(lambda a, b: a & b, bounds))
 
 

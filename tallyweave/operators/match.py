@@ -58,19 +58,17 @@ def match_ledger_outer(
     row_id: Sequence[str] = ROW_ID,
     ledger_id: Sequence[str] = ("ordinal",),
 ) -> DataFrame:
-    """Full outer join on every posting; ledger-only rows are labelled as such."""
-    matched = fanout_join(disputes, ledger, "psp_reference", "psp_reference_sap",
-                          row_id, ledger_id)
-    known = disputes.select(F.col("psp_reference").alias("_known")).where(
-        "_known IS NOT NULL").distinct()
-    ledger_only = (
-        lookup_join(ledger, "psp_reference_sap", [(known, "_known")], ledger_id)
-        .where("_known IS NULL")
-        .drop("_known")
-        .withColumn("record_type", F.lit(C.LEDGER_ONLY))
-        .withColumn("psp_reference", F.col("psp_reference_sap"))
-    )
-    return matched.unionByName(ledger_only, allowMissingColumns=True)
+    """Full outer join on every posting; ledger-only rows are labelled as such.
+
+    One join: postings without a dispute come out of the shuffle that matches the others.
+    """
+    joined = fanout_join(disputes.withColumn("_disputed", F.lit(True)), ledger, "psp_reference",
+                         "psp_reference_sap", row_id, ledger_id, how="full")
+    only = F.col("_disputed").isNull()
+    return joined.withColumns({
+        "record_type": F.when(only, C.LEDGER_ONLY).otherwise(F.col("record_type")),
+        "psp_reference": F.when(only, F.col("psp_reference_sap")).otherwise(F.col("psp_reference")),
+    }).drop("_disputed")
 
 
 #: boolean that a matched report leaves on the dispute

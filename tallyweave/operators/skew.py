@@ -10,8 +10,9 @@ exact: which keys are treated as frequent only decides where rows are placed.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -42,20 +43,31 @@ def profile_key(df: DataFrame, key: str) -> KeyProfile:
 
 
 def profile_keys(df: DataFrame, keys: Mapping[str, Column]) -> dict[str, KeyProfile]:
-    """Find the frequent values of several text columns in one pass over them.
+    """Find the frequent values of several text columns in one pass over them."""
+    entries = [F.struct(F.lit(n).alias("name"), c.cast("string").alias("k")) for n, c in keys.items()]
+    return _profile(df.select(F.inline(F.array(*entries))), keys)
+
+
+def profile_frames(frames: Mapping[str, tuple[DataFrame, str]]) -> dict[str, KeyProfile]:
+    """Find the frequent values of one text column of several frames, in one job."""
+    entries = [df.select(F.lit(n).alias("name"), F.col(key).cast("string").alias("k"))
+               for n, (df, key) in frames.items()]
+    return _profile(reduce(DataFrame.unionByName, entries), frames)
+
+
+def _profile(entries: DataFrame, names: Iterable[str]) -> dict[str, KeyProfile]:
+    """Frequent values ``k`` by ``name``.
 
     At most as many values as there are shuffle partitions can hold more than an
     average partition, so that is how many each group of input partitions
     reports from its sketch.  What reaches the driver is one row per frequent
-    value, and one row with the counts of each column.
+    value, and one row with the counts of each name.
     """
-    cells = shuffle_partitions(df.sparkSession)
+    cells = shuffle_partitions(entries.sparkSession)
     tracked = min(MOST_TRACKED, TRACKED_PER_KEY * cells)
     reported = min(cells, tracked)
-    entries = [F.struct(F.lit(n).alias("name"), c.cast("string").alias("k")) for n, c in keys.items()]
     parts = (
-        df.select(F.inline(F.array(*entries)))
-        .groupBy("name", F.pmod(F.spark_partition_id(), F.lit(SKETCHES)).alias("part"))
+        entries.groupBy("name", F.pmod(F.spark_partition_id(), F.lit(SKETCHES)).alias("part"))
         .agg(
             F.expr(
                 f"approx_top_k(k, {reported}, {tracked})"
@@ -90,7 +102,7 @@ def profile_keys(df: DataFrame, keys: Mapping[str, Column]) -> dict[str, KeyProf
             tuple(sorted(r["k"] for r in frequent if r["name"] == name and r["k"] is not None)),
             any(r["name"] == name and r["k"] is None for r in frequent),
         )
-        for name in keys
+        for name in names
     }
 
 
@@ -158,36 +170,40 @@ def fanout_join(
     right_key: str,
     left_id: Sequence[str],
     right_id: Sequence[str],
+    how: str = "left",
 ) -> DataFrame:
-    """Left join that keeps every match, where either side may have frequent keys.
+    """Left or full join that keeps every match, where either side may have frequent keys.
 
     Left rows of a frequent left key are split over ``a`` cells and right rows
     of a frequent right key over ``b`` cells; each side is repeated along the
-    other side's cells, so every pair meets in exactly one (a, b) cell.
+    other side's cells, so every pair meets in exactly one (a, b) cell.  Both
+    keys are profiled in one job; without frequent ones this is a plain join.
     """
-    on_left, on_right = profile_key(left, left_key), profile_key(right, right_key)
+    if how not in ("left", "full"):
+        raise ValueError(f"no {how} join here")
+    found = profile_frames({"left": (left, left_key), "right": (right, right_key)})
+    on_left, on_right = found["left"], found["right"]
     lk, rk = F.col(left_key), F.col(right_key)
-    right = right.where(rk.isNotNull())
-    if not (on_left.hot or on_left.hot_null or on_right.hot):
-        return left.join(right, lk == rk, "left")
+    if how == "left":
+        right = right.where(rk.isNotNull())
+    if not (on_left.hot or on_left.hot_null or on_right.hot or (on_right.hot_null and how == "full")):
+        return left.join(right, lk == rk, how)
     cells = shuffle_partitions(left.sparkSession)
-    split_left = left.withColumn(
-        "_a",
-        F.when(lk.isNull(), F.hash(*left_id))
-        .when(on_left.is_hot(lk), _cell(left_id, cells))
-        .otherwise(F.lit(0)),
-    ).withColumn("_b", _repeat(on_right.is_hot(lk), cells))
-    split_right = right.withColumn(
-        "_rb", F.when(on_right.is_hot(rk), _cell(right_id, cells)).otherwise(F.lit(0))
-    ).withColumn("_ra", _repeat(on_left.is_hot(rk), cells))
+
+    def spread(key: Column, profile: KeyProfile, row_id: Sequence[str]) -> Column:
+        return F.when(key.isNull(), F.hash(*row_id)).when(profile.is_hot(key), _cell(row_id, cells)).otherwise(F.lit(0))
+
+    split_left = left.withColumns({"_a": spread(lk, on_left, left_id)}).withColumn("_b", _repeat(on_right.is_hot(lk), cells))
+    split_right = right.withColumns({"_rb": spread(rk, on_right, right_id)}).withColumn("_ra", _repeat(on_left.is_hot(rk), cells))
     joined = split_left.join(
         split_right,
         (lk == rk) & (F.col("_a") == F.col("_ra")) & (F.col("_b") == F.col("_rb")),
-        "left",
+        how,
     )
-    # A frequent right key is known to exist on the right, so a copy of a left
-    # row that met an empty cell is not an unmatched row.
-    return joined.where(rk.isNotNull() | ~on_right.is_hot(lk)).drop("_a", "_b", "_ra", "_rb")
+    # A frequent key is known to exist on its side, so a copy of the other
+    # side's row that met an empty cell is not an unmatched row.
+    spurious = (F.col("_ra").isNull() & on_right.is_hot(lk)) | (F.col("_a").isNull() & on_left.is_hot(rk))
+    return joined.where(~spurious).drop("_a", "_b", "_ra", "_rb")
 
 
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:

@@ -32,7 +32,7 @@ def consolidate(
     own_report = F.col("_wanted") == F.col("_report_order")
     joined = lookup_join(
         enrich.key_by_base(rows), "_order",
-        [(reports, "_report_order", own_report), (enrich.documents_by_base(attributes), "_base")],
+        [(reports, "_report_order", own_report), (enrich.documents_by_base(attributes), "_base", enrich.fits())],
         row_id, profile.base_order,
     )
     columns = [*rows.columns, *[c for c in reports.columns if c != "_report_order"]]
@@ -209,55 +209,80 @@ def dashboard_sections(df: DataFrame) -> DataFrame:
 VALUE, COUNT, TOTAL = "values", "count", "total"
 
 
+#: How figures other than counts are written.
+FIGURE = "decimal(38,2)"
+
+
+def _canonical(report: DataFrame) -> list[Column]:
+    """The report's columns with figures and times as the document writes them."""
+    shaped = []
+    for f in report.schema.fields:
+        kind, c = f.dataType.typeName(), F.col(f.name)
+        if kind in ("double", "decimal"):
+            c = c.cast(FIGURE)
+        elif kind.startswith("timestamp"):
+            c = F.date_format(c, "yyyy-MM-dd HH:mm:ss")
+        shaped.append(c.alias(f.name))
+    return shaped
+
+
+def _json(value: Column) -> Column:
+    return F.to_json(value, {"ignoreNullFields": "false"})
+
+
 def dashboard_document(
     df: DataFrame, tiebreak: tuple[str, ...] = match.ROW_ID, period: str | None = None,
-    generated: str | None = None,
+    generated: str | None = None, stored: bool = False,
 ) -> DataFrame:
     """The dashboard document, a row (section, json) for each of its top-level entries.
 
     A breakdown is ``{labels, values}``, or ``{labels, count, total}`` where it
     has amounts; the monthly series are ``{labels, ..}`` with a list per figure.
-    A section is as long as it has labels.  ``generated`` is the time of the
-    report as text, by default now.
+    A section is as long as it has labels.  The text is canonical: keys in a fixed
+    order, figures other than counts with two decimals, times as ``yyyy-MM-dd HH:mm:ss``,
+    missing values as nulls.  ``generated`` is the time of the report as text, by
+    default now.  The frame is read several times, so it is stored first unless it already is.
     """
-    stored = cut_lineage(df)
+    stored = df if stored else cut_lineage(df)
     sections = dashboard_sections(stored)
     rows = F.transform(
         F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("order"), "label", "n", "total"))),
         lambda r: F.struct(r["label"].alias("label"), r["n"].alias("n"), r["total"].alias("total")))
     lists = sections.groupBy("section").agg(rows.alias("r"))
     labels = F.col("r")["label"].alias("labels")
-    money = F.to_json(F.struct(labels, F.col("r")["n"].alias(COUNT), F.col("r")["total"].alias(TOTAL)))
-    plain = F.to_json(F.struct(labels, F.col("r")["n"].alias(VALUE)))
+    totals = F.transform(F.col("r")["total"], lambda x: x.cast(FIGURE))
+    money = _json(F.struct(labels, F.col("r")["n"].alias(COUNT), totals.alias(TOTAL)))
+    plain = _json(F.struct(labels, F.col("r")["n"].alias(VALUE)))
     breakdowns = lists.select(
         "section", F.when(F.col("section").isin(*MONEY_SECTIONS), money).otherwise(plain).alias("json"))
 
     def one(section: str, report: DataFrame) -> DataFrame:
         """A report of one row as an object."""
-        return report.select(F.lit(section).alias("section"), F.to_json(F.struct("*")).alias("json"))
+        return report.select(F.lit(section).alias("section"), _json(F.struct(*_canonical(report))).alias("json"))
 
     def column_lists(report: DataFrame, groups: dict[str, tuple[str, ...]]) -> Column:
         """Lists by month; a group of several figures becomes an object of lists."""
-        every = F.array_sort(F.collect_list(F.struct("month", *[c for own in groups.values() for c in own])))
+        kept = {"month"} | {c for own in groups.values() for c in own}
+        every = F.array_sort(F.collect_list(F.struct(*_canonical(report.select(*sorted(kept, key=report.columns.index))))))
         fields = [every["month"].alias("labels")]
         for name, own in groups.items():
             lists = [every[c].alias(c.rsplit("_", 1)[-1]) for c in own]
             fields.append(F.struct(*lists).alias(name))
-        return F.to_json(F.struct(*fields)).alias("json")
+        return _json(F.struct(*fields)).alias("json")
 
     monthly = metrics.monthly_evolution(stored)
     months = monthly.agg(column_lists(monthly, {
         "chargeback": ("cb_count", "cb_total"), "notification": ("noc_count", "noc_total")}))
     postings = metrics.ledger_monthly(stored).agg(
-        F.array_sort(F.collect_list(F.struct("month", "n", "total"))).alias("r")
-    ).select(F.to_json(F.struct(F.col("r")["month"].alias("labels"), F.col("r")["n"].alias(COUNT),
+        F.array_sort(F.collect_list(F.struct("month", "n", F.col("total").cast(FIGURE).alias("total")))).alias("r")
+    ).select(_json(F.struct(F.col("r")["month"].alias("labels"), F.col("r")["n"].alias(COUNT),
                                 F.col("r")["total"].alias(TOTAL))).alias("json"))
     amount = F.col(metrics.AMOUNT)
     largest = F.struct(amount.isNull().alias("missing"), (-amount).alias("size"), *tiebreak)
     top = metrics.top_records(stored, tiebreak)
-    records = top.agg(F.to_json(F.array_sort(F.collect_list(F.struct(
-        largest.alias("order"), F.struct("*").alias("row"))))["row"]).alias("json"))
-    span = stored.agg(F.to_json(F.struct(
+    records = top.agg(_json(F.array_sort(F.collect_list(F.struct(
+        largest.alias("order"), F.struct(*_canonical(top)).alias("row"))))["row"]).alias("json"))
+    span = stored.agg(_json(F.struct(
         F.coalesce(F.lit(period), F.concat(
             dates.month_label(dates.month_key(F.min("record_date"))), F.lit(" — "),
             dates.month_label(dates.month_key(F.max("record_date"))))).alias("periodo"),

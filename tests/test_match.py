@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tallyweave.operators import enrich, match
 from tallyweave.operators.ids import dense_ids
+from tallyweave.operators.prefilter import likely_members
 from tallyweave.operators.skew import (
     KeyProfile, fanout_join, lookup_join, profile_key, top_n_per_group,
 )
@@ -245,3 +246,55 @@ def test_every_key_beyond_an_average_partition_is_found(spark):
         assert set(profile_key(hot.union(rest), "k").hot) == {f"h{i}" for i in range(100)}
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+@pytest.mark.parametrize("how", ["left", "full"])
+@pytest.mark.parametrize("seed", range(4))
+def test_fanout_join_against_pairs(spark, how, seed):
+    """Keys that are frequent on either side, both or none, null ones, and keys of one side only."""
+    rng = random.Random(seed)
+    keys = ["A"] * 40 * (seed % 2) + ["B"] * 30 * (seed > 1) + [None] * 20 + [f"k{i}" for i in range(30)]
+    other = ["B"] * 40 * (seed % 2) + ["A"] * 6 + [None] * 25 * (seed > 0) + [f"k{i}" for i in range(15, 45)] + ["Z"] * 9 * (seed > 2)
+    left = [(i, rng.choice(keys)) for i in range(90)]
+    right = [(i, rng.choice(other)) for i in range(80)]
+    expected = Counter((i, j) for i, k in left for j, q in right if k is not None and k == q)
+    expected += Counter((i, None) for i, k in left if k is None or k not in {q for _, q in right})
+    if how == "full":
+        expected += Counter((None, j) for j, q in right if q is None or q not in {k for _, k in left})
+    got = fanout_join(spark.createDataFrame(left, "i int, lk string"), spark.createDataFrame(right, "j int, rk string"),
+                      "lk", "rk", ["i"], ["j"], how)
+    assert rows_of(got.select("i", "j")) == expected
+
+
+def test_outer_match_is_one_join_after_one_profile(spark, disputes, ledger):
+    even = disputes.withColumn("psp_reference", F.col("dispute_id").cast("string"))
+    postings = ledger.withColumn("psp_reference_sap", F.col("ordinal").cast("string"))
+    plan = match.match_ledger_outer(even, postings)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join FullOuter") == 1 and plan.count("Join") == 1 and "Aggregate" not in plan
+
+
+def test_documents_are_filtered_before_they_are_parsed(spark):
+    rows = spark.createDataFrame([(1, " 7 "), (2, "8-02"), (3, None)], "dispute_id int, vtex_order_id string")
+    raw = spark.createDataFrame([(f"{i}{s}", "{}") for i in range(500) for s in ("", "-01", "-02", "-99")] + [(None, "{}")],
+                                "order_id string, detail string")
+    kept = {r.order_id for r in enrich.wanted_documents(raw, rows).collect()}
+    assert {"7", "7-01", "7-02", "8", "8-01", "8-02"} <= kept and len(kept) < 20
+    flat = enrich.flatten_part(enrich.wanted_documents(raw, rows), F.col("doc")["hostname"].alias("hostname"))
+    plan = enrich.attach_documents(rows, flat, ["dispute_id"])._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and "ObjectHashAggregate" not in plan
+
+
+def test_repeated_documents_give_one_row(spark):
+    rows = spark.createDataFrame([(1, "7"), (2, "7-01")], "dispute_id int, vtex_order_id string")
+    docs = spark.createDataFrame([("7-01", "a"), ("7-01", "a"), ("7-01", "b"), ("7", "c")], "order_id string, vtex_store string")
+    out = enrich.attach_documents(rows, docs, ["dispute_id"]).collect()
+    assert len(out) == 2 and {r.matched_id for r in out} == {"7-01"} and len({r.vtex_store for r in out}) == 1
+
+
+@pytest.mark.parametrize("bits", [64, 1024])
+def test_likely_members_loses_no_member(spark, bits):
+    df, members = spark.range(3000).selectExpr("concat('k', id) AS k"), spark.range(0, 3000, 100).selectExpr("concat('k', id) AS m")
+    kept = {r.k for r in likely_members(df, F.col("k"), members, F.col("m"), bits).collect()}
+    assert {f"k{i}" for i in range(0, 3000, 100)} <= kept
+    assert bits == 64 or len(kept) < 300
+    assert likely_members(df, F.col("k"), members.where("1 = 0"), F.col("m")).count() == 0

@@ -28,8 +28,8 @@ def test_query_matches_sql(spark, con, name):
 
 def test_queries_without_sql_are_known():
     without = set(check.contract.queries()) - set(check.contract.oracle_sql())
-    # those on text have their own tests; the document is JSON text, compared in test_reports
-    assert {n for n in without if n != "pipeline" and not n.startswith("op")} == {"dashboard_document"}
+    # those on text have their own tests
+    assert not {n for n in without if n != "pipeline" and not n.startswith("op")}
 
 
 def test_all_sql_belongs_to_a_query():
