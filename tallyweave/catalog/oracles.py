@@ -699,4 +699,4 @@ def oracle_sql() -> dict[str, str]:
         **_breakdowns(), **_dashboard(), **_outputs(), **_files(),
     }
     joined = {f"{name}_joined": found[name] for name in ("kpis", "top_records")}
-    return found | joined | {"dashboard_document": _document(found)}
+    return found | joined | {"update_cache": found["upsert_cache"], "dashboard_document": _document(found)}

@@ -19,7 +19,7 @@ from tallyweave.functions import dates, nested, numbers, text
 from tallyweave.operators import dash, enrich, feeds, ids, match, metrics, windows
 from tallyweave.plans import consolidation
 from tallyweave.session import cut_lineage, shared_dir
-from tallyweave.sinks import exports
+from tallyweave.sinks import cache as order_cache, exports
 from tallyweave.sources import delimited, documents, feeds as file_feeds, listing, orders
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -317,8 +317,7 @@ def resolve_candidates(spark, sf):
     return enrich.resolve_candidates(wanted, flat)
 
 
-@query
-def upsert_cache(spark, sf):
+def _cache_answers(spark, sf) -> tuple[DataFrame, DataFrame]:
     """Old and new answers; a sixth of the orders has both, some of these with an older new one."""
     key = F.col("o_orderkey")
     listed = fx.table(spark, sf, "orders")
@@ -331,8 +330,22 @@ def upsert_cache(spark, sf):
 
     cache = listed.select(*answers("old ", "found", placed, F.when(key % 2 == 0, "").otherwise("A")))
     late = F.when(key % 5 == 0, placed - F.expr("INTERVAL 1 DAY")).otherwise(placed)
-    fresh = listed.select(*answers("new ", "not_found", late, F.when(key % 3 == 0, "").otherwise("B")))
-    return enrich.upsert_cache(cache, fresh).drop("fetched_at")
+    return cache, listed.select(*answers("new ", "not_found", late, F.when(key % 3 == 0, "").otherwise("B")))
+
+
+@query
+def upsert_cache(spark, sf):
+    return enrich.upsert_cache(*_cache_answers(spark, sf)).drop("fetched_at")
+
+
+@query
+def update_cache(spark, sf):
+    """The same answers merged into a stored cache, whose touched buckets are rewritten."""
+    old, fresh = _cache_answers(spark, sf)
+    path = fresh_path(spark, "cache-buckets")
+    for answers in (old, fresh):
+        order_cache.update_cache(path, answers)
+    return order_cache.read_cache(spark, path, old.schema).drop("fetched_at", order_cache.BUCKET)
 
 
 @query
