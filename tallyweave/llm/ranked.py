@@ -15,6 +15,9 @@ best score found so far in the task are passed over for that item.  Ranks are th
 from __future__ import annotations
 
 import bisect
+import math
+import uuid
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -26,17 +29,21 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tallyweave.llm.common import id_and_text
 from tallyweave.operators.skew import top_n_per_group
-from tallyweave.session import cut_lineage
+from tallyweave.session import cut_lineage, shared_dir
 
 #: Shares of a document's own length and of the mean in ``m``, times 100.
 SLOPE, BASE = 90, 100
 #: Characters of the documents of a segment, or one document.
-SEGMENT_CHARS = 8_000_000
+SEGMENT_CHARS = 2_000_000
 #: Bytes of a text that are split at a time.
 PIECE = 1 << 22
 #: Postings and documents that a search holds at a time, or one stratum; cells of its table of impacts.
-AT_ONCE, CELLS = 2_000_000, 4_000_000
+AT_ONCE, CELLS = 200_000, 500_000
 VISIT = 512
+#: Bytes of a row group of the index: its rows are long, and readers hold a row group's at once.
+ROW_GROUP = 4 << 20
+#: Texts that are taken out of a batch at a time.
+ROWS = 200
 #: Pairs of an item and a term that are searched for in one pass over the index, or one item.
 BLOCK_TERMS = 500_000
 
@@ -47,8 +54,11 @@ _BYTES = bytes(
     b if b >= 128 or chr(b) in _LOWER + "0123456789" else ord(chr(b).lower()) if chr(b) in _UPPER else 32
     for b in range(256))
 
-_STRATA = ("m long, docs array<long>, terms array<string>, df array<long>, groups array<int>, "
-           "tfs array<long>, sizes array<int>, places array<int>")
+#: A stratum of a segment: its documents; its terms, parted by spaces; for each term the number
+#: of its groups; for each group its tf and size; for each posting its document's place.  Numbers
+#: are packed as 32 bits each, which is far less to hand to Python than lists.
+_STRATA = ("m long, docs array<long>, terms string, df array<long>, groups binary, tfs binary, "
+           "sizes binary, places binary")
 
 
 def count_terms(text: str) -> Counter:
@@ -70,25 +80,49 @@ def term_array(text: Column) -> Column:
 
 @dataclass(frozen=True)
 class Index:
-    """Strata of all documents with a term, how many documents hold each term, and two totals."""
+    """Strata of all documents with a term, the terms of each segment (``terms, df``), and two totals."""
 
     strata: DataFrame
-    lexicon: DataFrame
+    segments: DataFrame
     n_docs: int
     n_terms: int
 
+    def lexicon(self) -> DataFrame:
+        """``term, df``: how many documents hold each term."""
+        return (self.segments.select(F.inline(F.arrays_zip(F.split("terms", " ").alias("term"), "df")))
+                .groupBy("term").agg(F.sum("df").alias("df")))
 
-def _segment(ids: list, found: list[Counter], norms: list[int]) -> Iterator[pa.RecordBatch]:
-    """The strata of some documents, and a row (``m`` null) of the documents by term."""
-    vocabulary: dict[bytes, int] = {}
-    for counts in found:
-        for t in counts:
-            vocabulary.setdefault(t, len(vocabulary))
-    lengths = np.fromiter(map(len, found), np.int64, len(found))
-    total = int(lengths.sum())
-    term = np.fromiter((vocabulary[t] for counts in found for t in counts), np.int64, total)
-    tf = np.fromiter((n for counts in found for n in counts.values()), np.int64, total)
-    words = pa.array(list(vocabulary), pa.binary()).cast(pa.string())
+
+class Segment:
+    """Postings of some documents, as numbers, until they become strata."""
+
+    def __init__(self):
+        self.ids: list[int | None] = []
+        self.norms: list[int] = []
+        self.lengths: list[int] = []
+        self.vocabulary: dict[bytes, int] = {}
+        self.term, self.tf = array("q"), array("q")
+        self.chars = 0
+
+    def add(self, doc_id: int | None, counts: Counter, norm: int, chars: int) -> None:
+        self.ids.append(doc_id)
+        self.norms.append(norm)
+        self.lengths.append(len(counts))
+        places = self.vocabulary
+        self.term.extend([places.setdefault(t, len(places)) for t in counts])
+        self.tf.extend(counts.values())
+        self.chars += chars
+
+    def strata(self) -> Iterator[pa.RecordBatch]:
+        """The strata, and a row (``m`` null) of the documents by term."""
+        return _strata_of(self.ids, self.norms, np.array(self.lengths), np.frombuffer(self.term, np.int64),
+                          np.frombuffer(self.tf, np.int64), list(self.vocabulary))
+
+
+def _strata_of(ids: list, norms: list[int], lengths: np.ndarray, term: np.ndarray, tf: np.ndarray,
+               vocabulary: list[bytes]) -> Iterator[pa.RecordBatch]:
+    total = len(term)
+    words = pa.array(vocabulary, pa.binary()).cast(pa.string())
 
     levels, stratum = np.unique(np.array(norms, np.int64), return_inverse=True)
     by_norm = np.argsort(stratum, kind="stable")
@@ -106,32 +140,40 @@ def _segment(ids: list, found: list[Counter], norms: list[int]) -> Iterator[pa.R
     sizes = np.diff(np.r_[at_group, total])
     groups = np.diff(np.r_[np.searchsorted(at_group, at_term), len(at_group)])
 
-    def lists(owner: np.ndarray, values) -> pa.Array:
-        """Values in the order of their strata, as a list for each stratum and an empty one at the end."""
-        ends = np.r_[0, np.cumsum(np.bincount(owner, minlength=len(levels))), len(owner)].astype(np.int32)
-        return pa.ListArray.from_arrays(pa.array(ends), values)
+    def ends(owner: np.ndarray) -> np.ndarray:
+        """Ends of the strata's parts, and of an empty one behind them."""
+        return np.r_[0, np.cumsum(np.bincount(owner, minlength=len(levels))), len(owner)].astype(np.int32)
+
+    def lists(owner: np.ndarray, values: pa.Array) -> pa.Array:
+        return pa.ListArray.from_arrays(pa.array(ends(owner)), values)
+
+    def packed(owner: np.ndarray, values: np.ndarray) -> pa.Array:
+        return pa.Array.from_buffers(pa.binary(), len(levels) + 1, [
+            None, pa.py_buffer(ends(owner) * np.int32(4)), pa.py_buffer(values.astype(np.int32))])
 
-    none = np.zeros(0, np.int64)
     per_term, per_group = s[at_term], s[at_group]
-    strata = pa.concat_arrays([lists(per_term, words.take(pa.array(t[at_term])))[:-1],
-                               pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words)])
-    held = np.bincount(term, minlength=len(words))
+    held = pa.array(np.bincount(term, minlength=len(words)), pa.int64())
+    none, all_words = pa.array([None] * len(levels), pa.list_(pa.int64())), pa.array([0, len(words)], pa.int32())
     columns = [
         pa.array([*levels.tolist(), None], pa.int64()),
         lists(stratum[by_norm], pa.array([ids[i] for i in by_norm.tolist()], pa.int64())),
-        strata,
-        pa.concat_arrays([lists(none, pa.array(none))[:-1],
-                          pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), pa.array(held, pa.int64()))]),
-        lists(per_term, pa.array(groups, pa.int32())),
-        lists(per_group, pa.array(f[at_group], pa.int64())),
-        lists(per_group, pa.array(sizes, pa.int32())),
-        lists(s, pa.array(place[doc][order], pa.int32())),
+        pa.concat_arrays([pc.binary_join(lists(per_term, words.take(pa.array(t[at_term])))[:-1], " "),
+                          pc.binary_join(pa.ListArray.from_arrays(all_words, words), " ")]),
+        pa.concat_arrays([none, pa.ListArray.from_arrays(all_words, held)]),
+        packed(per_term, groups), packed(per_group, f[at_group]), packed(per_group, sizes),
+        packed(s, place[doc][order]),
     ]
     whole = pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in _STRATA.split(", ")])
     for start in range(0, whole.num_rows, 200):
         yield whole.slice(start, 200)
 
 
+def _rows(batch: pa.RecordBatch) -> Iterator[tuple]:
+    for start in range(0, batch.num_rows, ROWS):
+        part = batch.slice(start, ROWS)
+        yield from zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True)
+
+
 def build_index(docs: DataFrame, segment_chars: int = SEGMENT_CHARS) -> Index:
     """Index every document, in two passes over the texts; stored in the shared folder.
 
@@ -143,33 +185,30 @@ def build_index(docs: DataFrame, segment_chars: int = SEGMENT_CHARS) -> Index:
 
     def measure(batches):
         for batch in batches:
-            n = [sum(count_terms(t).values()) for t in batch.column(1).to_pylist()]
+            n = [count_terms(t).total() for _, t in _rows(batch)]
             yield pa.RecordBatch.from_pydict({"d": [sum(map(bool, n))], "n": [sum(n)]})
 
     totals = texts.mapInArrow(measure, "d long, n long").agg(F.sum("d"), F.sum("n")).first()
     n_docs, n_terms = (int(x or 0) for x in totals)
 
     def invert(batches):
-        ids, found, norms, chars = [], [], [], 0
+        segment = Segment()
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for doc_id, text in _rows(batch):
                 counts = count_terms(text)
-                if not counts:
-                    continue
-                ids.append(doc_id)
-                found.append(counts)
-                norms.append(BASE - SLOPE + SLOPE * sum(counts.values()) * n_docs // n_terms)
-                chars += len(text)
-                if chars >= segment_chars:
-                    yield from _segment(ids, found, norms)
-                    ids, found, norms, chars = [], [], [], 0
-        if ids:
-            yield from _segment(ids, found, norms)
-
-    stored = cut_lineage(texts.mapInArrow(invert, _STRATA))
-    lexicon = (stored.filter("m IS NULL").select(F.inline(F.arrays_zip("terms", "df")))
-               .groupBy(F.col("terms").alias("term")).agg(F.sum("df").alias("df")))
-    return Index(stored.filter("m IS NOT NULL").drop("df"), lexicon, n_docs, n_terms)
+                if counts:
+                    segment.add(doc_id, counts, BASE - SLOPE + SLOPE * counts.total() * n_docs // n_terms, len(text))
+                if segment.chars >= segment_chars:
+                    yield from segment.strata()
+                    segment = Segment()
+        if segment.ids:
+            yield from segment.strata()
+
+    path = f"{shared_dir(texts.sparkSession)}/tallyweave/index-{uuid.uuid4().hex}"
+    texts.mapInArrow(invert, _STRATA).write.option("parquet.block.size", ROW_GROUP).parquet(path)
+    stored = texts.sparkSession.read.schema(_STRATA).parquet(path)
+    return Index(stored.filter("m IS NOT NULL").drop("df"), stored.filter("m IS NULL").select("terms", "df"),
+                 n_docs, n_terms)
 
 
 @dataclass(frozen=True)
@@ -182,22 +221,52 @@ class Items:
     wanted: list[np.ndarray]
 
     @classmethod
-    def of(cls, rows: list) -> Items:
-        places: dict[str, int] = {}
-        weights, wanted = [], []
-        for row in rows:
-            own = []
-            for t in row["terms"]:
-                if t["term"] not in places:
-                    places[t["term"]] = len(places)
-                    weights.append(t["w"])
-                own.append(places[t["term"]])
-            wanted.append(np.array(own, np.int64))
-        return cls([r["item"] for r in rows], list(places), np.array(weights, np.int64), wanted)
+    def of(cls, index: Index, rows: list) -> Items:
+        """Items (``item, terms``) with the weights that the index gives their terms."""
+        terms = sorted({t for r in rows for t in r["terms"]})
+        places = {t: i for i, t in enumerate(terms)}
+        df = document_counts(index, terms)
+        weights = [math.floor(1000 * math.log((2 * index.n_docs + 2) / (2 * n + 1))) for n in df.tolist()]
+        held = [np.array(sorted(places[t] for t in r["terms"] if df[places[t]]), np.int64) for r in rows]
+        return cls([r["item"] for r in rows], terms, np.array(weights, np.int64), held)
+
+
+def document_counts(index: Index, terms: list[str]) -> np.ndarray:
+    """How many documents hold each of the terms; at most a block of terms at a time."""
+    spark = index.segments.sparkSession
+    shared = spark.sparkContext.broadcast(terms)
+
+    def run(batches):
+        counts, asked = np.zeros(len(shared.value), np.int64), pa.array(shared.value, pa.string())
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1)
+                at = pc.index_in(pc.split_pattern(row.column(0), " ").flatten(), value_set=asked)
+                known = pc.is_valid(at).to_numpy(zero_copy_only=False)
+                counts[pc.drop_null(at).to_numpy()] += row.column(1).flatten().to_numpy()[known]
+        held = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_pydict({"i": held, "n": counts[held]})
+
+    out = np.zeros(len(terms), np.int64)
+    for row in index.segments.mapInArrow(run, "i long, n long").groupBy("i").agg(F.sum("n").alias("n")).collect():
+        out[row["i"]] = row["n"]
+    return out
+
+
+def _numbers(column: pa.Array) -> np.ndarray:
+    """All packed numbers of a column, one row behind the other."""
+    if not len(column):
+        return np.zeros(0, np.int32)
+    _, offsets, data = column.buffers()
+    at = np.frombuffer(offsets, np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(data, np.uint8)[at[0] : at[-1]].view(np.int32) if at[-1] > at[0] else np.zeros(0, np.int32)
 
 
-def _ends(column: pa.ListArray) -> np.ndarray:
-    return np.r_[0, np.cumsum(pc.list_value_length(column).to_numpy(zero_copy_only=False))].astype(np.int64)
+def _lengths(column: pa.Array) -> np.ndarray:
+    """Values of each row: of a list, or of packed numbers."""
+    if pa.types.is_list(column.type):
+        return pc.list_value_length(column).to_numpy(zero_copy_only=False).astype(np.int64)
+    return pc.binary_length(column).to_numpy(zero_copy_only=False).astype(np.int64) // 4
 
 
 class Search:
@@ -213,8 +282,7 @@ class Search:
 
     def add(self, batch: pa.RecordBatch) -> None:
         """Search a batch of strata, as many at a time as hold ``AT_ONCE`` postings and documents."""
-        load = (pc.list_value_length(batch.column("places")).to_numpy(zero_copy_only=False)
-                + pc.list_value_length(batch.column("docs")).to_numpy(zero_copy_only=False))
+        load = _lengths(batch.column("places")) + _lengths(batch.column("docs"))
         width = max(1, CELLS // max(1, len(self.items.terms)))
         start = 0
         while start < batch.num_rows:
@@ -224,10 +292,12 @@ class Search:
 
     def _strata(self, batch: pa.RecordBatch) -> None:
         m = batch.column("m").to_numpy()
-        flat = {c: batch.column(c).flatten() for c in ("docs", "terms", "groups", "tfs", "sizes", "places")}
-        groups, tfs, sizes, places = (flat[c].to_numpy() for c in ("groups", "tfs", "sizes", "places"))
-        asked = pc.fill_null(pc.index_in(flat["terms"], value_set=self.terms), -1).to_numpy().astype(np.int64)
-        row_of_term = np.repeat(np.arange(len(m)), np.diff(_ends(batch.column("terms"))))
+        groups, sizes, places = (_numbers(batch.column(c)) for c in ("groups", "sizes", "places"))
+        tfs = _numbers(batch.column("tfs")).astype(np.int64)
+        docs = batch.column("docs").flatten()
+        asked = pc.index_in(pc.split_pattern(batch.column("terms"), " ").flatten(), value_set=self.terms)
+        asked = pc.fill_null(asked, -1).to_numpy().astype(np.int64)
+        row_of_term = np.repeat(np.arange(len(m)), _lengths(batch.column("groups")))
         term_of_group = np.repeat(np.arange(len(asked)), groups)
         wanted = asked[term_of_group] >= 0
         # once for each term and tf of a stratum
@@ -239,12 +309,12 @@ class Search:
         bounds = np.stack([highest[:, w].sum(axis=1) for w in self.items.wanted], axis=1)
 
         order = np.argsort(-bounds.max(axis=1), kind="stable")
-        doc_ends = _ends(batch.column("docs"))
-        n_docs = np.diff(doc_ends)
+        n_docs = _lengths(batch.column("docs"))
+        first = np.cumsum(n_docs) - n_docs
         start = np.empty(len(m), np.int64)  # of each stratum among the documents as visited
         start[order] = np.cumsum(n_docs[order]) - n_docs[order]
         visit_row = np.repeat(order, n_docs[order])
-        visit_doc = np.arange(len(visit_row)) - np.repeat(start[order], n_docs[order]) + np.repeat(doc_ends[:-1][order], n_docs[order])
+        visit_doc = np.arange(len(visit_row)) - np.repeat(start[order], n_docs[order]) + np.repeat(first[order], n_docs[order])
         held = np.repeat(wanted, sizes)
         at = start[np.repeat(row, sizes[wanted])] + places[held]
         by_visit = np.argsort(at, kind="stable")
@@ -258,7 +328,7 @@ class Search:
             self.visited += len(open_items)
             if len(open_items):
                 lo, hi = np.searchsorted(at, (a, b))
-                self._score(open_items, q[lo:hi], at[lo:hi] - a, impact[lo:hi], flat["docs"].take(pa.array(visit_doc[a:b])))
+                self._score(open_items, q[lo:hi], at[lo:hi] - a, impact[lo:hi], docs.take(pa.array(visit_doc[a:b])))
 
     def _score(self, open_items, q, at, impact, docs: pa.Array) -> None:
         present, local = np.unique(q, return_inverse=True)
@@ -287,16 +357,14 @@ class Search:
                 yield i, None if nameless else doc, -score
 
 
-def weighted_terms(index: Index, items: DataFrame) -> DataFrame:
-    """``item_id, terms``: each item's distinct terms that occur in a document, and their weights.
+def item_terms(items: DataFrame) -> DataFrame:
+    """``item, terms``: each item's id as text and its distinct terms.
 
     Rows that share an id, or have none, are one item.
     """
-    terms = items.select("item_id", F.explode(F.array_distinct(term_array(F.col("text").cast("string")))).alias("term")).distinct()
-    weight = F.floor(F.lit(1000.0) * F.log(
-        F.lit(2 * index.n_docs + 2).cast("double") / (2 * F.col("df") + 1).cast("double"))).cast("long")
-    return (terms.join(index.lexicon, "term").groupBy("item_id")
-            .agg(F.sort_array(F.collect_list(F.struct("term", weight.alias("w")))).alias("terms")))
+    own = term_array(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    return items.select(F.col("item_id").cast("string").alias("item"), own.alias("t")).groupBy("item").agg(
+        F.sort_array(F.array_distinct(F.flatten(F.collect_list("t")))).alias("terms")).filter(F.size("terms") > 0)
 
 
 def _blocks(rows: Iterator, block_terms: int) -> Iterator[list]:
@@ -319,11 +387,11 @@ def search(index: Index, items: DataFrame, k: int = 10, block_terms: int = BLOCK
     ``block_terms`` terms each, which is what a task gets to hold of them.
     """
     spark, kind = items.sparkSession, items.schema["item_id"].dataType
-    asked = cut_lineage(weighted_terms(index, items)).select(F.col("item_id").cast("string").alias("item"), "terms")
+    asked = cut_lineage(item_terms(items))
     shape = "item string, doc_id long, score long"
     out = spark.createDataFrame([], shape)
     for block in _blocks(asked.toLocalIterator(), block_terms):
-        shared = spark.sparkContext.broadcast(Items.of(block))
+        shared = spark.sparkContext.broadcast(Items.of(index, block))
 
         def run(batches, shared=shared):
             seen = Search(shared.value, k)

@@ -5,6 +5,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from tallyweave.llm import ranked
@@ -87,17 +88,20 @@ def test_strata_hold_one_length_and_postings_by_frequency(documents):
     for row in index.strata.collect():
         found = [ranked.count_terms(texts[d]) for d in row.docs]
         assert {10 + 90 * c.total() * index.n_docs // index.n_terms for c in found} == {row.m}
+        groups, tfs, sizes, places = (np.frombuffer(row[c], np.int32).tolist() for c in ("groups", "tfs", "sizes", "places"))
         group = place = 0
-        for term, n in zip(row.terms, row.groups):
-            assert row.tfs[group : group + n] == sorted(set(row.tfs[group : group + n]))
-            for tf, size in zip(row.tfs[group : group + n], row.sizes[group : group + n]):
-                for p in row.places[place : place + size]:
+        for term, n in zip(row.terms.split(" "), groups, strict=True):
+            assert tfs[group : group + n] == sorted(set(tfs[group : group + n]))
+            for tf, size in zip(tfs[group : group + n], sizes[group : group + n]):
+                for p in places[place : place + size]:
                     assert found[p][term.encode()] == tf
                     held[term] += 1
                 place += size
             group += n
-        assert place == len(row.places) == sum(map(len, found))
-    assert held == {r.term: r.df for r in index.lexicon.collect()}
+        assert place == len(places) == sum(map(len, found))
+    assert held == {r.term: r.df for r in index.lexicon().collect()}
+    terms = sorted(held) + ["absent"]
+    assert ranked.document_counts(index, terms).tolist() == [held[t] for t in terms]
 
 
 def test_weak_strata_are_passed_over():
@@ -106,10 +110,11 @@ def test_weak_strata_are_passed_over():
 
     docs = [(i, "w1 w2 w3") for i in range(600)] + [(1000 + i, "w1 " + "x " * 4000) for i in range(600)]
     found = [ranked.count_terms(t) for _, t in docs]
-    total = sum(c.total() for c in found)
-    batches = list(ranked._segment([i for i, _ in docs], found, [10 + 90 * c.total() * len(docs) // total for c in found]))
-    whole = pa.Table.from_batches(batches).filter(pa.compute.field("m") >= 0).combine_chunks().to_batches()[0]
-    seen = ranked.Search(ranked.Items.of([{"item": "1", "terms": [{"term": f"w{i}", "w": 5} for i in (1, 2, 3)]}]), 10)
+    total, segment = sum(c.total() for c in found), ranked.Segment()
+    for (i, text), c in zip(docs, found):
+        segment.add(i, c, 10 + 90 * c.total() * len(docs) // total, len(text))
+    whole = pa.Table.from_batches(segment.strata()).filter(pa.compute.field("m") >= 0).combine_chunks().to_batches()[0]
+    seen = ranked.Search(ranked.Items(["1"], ["w1", "w2", "w3"], np.full(3, 5), [np.arange(3)]), 10)
     seen.add(whole)
     assert [d for _, d, _ in seen.found()] == list(range(10))
     assert (seen.visited, seen.passed) == (2, 1)
