@@ -2,6 +2,9 @@
 
 Each query is a body on top of the named views it needs.  Money is summed as
 DECIMAL and rounded with integer arithmetic on cents, which is exact.
+
+Fixed values: the names of results and sections, the labels and the keywords in the
+SQL are those of the reports, as they have to appear.
 """
 
 from __future__ import annotations

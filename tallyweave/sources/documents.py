@@ -12,6 +12,7 @@ import zipfile
 from collections.abc import Callable, Iterable, Iterator, Sequence
 from datetime import datetime, timedelta
 from functools import reduce
+from itertools import islice
 from html.parser import HTMLParser
 from xml.etree import ElementTree
 
@@ -127,10 +128,13 @@ def _day(serial: str) -> str:
     return str(_FIRST_DAY + timedelta(seconds=round(float(serial) * 86_400)))
 
 
-def workbook_rows(content: bytes) -> list[list[str | None]]:
-    """Rows of the first sheet as text; cells shown as dates are ISO dates."""
+def workbook_rows(content: bytes) -> Iterator[list[str | None]]:
+    """Rows of the first sheet as text, one at a time; cells shown as dates are ISO dates.
+
+    What is held beside the package is a row and the strings that rows share.
+    """
     try:
-        return list(_workbook_rows(content))
+        yield from _workbook_rows(content)
     except (zipfile.BadZipFile, ElementTree.ParseError, LookupError, ValueError, OverflowError) as error:
         raise Unreadable(f"{type(error).__name__}: {error}") from error
 
@@ -146,7 +150,12 @@ def _workbook_rows(content: bytes) -> Iterator[list[str | None]]:
         sheets = sorted((n for n in names if _SHEETS.fullmatch(n)),
                         key=lambda n: int(_SHEETS.fullmatch(n).group(1)))
         with book.open(sheets[0]) as sheet:
-            for _, row in ElementTree.iterparse(sheet):
+            above: list = []  # the elements that are open
+            for event, row in ElementTree.iterparse(sheet, ("start", "end")):
+                if event == "start":
+                    above.append(row)
+                    continue
+                above.pop()
                 if row.tag != _NS + "row":
                     continue
                 cells: list[str | None] = []
@@ -162,30 +171,39 @@ def _workbook_rows(content: bytes) -> Iterator[list[str | None]]:
                         cells[at] = _day(value.text)
                     elif value is not None:
                         cells[at] = value.text
-                row.clear()
+                if above:
+                    above[-1].clear()  # with the row
                 yield cells
 
 
 def _cells_of(reader: Callable[[bytes], Iterable]):
     """Tasks turn each file into rows that carry their file's header.
 
-    A file is read whole before its first row goes on: one that cannot be read
-    to its end adds a single row with the reason, and none of its cells.
+    A reader that gives rows one at a time reads its file twice: to its end, so that
+    one that cannot be read adds a single row with the reason and none of its cells,
+    and then for its rows, of which a batch is held.
     """
 
+    def whole(content: bytes) -> Iterable:
+        rows = reader(content)
+        if isinstance(rows, Iterator):
+            for _ in rows:
+                pass
+            return reader(content)
+        return rows
+
     def open_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for path, content in zip(batch["path"], batch["content"], strict=True):
                 try:
-                    rows = list(reader(content))
+                    rows = enumerate(whole(content))
                 except Unreadable as error:
                     yield pd.DataFrame([(path, 0, None, None, str(error))], columns=_COLUMNS)
                     continue
-                header = rows[0] if rows else []
-                for start in range(0, len(rows), BATCH_ROWS):
-                    part = rows[start : start + BATCH_ROWS]
-                    yield pd.DataFrame(
-                        [(path, start + i, header, cells, None) for i, cells in enumerate(part)], columns=_COLUMNS)
+                header = None
+                while part := list(islice(rows, BATCH_ROWS)):
+                    header = part[0][1] if header is None else header
+                    yield pd.DataFrame([(path, i, header, cells, None) for i, cells in part], columns=_COLUMNS)
 
     return open_files
 
@@ -196,7 +214,7 @@ def read_cells(spark: SparkSession, files: Files | Sequence[str], reader: Callab
 
 
 def cells_of(files: DataFrame, reader: Callable[[bytes], Iterable]) -> DataFrame:
-    """Every file (path, content) opened and parsed once, its rows stored: :data:`CELLS`.
+    """Every file (path, content) opened in one task, its rows stored: :data:`CELLS`.
 
     Row 0 is the header.  A file that cannot be read has one row with the
     ``problem`` instead; see :func:`problems`.

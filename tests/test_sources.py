@@ -308,3 +308,31 @@ def test_absent_and_empty_folders(spark, tmp_path):
         with pytest.raises(FileNotFoundError):
             feeds.load_ledger(spark, str(tmp_path / folder))
         assert feeds.load_antifraud(spark, str(tmp_path / folder)) is None
+
+
+def test_workbook_rows_are_streamed(tmp_path):
+    """A long sheet is checked to its end first and then handed on batch by batch."""
+    import tracemalloc
+
+    import pandas as pd
+
+    path = tmp_path / "long.xlsx"
+    rows = 60_000
+    ns = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as book, book.open("xl/worksheets/sheet1.xml", "w") as sheet:
+        sheet.write(f'<worksheet xmlns="{ns}"><sheetData>'.encode())
+        for i in range(rows):
+            sheet.write(f'<row r="{i + 1}"><c r="A{i + 1}" t="inlineStr"><is><t>CHARGEBACK {i}</t></is></c>'
+                        f'<c r="B{i + 1}"><v>{i}</v></c></row>'.encode())
+        sheet.write(b"</sheetData></worksheet>")
+    batch = pd.DataFrame([(str(path), path.read_bytes())], columns=["path", "content"])
+    tracemalloc.start()
+    sizes, last = [], None
+    for part in documents._cells_of(documents.workbook_rows)(iter([batch])):
+        sizes.append(len(part))
+        last = part.iloc[-1]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sizes == [documents.BATCH_ROWS] * 6 and last["row_no"] == rows - 1
+    assert last["header"] == ["CHARGEBACK 0", "0"] and last["cells"] == [f"CHARGEBACK {rows - 1}", str(rows - 1)]
+    assert peak < 30e6  # all rows take over 60 MB
