@@ -44,6 +44,8 @@ def words_of(text: str) -> list[bytes]:
 class TestSet:
     """A block of benchmark items as words, numbered from 1 (0 is any other word)."""
 
+    __test__ = False  # no test, whatever its name
+
     window: int
     items: list[str] = field(default_factory=list)
     ids: dict[bytes, int] = field(default_factory=dict)

@@ -226,7 +226,8 @@ def _outer(found: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
 def scan(docs: DataFrame, templates: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
     """``doc_id, findings`` per row: license, first word and end word of each notice.
 
-    Null and empty texts have none.
+    Null and empty texts have none; repeated rows have equal findings.  Texts of any
+    length are looked through whole.
     """
     shared = docs.sparkSession.sparkContext.broadcast(Index.of(templates or TEMPLATES))  # fixed texts
 

@@ -136,7 +136,10 @@ def ablations(book: DataFrame, policy: Policy) -> DataFrame:
 
 
 def quality_rules(docs: DataFrame, policy: Policy = DEFAULT) -> DataFrame:
-    """The ledger with the verdicts ``base_failed`` and ``kept``."""
+    """The ledger with the verdicts ``base_failed`` and ``kept``, a row for each row.
+
+    Repeated rows get equal verdicts; null and empty texts have no words and fail.
+    """
     book = ledger(docs)
     return book.withColumns({
         "base_failed": ~passes(BASE),

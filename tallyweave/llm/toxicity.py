@@ -391,7 +391,11 @@ def reject(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``doc_id, held_out, score, predicted`` per row; ``predicted`` is 1 from 0.5 on."""
+    """``doc_id, held_out, score, predicted`` per row; ``predicted`` is 1 from 0.5 on.
+
+    Repeated rows get equal scores.  An id with several labels counts as toxic if any
+    of them says so; rows without an id are scored and never trained on.
+    """
     return score_documents(docs, train(docs, labels)).select(
         "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score",
         F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
