@@ -631,6 +631,14 @@ def _outputs() -> dict[str, str]:
   vtex_order_id, vtex_store AS store, vtex_cidade AS cidade, vtex_uf AS uf, vtex_delivery_type AS delivery,
   vtex_categories, cs_item_principal AS cs_item, psp_reference_sap IS NOT NULL AS sap,
   cs_status_do_chargeback AS cs_status FROM consolidated"""),
+        "outer_flow": _with("consolidated ledger antifraud", """
+SELECT d.dispute_id, coalesce(d.psp_reference, l.psp_reference_sap) AS psp_reference,
+  coalesce(d.record_type, 'SAP Only') AS record_type, d.vtex_order_id, d.adyen_id, l.ordinal,
+  l.psp_reference_sap, l.sap_id, a.cs_pedido AS clearsale_pedido, d.vtex_store, d.vtex_cidade, d.vtex_uf
+FROM (SELECT *, row_number() OVER (ORDER BY dispute_id) AS adyen_id FROM consolidated) d
+FULL OUTER JOIN (SELECT *, row_number() OVER (ORDER BY ordinal) AS sap_id FROM ledger) l
+  ON d.psp_reference = l.psp_reference_sap
+LEFT JOIN antifraud a ON trim(d.vtex_order_id) = a.vtex_order_id"""),
         "chargeback_extract": f"{prefix}, {outer} SELECT * FROM outer_rows WHERE {_CB}",
         "notification_extract": f"{prefix}, {outer} SELECT * FROM outer_rows WHERE {_NOC}",
         "conversion_extract": f"""{prefix}, {outer}

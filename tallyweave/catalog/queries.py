@@ -546,6 +546,17 @@ def conversion_extract(spark, sf):
     return consolidation.conversion_extract(outer, ("dispute_id", "ordinal")).drop(match.FOUND)
 
 
+@query
+def outer_flow(spark, sf):
+    """The older flow from numbered feeds to order attributes."""
+    reports = fx.antifraud(spark, sf).select("vtex_order_id", F.col("cs_pedido").alias("clearsale_pedido"))
+    rows = consolidation.outer_flow(
+        fx.disputes(spark, sf).select("dispute_id", "psp_reference", "record_type", "vtex_order_id"),
+        fx.ledger(spark, sf).select("ordinal", "psp_reference_sap"), reports,
+        fx.order_attributes(spark, sf, "vtex_store", "vtex_cidade", "vtex_uf"))
+    return rows.drop(match.FOUND)
+
+
 @query
 def preview(spark, sf):
     return exports.preview(fx.with_orders(spark, sf), order=ROW_ID)

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tallyweave import constants as C
 from tallyweave.functions import dates, text
-from tallyweave.operators import enrich, feeds, match, metrics
+from tallyweave.operators import enrich, feeds, ids, match, metrics
 from tallyweave.operators.skew import lookup_join
 from tallyweave.session import cut_lineage
 
@@ -60,6 +60,22 @@ def outer_reconciliation(
     return match.match_antifraud(rows, antifraud, (*row_id, *ledger_id), prefix=prefix)
 
 
+def outer_flow(
+    disputes: DataFrame, ledger: DataFrame, antifraud: DataFrame, attributes: DataFrame,
+    row_id: Sequence[str] = match.ROW_ID, ledger_id: Sequence[str] = ("ordinal",),
+    prefix: str = "clearsale_",
+) -> DataFrame:
+    """The older flow whole: both feeds numbered in load order (``adyen_id``, ``sap_id``),
+    every posting kept, reports and the attributes of order documents beside.
+
+    Postings without a dispute have no order, hence no report and no attributes.
+    """
+    rows = outer_reconciliation(
+        ids.dense_ids(disputes, row_id, "adyen_id"), ids.dense_ids(ledger, ledger_id, "sap_id"),
+        antifraud, row_id, ledger_id, prefix)
+    return enrich.attach_documents(rows, attributes, (*row_id, *ledger_id)).drop("matched_id")
+
+
 def chargeback_extract(outer: DataFrame) -> DataFrame:
     return feeds.filter_record_types(outer, [C.CHARGEBACK])
 

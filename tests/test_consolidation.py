@@ -78,3 +78,18 @@ def test_outer_extracts(feeds_):
     both = consolidation.chargeback_extract(outer).count() + consolidation.notification_extract(outer).count()
     assert conversion.count() == both
     assert {r[0] for r in conversion.select("virou_chargeback").distinct().collect()} <= {"Sim", "Não"}
+
+
+def test_older_flow_numbers_and_enriches(feeds_):
+    (disputes, ledger, reports, documents), _ = feeds_
+    named = reports.withColumnsRenamed({"cs_pedido": "clearsale_pedido", "cs_status_do_chargeback": "clearsale_status"})
+    out = consolidation.outer_flow(disputes, ledger, named, documents)
+    rows = out.collect()
+    outer = consolidation.outer_reconciliation(disputes, ledger, named)
+    assert Counter((r.dispute_id, r.ordinal, r.record_type) for r in rows) == Counter(
+        (r.dispute_id, r.ordinal, r.record_type) for r in outer.collect())
+    by_id = sorted(r.dispute_id for r in disputes.collect())
+    assert all(by_id[r.adyen_id - 1] == r.dispute_id for r in rows if r.dispute_id)
+    assert {(r.sap_id, r.ordinal) for r in rows if r.ordinal} <= {(i + 1, i + 1) for i in range(4)}
+    stores = {"7": "s7-01", "7-01": "s7-01", "9": "s9-02", "10-02": "s10-02"}
+    assert all(r.vtex_store == stores.get((r.vtex_order_id or "").strip()) for r in rows)
