@@ -50,7 +50,11 @@ def tables(spark: SparkSession, sf_dir: str, *names: str) -> None:
 
 
 def raw_disputes(spark: SparkSession, sf_dir: str, *attributes: str) -> DataFrame:
-    """All record types, one row per line item."""
+    """All record types, one row per line item.
+
+    Some have no reference or no amount, one reference holds an eleventh of all rows,
+    and some labels are empty or the text ``nan``.
+    """
     lines = table(spark, sf_dir, "lineitem")
     unknown = set(attributes) - set(DISPUTE_ATTRIBUTES)
     if unknown:
@@ -62,24 +66,27 @@ def raw_disputes(spark: SparkSession, sf_dir: str, *attributes: str) -> DataFram
         orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
         customer = table(spark, sf_dir, "customer").select(
             "c_custkey",
-            F.lower("c_mktsegment").alias("payment_method"),
+            F.when(F.col("c_custkey") % 29 == 0, "").when(F.col("c_custkey") % 31 == 0, "nan")
+            .otherwise(F.lower("c_mktsegment")).alias("payment_method"),
             F.col("c_name").alias("shopper_email"),
         )
         owners = orders.join(customer, orders["o_custkey"] == customer["c_custkey"])
         lines = lines.join(owners, lines["l_orderkey"] == owners["o_orderkey"])
-    order_key = F.col("l_orderkey").cast("string")
+    key = F.col("l_orderkey")
+    order_key = key.cast("string")
     amount = F.col("l_extendedprice").cast("decimal(18,2)")
+    reference = F.when(key % 11 == 0, F.lit("11")).otherwise(order_key)
     return lines.select(
         F.concat_ws("-", order_key, F.col("l_linenumber").cast("string"),
                     F.col("l_partkey").cast("string"), F.col("l_suppkey").cast("string"),
                     amount.cast("string")).alias("dispute_id"),
-        F.lpad(order_key, 16, "0").alias("psp_reference"),
+        F.when(key % 53 != 0, F.lpad(reference, 16, "0")).alias("psp_reference"),
         F.when(F.col("l_returnflag") == "R", "Chargeback")
         .when(F.col("l_returnflag") == "A", "NotificationOfChargeback")
         .otherwise("Settled").alias("record_type"),
-        amount.alias("dispute_amount"),
+        F.when((key + F.col("l_linenumber")) % 61 != 0, amount).alias("dispute_amount"),
         F.col("l_shipdate").alias("record_date"),
-        F.col("l_linestatus").alias("shopper_interaction"),
+        F.when(key % 67 == 0, "nan").when(key % 71 == 0, "").otherwise(F.col("l_linestatus")).alias("shopper_interaction"),
         F.when(F.col("l_linenumber") == 7, "{bad")
         .when(F.col("l_linenumber") == 6, "{}")
         .otherwise(F.concat(F.lit('{"orderId":"'), order_key, F.lit('"}'))).alias("metadata"),

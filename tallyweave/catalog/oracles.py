@@ -16,12 +16,14 @@ _VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
 SELECT concat(CAST(l_orderkey AS VARCHAR), '-', CAST(l_linenumber AS VARCHAR), '-',
          CAST(l_partkey AS VARCHAR), '-', CAST(l_suppkey AS VARCHAR), '-',
          CAST(CAST(l_extendedprice AS DECIMAL(18,2)) AS VARCHAR)) AS dispute_id,
-       lpad(CAST(l_orderkey AS VARCHAR), 16, '0') AS psp_reference,
+       CASE WHEN l_orderkey % 53 <> 0 THEN lpad(CASE WHEN l_orderkey % 11 = 0 THEN '11'
+            ELSE CAST(l_orderkey AS VARCHAR) END, 16, '0') END AS psp_reference,
        CASE l_returnflag WHEN 'R' THEN 'Chargeback' WHEN 'A' THEN 'NotificationOfChargeback'
             ELSE 'Settled' END AS record_type,
-       CAST(l_extendedprice AS DECIMAL(18,2)) AS dispute_amount,
+       CASE WHEN (l_orderkey + l_linenumber) % 61 <> 0 THEN CAST(l_extendedprice AS DECIMAL(18,2)) END AS dispute_amount,
        l_shipdate AS record_date, p_type AS dispute_reason,
-       lower(c_mktsegment) AS payment_method, l_linestatus AS shopper_interaction,
+       CASE WHEN c_custkey % 29 = 0 THEN '' WHEN c_custkey % 31 = 0 THEN 'nan' ELSE lower(c_mktsegment) END AS payment_method,
+       CASE WHEN l_orderkey % 67 = 0 THEN 'nan' WHEN l_orderkey % 71 = 0 THEN '' ELSE l_linestatus END AS shopper_interaction,
        c_name AS shopper_email,
        CASE WHEN l_linenumber = 7 THEN '{bad' WHEN l_linenumber = 6 THEN '{}'
             ELSE concat('{"orderId":"', CAST(l_orderkey AS VARCHAR), '"}') END AS metadata
@@ -315,7 +317,7 @@ FROM disputes WHERE trim(vtex_order_id) <> ''"""),
 FROM disputes WHERE {_RANGE}"""),
         "coalesce_location": _with("consolidated", """SELECT dispute_id, coalesce(vtex_uf, cs_uf) AS uf_combined,
   coalesce(vtex_cidade, cs_cidade) AS cidade_combined FROM consolidated"""),
-        "upper_method": _with("disputes", """SELECT dispute_id, upper(payment_method) AS pm FROM disputes"""),
+        "upper_method": _with("disputes", """SELECT dispute_id, upper(nullif(nullif(payment_method, ''), 'nan')) AS pm FROM disputes"""),
         "month_label": _with("disputes", """SELECT DISTINCT strftime(record_date, '%Y-%m') AS month,
   concat(['Jan','Fev','Mar','Abr','Mai','Jun','Jul','Ago','Set','Out','Nov','Dez'][CAST(month(record_date) AS INT)],
          '/', strftime(record_date, '%y')) AS label FROM disputes"""),
@@ -486,7 +488,7 @@ WHERE label <> '' GROUP BY 1 ORDER BY n DESC, label LIMIT 20""",
 ORDER BY dispute_amount DESC NULLS LAST, dispute_id LIMIT 100"""),
         "monthly_summary": _with("disputes", f"""SELECT strftime(record_date, '%Y-%m') AS month, record_type,
   count(dispute_amount) AS quantidade, {_sum('dispute_amount')} AS valor_total,
-  {_mean('TRUE')} AS ticket_medio FROM disputes GROUP BY 1, 2 ORDER BY 1, 2"""),
+  CASE WHEN count(dispute_amount) > 0 THEN {_mean('TRUE')} END AS ticket_medio FROM disputes GROUP BY 1, 2 ORDER BY 1, 2"""),
         "type_totals": _with("disputes", f"""SELECT {_sum('dispute_amount', _CB)} AS total_cb, {_N_CB} AS rows_cb,
   {_sum('dispute_amount', _NOC)} AS total_noc, {_N_NOC} AS rows_noc FROM disputes"""),
         "recurrence_tier": _with("disputes", """SELECT label, n, CASE WHEN n >= 50 THEN 'danger' ELSE 'warning' END AS tier
@@ -508,9 +510,10 @@ def _dashboard() -> dict[str, str]:
   {mean.format(n=_N_CB, s=_sum('dispute_amount', _CB))} AS ticket_medio_cb,
   {mean.format(n=_N_NOC, s=_sum('dispute_amount', _NOC))} AS ticket_medio_noc,
   {reported} AS com_clearsale FROM reconciled WHERE {_RANGE}"""),
-        "dash_monthly": _with("disputes", _MONTHLY.format(extra=f"AND {_RANGE}")),
+        # here rows count, whatever their amount
+        "dash_monthly": _with("disputes", _MONTHLY.format(extra=f"AND {_RANGE}").replace("count(dispute_amount)", "count(*)")),
         "dash_reason": _dash_counts("disputes", "dispute_reason", 10),
-        "dash_method": _dash_counts("disputes", "upper(payment_method)"),
+        "dash_method": _dash_counts("disputes", "upper(nullif(nullif(payment_method, ''), 'nan'))"),
         "dash_status": _dash_counts("reconciled", "cs_status_do_chargeback"),
         "dash_delivery": _dash_counts("consolidated", _DASH_DELIVERY),
         "dash_state": _with("consolidated", f"""SELECT vtex_uf AS label, count(*) AS n,
