@@ -12,8 +12,11 @@ language has at most ``one_in`` of either.
 from __future__ import annotations
 
 import re
+import sys
+import unicodedata
 from collections import Counter, defaultdict
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
@@ -23,12 +26,49 @@ from tallyweave.session import cut_lineage
 
 LONGEST = 5
 UNDETERMINED = "und"
-_WORD = re.compile(r"[^\W\d_]+")
+
+
+def _is_number(c: str) -> bool:
+    """A number character that ``\\w`` takes and ``\\d`` does not, as a fraction or a Roman numeral."""
+    return c.isalnum() and not c.isalpha() and not c.isdecimal()
+
+
+def _is_mark(c: str) -> bool:
+    return unicodedata.category(c)[0] == "M"
+
+
+def _ranges(codes: list[int]) -> str:
+    """Characters as ranges of a character class."""
+    starts = [c for c, before in zip(codes, [-2, *codes]) if c != before + 1]
+    ends = [c for c, after in zip(codes, [*codes[1:], -2]) if c + 1 != after]
+    return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in zip(starts, ends, strict=True))
+
+
+_PLAIN = re.compile(r"[^\W\d_]+")
+
+
+@lru_cache(maxsize=1)
+def _full() -> tuple[np.ndarray, re.Pattern]:
+    """Which characters the plain pattern gets wrong, and the pattern that gets them right."""
+    every = range(sys.maxunicode + 1)
+    numbers, marks = ([i for i in every if test(chr(i))] for test in (_is_number, _is_mark))
+    odd = np.zeros(sys.maxunicode + 1, bool)
+    odd[numbers + marks] = True
+    letter = r"[^\W\d_" + _ranges(numbers) + "]"
+    return odd, re.compile(f"{letter}+(?:[{_ranges(marks)}]+{letter}*)*")
 
 
 def letters(text: str) -> list[str]:
-    """The runs of letters of a text, in lower case."""
-    return _WORD.findall(text.lower())
+    """The runs of letters of a text, in lower case, each with the marks that combine with it.
+
+    Numbers of any kind are no letters.
+    """
+    text = text.lower()
+    if not text.isascii():
+        odd, full = _full()
+        if odd[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)].any():
+            return full.findall(text)
+    return _PLAIN.findall(text)
 
 
 def grams(word: str, n: int) -> list[str]:

@@ -1,3 +1,5 @@
+import random
+import unicodedata
 from pathlib import Path
 
 import pytest
@@ -22,6 +24,29 @@ def test_known_words_then_shorter_grams(spark):
     assert scorer.predict(["", "12 _ !", "\x00"]) == ([language.UNDETERMINED] * 3, [0.0] * 3)
 
 
+def test_letters_are_letters(spark):
+    """Fractions, powers and Roman or circled numbers are no letters; marks stay with theirs."""
+    assert [language.letters(t) for t in ("½ ²", "Ⅷ", "①", "५", "_", "\u0301")] == [[]] * 6
+    assert language.letters("हिन्दी में x²y") == ["हिन्दी", "में", "x", "y"]
+    assert language.letters("CAFE\u0301 一二 don't") == ["cafe\u0301", "一二", "don", "t"]
+    assert language.Scorer(_model(spark)).predict(["½ ²", "Ⅷ", "①"]) == ([language.UNDETERMINED] * 3, [0.0] * 3)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_letters_against_each_character(seed):
+    pick = random.Random(seed)
+    for _ in range(300):
+        text = "".join(chr(pick.choice([pick.randrange(32, 0x3000), pick.randrange(0xD7FF), 0x301, 0x93F, 0x2167, 97, 32])) for _ in range(12))
+        plain, run = [], ""
+        for c in text.lower() + " ":
+            if c.isalpha() or (run and unicodedata.category(c)[0] == "M"):
+                run += c
+            else:
+                plain += [run] if run else []
+                run = ""
+        assert language.letters(text) == plain, text
+
+
 def test_forgetting_changes_nothing(spark):
     model = _model(spark)
     texts = ["rivers gardens houses", "haeuser gaerten", "mixed und and"] * 3
