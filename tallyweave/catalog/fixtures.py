@@ -9,7 +9,6 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-from pyspark.sql.types import StructType
 
 from tallyweave import constants as C
 from tallyweave.operators import enrich, feeds, match
@@ -332,7 +331,7 @@ def consolidated(spark: SparkSession, sf_dir: str, *attributes: str) -> DataFram
 
 REPORT_ATTRIBUTES = ("dispute_reason", "payment_method", "shopper_email")
 FEEDS = ("lineitem", "orders", "customer", "nation", "region", "part")
-_STORES: dict[tuple, tuple[str, StructType]] = {}
+_STORES: dict[tuple, DataFrame] = {}
 
 
 def served(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -346,5 +345,6 @@ def served(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = (spark.sparkContext.applicationId, sf_dir, *files)
     if key not in _STORES:
         path = f"{shared_dir(spark)}/tallyweave/store-{uuid.uuid4().hex}"
-        _STORES[key] = path, store.write_store(consolidated(spark, sf_dir, *REPORT_ATTRIBUTES), path)
-    return store.open_store(spark, *_STORES[key])
+        schema = store.write_store(consolidated(spark, sf_dir, *REPORT_ATTRIBUTES), path)
+        _STORES[key] = store.open_store(spark, path, schema)  # its folders are listed once
+    return _STORES[key]
