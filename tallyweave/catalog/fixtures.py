@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from tallyweave import constants as C
 from tallyweave.operators import enrich, feeds, match
 from tallyweave.plans import consolidation, store
-from tallyweave.session import shared_dir
+from tallyweave.session import has_shared_dir, shared_dir
 
 #: attribute of a dispute -> table it is looked up in
 DISPUTE_ATTRIBUTES = ("dispute_reason", "payment_method", "shopper_email")
@@ -338,8 +338,11 @@ def served(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The consolidated frame as reports are served from it: stored once a session, by month.
 
     The first report of a session joins the feeds and stores the frame, the others read
-    it; it is stored anew when a file of a feed has changed.
+    it; it is stored anew when a file of a feed has changed.  A session without a
+    shared folder joins them for every report.
     """
+    if not has_shared_dir(spark):
+        return consolidated(spark, sf_dir, *REPORT_ATTRIBUTES)
     files = (spark.read.format("binaryFile").load([f"{sf_dir}/{t}.parquet" for t in FEEDS])
              .agg(F.count("*"), F.bit_xor(F.xxhash64("path", "length", "modificationTime"))).first())
     key = (spark.sparkContext.applicationId, sf_dir, *files)

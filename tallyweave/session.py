@@ -46,6 +46,10 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+def has_shared_dir(spark: SparkSession) -> bool:
+    return bool(spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir())
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Store the rows once as a table in the shared folder and go on from there.
 
