@@ -113,3 +113,36 @@ def test_logits_are_those_of_the_convolution():
     _, raw, first, second = net._hidden(codes)
     top = np.concatenate([np.take_along_axis(raw, i[:, None], 1)[:, 0] for i in (first, second)], axis=1)
     assert np.allclose(net.logits(codes), np.maximum(top, 0) @ net.out + net.offset)
+
+
+def test_sums_are_the_gradients():
+    import numpy as np
+    rng = np.random.default_rng(6)
+    net = secrets.Network.fresh(rng, depth=3, filters=4)
+    codes, y = rng.integers(0, 96, (1300, secrets.WIDTH)), rng.integers(0, 2, 1300).astype(float)
+    total = net.shaped(net.sums(codes, y))
+    for got, mean in zip(total, net.gradients(codes, y), strict=True):
+        assert np.allclose(got / len(y), mean, atol=1e-3)
+
+
+def test_every_finding_takes_part_in_the_training(documents, monkeypatch):
+    """Findings beyond the first draw move the weights, those held back the calibration."""
+    import numpy as np
+    monkeypatch.setattr(secrets, "SAMPLE_ROWS", 60)
+    rnd = random.Random(8)
+    rows = []
+    for i in range(400):
+        key = "".join(rnd.choice("0123456789abcdef") for _ in range(rnd.randint(18, 40)))
+        rows.append((i, f"the key password={key} and call {rnd.randint(100, 999)}-{rnd.randint(1000, 9999)} or mail{rnd.randint(1, 9)}.example.com then"))
+    docs = documents(rows)
+    texts = secrets.id_and_text(docs)
+    first, harmless = secrets._first_fit(texts)
+    whole = secrets.train(docs)
+    assert not np.allclose(first.kernel, whole.kernel) and (first.slope, first.shift) != (whole.slope, whole.shift)
+    size = 3 * (1 + secrets._size(first))
+    seen = [secrets._summed(texts.where(secrets._fold(texts) == k), first, harmless, secrets._add_gradients, size) for k in range(secrets.STEPS)]
+    counted = sum(s.reshape(3, -1)[:, 0].sum() for s in seen) / secrets.UNIT
+    held = secrets._summed(texts.where(secrets._fold(texts) < 0), first, harmless, secrets._count_scores, 3 * secrets.CELLS)
+    assert counted + held.reshape(3, -1)[1:].sum() == sum(len(list(secrets._findings(t))) for _, t in rows)
+    again = secrets.train(docs.repartition(3))
+    assert np.allclose(whole.kernel, again.kernel) and abs(whole.threshold - again.threshold) < 1e-6
