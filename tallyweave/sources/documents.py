@@ -179,18 +179,20 @@ def _workbook_rows(content: bytes) -> Iterator[list[str | None]]:
 def _cells_of(reader: Callable[[bytes], Iterable]):
     """Tasks turn each file into rows that carry their file's header.
 
-    A reader that gives rows one at a time reads its file twice: to its end, so that
-    one that cannot be read adds a single row with the reason and none of its cells,
-    and then for its rows, of which a batch is held.
+    A reader that gives rows one at a time reads its file to its end first, so that
+    one that cannot be read adds a single row with the reason and none of its cells.
+    A file of no more than a batch of rows beside its header is held meanwhile; a longer one
+    is read again for its rows, of which a batch is held.
     """
 
     def whole(content: bytes) -> Iterable:
         rows = reader(content)
-        if isinstance(rows, Iterator):
-            for _ in rows:
-                pass
-            return reader(content)
-        return rows
+        if not isinstance(rows, Iterator):
+            return rows
+        held, more = list(islice(rows, BATCH_ROWS + 1)), False
+        for _ in rows:
+            more = True
+        return reader(content) if more else held
 
     def open_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

@@ -336,3 +336,27 @@ def test_workbook_rows_are_streamed(tmp_path):
     assert sizes == [documents.BATCH_ROWS] * 6 and last["row_no"] == rows - 1
     assert last["header"] == ["CHARGEBACK 0", "0"] and last["cells"] == [f"CHARGEBACK {rows - 1}", str(rows - 1)]
     assert peak < 30e6  # all rows take over 60 MB
+
+
+def test_a_file_within_a_batch_is_read_once(monkeypatch):
+    """Longer ones are read to their end first; one that cannot be gives its reason alone."""
+    import pandas as pd
+    monkeypatch.setattr(documents, "BATCH_ROWS", 3)
+    read = []
+
+    def reader(content):
+        read.append(content)
+        for i in range(int(content)):
+            if i == 6:
+                raise documents.Unreadable("six")
+            yield [f"c{i}"]
+
+    def cells(n):
+        read.clear()
+        batch = pd.DataFrame([("f", str(n).encode())], columns=["path", "content"])
+        parts = list(documents._cells_of(reader)(iter([batch])))
+        return len(read), [tuple(r) for p in parts for r in p[["row_no", "header", "cells", "problem"]].itertuples(index=False)]
+
+    for n, times in ((0, 1), (1, 1), (4, 1), (5, 2)):
+        assert cells(n) == (times, [(i, ["c0"], [f"c{i}"], None) for i in range(n)])
+    assert cells(8) == (1, [(0, None, None, "six")])
