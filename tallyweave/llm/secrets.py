@@ -56,6 +56,8 @@ CELLS, REACH = 4096, 30.0
 #: Unit of the sums that tasks send, whole numbers so that their order does not matter.
 UNIT = 2.0**32
 RECALL = 0.98
+#: Number of a space.
+BLANK = 1
 #: Characters shown before a candidate, of it, and in all.
 BEFORE, SHOWN, WIDTH = 20, 44, 72
 #: From one window of a long candidate to the next: any 29 characters lie whole in one.
@@ -109,7 +111,37 @@ def places(start: int, end: int) -> Iterator[tuple[int, int]]:
 def encode(windows: list[str]) -> np.ndarray:
     """Rows of character numbers: printable ASCII from 1, others 0."""
     flat = np.frombuffer("".join(windows).encode("utf-32-le"), "<u4").reshape(-1, WIDTH)
-    return np.where((flat >= 32) & (flat < 127), flat - 31, 0).astype(np.int64)
+    codes = flat - np.uint32(31)  # what is below wraps round to large numbers
+    codes[codes > 95] = 0
+    return codes.astype(np.int64)
+
+
+def by_length(codes: np.ndarray) -> np.ndarray:
+    """Windows in the order of their candidates' lengths, so that those judged together end alike."""
+    space = codes[:, BEFORE : BEFORE + SHOWN] == BLANK
+    return np.argsort(np.where(space[:, -1], SHOWN - space[:, ::-1].argmin(axis=1), SHOWN), kind="stable")
+
+
+def told_apart(c: np.ndarray) -> list[int]:
+    """Places to look at, of windows that lie in columns.
+
+    Where all of them are blank for longer, a filter gives one value for all of that run:
+    its last place stands for it, within the candidate and behind it.
+    """
+    blank = (c == BLANK).all(axis=1)
+    last = WIDTH - Network.TAPS
+    same = [blank[k : k + Network.TAPS].all() for k in range(last + 1)]
+    border = (BEFORE - 3, BEFORE + SHOWN - 3)  # where the candidate's own places begin and end
+    return [k for k in range(last + 1) if not (same[k] and k < last and same[k + 1] and k not in border)]
+
+
+def _raw(two: list, last: np.ndarray, pair: np.ndarray, c: np.ndarray, place: int, out: np.ndarray, part: np.ndarray) -> None:
+    """What the filters give at a place; ``part`` is room to work in."""
+    np.take(two[0], pair[place], axis=0, out=out, mode="clip")
+    np.take(two[1], pair[place + 2], axis=0, out=part, mode="clip")
+    out += part
+    np.take(last, c[place + 4], axis=0, out=part, mode="clip")
+    out += part
 
 
 @dataclass
@@ -149,19 +181,21 @@ class Network:
         one = [(self.table @ self.kernel[k * depth : (k + 1) * depth]).astype(np.float32) for k in range(self.TAPS)]
         two = [(one[k][:, None] + one[k + 1]).reshape(n * n, -1) for k in (0, 2)]
         last = one[4] + self.bias.astype(np.float32)
-        out = []
+        out, order = np.empty(len(codes)), by_length(codes)
         for at in range(0, len(codes), 1000):
-            c = np.ascontiguousarray(codes[at : at + 1000].T)
+            rows = order[at : at + 1000]
+            c = np.ascontiguousarray(codes[rows].T)
             pair = c[:-1] * n + c[1:]
-            first = np.full((c.shape[1], len(self.bias)), -np.inf, np.float32)
-            second = first.copy()
-            for place in range(WIDTH - self.TAPS + 1):
-                raw = two[0][pair[place]] + two[1][pair[place + 2]] + last[c[place + 4]]
-                np.maximum(first, raw, out=first)
-                if BEFORE - 2 <= place < BEFORE + SHOWN - 2:
-                    np.maximum(second, raw, out=second)
-            out.append(np.maximum(np.concatenate([first, second], axis=1), 0).astype(float) @ self.out + self.offset)
-        return np.concatenate(out)
+            around = np.full((c.shape[1], len(self.bias)), -np.inf, np.float32)
+            second = around.copy()
+            raw, part = np.empty_like(second), np.empty_like(second)
+            for place in told_apart(c):
+                _raw(two, last, pair, c, place, raw, part)
+                best = second if BEFORE - 2 <= place < BEFORE + SHOWN - 2 else around
+                np.maximum(best, raw, out=best)
+            first = np.maximum(around, second)
+            out[rows] = np.maximum(np.concatenate([first, second], axis=1), 0).astype(float) @ self.out + self.offset
+        return out
 
     def sums(self, codes: np.ndarray, y: np.ndarray) -> np.ndarray:
         """Flat sum of the gradients of the logistic loss, as ``gradients`` lists them times the rows."""
@@ -172,30 +206,32 @@ class Network:
         last = one[4] + self.bias.astype(np.float32)
         met = np.zeros(self.TAPS * n * filters)  # what comes back to a filter, by tap and character
         d_out, d_bias, d_offset = np.zeros(2 * filters), np.zeros(filters), 0.0
+        order = by_length(codes)
         for at in range(0, len(codes), 1000):
-            c = np.ascontiguousarray(codes[at : at + 1000].T)
+            c = np.ascontiguousarray(codes[order[at : at + 1000]].T)
             pair = c[:-1] * n + c[1:]
             # the place stands in the last bits of the value, so that the highest brings it along
             top = np.full((2, c.shape[1], filters), -np.inf, np.float32)
-            for place in range(WIDTH - self.TAPS + 1):
-                raw = two[0][pair[place]] + two[1][pair[place + 2]] + last[c[place + 4]]
-                bits = raw.view(np.int32)
+            raw, part = np.empty_like(top[0]), np.empty_like(top[0])
+            bits = raw.view(np.int32)
+            for place in told_apart(c):
+                _raw(two, last, pair, c, place, raw, part)
                 bits &= ~127
                 bits |= place
-                np.maximum(top[0], raw, out=top[0])
-                if BEFORE - 2 <= place < BEFORE + SHOWN - 2:
-                    np.maximum(top[1], raw, out=top[1])
+                best = top[1 if BEFORE - 2 <= place < BEFORE + SHOWN - 2 else 0]
+                np.maximum(best, raw, out=best)
+            np.maximum(top[0], top[1], out=top[0])
             where = top.view(np.int32) & 127
             active = np.maximum(np.concatenate([*top], axis=1).astype(float), 0)
-            error = 1 / (1 + np.exp(-np.clip(active @ self.out + self.offset, -30, 30))) - y[at : at + 1000]
+            error = 1 / (1 + np.exp(-np.clip(active @ self.out + self.offset, -30, 30))) - y[order[at : at + 1000]]
             d_out += error @ active
             d_offset += error.sum()
             back = np.stack([error[:, None] * self.out[i * filters : (i + 1) * filters] * (top[i] > 0) for i in (0, 1)])
             d_bias += back.sum(axis=(0, 1))
-            rows = np.arange(c.shape[1])[:, None]
+            live = np.nonzero(back)
+            where, back, (_, row, own) = where[live], back[live], live
             for k in range(self.TAPS):
-                cell = (k * n + c[where + k, rows]) * filters + np.arange(filters)
-                met += np.bincount(cell.ravel(), back.ravel(), len(met))
+                met += np.bincount((k * n + c[where + k, row]) * filters + own, back, len(met))
         met = met.reshape(self.TAPS, n, filters)
         d_table = sum(m @ k.T for m, k in zip(met, taps, strict=True))
         d_kernel = np.concatenate([self.table.T @ m for m in met])

@@ -2,6 +2,8 @@ import hashlib
 import random
 import re
 
+import numpy as np
+
 from tallyweave.llm import secrets
 
 ASSIGN = re.compile(
@@ -146,3 +148,18 @@ def test_every_finding_takes_part_in_the_training(documents, monkeypatch):
     assert counted + held.reshape(3, -1)[1:].sum() == sum(len(list(secrets._findings(t))) for _, t in rows)
     again = secrets.train(docs.repartition(3))
     assert np.allclose(whole.kernel, again.kernel) and abs(whole.threshold - again.threshold) < 1e-6
+
+
+def test_blank_places_are_looked_at_once():
+    rng = np.random.default_rng(5)
+    texts = ["key = " + "aB3" * 4 + " and more", "x" * 70, "12345678", " " * 40 + "abcdefgh9" + " " * 40, ""]
+    codes = secrets.encode([secrets.window(t, *next(iter(secrets._RUNS.finditer(t)), re.match("", t)).span()) for t in texts])
+    short = codes[[0, 2, 3, 4]]
+    assert len(secrets.told_apart(np.ascontiguousarray(short.T))) < 45
+    assert len(secrets.told_apart(np.ascontiguousarray(codes.T))) > 50
+    net = secrets.Network.fresh(rng)
+    net.bias = rng.normal(0, 0.3, len(net.bias))
+    for own in (codes, short, codes[4:]):
+        _, raw, first, second = net._hidden(own)
+        top = np.concatenate([np.take_along_axis(raw, i[:, None], 1)[:, 0] for i in (first, second)], axis=1)
+        assert np.allclose(net.logits(own), np.maximum(top, 0) @ net.out + net.offset, atol=1e-4)
