@@ -6,7 +6,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from tallyweave.operators import enrich, match
+from tallyweave.operators import enrich, feeds, match
 from tallyweave.operators.ids import dense_ids
 from tallyweave.operators.prefilter import likely_members
 from tallyweave.operators.skew import (
@@ -298,3 +298,28 @@ def test_likely_members_loses_no_member(spark, bits):
     assert {f"k{i}" for i in range(0, 3000, 100)} <= kept
     assert bits == 64 or len(kept) < 300
     assert likely_members(df, F.col("k"), members.where("1 = 0"), F.col("m")).count() == 0
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_ids_parsed_from_documents_are_parsed_once(spark, tmp_path):
+    path = str(tmp_path / "rows")
+    spark.createDataFrame([(1, '{"orderId":" 7 "}'), (2, "{bad"), (3, '{"orderId":" "}'), (4, '{"orderId":"7"}'), (5, None)],
+                          "dispute_id int, metadata string").write.parquet(path)
+    rows = feeds.extract_order_id(spark.read.parquet(path))
+    ids = feeds.valid_order_ids(rows)
+    assert [tuple(r) for r in ids.collect()] == [("7",)]
+    assert _plan(feeds.valid_order_ids(rows)).count("get_json_object(") == 1
+    raw = spark.createDataFrame([("7-01", "{}"), ("8", "{}"), (None, "{}")], "order_id string, detail string")
+    wanted = enrich.wanted_documents(raw, rows)
+    assert _plan(wanted).count("get_json_object(") == 1
+    assert "7-01" in {r.order_id for r in wanted.collect()}
+
+
+def test_only_the_named_keys_are_profiled(spark):
+    rows = spark.createDataFrame(skewed_disputes(), DISPUTE)
+    some, every = match.profile_disputes(rows, "reference", "base_order"), match.profile_disputes(rows)
+    assert some.order is None and (some.reference, some.base_order) == (every.reference, every.base_order)
+    assert some.reference.hot == ("HOT",)

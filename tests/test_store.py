@@ -1,16 +1,25 @@
 """Reports served from the frame stored by month."""
 
+import re
 from collections import Counter
 from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
 
+from pyspark.sql.types import StructType
+
+from tallyweave.catalog import fixtures
 from tallyweave.operators import dash, feeds, metrics
-from tallyweave.plans import store
+from tallyweave.plans import consolidation, store
+from tallyweave.sinks import exports
 
 from .test_reports import SCHEMA, row
 
+SF = "/root/testdata/sf0.001"
+REPORTS = ("kpis", "monthly_evolution", "ledger_monthly", "by_state", "by_city", "by_item", "by_delivery_detail", "by_category",
+           "by_store", "by_source", "cross_validation", "top_emails", "top_records", "dash_kpis", "dash_status", "dash_city",
+           "dash_delivery", "dash_cross_validation", "dash_top_records", "raw_export", "dashboard_sections")
 CB, NOC = "Chargeback", "NotificationOfChargeback"
 
 
@@ -61,3 +70,19 @@ def test_a_period_reads_its_months_only(stored):
 def test_rows_without_a_date_count_in_whole_reports(rows, stored):
     assert metrics.kpis(stored).collect() == metrics.kpis(rows).collect()
     assert metrics.by_state(stored).collect() == metrics.by_state(rows).collect()
+
+
+def test_the_store_holds_what_reports_read_and_no_more(spark, tmp_path):
+    whole = fixtures.consolidated(spark, SF, *fixtures.REPORT_ATTRIBUTES).schema
+    path = str(tmp_path / "whole")
+    spark.createDataFrame([], StructType([*whole.fields]).add(feeds.STORED_MONTH, "string")).write.parquet(path)
+    frame, asked = spark.read.parquet(path), set()
+    spark.conf.set("spark.sql.maxMetadataStringLength", 100_000)
+    for module in (metrics, dash, exports, consolidation):
+        for report in (getattr(module, n) for n in REPORTS if hasattr(module, n)):
+            plan = report(frame)._jdf.queryExecution().executedPlan().toString()
+            asked |= {f.split(":")[0] for read in re.findall(r"ReadSchema: struct<([^>]*)>", plan) for f in read.split(",")}
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
+    assert len(asked & set(whole.names)) > 15
+    assert asked & set(whole.names) <= set(fixtures.SERVED) < set(whole.names)
+    assert "metadata" not in fixtures.SERVED
