@@ -10,7 +10,7 @@ from tallyweave.operators import enrich, feeds, match
 from tallyweave.operators.ids import dense_ids
 from tallyweave.operators.prefilter import likely_members
 from tallyweave.operators.skew import (
-    KeyProfile, fanout_join, lookup_join, profile_key, top_n_per_group,
+    KeyProfile, fanout_join, lookup_join, profile_frames, profile_key, profile_keys, top_n_per_group,
 )
 
 DISPUTE = "dispute_id string, psp_reference string, record_type string, dispute_amount decimal(18,2), vtex_order_id string"
@@ -55,6 +55,19 @@ def test_profile_finds_hot_and_null_keys(disputes):
     assert profile_key(even, "k") == KeyProfile()
 
 
+def test_frequent_keys_are_counted_exactly(spark):
+    # 8 shuffle partitions: frequent is more than an eighth of 16,000 rows, beside 9,999 keys met once
+    rows = ["at"] * 2000 + ["above"] * 2001 + [f"u{i}" for i in range(9_999)] + [None] * 2000
+    random.Random(3).shuffle(rows)
+    df = spark.createDataFrame([(k, k) for k in rows], "k string, other string").repartition(7)
+    assert len(rows) == 16_000
+    assert profile_key(df, "k") == KeyProfile(("above",), False)
+    both = profile_keys(df, {"one": F.col("k"), "two": F.coalesce("other", F.lit("none"))})
+    assert both == {"one": KeyProfile(("above",), False), "two": KeyProfile(("above",), False)}
+    more = profile_frames({"l": (df, "k"), "r": (df.where("k IS NULL"), "k")})
+    assert more == {"l": KeyProfile(("above",), False), "r": KeyProfile((), True)}
+
+
 def test_profile_of_empty_frame(disputes):
     assert profile_key(disputes.limit(0), "psp_reference") == KeyProfile()
 
