@@ -1,12 +1,13 @@
 """The consolidated frame against row-by-row matching, cached and uncached."""
 
 import random
+import re
 from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
-from tallyweave.operators import enrich
+from tallyweave.operators import enrich, skew
 from tallyweave.plans import consolidation
 
 CB, NOC = "Chargeback", "NotificationOfChargeback"
@@ -48,6 +49,32 @@ def test_consolidate(feeds_):
     assert Counter(tuple(r) for r in got.select(OUT).collect()) == expected
 
 
+def test_reports_and_documents_share_the_key_of_their_shuffle(feeds_, spark):
+    frames, _ = feeds_
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    plan = consolidation.consolidate(*frames)._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    joins = re.findall(r"SortMergeJoin (\[[^\]]*\], \[[^\]]*\])", plan)
+    by_order = [j for j in joins if "_cell" in j and "_base" not in j]
+    assert len(joins) == 4 and len(by_order) == 4
+    assert not any("_report_order" in j for j in joins)
+
+
+def test_the_outer_match_is_not_run_for_a_profile(feeds_, monkeypatch):
+    (disputes, ledger, reports, documents), _ = feeds_
+    named = reports.withColumnsRenamed({"cs_pedido": "clearsale_pedido", "cs_status_do_chargeback": "clearsale_status"})
+
+    def of_joined_rows(df, key):
+        raise AssertionError(f"rows joined for a profile of {key}")
+
+    monkeypatch.setattr(skew, "profile_key", of_joined_rows)
+    outer = consolidation.outer_reconciliation(disputes, ledger, named)
+    reported = {"7": "p7", "9": "p9"}
+    rows = outer.select("vtex_order_id", "clearsale_pedido").collect()
+    assert any(r[1] for r in rows) and all(r[1] == reported.get((r[0] or "").strip()) for r in rows)
+    consolidation.outer_flow(disputes, ledger, named, documents)
+
+
 def test_consolidate_cached(feeds_):
     (disputes, ledger, reports, documents), expected = feeds_
     ids = disputes.select(F.trim("vtex_order_id").alias("order_id")).where("order_id IS NOT NULL").distinct()
