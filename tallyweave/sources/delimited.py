@@ -73,16 +73,35 @@ _FILE = ("path string, header binary, delimiter string, encoding string, open bo
          "slashed array<string>, unsure boolean")
 
 
-def _slashes(value: Column, delimiter: str) -> Column:
-    """Bit i is set when field i holds a slash; delimiters between quotes separate nothing."""
+def _count(value: Column, text: str) -> Column:
+    return F.length(value) - F.length(F.replace(value, F.lit(text), F.lit("")))
+
+
+def _marks(value: Column) -> Column:
+    """The delimiters and slashes of a line up to its last slash, which is left out; null without any.
+
+    Delimiters between quotes separate nothing.  What stands there is left out whole,
+    part by part only where it holds a slash.
+    """
     between = F.transform(F.split(value, '"'), lambda part, i: F.when(
-        i % 2 == 1, F.replace(part, F.lit(delimiter), F.lit(""))).otherwise(part))
-    plain = F.when(F.contains(value, F.lit('"')), F.array_join(between, "")).otherwise(value)
-    fields = F.split(plain, "\\" + delimiter if delimiter == "|" else delimiter)
-    bits = F.transform(F.slice(fields, 1, NOTED), lambda field, i: F.when(
-        F.contains(field, F.lit("/")), F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(0))
-    noted = F.aggregate(bits, F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(b))
-    return F.when(F.contains(value, F.lit("/")), noted).otherwise(F.lit(0).cast("long"))
+        i % 2 == 1, F.regexp_replace(part, "[^/]+", "")).otherwise(part))
+    unquoted = F.regexp_replace(value, '"[^"]*("|$)', "")
+    plain = F.when(~F.contains(value, F.lit('"')), value).when(
+        _count(unquoted, "/") == _count(value, "/"), unquoted).otherwise(F.array_join(between, ""))
+    return F.when(F.contains(value, F.lit("/")), F.regexp_replace(plain, r"/[^/]*$|[^/,;\t|]+", ""))
+
+
+def _slashes(marks: Column, delimiter: str) -> Column:
+    """Bit i is set when field i holds a slash: the delimiters before a slash tell its field."""
+    zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
+
+    def step(so_far: Column, part: Column) -> Column:
+        field = so_far["field"] + _count(part, delimiter)
+        bit = F.when(field < NOTED, F.call_function("shiftleft", one, field)).otherwise(zero)
+        return F.struct(field.alias("field"), so_far["bits"].bitwiseOR(bit).alias("bits"))
+
+    noted = F.aggregate(F.split(marks, "/"), F.struct(F.lit(0).alias("field"), zero.alias("bits")), step, lambda end: end["bits"])
+    return F.when(marks.isNull(), zero).when(F.contains(marks, F.lit(delimiter)), noted).otherwise(one)
 
 
 def _profiles(
@@ -96,19 +115,20 @@ def _profiles(
     """
     tried = [delimiter] if delimiter else list(DELIMITERS)
     value = F.col("raw").cast("string")
-    quotes = F.length(value) - F.length(F.replace(value, F.lit('"'), F.lit("")))
+    quotes = _count(value, '"')
     lines = files.reader(spark).text(files.source).where(files.kept()).select(
         F.col("_metadata.file_path").alias("path"),
         F.struct(F.col("_metadata.file_block_start").alias("block"),
                  F.monotonically_increasing_id().alias("line")).alias("position"),
         F.col("value").cast("binary").alias("raw"),
+        *([_marks(F.col("value")).alias("marks")] if wanted else []),
     )
     found = lines.groupBy("path").agg(
         F.min_by("raw", "position").alias("header"),
         (F.bool_and(F.is_valid_utf8(value)) if detect_encoding else F.lit(True)).alias("utf8"),
         F.bool_or(quotes % 2 == 1).alias("open"),
         (F.bool_or(F.contains(value, F.lit('"')) & value.rlike(_STRAY_QUOTE)) if wanted else F.lit(False)).alias("stray"),
-        *(F.bit_or(_slashes(value, d)).alias(f"bits{i}") for i, d in enumerate(tried) if wanted),
+        *(F.bit_or(_slashes(F.col("marks"), d)).alias(f"bits{i}") for i, d in enumerate(tried) if wanted),
     )
 
     def describe(parts):

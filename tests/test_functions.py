@@ -160,3 +160,14 @@ def test_other_date_texts(spark):
     number = spark.createDataFrame([("45000.25",), ("123",), ("x",), (None,)], "v string")
     assert [r[0] for r in number.select(dates.parse_day_number("v")).collect()] == [
         datetime(2023, 3, 15, 6), None, None, None]
+
+
+@pytest.mark.parametrize("day_first", [True, False])
+def test_days_without_a_time_are_turned_round_at_once(values, spark, day_first):
+    texts = ["3/1/2025", "03.01.2025", "31-1-2025", "1/31/2025", "32/1/2025", "29/2/2023", "3/1/2025 10:00"]
+    a, b = (datetime(2025, 1, 3), datetime(2025, 3, 1)) if day_first else (datetime(2025, 3, 1), datetime(2025, 1, 3))
+    late = datetime(2025, 1, 31)
+    expected = [a, a, late, late, None, None, a.replace(hour=10)]
+    assert values(lambda c: dates.parse_mixed_date(c, F.lit(day_first)), texts) == expected
+    plan = spark.range(1).select(dates._from_day(F.col("id").cast("string"), F.lit(day_first)))
+    assert "regexp_extract" not in plan._jdf.queryExecution().optimizedPlan().toString()

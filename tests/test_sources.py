@@ -5,6 +5,7 @@ from datetime import datetime
 from decimal import Decimal
 
 import pytest
+from pyspark.sql import functions as F
 
 from tallyweave import schemas
 from tallyweave.operators import enrich
@@ -360,3 +361,14 @@ def test_a_file_within_a_batch_is_read_once(monkeypatch):
     for n, times in ((0, 1), (1, 1), (4, 1), (5, 2)):
         assert cells(n) == (times, [(i, ["c0"], [f"c{i}"], None) for i in range(n)])
     assert cells(8) == (1, [(0, None, None, "six")])
+
+
+def test_slashes_are_noted_from_the_marks_of_a_line(spark):
+    lines = {"a,1/2/3,b": (",", {1}), 'a,"x,/y,",/': (",", {1, 2}), '"a,b",c/': (",", {1}), "a;b/c;;/": (";", {1, 3}),
+             "a/b,c": ("|", {0}), "plain,line": (",", set()), ",".join(["x"] * 62 + ["/", "/"]): (",", {62})}
+    rows = spark.createDataFrame([(v, d) for v, (d, _) in lines.items()], "v string, d string")
+    marked = rows.select("v", "d", delimited._marks(F.col("v")).alias("m"))
+    notes = [F.when(F.col("d") == d, delimited._slashes(F.col("m"), d)) for d in delimited.DELIMITERS]
+    for r in marked.select("v", "m", F.coalesce(*notes).alias("bits")).collect():
+        assert {i for i in range(64) if r.bits >> i & 1} == lines[r.v][1]
+        assert r.m is None or not set(r.m) - set("/,;")
