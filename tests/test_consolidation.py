@@ -7,7 +7,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from tallyweave.operators import enrich, skew
+from tallyweave.operators import enrich, match, skew
 from tallyweave.plans import consolidation
 
 CB, NOC = "Chargeback", "NotificationOfChargeback"
@@ -60,6 +60,15 @@ def test_reports_and_documents_share_the_key_of_their_shuffle(feeds_, spark):
     assert not any("_report_order" in j for j in joins)
 
 
+def test_disputes_without_an_order_go_past_its_shuffle(feeds_):
+    frames, expected = feeds_
+    profile = match.DisputeProfile(reference=skew.KeyProfile(("A",)), base_order=skew.KeyProfile(("7",), hot_null=True))
+    got = consolidation.consolidate(*frames, profile=profile)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" in plan and "concat(null " not in plan
+    assert Counter(tuple(r) for r in got.select(OUT).collect()) == expected
+
+
 def test_the_outer_match_is_not_run_for_a_profile(feeds_, monkeypatch):
     (disputes, ledger, reports, documents), _ = feeds_
     named = reports.withColumnsRenamed({"cs_pedido": "clearsale_pedido", "cs_status_do_chargeback": "clearsale_status"})

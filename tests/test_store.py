@@ -67,6 +67,17 @@ def test_a_period_reads_its_months_only(stored):
     assert "stored_month" in scan.split("PartitionFilters")[1]
 
 
+def test_the_frame_is_not_shuffled_by_month(spark, rows, tmp_path):
+    def files(path, **how):
+        kept = store.open_store(spark, path, store.write_store(rows, path, **how))
+        names = kept.select(F.input_file_name()).distinct().collect()
+        return Counter(n.split("stored_month=")[1].split("/")[0] for (n,) in names)
+
+    own, gathered = files(str(tmp_path / "own")), files(str(tmp_path / "gathered"), gather=True)
+    assert max(own.values()) == 4  # tasks of the frame
+    assert set(gathered.values()) == {1} and set(own) == set(gathered)
+
+
 def test_rows_without_a_date_count_in_whole_reports(rows, stored):
     assert metrics.kpis(stored).collect() == metrics.kpis(rows).collect()
     assert metrics.by_state(stored).collect() == metrics.by_state(rows).collect()
