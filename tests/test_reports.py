@@ -1,8 +1,11 @@
 import json
 import re
+from contextlib import contextmanager
 from datetime import datetime
 from decimal import Decimal
+from pathlib import Path
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -148,6 +151,24 @@ def test_consolidated_extracts(spark, frame, tmp_path, fmt):
     assert set(exports.consolidated_extracts(frame, str(tmp_path / "all"), fmt)) == set(exports.EXTRACTS)
 
 
+def test_copies_of_a_row_are_written_as_they_come(spark, frame, tmp_path, monkeypatch):
+    name, seen = "spark.sql.maxConcurrentOutputFileWriters", []
+    before, given = spark.conf.get(name, None), exports.settings
+
+    @contextmanager
+    def noted(*args, **conf):
+        with given(*args, **conf):
+            seen.append(spark.conf.get(name))
+            yield
+
+    monkeypatch.setattr(exports, "settings", noted)
+    written = exports.consolidated_extracts(frame, str(tmp_path / "out"))
+    assert seen == [str(len(exports.EXTRACTS))] and spark.conf.get(name, None) == before
+    for extract in set(written) - {"Resumo_Mensal"}:
+        for part in Path(written[extract]).glob("*.parquet"):
+            assert pq.ParquetFile(part).metadata.row_group(0).column(0).compression == "ZSTD"
+
+
 def test_dashboard_document_agrees_with_reports(frame):
     rows = consolidation.dashboard_document(frame, generated="2025-06-01 00:00:00").collect()
     doc = {r["section"]: json.loads(r["json"]) for r in rows}
