@@ -305,6 +305,25 @@ def _scan(
     return named_cells(read_cells(spark, files, reader), None, source_file, position)
 
 
+def with_tables(spark: SparkSession, files: Files | None) -> Files | None:
+    """The files that have the tag of a table in a line; ``None`` where none has.
+
+    Only these can give rows as pages.  A large file of plain text under the name of a page
+    is passed over line by line here, by as many tasks as it has blocks, and never held whole.
+    Where all files are alike the folder stays one; otherwise the paths of the pages are named.
+    """
+    if not files:
+        return None
+    value = F.col("value")
+    tagged = F.contains(value, F.lit("<")) & F.contains(F.lower(value), F.lit("<table"))
+    lines = files.reader(spark).text(files.source).where(files.kept())
+    found = cut_lineage(lines.groupBy(F.col("_metadata.file_path").alias("path")).agg(F.bool_or(tagged).alias("page")))
+    pages, others = found.agg(F.count_if("page"), F.count_if(~F.col("page"))).first()
+    if not pages:
+        return None
+    return Files(sorted(r["path"] for r in found.where("page").collect())) if others else files
+
+
 def scan_html_tables(
     spark: SparkSession, files: Files | Sequence[str] | None, source_file: str | None = None,
     position: str | None = None,

@@ -10,7 +10,7 @@ from tallyweave import constants as C
 from tallyweave.functions import dates, numbers
 from tallyweave.operators import feeds
 from tallyweave.sources.delimited import Layout, read_delimited, read_semicolon
-from tallyweave.sources.documents import named_cells, read_cells, scan_html_tables, workbook_rows
+from tallyweave.sources.documents import named_cells, read_cells, scan_html_tables, with_tables, workbook_rows
 from tallyweave.sources.listing import Files
 
 
@@ -67,7 +67,7 @@ def load_antifraud(spark: SparkSession, folder: str, prefix: str = "cs_") -> Dat
     A report is an HTML table saved as ``.xls`` or ``;`` text.  ``.xls`` files
     come before ``.csv`` files in load order.
     """
-    pages = Files.under(spark, folder, "*.xls", required=False)
+    pages = with_tables(spark, Files.under(spark, folder, "*.xls", required=False))
     html = scan_html_tables(spark, pages, source_file="source_file_cs", position="ordinal")
     frames = []
     if "PEDIDO" in html.columns:

@@ -161,6 +161,29 @@ def test_load_antifraud_keeps_the_last_report(spark, tmp_path):
     assert feeds.load_antifraud(spark, str(tmp_path / "none")) is None
 
 
+def test_text_under_the_name_of_a_page_is_not_opened_whole(spark, tmp_path, monkeypatch):
+    opened, scan = [], feeds.scan_html_tables
+
+    def noted(spark, files, **names):
+        opened.append(files)
+        return scan(spark, files, **names)
+
+    monkeypatch.setattr(feeds, "scan_html_tables", noted)
+    put(tmp_path / "mixed", "a.xls", HTML.replace("<table", "<TABLE"))
+    put(tmp_path / "mixed", "b.xls", "PEDIDO;UF\n10-z;a<b\n12-q;table\n")
+    put(tmp_path / "mixed", "c.xls", b"PEDIDO;UF\n13-z;S\xe3o\n")
+    put(tmp_path / "pages", "a.xls", HTML)
+    put(tmp_path / "pages", "b.xls", HTML.replace("10-a", "14-a"), "latin-1")
+    put(tmp_path / "pages", "empty.xls", "")
+    put(tmp_path / "text", "a.xls", "PEDIDO;UF\n15-z;PR\n")
+    got = {f: sorted(r["vtex_order_id"] for r in feeds.load_antifraud(spark, str(tmp_path / f)).collect())
+           for f in ("mixed", "pages", "text")}
+    assert got == {"mixed": ["10", "11", "12", "13"], "pages": ["10", "11", "14"], "text": ["15"]}
+    mixed, pages, text = opened
+    assert [p.rsplit("/", 1)[-1] for p in mixed.source] == ["a.xls"]
+    assert pages == listing.Files.matching(str(tmp_path / "pages"), "*.xls") and text is None
+
+
 def test_scan_order_export_and_collapse(spark, tmp_path):
     put(tmp_path, "o.csv", "﻿Order;Sequence;Creation Date;Total Value;UF;Other\n"
         "1-01;7;2026-04-20T10:00:00Z;10.5;;x\n1-01;8;2026-04-21T10:00:00Z;11;SC;y\n2-01;n/a;soon;z;PR;z\n")
